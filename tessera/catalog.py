@@ -1,0 +1,4 @@
+"""All queries by name, and the SQL that each is held against."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
