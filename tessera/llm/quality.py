@@ -1,6 +1,6 @@
 """Quality rules as weak supervision: rules vote good, bad or not at all, and a model of their accuracies gives the verdict.
 
-The votes of all documents are counted by pattern; with m rules there are at most 3^m patterns, so the counts have a fixed
+Documents that fail the base rules are rejected as they are. The votes of all others are counted by pattern; with m rules there are at most 3^m patterns, so the counts have a fixed
 bound and hold everything that expectation-maximisation needs. It estimates how often each rule votes each way on good and
 on bad documents, and the share of good ones; the posterior probability of quality then replaces the demand that all rules pass.
 """
@@ -164,19 +164,20 @@ BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 def judge(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
     """(doc_id, counts, base_failed, quality, kept) of every document.
 
-    kept: not base_failed, and the posterior probability of quality is at least `least`. Null texts have no words. Rows that
+    kept: not base_failed, and the posterior probability of quality (null if base_failed) is at least `least`. Null texts have no words. Rows that
     repeat are judged alike. Other columns of docs are not read. The posterior of a pattern is broadcast: at most 3^m rows.
     """
     counted = cut(docs.select("doc_id", features().alias("f")).select("doc_id", "f.*").withColumn("pattern", pattern(rules)))
-    quality = fit_votes(counted.groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
+    quality = fit_votes(counted.filter(f"not {BASE_FAILED}").groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
     out = counted.join(F.broadcast(quality), "pattern", "left").withColumn("base_failed", F.expr(BASE_FAILED))
+    out = out.withColumn("quality", F.when(~F.col("base_failed"), F.col("quality")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def keep_good(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
     """The rows of docs that `judge` keeps, by two narrow passes: one counts patterns, one filters. Texts are not shuffled."""
-    voted = docs.withColumn("tessera_f", features()).withColumn("tessera_p", pattern(rules, "tessera_f"))
+    failed = F.expr(re.sub(r"\b(n_\w+)\b", r"tessera_f.\1", BASE_FAILED))
+    voted = docs.withColumn("tessera_f", features()).filter(~failed).withColumn("tessera_p", pattern(rules, "tessera_f"))
     quality = fit_votes(voted.groupBy(F.col("tessera_p").alias("pattern")).agg(F.count("*").alias("n")), len(rules))
     good = quality.filter(F.col("quality") >= least).select("pattern")
-    failed = F.expr("(tessera_f.n_words < 50 or 100 * tessera_f.n_repeat_words > 50 * tessera_f.n_words)")
-    return voted.filter(~failed).join(F.broadcast(good), F.col("tessera_p") == F.col("pattern"), "left_semi").select(*docs.columns)
+    return voted.join(F.broadcast(good), F.col("tessera_p") == F.col("pattern"), "left_semi").select(*docs.columns)
