@@ -118,7 +118,7 @@ class LabelModel:
 
     def __init__(self, m: int, prior: float = 0.7):
         self.prior = prior
-        self.odds = np.tile([[[0.4, 0.4, 0.2], [0.1, 0.3, 0.6]]], (m, 1, 1))  # rule, class (bad, good), vote
+        self.odds = np.tile([[[0.3, 0.4, 0.3], [0.02, 0.38, 0.6]]], (m, 1, 1))  # rule, class (bad, good), vote: a vote against is rare on good documents
 
     @staticmethod
     def votes(patterns: np.ndarray, m: int) -> np.ndarray:
