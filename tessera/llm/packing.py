@@ -7,6 +7,9 @@ document, so no source or key makes a group large, and groups do not depend on e
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +24,15 @@ from tessera.llm.text import slices
 LENGTH, END = 2048, 1
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
-#: Distinct chunks whose ids a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
+REMEMBERED = 400_000
+# The rules of a tokenizer file under which ASCII text needs lower-casing and ASCII_PARTS only.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -60,37 +70,72 @@ def first_fit_decreasing(sizes: list[int], capacity: int = LENGTH) -> tuple[list
     return bins, offsets
 
 
+class Remembered(dict):
+    """A dict of at most two generations: what was asked for since the last but one time that it was full stays."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The keys that are not known. Makes room first if there is none."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = [k for k in keys if k not in self]
+        if not self.older:
+            return new
+        self.update((k, self.older[k]) for k in new if k in self.older)
+        return [k for k in new if k not in self.older]
+
+
 class Tokenizer:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer never joins what white space parts.
 
-    Then the ids of a text are those of its chunks between spaces one after another, and each distinct chunk is encoded
-    once. apart=False encodes texts whole, for other files.
+    Then the ids of a text are those of its chunks between spaces one after another, and those of a chunk are its
+    pre-tokens' ones. Each distinct chunk is taken apart and each distinct pre-token encoded once. A chunk beyond ASCII, and
+    any chunk of a file whose rules are not those of ASCII_RULES, is normalised and taken apart by the library.
+    apart=False encodes texts whole.
     """
 
     def __init__(self, path: str, apart: bool = True):
         from tokenizers import Tokenizer as Rust
 
-        self.rust, self.apart, self.known = Rust.from_file(path), apart, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.rust.encode_batch(texts, add_special_tokens=False)]
+        self.rust, self.apart = Rust.from_file(path), apart
+        self.chunks, self.tokens = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        said = json.loads(self.rust.to_str())
+        self.plain = json.dumps([said["normalizer"], said["pre_tokenizer"]], sort_keys=True) == json.dumps(ASCII_RULES, sort_keys=True)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.rust.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        normal, parts, odd, taken = self.rust.normalizer.normalize_str, self.rust.pre_tokenizer.pre_tokenize_str, [], []
+        for c in chunks:
+            if "<|" in c:  # may hold a special token
+                odd.append(c)
+            elif self.plain and c.isascii() and c.isprintable():
+                taken.append((c, ASCII_PARTS.findall(c.lower())))
+            else:
+                taken.append((c, [p for p, _ in parts(normal(c))]))
+        self.chunks.update(zip(odd, self.whole(odd), strict=True))
+        encode, tokens = self.rust.model.tokenize, self.tokens
+        for p in tokens.missing(list({p for _, ps in taken for p in ps})):
+            tokens[p] = np.array([t.id for t in encode(p)], "<u4").tobytes()
+        self.chunks.update((c, tokens[ps[0]] if len(ps) == 1 else b"".join(map(tokens.__getitem__, ps))) for c, ps in taken)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text, END not included."""
         texts = pc.fill_null(texts, "")
         if not self.apart:
-            return self.encode(texts.to_pylist())
+            return [np.frombuffer(x, "<u4") for x in self.whole(texts.to_pylist())]
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = split.flatten().dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [c for c in distinct if c not in self.known]
-        for at in range(0, len(new), 10_000):
-            self.known.update(zip(new[at : at + 10_000], self.encode(new[at : at + 10_000]), strict=True))
-        each = [self.known[c] for c in distinct]
-        size = np.array([len(e) for e in each], np.int64)
-        flat = np.concatenate([*each, np.zeros(0, np.uint32)])
+        self.learn(self.chunks.missing(distinct))
+        each = list(map(self.chunks.__getitem__, distinct))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         index = chunks.indices.to_numpy()
         n = size[index]
@@ -100,13 +145,19 @@ class Tokenizer:
         return [ids[a:b] for a, b in zip(of_text[:-1], of_text[1:], strict=True)]
 
 
+@functools.cache
+def tokenizer_of(path: str, apart: bool) -> Tokenizer:
+    """One for all tasks of a worker."""
+    return Tokenizer(path, apart)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, apart: bool = True) -> DataFrame:
     """(doc_id, tie, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut into pieces of at most length. tie is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer(tokenizer, apart)
+        tok = tokenizer_of(tokenizer, apart)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 out: list[tuple] = []
                 for doc, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.ids(part.column("text")), strict=True):
                     ids = np.append(ids, end).astype("<u4")

@@ -15,20 +15,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, raw, slices, windows
+from tessera.llm.text import Words, mix, slices
 from tessera.plans.cut import cut
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 FEATURES = f"{COUNTS}, n_lines long, n_distinct long, n_upper long, n_letters long, n_digits long, n_bangs long, n_bars long"
-_KIND = np.zeros((256, 6), bool)
-_KIND[65:91, 0] = True
-_KIND[65:91, 1] = _KIND[97:123, 1] = _KIND[192:, 1] = True  # a non-ASCII letter counts once, by its first byte
-_KIND[48:58, 2] = True
-_KIND[list(b"!?"), 3] = True
-_KIND[ord("|"), 4] = True
-_KIND[:, 5] = SYMBOLS
+#: Kinds of rarer bytes: capitals, digits, marks of shouting, bars, other symbols.
+_RARE = np.zeros(256, np.uint8)
+_RARE[SYMBOLS] = 5
+_RARE[65:91] = 1
+_RARE[48:58] = 2
+_RARE[list(b"!?")] = 3
+_RARE[ord("|")] = 4
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[192:] = True  # a letter beyond ASCII counts once, by its first byte
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -46,24 +48,20 @@ def features_of(texts: pa.Array) -> dict[str, np.ndarray]:
     n_docs = len(words.count)
     word_chars = _sums(chars[words.end] - chars[words.start], words.first)
     # windows of three words that occur twice or more in their document; their words count once each
-    w, first = windows(h, words.first, 3)
-    whole = np.repeat(words.count >= 3, np.diff(first))
-    doc = np.repeat(np.arange(n_docs), np.diff(first))
+    doc = words.doc
     covered = np.zeros(len(h), bool)
-    if len(w):
-        by = np.lexsort((w, doc))
-        same = (w[by][1:] == w[by][:-1]) & (doc[by][1:] == doc[by][:-1])
-        again = np.zeros(len(w), bool)
-        again[by[1:][same]] = again[by[:-1][same]] = True
-        again &= whole
-        at = (np.arange(len(w)) - first[doc] + words.first[doc])[again]
-        for j in range(3):
-            covered[at + j] = True
-    distinct = np.zeros(n_docs, np.int64)
-    if len(h):
-        by = np.lexsort((h, words.doc))
-        new = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (words.doc[by][1:] != words.doc[by][:-1])])
-        distinct = np.bincount(words.doc[by][new], minlength=n_docs)
+    if len(h) > 2:
+        w = mix(mix(h[:-2] * np.uint64(3) + doc[:-2].astype(np.uint64)) + mix(h[1:-1] * np.uint64(5)) * np.uint64(7) + h[2:])
+        whole = doc[:-2] == doc[2:]
+        order = np.sort(w[whole])
+        twice = np.unique(order[1:][order[1:] == order[:-1]])
+        if len(twice):
+            at = np.minimum(np.searchsorted(twice, w), len(twice) - 1)
+            again = np.flatnonzero((twice[at] == w) & whole)
+            for j in range(3):
+                covered[again + j] = True
+    key = np.sort(doc.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
+    distinct = np.bincount((key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])] >> np.uint64(40)).astype(np.int64), minlength=n_docs)
     lines, dup = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
     blank = bytes(range(9, 14)) + b" "
     for i in range(n_docs):
@@ -71,7 +69,11 @@ def features_of(texts: pa.Array) -> dict[str, np.ndarray]:
         some = [x for x in data[off[i] : off[i + 1]].tobytes().split(b"\n") if x.strip(blank)]
         seen.update(some)
         lines[i], dup[i] = len(some), len(some) - len(seen)
-    upper, letters, digits, bangs, bars, symbols = (_sums(_KIND[data, j], off) for j in range(6))
+    kind = _RARE[data]
+    rare = np.flatnonzero(kind)
+    kind, of = kind[rare], np.searchsorted(off, rare, "right") - 1
+    upper, digits, bangs, bars, others = (np.bincount(of[kind == j], minlength=n_docs) for j in range(1, 6))
+    letters, symbols = _sums(_LETTER[data], off), bars + others
     return {
         "n_words": words.count, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": _sums(covered, words.first), "n_lines": lines,
         "n_distinct": distinct, "n_upper": upper, "n_letters": letters, "n_digits": digits, "n_bangs": bangs, "n_bars": bars,

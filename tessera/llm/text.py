@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are handled at once; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are handled at once; a longer text goes alone. The arrays over it take up to a hundred times as much.
+SLICE_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
