@@ -1 +1,102 @@
-"""Queries."""
+"""Security scans, dependency audits and routes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog.registry import query
+from tessera.operators import security
+from tessera.sources import adapter
+
+LINES = "select path, cast(i as int) as line, parts[i] as body from (select 'src/d' || doc_id || '.ts' as path, string_split(text, chr(10)) as parts, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents) x"
+
+
+def _hits() -> str:
+    """The rules whose files are all files, one select each."""
+    out = []
+    for id_, category, severity, pattern, glob, without in security.RULES:
+        if glob not in ("**", "**/*.{ts,js,vue}"):
+            continue
+        p = pattern.replace("'", "''")
+        m = f"regexp_extract(body, '{p}')"
+        shown = f"case when length({m}) <= 8 then '****' else left({m}, 2) || '****' || right({m}, 2) || ' [redacted]' end" if category == "secrets" else f"case when length({m}) > 100 then left({m}, 97) || '...' else {m} end"
+        out.append(f"select '{id_}' as rule, '{category}' as category, '{severity}' as severity, path as file, line, {shown} as match from lines where regexp_matches(body, '{p}')")
+    return "\nunion all ".join(out)
+
+
+SCAN = {"lines": LINES, "hits": _hits(), "found": "select rule, category, severity, file, line, match from (select *, row_number() over (partition by category, file, line order by rule) as r from hits) x where r = 1"}
+
+
+def _files(spark, sf_dir):
+    return adapter.table(spark, sf_dir, "documents").select(F.concat(F.lit("src/d"), F.col("doc_id"), F.lit(".ts")).alias("path"), "text")
+
+
+@query("v11_security_scan", "select * from found", SCAN)
+@query("j15_rules_by_files", "select * from found", SCAN)
+def v11_security_scan(spark, sf_dir):
+    return security.scan(_files(spark, sf_dir))
+
+
+@query("v12_scan_all_hits", "select * from hits", SCAN)
+def v12_scan_all_hits(spark, sf_dir):
+    return security.scan(_files(spark, sf_dir), apart=False)
+
+
+@query("o09_by_severity", "select * from found order by case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end desc, file, line, rule limit 50", SCAN)
+def o09_by_severity(spark, sf_dir):
+    return security.by_severity(security.scan(_files(spark, sf_dir)))
+
+
+@query("a14_finding_score", "select count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low, cast(greatest(0, floor(100 - 5 * count(*) filter (severity = 'CRITICAL') - 2 * count(*) filter (severity = 'HIGH') - 0.5e0 * count(*) filter (severity = 'MEDIUM') + 0.5e0)) as bigint) as score from found", SCAN)
+def a14_finding_score(spark, sf_dir):
+    return security.score(security.scan(_files(spark, sf_dir)))
+
+
+@query("v15_rules", " union all ".join(f"select '{r[0]}' as id, '{r[1]}' as category, '{r[2]}' as severity" for r in security.RULES))
+def v15_rules(spark, sf_dir):
+    return spark.createDataFrame([r[:3] for r in security.RULES], "id string, category string, severity string")
+
+
+# A few published advisories, as (id, package, affected versions, severity).
+ADVISORIES = [
+    ("CVE-2018-16487", "lodash", "< 4.17.11", "CRITICAL"), ("CVE-2019-10744", "lodash", "< 4.17.19", "CRITICAL"), ("CVE-2020-8203", "lodash", "< 4.17.20", "HIGH"), ("CVE-2020-7598", "minimist", "< 1.2.3", "HIGH"),
+    ("CVE-2022-0235", "node-fetch", "< 2.6.7", "HIGH"), ("CVE-2023-26136", "tough-cookie", "< 4.1.3", "CRITICAL"), ("CVE-2024-21892", "express", "< 4.18.3", "HIGH"), ("CVE-2020-7610", "bson", "< 1.1.4", "CRITICAL"),
+    ("CVE-2020-28469", "glob-parent", "< 5.1.2", "HIGH"), ("CVE-2022-25883", "semver", "< 7.5.2", "HIGH"), ("X-TWO-PART", "django", ">= 4.0 < 4.0.10", "HIGH"), ("X-CHOICE", "left", ">= 1.0.0 < 1.2.0 || >= 2.0.0 <= 2.1.0", "LOW"),
+]
+DEPENDENCIES = [("Lodash", "4.17.15"), ("minimist", "1.2.3"), ("node-fetch", "^2.6.1"), ("express", "*"), ("bson", ""), ("semver", "7.5.2-rc.1"), ("django", "4.0.1"), ("left", "2.1.0"), ("left", "1.5.0"), ("glob-parent", "5.1")]
+AUDIT = "select * from (values ('CVE-2019-10744', 'CRITICAL', 'lodash', '4.17.15'), ('CVE-2020-8203', 'HIGH', 'lodash', '4.17.15'), ('CVE-2022-0235', 'HIGH', 'node-fetch', '^2.6.1'), ('CVE-2024-21892', 'HIGH', 'express', '*'), ('CVE-2020-7610', 'CRITICAL', 'bson', ''), ('CVE-2022-25883', 'HIGH', 'semver', '7.5.2-rc.1'), ('X-CHOICE', 'LOW', 'left', '2.1.0')) as v(id, severity, package, version)"
+
+
+@query("v16_dependency_audit", AUDIT)
+@query("j16_advisory_ranges", AUDIT)
+def v16_dependency_audit(spark, sf_dir):
+    deps = spark.createDataFrame([(*d, "npm") for d in DEPENDENCIES], "name string, version string, ecosystem string")
+    return security.audit(deps, spark.createDataFrame(ADVISORIES, "id string, package string, affected string, severity string"))
+
+
+@query("f21_semver", "select * from (values ('1.2.3', true, false), ('1.2.3-a', true, true), ('1.2', false, false), ('^1.2.2', true, true)) as v(version, sound, below)")
+def f21_semver(spark, sf_dir):
+    rows = spark.createDataFrame([("1.2.3",), ("1.2.3-a",), ("1.2",), ("^1.2.2",)], "version string")
+    return rows.select("version", security.semver(F.col("version")).isNotNull().alias("sound"), security.in_range(F.col("version"), F.lit("< 1.2.3")).alias("below"))
+
+
+SOURCES = [
+    ("a/server.ts", "app.get('/users', h)\nconst x = 1\nrouter.post(\"/login\", h)"),
+    ("b/main.py", '"""\n@app.get(\'/doc\')\n"""\n@app.get(\'/items\')\ndef f(): pass\n@bp.route("/old")'),
+    ("c/h.go", 'mux.HandleFunc("/health", h)'),
+    ("d/routes.rb", "resources 'posts'\nroot 'home#index'"),
+    ("e/x.md", "app.get('/no', h)"),
+]
+FOUND = "select * from (values ('express', 'GET', '/users', 'a/server.ts', 1), ('express', 'POST', '/login', 'a/server.ts', 3), ('fastapi', 'GET', '/items', 'b/main.py', 4), ('flask', 'ROUTE', '/old', 'b/main.py', 6), ('go', 'HANDLEFUNC', '/health', 'c/h.go', 1), ('rails', 'RESOURCES', 'posts', 'd/routes.rb', 1), ('rails', 'ROOT', 'home#index', 'd/routes.rb', 2)) as v(framework, method, route, path, line)"
+
+
+@query("v17_routes", FOUND)
+@query("o10_routes_shown", FOUND)
+@query("x21_docstring_filter", FOUND)
+def v17_routes(spark, sf_dir):
+    return security.routes(spark.createDataFrame(SOURCES, "path string, text string"))
+
+
+@query("v18_route_symbols", "select id from symbols where regexp_matches(file_path, '(?i)(routes?|controllers?|handlers?|api|geo)[/.]')")
+def v18_route_symbols(spark, sf_dir):
+    return adapter.symbols(spark, sf_dir).filter(F.col("file_path").rlike(r"(?i)(routes?|controllers?|handlers?|api|geo)[/.]")).select("id")
