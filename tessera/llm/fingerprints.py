@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, mix, slices, windows
+from tessera.llm.text import Words, bounded, mix, slices, windows
 
 BINS, BITS, SHINGLE = 512, 4, 5
 #: Rows of a key range of the sorted pass, and the most ranges; beyond, ranges grow (they are read as a stream).
@@ -100,7 +100,7 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     The bounds of the ranges (one for some thousand rows, at most MOST_RANGES) and the ids at their heads are all that reaches the driver.
     """
     lowest = -(2**63)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", "text")
+    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", "text")
     n = docs.count()
     ranges = min(MOST_RANGES, 1 + n // RANGE_ROWS)
     cuts = keyed.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 and n else None

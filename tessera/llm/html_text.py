@@ -11,15 +11,20 @@ that a short paragraph between long ones stays. If an article or main element ho
 from __future__ import annotations
 
 import math
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import bounded
+
 #: Characters that the parser gets at a time.
 FEED = 1 << 16
 SIGMA, RADIUS = 1.0, 2
+#: Markup that the page ends in before it is complete; not text.
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text nobody reads on the page.
@@ -176,6 +181,8 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     for at in range(0, len(html), FEED):
         parser.feed(html[at : at + FEED])
+    if UNFINISHED.match(parser.rawdata):
+        parser.rawdata = ""
     parser.close()
     parser.cut()
     rows = []  # (text, ratio, in an article, region)
@@ -215,4 +222,4 @@ def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text")
     One narrow pass; each page is parsed whole. Null and empty pages give the empty text, pages that repeat give equal
     texts, and other columns stay as they are.
     """
-    return pages.withColumn(text, main_text_of(html))
+    return bounded(pages).withColumn(text, main_text_of(html))

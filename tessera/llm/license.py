@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import slices
+from tessera.llm.text import bounded, slices
 
 # Notices and texts by which works state their licence.
 TEMPLATES = {
@@ -118,4 +118,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 types = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "license", "dice", "unit", "first_line", "last_line"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double, unit string, first_line int, last_line int")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double, unit string, first_line int, last_line int")

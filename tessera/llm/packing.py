@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import slices
+from tessera.llm.text import bounded, slices
 
 LENGTH, END = 2048, 1
 #: Documents of a group on average.
@@ -164,7 +164,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end:
                     out += [(doc, tie, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
+    slim = bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
     return slim.mapInArrow(run, "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

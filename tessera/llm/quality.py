@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, mix, slices
+from tessera.llm.text import Words, bounded, mix, slices
 from tessera.plans.cut import cut
 
 SYMBOLS = np.zeros(256, bool)
@@ -169,7 +169,7 @@ def judge(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFram
     kept: not base_failed, and the posterior probability of quality (null if base_failed) is at least `least`. Null texts have no words. Rows that
     repeat are judged alike. Other columns of docs are not read. The posterior of a pattern is broadcast: at most 3^m rows.
     """
-    counted = cut(docs.select("doc_id", features().alias("f")).select("doc_id", "f.*").withColumn("pattern", pattern(rules)))
+    counted = cut(bounded(docs).select("doc_id", features().alias("f")).select("doc_id", "f.*").withColumn("pattern", pattern(rules)))
     quality = fit_votes(counted.filter(f"not {BASE_FAILED}").groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
     out = counted.join(F.broadcast(quality), "pattern", "left").withColumn("base_failed", F.expr(BASE_FAILED))
     out = out.withColumn("quality", F.when(~F.col("base_failed"), F.col("quality")))
@@ -179,7 +179,7 @@ def judge(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFram
 def keep_good(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
     """The rows of docs that `judge` keeps, by two narrow passes: one counts patterns, one filters. Texts are not shuffled."""
     failed = F.expr(re.sub(r"\b(n_\w+)\b", r"tessera_f.\1", BASE_FAILED))
-    voted = docs.withColumn("tessera_f", features()).filter(~failed).withColumn("tessera_p", pattern(rules, "tessera_f"))
+    voted = bounded(docs).withColumn("tessera_f", features()).filter(~failed).withColumn("tessera_p", pattern(rules, "tessera_f"))
     quality = fit_votes(voted.groupBy(F.col("tessera_p").alias("pattern")).agg(F.count("*").alias("n")), len(rules))
     good = quality.filter(F.col("quality") >= least).select("pattern")
     return voted.join(F.broadcast(good), F.col("tessera_p") == F.col("pattern"), "left_semi").select(*docs.columns)

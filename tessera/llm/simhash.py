@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import bounded
 from tessera.operators.components import connected_components
 from tessera.plans.cut import cut, small
 
@@ -142,7 +143,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, see
     component of the others, or null if none of them has an id. Rows that repeat come back as often. Other columns of docs
     are not read.
     """
-    marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text", k, seed).alias("f")))
+    marked = cut(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text", k, seed).alias("f")))
     nodes = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_links(nodes.select("f"), radius)).withColumnRenamed("node", "f")
     roots = nodes.join(linked, "f", "left").withColumn("component", F.coalesce("component", "f"))

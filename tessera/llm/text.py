@@ -7,10 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are handled at once; a longer text goes alone. The arrays over it take up to a hundred times as much.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session hands Python batches of a few megabytes: batches of so many rows would be of any size."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = str(conf.get(key, "")).rstrip("bB")
+    if not set_to.isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
