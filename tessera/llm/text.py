@@ -19,7 +19,7 @@ BATCH_BYTES = 4 << 20
 def bounded(df: DataFrame) -> DataFrame:
     """df, whose session hands Python batches of a few megabytes: batches of so many rows would be of any size."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_to = str(conf.get(key, "")).rstrip("bB")
+    set_to = str(conf.get(key)).rstrip("bB")
     if not set_to.isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
