@@ -120,7 +120,7 @@ class LabelModel:
 
     def __init__(self, m: int, prior: float = 0.7):
         self.prior = prior
-        self.odds = np.tile([[[0.3, 0.4, 0.3], [0.02, 0.38, 0.6]]], (m, 1, 1))  # rule, class (bad, good), vote: a vote against is rare on good documents
+        self.odds = np.tile([[[0.3, 0.1, 0.6], [0.01, 0.29, 0.7]]], (m, 1, 1))  # rule, class (bad, good), vote: a vote against is rare on good documents, a vote in favour tells little
 
     @staticmethod
     def votes(patterns: np.ndarray, m: int) -> np.ndarray:
