@@ -285,8 +285,9 @@ def test_ppm_bound_and_held_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     small = ppm.fit(docs, 4, 1, max_nodes=500)
     assert all(len(level[0]) <= 500 for level in small.levels)
-    out = ppm.score_documents(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
+    out = ppm.score_documents(docs).filter("held_out").agg(F.sum("score"), F.sum(F.col("n_tokens") - 1)).first()
+    entropy = math.log10(5) + 3 * math.log10(len(SYLLABLES))  # of a word of one to five syllables
+    assert -1.2 * entropy * out[1] < out[0] < -entropy * 0.95 * out[1]
 
 
 def test_ppm_without_training(docs, none):
