@@ -11,6 +11,7 @@ import functools
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,20 @@ LENGTH, END = 2048, 1
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
 REMEMBERED = 400_000
-# The rules of a tokenizer file under which ASCII text needs lower-casing and ASCII_PARTS only.
+# The rules of a tokenizer file under which Latin text needs lower-casing and LATIN_PARTS only.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_RULES = [
+PLAIN_RULES = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 ]
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Printable characters up to U+00FF; canonical composition leaves them alone, and each has one lower-case form.
+LATIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]*")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+LATIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Characters as byte-level pre-tokenizers write their UTF-8 bytes.
+LATIN_BYTES = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(128, 256)}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,8 +101,8 @@ class Tokenizer:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer never joins what white space parts.
 
     Then the ids of a text are those of its chunks between spaces one after another, and those of a chunk are its
-    pre-tokens' ones. Each distinct chunk is taken apart and each distinct pre-token encoded once. A chunk beyond ASCII, and
-    any chunk of a file whose rules are not those of ASCII_RULES, is normalised and taken apart by the library.
+    pre-tokens' ones. Each distinct chunk is taken apart and each distinct pre-token encoded once. A chunk beyond Latin-1, and
+    any chunk of a file whose rules are not those of PLAIN_RULES, is normalised and taken apart by the library.
     apart=False encodes texts whole.
     """
 
@@ -104,24 +112,26 @@ class Tokenizer:
         self.rust, self.apart = Rust.from_file(path), apart
         self.chunks, self.tokens = Remembered(REMEMBERED), Remembered(REMEMBERED)
         said = json.loads(self.rust.to_str())
-        self.plain = json.dumps([said["normalizer"], said["pre_tokenizer"]], sort_keys=True) == json.dumps(ASCII_RULES, sort_keys=True)
+        self.plain = json.dumps([said["normalizer"], said["pre_tokenizer"]], sort_keys=True) == json.dumps(PLAIN_RULES, sort_keys=True)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.rust.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[str]) -> None:
         normal, parts, odd, taken = self.rust.normalizer.normalize_str, self.rust.pre_tokenizer.pre_tokenize_str, [], []
+        of_latin = LATIN_PARTS.findall
+        latin = LATIN.fullmatch if self.plain else lambda c: None
         for c in chunks:
             if "<|" in c:  # may hold a special token
                 odd.append(c)
-            elif self.plain and c.isascii() and c.isprintable():
-                taken.append((c, ASCII_PARTS.findall(c.lower())))
+            elif latin(c):
+                taken.append((c, [p if p.isascii() else p.translate(LATIN_BYTES) for p in of_latin(c.lower())]))
             else:
                 taken.append((c, [p for p, _ in parts(normal(c))]))
         self.chunks.update(zip(odd, self.whole(odd), strict=True))
         encode, tokens = self.rust.model.tokenize, self.tokens
         for p in tokens.missing(list({p for _, ps in taken for p in ps})):
-            tokens[p] = np.array([t.id for t in encode(p)], "<u4").tobytes()
+            tokens[p] = array("I", [t.id for t in encode(p)]).tobytes()
         self.chunks.update((c, tokens[ps[0]] if len(ps) == 1 else b"".join(map(tokens.__getitem__, ps))) for c, ps in taken)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
