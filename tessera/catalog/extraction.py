@@ -1 +1,149 @@
-"""Queries."""
+"""Facts from HTML pages, Markdown, source files and manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog.registry import query
+from tessera.operators import extract
+from tessera.sources import adapter
+
+GUIDE = "# Guide\n\nSee [setup](./setup.md#install) and [web](https://x.y).\n\n## Install ##\ntext\n```\n# not a heading\n[no](no.md)\n```\n### Deep\n## Use\n[api](../api.md) [top](#guide) [img](a.png)\n# Guide\nend\n"
+GUIDE_FILES = [("docs/guide.md", GUIDE), ("docs/empty.md", "")]
+
+
+def _guide(spark):
+    return spark.createDataFrame(GUIDE_FILES, "path string, text string")
+
+
+@query(
+    "x10_markdown_sections",
+    """select * from (values ('docs/guide.md#section:Guide', 'Guide', 1, 1, 13, null), ('docs/guide.md#section:Install', 'Install', 2, 5, 11, 'docs/guide.md#section:Guide'), ('docs/guide.md#section:Deep', 'Deep', 3, 11, 11, 'docs/guide.md#section:Install'),
+      ('docs/guide.md#section:Use', 'Use', 2, 12, 13, 'docs/guide.md#section:Guide'), ('docs/guide.md#section:Guide:2', 'Guide', 1, 14, 15, null)) as v(id, name, level, start_line, end_line, parent_id)""",
+)
+def x10_markdown_sections(spark, sf_dir):
+    return extract.markdown_sections(_guide(spark)).drop("path")
+
+
+@query("x10_markdown_links", "select * from (values ('docs/guide.md', 3, './setup.md'), ('docs/guide.md', 13, '../api.md'), ('docs/guide.md', 13, 'a.png')) as v(path, line, target)")
+def x10_markdown_links(spark, sf_dir):
+    return extract.markdown_links(_guide(spark))
+
+
+@query("x11_inline_scripts", "select page_id, cast(i - 1 as int) as at, scripts[i] as script from (select page_id, scripts, unnest(generate_series(1, len(scripts))) as i from (select page_id, regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1) as scripts from pages) x) y")
+def x11_inline_scripts(spark, sf_dir):
+    return extract.inline_scripts(adapter.table(spark, sf_dir, "pages"))
+
+
+PAGE_LINES = "select page_id, cast(i as int) as line, parts[i] as body from (select page_id, string_split(html, chr(10)) as parts, unnest(generate_series(1, len(string_split(html, chr(10))))) as i from pages) x"
+
+
+@query("x13_html_links", "select page_id, line, target from (select page_id, line, regexp_extract(body, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1) as target from lines) x where target <> '' and not starts_with(target, '#') and not starts_with(target, 'javascript:')", {"lines": PAGE_LINES})
+def x13_html_links(spark, sf_dir):
+    return extract.html_links(adapter.table(spark, sf_dir, "pages"))
+
+
+SITE = [(1, '<script src="a.js"></script>\n<link rel="stylesheet" href="s.css"><script src="b.js"></script>\n<p>x</p>')]
+
+
+@query("x12_html_refs", "select * from (values (1, 1, 'script', 'a.js'), (1, 2, 'script', 'b.js'), (1, 2, 'style', 's.css')) as v(page_id, line, kind, target)")
+def x12_html_refs(spark, sf_dir):
+    return extract.html_refs(spark.createDataFrame(SITE, "page_id int, html string"))
+
+
+CSS = [("a.css", ".btn, .btn-primary:hover { color: var(--main); }\n#top { --main: red; }\n.btn { margin: 0 }")]
+
+
+@query("x14_css_selectors", "select * from (values ('a.css', '.btn'), ('a.css', '.btn-primary'), ('a.css', '#top'), ('a.css', '--main')) as v(path, name)")
+def x14_css_selectors(spark, sf_dir):
+    return extract.css_selectors(spark.createDataFrame(CSS, "path string, text string"))
+
+
+@query("x17_exported_by_case", "select name, regexp_matches(name, '^[A-Z]') as exported from symbols where kind in ('interface', 'class')")
+def x17_exported_by_case(spark, sf_dir):
+    return adapter.symbols(spark, sf_dir).filter("kind in ('interface', 'class')").select("name", extract.exported_by_case(F.col("name")).alias("exported"))
+
+
+CODE = [
+    ("a.ts", "export async function load() {}\nclass Box {}\nconst x = 1;\n// function no"), ("b.py", "def f():\n  pass\nclass C:\n    def m(self): pass"), ("c.go", "func (s *S) Run() {}\ntype T struct {}"),
+    ("d.rs", "pub fn go() {}\nstruct P;"), ("e.rb", "module M\n  def hi; end\nend"), ("f.java", "public class J {\n  private static int n() {}\n}"), ("g.php", "class P { public function q() {} }"), ("h.txt", "def no(): pass"),
+]
+NAMES = "select * from (values ('a.ts', 'load'), ('a.ts', 'Box'), ('a.ts', 'x'), ('b.py', 'f'), ('b.py', 'C'), ('b.py', 'm'), ('c.go', 'Run'), ('c.go', 'T'), ('d.rs', 'go'), ('d.rs', 'P'), ('e.rb', 'M'), ('e.rb', 'hi'), ('f.java', 'J'), ('f.java', 'n'), ('g.php', 'P')) as v(path, name)"
+
+
+@query("x20_declared_names", NAMES)
+@query("x18_language_patterns", NAMES)
+def x20_declared_names(spark, sf_dir):
+    return extract.declared_names(spark.createDataFrame(CODE, "path string, text string"))
+
+
+@query("x20_name_changes", "select * from (values ('a.ts', 'added', 'fresh'), ('a.ts', 'removed', 'Box')) as v(path, change, name)")
+def x20_name_changes(spark, sf_dir):
+    old = spark.createDataFrame(CODE[:2], "path string, text string")
+    new = spark.createDataFrame([("a.ts", CODE[0][1].replace("class Box", "class fresh")), CODE[1]], "path string, text string")
+    return extract.name_changes(old, new)
+
+
+IMPORTS = [("src/app/main.ts", "./util", 1), ("src/app/main.ts", "../lib/core.js", 2), ("src/app/main.ts", "@/lib", 3), ("src/app/main.ts", "react", 4), ("src/app/main.ts", "./none", 5)]
+TREE = ["src/app/util.ts", "src/app/util.js", "src/lib/core.js", "src/lib/index.ts", "src/app/main.ts"]
+
+
+@query("x19_import_paths", "select * from (values ('./util', 'src/app/util.ts'), ('../lib/core.js', 'src/lib/core.js'), ('@/lib', 'src/lib/index.ts'), ('react', null), ('./none', null)) as v(module_path, target)")
+@query("s06_aliases", "select * from (values ('./util', 'src/app/util.ts'), ('../lib/core.js', 'src/lib/core.js'), ('@/lib', 'src/lib/index.ts'), ('react', null), ('./none', null)) as v(module_path, target)")
+def x19_import_paths(spark, sf_dir):
+    imports = spark.createDataFrame(IMPORTS, "file_path string, module_path string, line int")
+    files = spark.createDataFrame([(t,) for t in TREE], "path string")
+    return extract.resolve_imports(imports, files, {"@/": "src/"}).select("module_path", "target")
+
+
+PYTHON = [
+    ("m.py", "import os\nfrom .models import User as U, Base\n\nclass Admin(Base):\n    def save(self, u: U) -> bool:\n        self.log(u)\n        return store(u)\n\ndef make():\n    a = Admin()\n    b = a\n    x: int = 1\n    return b\n"),
+    ("bad.py", "def (:\n"),
+    ("empty.py", ""),
+]
+
+
+def _facts(spark):
+    return extract.python_facts(spark.createDataFrame(PYTHON, "path string, text string"))
+
+
+@query("x01_python_symbols", "select * from (values ('Admin', 'class', '', 4, 7, true), ('save', 'method', 'Admin', 5, 7, false), ('make', 'function', '', 9, 13, true)) as v(name, kind, parent, line, end_line, exported)")
+@query("x02_python_exports", "select * from (values ('Admin', 'class', '', 4, 7, true), ('save', 'method', 'Admin', 5, 7, false), ('make', 'function', '', 9, 13, true)) as v(name, kind, parent, line, end_line, exported)")
+def x01_python_symbols(spark, sf_dir):
+    return _facts(spark).filter("fact = 'symbol'").select("name", "kind", "parent", "line", "end_line", "exported")
+
+
+@query("x03_python_imports", "select * from (values ('os', 'module', 'os', ''), ('U', 'named', '.models', 'User'), ('Base', 'named', '.models', 'Base')) as v(name, kind, module, real)")
+def x03_python_imports(spark, sf_dir):
+    return _facts(spark).filter("fact = 'import'").select("name", "kind", F.col("parent").alias("module"), F.col("receiver").alias("real"))
+
+
+@query("x04_python_calls", "select * from (values ('log', 'self', 'Admin.save', 6), ('store', '', 'Admin.save', 7), ('Admin', '', 'make', 10)) as v(name, receiver, scope, line)")
+def x04_python_calls(spark, sf_dir):
+    return _facts(spark).filter("fact = 'call'").select("name", "receiver", "scope", "line")
+
+
+@query("x05_python_heritage", "select 'Admin' as name, 'Base' as parent")
+def x05_python_heritage(spark, sf_dir):
+    return _facts(spark).filter("fact = 'heritage'").select("name", "parent")
+
+
+@query("x07_x08_python_bindings", "select * from (values ('type_binding', 'u', 'U'), ('type_binding', 'x', 'int'), ('return_type', 'save', 'bool'), ('assignment', 'b', 'a'), ('call_result', 'a', 'Admin')) as v(fact, name, value)")
+def x07_x08_python_bindings(spark, sf_dir):
+    return _facts(spark).filter("fact in ('type_binding', 'return_type', 'assignment', 'call_result')").select("fact", "name", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("parent")).alias("value"))
+
+
+@query("x09_parse_errors", "select 'bad.py' as path")
+def x09_parse_errors(spark, sf_dir):
+    return _facts(spark).filter("fact = 'parse_error'").select("path")
+
+
+MANIFESTS = [
+    ("a/package.json", '{"dependencies": {"lodash": "^4.17.15"}, "devDependencies": {"jest": "~29.0.0"}}'), ("b/requirements.txt", "django==4.2\n# no\nrequests>=2\n"), ("c/Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1.0.1"\ntokio = { version = "1.2" }\n[dev]\n'),
+    ("d/go.mod", "module m\nrequire (\n\tgithub.com/a/b v1.2.3\n)\n"), ("e/pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>1.0</version></dependency>"), ("f/build.gradle", "implementation 'x:y:2.0'"), ("g/package.json", "not json"),
+]
+
+
+@query("s17_manifests", "select * from (values ('lodash', '4.17.15', 'npm'), ('jest', '29.0.0', 'npm'), ('django', '4.2', 'python'), ('requests', '0.0.0', 'python'), ('serde', '1.0.1', 'rust'), ('tokio', '1.2', 'rust'), ('github.com/a/b', '1.2.3', 'go'), ('g:a', '1.0', 'java'), ('x:y', '2.0', 'java')) as v(name, version, ecosystem)")
+def s17_manifests(spark, sf_dir):
+    return extract.dependencies(spark.createDataFrame(MANIFESTS, "path string, text string")).select("name", "version", "ecosystem")

@@ -1 +1,147 @@
-"""Queries."""
+"""Resolution of facts to links on a small project of our own, with the links that its source says."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.catalog.registry import query
+from tessera.operators import resolve
+
+#: id, name, kind, file_path, exported, parent_id, start_line
+SYMBOLS = [
+    ("m#Base", "Base", "class", "src/m.ts", True, None, 1), ("m#save", "save", "method", "src/m.ts", False, "m#Base", 2), ("m#User", "User", "class", "src/m.ts", True, None, 5), ("m#load", "load", "method", "src/m.ts", False, "m#User", 6),
+    ("u#fmt", "fmt", "function", "src/u.ts", True, None, 1), ("u#helper", "helper", "function", "src/u.ts", False, None, 4), ("v#fmt", "fmt", "function", "lib/v.ts", True, None, 1), ("a#main", "main", "function", "src/a.ts", True, None, 3), ("a#helper", "helper", "function", "src/a.ts", False, None, 9),
+]
+#: file_path, target, name, alias, kind, line
+IMPORTS = [("src/a.ts", "src/idx.ts", "User", "U", "named", 1), ("src/a.ts", "src/u.ts", "fmt", None, "named", 2), ("src/a.ts", "src/m.ts", "d", None, "default", 3), ("src/b.ts", "src/u.ts", "*", None, "wildcard", 1), ("src/b.ts", "src/none.ts", "x", None, "default", 2), ("src/b.ts", None, "react", None, "default", 3), ("src/b.ts", None, "./gone", None, "named", 4)]
+#: file, name, source, line
+REEXPORTS = [("src/idx.ts", "*", "src/mid.ts", 1), ("src/mid.ts", "User", "src/m.ts", 1), ("src/mid.ts", "*", "src/u.ts", 2)]
+#: call_id, file_path, scope_id, name, receiver, line
+CALLS = [
+    (1, "src/a.ts", "a#main", "U", None, 4), (2, "src/a.ts", "a#main", "fmt", None, 5), (3, "src/a.ts", "a#main", "helper", None, 6), (4, "src/a.ts", "a#main", "load", "u", 7), (5, "src/m.ts", "m#load", "save", "this", 7), (6, "src/a.ts", "a#main", "shadow", None, 8),
+    (7, "src/a.ts", "a#main", "print", None, 8), (8, "src/b.ts", "u#fmt", "fmt", None, 3), (9, "src/a.ts", "a#main", "main", None, 9),
+]
+LOCALS = [("a#main", "shadow")]
+BINDINGS = [("src/a.ts", "u", "User")]
+HERITAGE = [("src/m.ts", "User", "Base", "extends", 5), ("src/m.ts", "Base", "Model", "extends", 1)]
+
+
+def _tables(spark) -> dict[str, DataFrame]:
+    make = spark.createDataFrame
+    return {
+        "symbols": make(SYMBOLS, "id string, name string, kind string, file_path string, exported boolean, parent_id string, start_line int"),
+        "imports": make(IMPORTS, "file_path string, target string, name string, alias string, kind string, line int"),
+        "reexports": make(REEXPORTS, "file string, name string, source string, line int"),
+        "calls": make(CALLS, "call_id int, file_path string, scope_id string, name string, receiver string, line int"),
+        "locals": make(LOCALS, "scope_id string, name string"),
+        "bindings": make(BINDINGS, "file_path string, name string, type_name string"),
+        "heritage": make(HERITAGE, "file_path string, child string, parent string, type string, line int"),
+    }
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    text = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
+    return f"select * from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) as v({columns})"
+
+
+LINK = "from_id, to_id, confidence, reason"
+A, B = "src/a.ts#module:_top:0", "src/b.ts#module:_top:0"
+IMPORT_LINKS = [(A, "m#User", 0.95, "import-named"), (A, "u#fmt", 0.95, "import-named"), (A, "m#Base", 0.85, "import-default"), (B, "u#fmt", 0.65, "import-wildcard"), (B, "src/none.ts#module:_top:0", 0.6, "import-default-module")]
+
+
+@query("r01_r03_import_links", _values(IMPORT_LINKS, LINK))
+@query("j10_import_bindings", _values(IMPORT_LINKS, LINK))
+def r01_r03_import_links(spark, sf_dir):
+    t = _tables(spark)
+    return resolve.import_links(t["imports"], t["symbols"], t["reexports"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("j12_reexport_chain", _values([(1, "m#User"), (2, "u#fmt")], "key, target_id"))
+@query("t15_reexport_chain", _values([(1, "m#User"), (2, "u#fmt")], "key, target_id"))
+def j12_reexport_chain(spark, sf_dir):
+    t = _tables(spark)
+    names = spark.createDataFrame([(1, "src/idx.ts", "User"), (2, "src/idx.ts", "fmt"), (3, "src/idx.ts", "nothing")], "key int, file string, name string")
+    return resolve.follow_reexports(names, t["reexports"], t["symbols"].filter("exported"))
+
+
+@query("r04_unresolved", _values([("external", 1), ("unresolved", 1)], "state, n"))
+def r04_unresolved(spark, sf_dir):
+    t = _tables(spark)["imports"].filter("target is null")
+    return t.groupBy(resolve.state_of(F.col("name")).alias("state")).agg(F.count("*").alias("n"))
+
+
+CALL_LINKS = [("a#main", "m#User", 0.95, "call-alias"), ("a#main", "u#fmt", 0.95, "call-alias"), ("a#main", "a#helper", 0.9, "call-samefile"), ("a#main", "m#load", 0.93, "call-receiver"), ("m#load", "m#save", 0.9, "call-unique"), ("u#fmt", "u#fmt", 0.95, "call-imported"), ("a#main", "a#main", 0.9, "call-unique")]
+
+
+@query("r05_r12_call_links", _values(CALL_LINKS, LINK))
+@query("j09_name_index", _values(CALL_LINKS, LINK))
+@query("j11_excluded_names", _values(CALL_LINKS, LINK))
+def r05_r12_call_links(spark, sf_dir):
+    t = _tables(spark)
+    return resolve.call_links(t["calls"], t["symbols"], t["imports"], t["locals"], t["bindings"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("r13_type_links", _values([("a#main", "m#User", 0.7, "type-annotation"), ("u#fmt", "m#Base", 0.7, "return-annotation")], LINK))
+def r13_type_links(spark, sf_dir):
+    rows = spark.createDataFrame([("src/a.ts", "a#main", "User", 3, "type-annotation"), ("src/u.ts", "u#fmt", "Base", 1, "return-annotation"), ("src/u.ts", "u#fmt", "Nothing", 1, "type-annotation")], "file_path string, scope_id string, type_name string, line int, kind string")
+    return resolve.type_links(rows, _tables(spark)["symbols"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("r14_heritage_links", _values([("m#User", "m#Base", 0.95, "heritage"), ("m#Base", "#external:Model", 0.7, "heritage-external")], LINK))
+def r14_heritage_links(spark, sf_dir):
+    t = _tables(spark)
+    return resolve.heritage_links(t["heritage"], t["symbols"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("r15_contains_links", _values([("m#Base", "m#save", 1.0, "contains"), ("m#User", "m#load", 1.0, "contains")], LINK))
+def r15_contains_links(spark, sf_dir):
+    return resolve.contains_links(_tables(spark)["symbols"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("r16_reexport_links", _values([("src/mid.ts#module:_top:0", "m#User", 0.85, "reexport-named"), ("src/mid.ts#module:_top:0", "u#fmt", 0.6, "reexport-wildcard")], LINK))
+def r16_reexport_links(spark, sf_dir):
+    t = _tables(spark)
+    return resolve.reexport_links(t["reexports"], t["symbols"]).select("from_id", "to_id", "confidence", "reason")
+
+
+@query("r17_type_propagation", _values([("src/a.ts", "u", "User"), ("src/a.ts", "w", "User"), ("src/a.ts", "z", "Base")], "file_path, name, type_name"))
+def r17_type_propagation(spark, sf_dir):
+    b = _tables(spark)["bindings"]
+    a = spark.createDataFrame([("src/a.ts", "w", "u"), ("src/a.ts", "q", "nobody")], "file_path string, name string, source string")
+    c = spark.createDataFrame([("src/a.ts", "z", "make"), ("src/a.ts", "u", "make")], "file_path string, name string, callee string")
+    return resolve.propagate_types(b, a, c, spark.createDataFrame([("make", "Base")], "callee string, type_name string"))
+
+
+@query("r18_wildcard_expansion", _values([(B, "u#fmt", 0.65, "import-wildcard")], LINK))
+def r18_wildcard_expansion(spark, sf_dir):
+    t = _tables(spark)
+    return resolve.import_links(t["imports"].filter("kind = 'wildcard'"), t["symbols"], t["reexports"]).select("from_id", "to_id", "confidence", "reason")
+
+
+ALL = sorted({(a, b, c) for a, b, c, _ in [*IMPORT_LINKS, *CALL_LINKS, ("m#User", "m#Base", 0.95, ""), ("m#Base", "#external:Model", 0.7, ""), ("m#Base", "m#save", 1.0, ""), ("m#User", "m#load", 1.0, "")]})
+
+
+@query("r19_resolved_graph", _values(ALL, "from_id, to_id, confidence"))
+def r19_resolved_graph(spark, sf_dir):
+    t = _tables(spark)
+    parts = [
+        resolve.import_links(t["imports"], t["symbols"], t["reexports"]), resolve.call_links(t["calls"], t["symbols"], t["imports"], t["locals"], t["bindings"]),
+        resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"]),
+    ]
+    return resolve.dedupe(reduce(DataFrame.unionByName, parts)).select("from_id", "to_id", "confidence")
+
+
+@query("r20_builtin_names", _values([("len", True), ("fmt", False)], "name, builtin"))
+def r20_builtin_names(spark, sf_dir):
+    return spark.createDataFrame([("len",), ("fmt",)], "name string").select("name", F.col("name").isin(*resolve.BUILTINS).alias("builtin"))
+
+
+MRO = [("D", "B", 0), ("D", "C", 1), ("B", "A", 0), ("C", "A", 0), ("X", "A", 0), ("X", "B", 1)]
+
+
+@query("t14_method_orders", _values([("D", "D>B>C>A"), ("B", "B>A"), ("C", "C>A"), ("A", "A"), ("X", None)], "class, \"order\""))
+def t14_method_orders(spark, sf_dir):
+    return resolve.method_orders(spark.createDataFrame(MRO, "class string, parent string, position int"))
