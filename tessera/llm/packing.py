@@ -26,7 +26,7 @@ LENGTH, END = 2048, 1
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # The rules of a tokenizer file under which Latin text needs lower-casing and LATIN_PARTS only.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_RULES = [
@@ -141,7 +141,7 @@ class Tokenizer:
             return [np.frombuffer(x, "<u4") for x in self.whole(texts.to_pylist())]
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = split.flatten().dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(self.chunks.missing(distinct))
         each = list(map(self.chunks.__getitem__, distinct))
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
