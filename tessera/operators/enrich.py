@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import directory_segment, is_test_file
 from tessera.operators.components import connected_components
+from tessera.plans.cut import cut
 
 RUNTIME = ("calls", "imports", "extends", "implements")
 DATATYPES, CALLABLE, CONTAINERS = ("interface", "type", "enum", "struct"), ("function", "class", "method"), ("class", "struct", "trait")
@@ -23,7 +24,10 @@ def with_files(links: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def fans(links: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, fan_in) and (id, fan_out). Links from one file to one target count once, for the first source; links from unknown sources count each."""
-    seen = with_files(links, symbols)
+    return _fans(with_files(links, symbols))
+
+
+def _fans(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = seen.filter("from_file is not null").groupBy("from_file", "to_id").agg(F.min("from_id").alias("from_id")).select("from_id", "to_id")
     all_ = once.unionAll(seen.filter("from_file is null").select("from_id", "to_id"))
     return all_.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("fan_in")), all_.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("fan_out"))
@@ -31,7 +35,11 @@ def fans(links: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def caller_files(links: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, runtime_files, type_files, test_files): distinct files that refer to a symbol, by the kind of reference."""
-    seen = with_files(links, symbols).filter("from_file is not null")
+    return _caller_files(with_files(links, symbols))
+
+
+def _caller_files(seen: DataFrame) -> DataFrame:
+    seen = seen.filter("from_file is not null")
     runtime, test = F.col("type").isin(*RUNTIME), is_test_file(F.col("from_file"))
     count = lambda c: F.count_distinct(F.when(c, F.col("from_file")))
     return seen.groupBy(F.col("to_id").alias("id")).agg(count(runtime & ~test).alias("runtime_files"), count(F.col("type") == "references").alias("type_files"), count(runtime & test).alias("test_files"))
@@ -71,9 +79,10 @@ def importance() -> Column:
 
 
 def enrich(symbols: DataFrame, links: DataFrame) -> DataFrame:
-    """symbols with fan_in, fan_out, runtime_files, type_files, test_files, role, heat and importance."""
-    into, out = fans(links, symbols)
-    wide = symbols.join(into, "id", "left").join(out, "id", "left").join(caller_files(links, symbols), "id", "left")
+    """symbols with fan_in, fan_out, runtime_files, type_files, test_files, role, heat and importance. Links meet their files once; the join is kept in the shared checkpoint folder for the three sums over it."""
+    seen = cut(with_files(links, symbols))
+    into, out = _fans(seen)
+    wide = symbols.join(into, "id", "left").join(out, "id", "left").join(_caller_files(seen), "id", "left")
     wide = wide.fillna(0, ["fan_in", "fan_out", "runtime_files", "type_files", "test_files"])
     return wide.withColumn("role", role()).withColumn("heat", heat()).withColumn("importance", importance())
 
@@ -102,7 +111,7 @@ def strong_degrees(edges: DataFrame, least: int = 2) -> DataFrame:
 
 def file_clusters(symbols: DataFrame, links: DataFrame) -> DataFrame:
     """(file, cluster): files joined by at least two links; files with many such neighbours join nobody. cluster: the first file by name."""
-    edges = file_edges(symbols, links)
+    edges = cut(file_edges(symbols, links).filter("weight >= 2"))
     hubs = strong_degrees(edges).filter(F.col("degree") > HUB_DEGREE)
     joined = edges.filter("weight >= 2").join(hubs.select(F.col("file").alias("file_a")), "file_a", "left_anti").join(hubs.select(F.col("file").alias("file_b")), "file_b", "left_anti")
     found = connected_components(joined.select(F.col("file_a").alias("u"), F.col("file_b").alias("v")))

@@ -12,24 +12,22 @@ from tessera.plans.cut import cut
 IMPACT = ("calls", "imports", "extends", "implements", "references")
 EXECUTION = ("calls", "extends", "implements")
 HIERARCHY = ("extends", "implements")
-#: Depth up to which a walk stays one plan; a deeper one is cut from its lineage at every level.
-UNCUT = 3
 
 
 def walk(links: DataFrame, starts: DataFrame, types: tuple[str, ...], depth: int, up: bool = True) -> DataFrame:
     """(id, depth, via): what reaches starts (id) backwards (up) or forwards by at most depth links of types, each id at every depth at which a walk meets it.
 
     The depth alone ends a walk around a cycle, so a start can be met again. Unknown starts give nothing. The frontier holds
-    distinct ids only, so its size is bounded by the number of symbols, however many walks there are.
+    distinct ids only, so its size is bounded by the number of symbols, however many walks there are. The edges and each level
+    are written once to the shared checkpoint folder: no level works out the ones before it again.
     """
     near, far = ("to_id", "from_id") if up else ("from_id", "to_id")
     edges = links.filter(F.col("type").isin(*types)).select(F.col(near).alias("id"), F.col(far).alias("next"), F.col("type").alias("via")).filter("next is not null").distinct()
-    if depth > UNCUT:
-        edges = cut(edges)
+    edges = cut(edges)
     frontier, levels = starts.select("id").distinct(), []
     for d in range(1, depth + 1):
         level = edges.join(frontier, "id", "left_semi").select(F.col("next").alias("id"), F.lit(d).alias("depth"), "via").distinct()
-        if depth > UNCUT:
+        if d < depth:
             level = cut(level)
             if level.isEmpty():
                 break
@@ -45,7 +43,7 @@ def hydrate(found: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def simple_walk(links: DataFrame, starts: DataFrame, types: tuple[str, ...], depth: int) -> DataFrame:
     """(id, depth, via): as `walk` forwards, but along paths that meet no symbol twice; the start itself is not on the path, so a cycle meets it once."""
-    edges = links.filter(F.col("type").isin(*types)).select(F.col("from_id").alias("id"), F.col("to_id").alias("next"), F.col("type").alias("via")).distinct()
+    edges = cut(links.filter(F.col("type").isin(*types)).select(F.col("from_id").alias("id"), F.col("to_id").alias("next"), F.col("type").alias("via")).distinct())
     frontier, levels = starts.select("id", F.array().cast("array<string>").alias("path")).distinct(), []
     for d in range(1, depth + 1):
         frontier = edges.join(frontier, "id").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path"), "via").distinct()
@@ -65,7 +63,8 @@ def shortest_path(links: DataFrame, start: str, end: str, depth: int = 5) -> Dat
 
     A path begins with a link that is not containment, of start or of something that start contains. Paths meet no symbol twice.
     """
-    go = steps(links).select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
+    links = cut(links)
+    go = cut(steps(links).select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct())
     ahead = links.filter("type <> 'contains'").select("from_id", "to_id").distinct()
     inside = links.filter((F.col("type") == "contains") & (F.col("from_id") == start)).select(F.col("to_id").alias("from_id"))
     one = ahead.filter(F.col("from_id") == start).select(F.array(F.lit(start), F.col("to_id")).alias("path"))
@@ -85,6 +84,7 @@ def entry_paths(links: DataFrame, symbols: DataFrame, target: str, depth: int =
 
     An entry point has no caller or importer, and is exported, or a file's module, or a method in an exported class.
     """
+    links, symbols = cut(links.filter("type in ('calls', 'imports', 'contains')")), cut(symbols)
     edges = links.filter("type in ('calls', 'imports')").join(symbols.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("at"), F.col("from_id").alias("next")).distinct()
     called = links.filter("type in ('calls', 'imports')").select(F.col("to_id").alias("at")).distinct()
     classes = symbols.filter("exported").select(F.col("id").alias("from_id"))
@@ -111,7 +111,7 @@ def neighbours(links: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def similar(links: DataFrame, symbols: DataFrame, target: str, least: float = 0.15, most: int = 10) -> DataFrame:
     """(id, similarity): exported symbols by the Jaccard similarity of their neighbours to target's. Candidates come from a join on shared neighbours, not from all symbols."""
-    near = neighbours(links, symbols)
+    near = cut(neighbours(links, symbols))
     mine = near.filter(F.col("id") == target).select("other").distinct()
     size = near.groupBy("id").agg(F.count("*").alias("size"))
     shared = near.filter(F.col("id") != target).join(mine, "other", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
