@@ -8,6 +8,7 @@ document, so no source or key makes a group large, and groups do not depend on e
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
@@ -26,7 +27,7 @@ LENGTH, END = 2048, 1
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 # The rules of a tokenizer file under which Latin text needs lower-casing and LATIN_PARTS only.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_RULES = [
@@ -85,16 +86,16 @@ class Remembered(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def missing(self, keys: list[str]) -> list[str]:
+    def missing(self, keys: set[str]) -> set[str]:
         """The keys that are not known. Makes room first if there is none."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        new = [k for k in keys if k not in self]
-        if not self.older:
-            return new
-        self.update((k, self.older[k]) for k in new if k in self.older)
-        return [k for k in new if k not in self.older]
+        new = keys.difference(self)
+        if self.older and (again := new.intersection(self.older)):
+            self.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
+        return new
 
 
 class Tokenizer:
@@ -102,7 +103,7 @@ class Tokenizer:
 
     Then the ids of a text are those of its chunks between spaces one after another, and those of a chunk are its
     pre-tokens' ones. Each distinct chunk is taken apart and each distinct pre-token encoded once. A chunk beyond Latin-1, and
-    any chunk of a file whose rules are not those of PLAIN_RULES, is normalised and taken apart by the library.
+    any chunk of a file whose rules are not those of PLAIN_RULES, is encoded by the library.
     apart=False encodes texts whole.
     """
 
@@ -111,28 +112,22 @@ class Tokenizer:
 
         self.rust, self.apart = Rust.from_file(path), apart
         self.chunks, self.tokens = Remembered(REMEMBERED), Remembered(REMEMBERED)
-        said = json.loads(self.rust.to_str())
-        self.plain = json.dumps([said["normalizer"], said["pre_tokenizer"]], sort_keys=True) == json.dumps(PLAIN_RULES, sort_keys=True)
+        rules = [json.loads(part.__getstate__()) if part else None for part in (self.rust.normalizer, self.rust.pre_tokenizer)]
+        self.plain = json.dumps(rules, sort_keys=True) == json.dumps(PLAIN_RULES, sort_keys=True)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.rust.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        normal, parts, odd, taken = self.rust.normalizer.normalize_str, self.rust.pre_tokenizer.pre_tokenize_str, [], []
-        of_latin = LATIN_PARTS.findall
-        latin = LATIN.fullmatch if self.plain else lambda c: None
-        for c in chunks:
-            if "<|" in c:  # may hold a special token
-                odd.append(c)
-            elif latin(c):
-                taken.append((c, [p if p.isascii() else p.translate(LATIN_BYTES) for p in of_latin(c.lower())]))
-            else:
-                taken.append((c, [p for p, _ in parts(normal(c))]))
+    def learn(self, chunks: set[str]) -> None:
+        latin, of_latin = LATIN.fullmatch, LATIN_PARTS.findall
+        plain = [c for c in chunks if latin(c) and "<|" not in c] if self.plain else []  # <| may begin a special token
+        odd = list(chunks.difference(plain))
         self.chunks.update(zip(odd, self.whole(odd), strict=True))
+        parts = [of_latin(c.lower()) for c in plain]
         encode, tokens = self.rust.model.tokenize, self.tokens
-        for p in tokens.missing(list({p for _, ps in taken for p in ps})):
-            tokens[p] = array("I", [t.id for t in encode(p)]).tobytes()
-        self.chunks.update((c, tokens[ps[0]] if len(ps) == 1 else b"".join(map(tokens.__getitem__, ps))) for c, ps in taken)
+        for p in tokens.missing(set(itertools.chain.from_iterable(parts))):
+            tokens[p] = array("I", [t.id for t in encode(p if p.isascii() else p.translate(LATIN_BYTES))]).tobytes()
+        self.chunks.update(zip(plain, [b"".join([tokens[p] for p in ps]) for ps in parts], strict=True))
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text, END not included."""
@@ -142,7 +137,7 @@ class Tokenizer:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = split.flatten().dictionary_encode()
         distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(self.chunks.missing(distinct))
+        self.learn(self.chunks.missing(set(distinct)))
         each = list(map(self.chunks.__getitem__, distinct))
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
