@@ -183,7 +183,7 @@ def test_version_ranges(spark, version, clause, inside):
 
 
 def test_scan_redacts_and_keeps_first_of_category(spark):
-    files = spark.createDataFrame([("a.ts", 'password = "hunter22"; token = "abcdefgh12345678"\neval(x)'), ("a.test.ts", 'password = "hunter22"'), ("n", None)], "path string, text string")
+    files = spark.createDataFrame([("a.ts", 'password = "hunter22"; token = "abcdefgh12345678"\neval(x)'), ("src/a.test.ts", 'password = "hunter22"'), ("n", None)], "path string, text string")
     out = {tuple(r) for r in security.scan(files).select("rule", "file", "line", "match").collect()}
     assert out == {("SEC-001", "a.ts", 1, 'pa****2" [redacted]'), ("RCE-001", "a.ts", 2, "eval(")}
 
