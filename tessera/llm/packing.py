@@ -37,6 +37,7 @@ PLAIN_RULES = [
 #: Printable characters up to U+00FF; canonical composition leaves them alone, and each has one lower-case form.
 LATIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]*")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+MARKS = frozenset(".,;:!?)")
 LATIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -123,11 +124,12 @@ class Tokenizer:
         plain = [c for c in chunks if latin(c) and "<|" not in c] if self.plain else []  # <| may begin a special token
         odd = list(chunks.difference(plain))
         self.chunks.update(zip(odd, self.whole(odd), strict=True))
-        parts = [of_latin(c.lower()) for c in plain]
+        # a word, and a word with one mark after it, need no pattern
+        parts = [(c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() and c[-1] in MARKS else of_latin(c) for c in map(str.lower, plain)]
         encode, tokens = self.rust.model.tokenize, self.tokens
         for p in tokens.missing(set(itertools.chain.from_iterable(parts))):
             tokens[p] = array("I", [t.id for t in encode(p if p.isascii() else p.translate(LATIN_BYTES))]).tobytes()
-        self.chunks.update(zip(plain, [b"".join([tokens[p] for p in ps]) for ps in parts], strict=True))
+        self.chunks.update(zip(plain, [tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps]) for ps in parts], strict=True))
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text, END not included."""
