@@ -19,7 +19,7 @@ from tessera.plans.cut import cut, small
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 #: Documents that a key range holds on average; a range is the most that one task sorts.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 REPEATS = (5, 2, 1)
 
 

@@ -346,7 +346,7 @@ def test_chunked_ids_are_whole_ids():
 
     path = queries.tokenizer_path()
     fast, slow = packing.Tokenizer(path), packing.Tokenizer(path, apart=False)
-    odd = ["It's we'LL 'tis 12ab\tx  y", "É İSTANBUL ΣΑΣ. é ﬁ", "<|endoftext|> a<|endoftext|>b", "tab\tthere\r\nx\x1cy\x00z", "", " ", "日本語 テスト。", "a" * 3000, "".join(map(chr, range(33, 256))), "ÀÉþ×÷ÿ ß²³ ½x ª© naïve,É. «quoted» µm 5º", "".join(chr(c) + "x" for c in range(160, 600)), "~!@#$%^&*()_+{}|:\"<>?`-=[]\;',./"]
+    odd = ["word, word. word.. don't 's' ª. º, x) ß! 5. .5 ., 'll 're: it's.", "It's we'LL 'tis 12ab\tx  y", "É İSTANBUL ΣΑΣ. é ﬁ", "<|endoftext|> a<|endoftext|>b", "tab\tthere\r\nx\x1cy\x00z", "", " ", "日本語 テスト。", "a" * 3000, "".join(map(chr, range(33, 256))), "ÀÉþ×÷ÿ ß²³ ½x ª© naïve,É. «quoted» µm 5º", "".join(chr(c) + "x" for c in range(160, 600)), "~!@#$%^&*()_+{}|:\"<>?`-=[]\;',./"]
     for a, b in zip(fast.ids(pa.array(odd)), slow.ids(pa.array(odd)), strict=True):
         assert a.tolist() == b.tolist()
 
