@@ -213,7 +213,7 @@ def main_text_of(html: str = "html") -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(main_text)
 
-    return run(F.coalesce(F.col(html), F.lit("")))
+    return run.asNondeterministic()(F.coalesce(F.col(html), F.lit("")))  # else filters on it are pushed below and evaluate it again
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

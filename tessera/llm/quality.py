@@ -89,7 +89,7 @@ def features(text: str = "text") -> Column:
         parts = [pd.DataFrame(features_of(part.column(0))) for part in slices(batch, "t")]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in FEATURES.split(", ")})
 
-    return run(F.coalesce(F.col(text), F.lit("")))
+    return run.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))  # else filters on it are pushed below and evaluate it again
 
 
 #: name, SQL for a vote against, SQL for a vote in favour; neither: the rule abstains. Written over the counts of FEATURES.

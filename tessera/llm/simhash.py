@@ -57,7 +57,7 @@ def simhash(text: str = "text", k: int = SHINGLE, seed: int = SEED) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint_of(t, k, seed) for t in texts], np.uint64).view(np.int64))
 
-    return run(F.coalesce(F.col(text), F.lit("")))
+    return run.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))  # else filters on it are pushed below and evaluate it again
 
 
 def masks(radius: int = RADIUS, shift: int = 0) -> list[int]:
