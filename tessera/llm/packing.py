@@ -21,9 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import bounded, slices
+from tessera.llm.text import bounded, trim
 
 LENGTH, END = 2048, 1
+#: Bytes of text that are tokenised at once.
+GATHERED = 12 << 20
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
@@ -158,18 +160,30 @@ def tokenizer_of(path: str, apart: bool) -> Tokenizer:
     return Tokenizer(path, apart)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The batches joined to about limit bytes: the more text at once, the fewer chunks that are distinct."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.nbytes for b in held) >= limit:
+            yield pa.concat_batches(held)
+            held = []
+            trim()
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, apart: bool = True) -> DataFrame:
     """(doc_id, tie, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut into pieces of at most length. tie is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer, apart)
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                out: list[tuple] = []
-                for doc, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.ids(part.column("text")), strict=True):
-                    ids = np.append(ids, end).astype("<u4")
-                    out += [(doc, tie, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
+        for part in gathered(batches):
+            out: list[tuple] = []
+            for doc, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.ids(part.column("text")), strict=True):
+                ids = np.append(ids, end).astype("<u4")
+                out += [(doc, tie, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
 
     slim = bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
     return slim.mapInArrow(run, "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long")
