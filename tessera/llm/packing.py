@@ -25,11 +25,11 @@ from tessera.llm.text import bounded, trim
 
 LENGTH, END = 2048, 1
 #: Bytes of text that are tokenised at once.
-GATHERED = 12 << 20
+GATHERED = 8 << 20
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 # The rules of a tokenizer file under which Latin text needs lower-casing and LATIN_PARTS only.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_RULES = [
