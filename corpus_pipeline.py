@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixing, packing, quality, simhash
+from tessera.llm import copies, language, mixing, packing, quality, simhash
 from tessera.llm.queries import tokenizer_path
 from tessera.plans.cut import checkpoint_dir
 
@@ -25,8 +25,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mixed = mixing.mix_sources(docs).filter("copies > 0")
+    """Every document as often as the mix takes it, once the near copies are gone that the radius of simhash_dedup leaves (five-word shingles, 0.8 or more alike)."""
+    mixed = mixing.mix_sources(copies.keep_unlike(docs)).filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
