@@ -1,8 +1,14 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-The units of a text are its lines, its paragraphs (parted by empty lines) and the whole. Two texts with a and b distinct
-bigrams have a Dice coefficient of at most 2 min(a, b) / (a + b), so a unit is compared only with templates whose size lies
-within these bounds, and only if it shares a bigram with one.
+The units of a text are its lines, its paragraphs (parted by empty lines), the whole, and windows: runs of words anywhere in
+the text, across the ends of lines and paragraphs. Two texts with a and b distinct bigrams have a Dice coefficient of at most
+2 min(a, b) / (a + b), so a unit is compared only with templates whose size lies within these bounds, and only if it shares a
+bigram with one.
+
+A best window begins and ends with a bigram of its template, and its first bigram does not come again in it. So each shared
+bigram begins one search, over the shared bigrams that follow, which ends with the size bounds. Of windows that overlap the one
+stays that agrees most: shared bigrams less all that either side has alone. A window within a reported line or paragraph, or
+within a reported text of the same licence, is not reported again.
 """
 
 from __future__ import annotations
@@ -68,6 +74,10 @@ class Scanner:
         self.rows = [(name, g) for _, name, g in rows]
         self.any = frozenset().union(*(g for _, g in self.rows))
         self.words = {w for pair in self.any for w in pair}
+        self.of: dict[tuple[str, str], list[int]] = {}
+        for i, (_, g) in enumerate(self.rows):
+            for pair in g:
+                self.of.setdefault(pair, []).append(i)
 
     def match(self, text: str) -> tuple[float, str] | None:
         """(coefficient, name) of the best template at `least` or more; of equals, the first name."""
@@ -81,7 +91,7 @@ class Scanner:
         return (-min(found)[0], min(found)[1]) if found else None
 
     def scan(self, text: str | None) -> list[tuple[str, float, str, int, int]]:
-        """(name, coefficient, kind of unit, first line, last line), best unit for each name and place; lines count from 1."""
+        """(name, coefficient, kind of unit, first line, last line) of every unit that is a template; lines count from 1."""
         if not text:
             return []
         lines = text.split("\n")
@@ -100,8 +110,76 @@ class Scanner:
         for kind, a, b in units:
             if m := self.match(lines[a] if a == b else "\n".join(lines[a : b + 1])):
                 out.append((m[1], m[0], kind, a + 1, b + 1))
+        windows = self.windows(text)
+        if windows:
+            line_of = [i for i, line in enumerate(lines) for _ in _WORD.findall(line.lower())]
+            units = out.copy()
+            for name, d, a, b in windows:
+                first, last = line_of[a] + 1, line_of[b] + 1
+                if not any(u[3] <= first and last <= u[4] and (u[2] != "text" or u[0] == name) for u in units):
+                    out.append((name, d, "window", first, last))
         return out
 
+    def windows(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(name, coefficient, first word, last word) of the windows that are templates, in their order; none overlaps another."""
+        words = _WORD.findall(text.lower())
+        pairs = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}
+        for at, pair in enumerate(pairs):
+            if pair in self.of:
+                for i in self.of[pair]:
+                    hits.setdefault(i, []).append(at)
+        found = []
+        for i, places in hits.items():
+            name, g = self.rows[i]
+            a, t = len(g), self.least
+            enough = a * t / (2 - t) - 1e-9
+            if len({pairs[p] for p in places}) < enough:
+                continue
+            most, coming = a * (2 - t) / t + 1e-9, _distinct_ahead(pairs, places, int(a * (2 - t) / t) + 1)
+            for x, begin in enumerate(places):
+                if coming[x] < enough:
+                    continue
+                shared, seen, at = set(), set(), begin
+                best = None
+                for end in places[x:]:
+                    if end > begin and pairs[end] == pairs[begin]:
+                        break
+                    while at <= end and len(seen) <= most:
+                        seen.add(pairs[at])
+                        at += 1
+                    if len(seen) > most:
+                        break
+                    shared.add(pairs[end])
+                    s, n = len(shared), len(seen)
+                    if 2 * s / (a + n) >= t and (best is None or 3 * s - n - a > best[0]):
+                        best = (3 * s - n - a, 2 * s / (a + n), end + 1)
+                    if s == a:
+                        break
+                if best:
+                    found.append((-best[0], -best[1], name, begin, best[2]))
+        out: list[tuple[str, float, int, int]] = []
+        begins: list[int] = []
+        for _, d, name, begin, end in sorted(found):
+            k = bisect.bisect_left(begins, begin)
+            if (k and out[k - 1][3] >= begin) or (k < len(out) and begins[k] <= end):
+                continue
+            begins.insert(k, begin)
+            out.insert(k, (name, -d, begin, end))
+        return out
+
+
+def _distinct_ahead(pairs: list[tuple[str, str]], places: list[int], most: int) -> list[int]:
+    """For each place, a bound on the shared bigrams of a window that begins there: the places before the first that comes again, each followed by one that is less than `most` new words away."""
+    out, reach, again = [1] * len(places), len(places), {}
+    for x in range(len(places) - 1, -1, -1):
+        p = places[x]
+        if x + 1 < len(places) and places[x + 1] - p > most and len(set(pairs[p : places[x + 1]])) > most:
+            reach = x + 1
+        out[x] = min(reach, again.get(pairs[p], len(places))) - x
+        again[pairs[p]] = x
+    return out
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, license, dice, unit, first_line, last_line): every unit of every text that is a template with a coefficient of at least `least`.
