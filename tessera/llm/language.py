@@ -179,7 +179,9 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     tells what declaration and host say. An address without a host belongs to the empty host. Rows that repeat get equal results.
     """
     model = fit_trigrams(labelled)
-    declared = F.nullif(F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
+    # a tag without the attribute is matched too, so that the search goes on behind it and stays linear
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<html(?:[^>]*\slang\s*=\s*["']?([A-Za-z]{2,3})|[^>]*)"""), 1)
+    declared = F.lower(F.try_element_at(F.filter(tags, lambda x: x != ""), F.lit(1)))
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), declared.alias("declared"), main_text_of("html").alias("text"))
     rows = rows.withColumn("suffix", suffix_of(F.col("host"))).withColumn("e", text_evidence(model))
     rows = cut(rows.select("page_id", "url", "host", "suffix", "declared", "e.log_text", "e.fit"))
