@@ -20,8 +20,8 @@ from tessera.llm.html_text import main_text_of
 from tessera.llm.text import WHITE, bounded, mix, raw, slices
 from tessera.plans.cut import cut, small
 
-#: Trigram cells of the model and most languages: together they bound what reaches the driver.
-CELLS, MOST_LANGUAGES = 1 << 15, 64
+#: Trigram cells of a language, and of all languages together: more than 64 languages get fewer cells each. This bounds what reaches the driver.
+CELLS, MOST_CELLS, LEAST_CELLS = 1 << 15, 1 << 21, 1 << 8
 #: A text counts as at most so many independent trigrams, one in every DEPENDENT.
 MOST_EVIDENCE, DEPENDENT = 200.0, 4.0
 TRUST, HOST_PRIOR, SUFFIX_PRIOR = 0.9, 10.0, 20.0
@@ -58,7 +58,7 @@ class Trigrams:
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tempered log likelihoods, fit): a row for each text. fit: mean log-odds of the best language, less that language's usual one; -inf without trigrams."""
-        cells, at = cells_of(texts)
+        cells, at = cells_of(texts, self.log_p.shape[1] or CELLS)
         n = np.diff(at)
         mean = np.zeros((len(n), len(self.languages)))
         for j in range(len(self.languages)):
@@ -71,31 +71,34 @@ class Trigrams:
 
 
 def fit_trigrams(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Trigrams:
-    """The model of all rows with a language, of which the MOST_LANGUAGES with the most rows count. At most that many times CELLS counts reach the driver."""
+    """The model of all rows with a language, and of every language. At most MOST_CELLS counts reach the driver, or LEAST_CELLS a language if these are more."""
     rows = bounded(labelled).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    index = {x: i for i, x in enumerate(sorted(common))}
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    index = {x: i for i, x in enumerate(languages)}
+    n_cells = CELLS
+    while n_cells > LEAST_CELLS and n_cells * len(index) > MOST_CELLS:
+        n_cells //= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(index), CELLS), np.int64)
+        n = np.zeros((len(index), n_cells), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                cells, at = cells_of(part.column("text"))
+                cells, at = cells_of(part.column("text"), n_cells)
                 of = np.array([index.get(x, -1) for x in part.column("lang").to_pylist()])
                 for j in range(len(index)):
                     use = np.repeat(of == j, np.diff(at))
-                    n[j] += np.bincount(cells[use], minlength=CELLS)
+                    n[j] += np.bincount(cells[use], minlength=n_cells)
         j, cell = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(n[j, cell])], ["j", "cell", "n"])
 
-    counts = np.zeros((len(index), CELLS))
+    counts = np.zeros((len(index), n_cells))
     if index:
         got = rows.mapInArrow(run, "j int, cell int, n long").groupBy("j", "cell").agg(F.sum("n").alias("n")).toArrow()
         counts[got.column("j").to_numpy(), got.column("cell").to_numpy()] = got.column("n").to_numpy()
     p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     log_p = np.log(p)
     usual = (counts * log_p).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
-    return Trigrams(sorted(common), log_p, usual)
+    return Trigrams(languages, log_p, usual)
 
 
 def host_of(url: Column) -> Column:
@@ -192,11 +195,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs (text, lang, source) whose language is told with a posterior of at least `least`; lang becomes that language.
 
     The declared lang is the markup's; the source stands for the host, and for its own suffix. Texts are read by two narrow
-    passes and joined with one row per source.
+    passes and joined with one row per source. Where no row declares a language there is nothing to learn from and nothing to
+    judge by: all rows stay as they are.
     """
     model = fit_trigrams(docs)
     if not model.languages:
-        return docs.limit(0)
+        return docs
     source = F.coalesce("source", F.lit(""))
     rows = docs.withColumns({"tessera_e": text_evidence(model), "declared": F.col("lang"), "host": source, "suffix": suffix_of(source)})
     rows = rows.withColumns({"log_text": F.col("tessera_e.log_text"), "fit": F.col("tessera_e.fit")})
