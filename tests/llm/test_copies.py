@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import components, jaccard, low
+from test_llm_operators import components, jaccard, low
 
 import corpus_pipeline
 from tessera.llm import copies

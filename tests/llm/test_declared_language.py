@@ -1,6 +1,6 @@
 """A declared language counts wherever in the page its tag stands."""
 
-from test_operators import labelled
+from test_llm_operators import labelled
 
 from tessera.llm import language
 

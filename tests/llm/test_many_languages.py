@@ -2,7 +2,7 @@
 
 import random
 
-from test_operators import labelled
+from test_llm_operators import labelled
 from pyspark.sql import functions as F
 
 from tessera.llm import language

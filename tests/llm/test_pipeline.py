@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline  # noqa: E402
-from test_operators import brute_counts, brute_fingerprint, components  # noqa: E402
+from test_llm_operators import brute_counts, brute_fingerprint, components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
