@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +15,24 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (u, v), component being the smallest node that can be reached.
 
     Self-loops keep their node; null ends are dropped; repeated edges count once. Each round is a grouped minimum
     and a join, and is written to the shared checkpoint folder; no edge list goes to the driver or into one task.
-    The number of rounds grows with the logarithm of the number of nodes.
+    The rounds go on until nothing changes; their number grows with the logarithm of the number of nodes. With a bound on them,
+    a graph that needs more raises an error.
     """
     edges = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     loops = edges.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     tree = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    for n in itertools.count():
         now = tree.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) % 1000003"))).first()
         if now == before or not now[0]:
             break
+        if n == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         before = now
         both = tree.unionAll(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = small(_nearest(both))
