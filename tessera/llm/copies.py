@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, bounded, mix, slices, windows
+from tessera.llm.text import Words, bounded, mix, packed, slices, windows
 from tessera.operators.components import connected_components
 from tessera.plans.cut import cut, small
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Rows of one or two numbers that may be broadcast.
 NARROW_ROWS = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,24 +166,34 @@ def copy_links(nodes: DataFrame, docs: DataFrame, least: float = LEAST, bucket_b
     return cut(_links(met.join(sets, "node"), least).distinct())
 
 
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each component, from rows (component, doc_id, th, n): how many rows of docs have each id and text.
+
+    The smallest doc_id stays, and of its texts that of the least hash. Rows without an id stay. What goes is listed, in
+    numbers; texts move only where an id and its text stand on several rows.
+    """
+    first = cut(rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first")))
+    judged = cut(rows.join(small(first, NARROW_ROWS), "component").select("doc_id", "th", F.expr("first = struct(doc_id, th)").alias("stays"), "n"))
+    keyed = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    kept = keyed.join(small(judged.filter("not stays").select("doc_id", "th"), NARROW_ROWS), ["doc_id", "th"], "left_anti")
+    again = judged.filter("stays and n > 1").select("doc_id", "th")
+    if not again.isEmpty():
+        again = small(again, NARROW_ROWS)
+        kept = kept.join(again, ["doc_id", "th"], "left_anti").unionByName(kept.join(again, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]))
+    return kept.select("row.*")
+
+
 def keep_unlike(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id.
 
     A group is what chains of pairs with a Jaccard similarity of `least` or more join. Texts without words are one group. Rows
-    without an id stay and count for no group; of rows that repeat wholly, or an id and its text, one stays.
+    without an id stay and count for no group; of rows that repeat wholly, or an id and its text, one stays. No column of
+    docs can clash with what is added here.
     """
-    keyed = bounded(docs).withColumns({"tessera_id": F.col("doc_id").cast("long"), "tessera_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    read = keyed.filter("tessera_id is not null").select(F.col("tessera_id").alias("doc_id"), F.col("tessera_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    read = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter("doc_id is not null")
     marked = cut(_marked(read))
     nodes = cut(marked.groupBy("node").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     found = connected_components(copy_links(nodes.drop("n"), read, least))
     groups = cut(found.unionAll(nodes.filter("n > 1").select("node", F.col("node").alias("component")).join(found, "node", "left_anti")))
-    rows = cut(marked.select("doc_id", "th", "node").join(small(groups, NARROW_ROWS), "node").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    judged = cut(rows.join(first, "component").select(F.col("doc_id").alias("tessera_id"), F.col("th").alias("tessera_th"), F.expr("first = struct(doc_id, th)").alias("stays"), "n"))
-    kept = keyed.join(small(judged.filter("not stays").select("tessera_id", "tessera_th"), NARROW_ROWS), ["tessera_id", "tessera_th"], "left_anti")
-    again = judged.filter("stays and n > 1").select("tessera_id", "tessera_th")
-    if not again.isEmpty():
-        again = small(again, NARROW_ROWS)
-        kept = kept.join(again, ["tessera_id", "tessera_th"], "left_anti").unionByName(kept.join(again, ["tessera_id", "tessera_th"], "left_semi").dropDuplicates(["tessera_id", "tessera_th"]))
-    return kept.select(*docs.columns)
+    return keep_first(docs, cut(marked.select("doc_id", "th", "node").join(small(groups, NARROW_ROWS), "node").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))))

@@ -97,30 +97,49 @@ def likeness(a: str, b: str, bits: int = BITS) -> Column:
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """(range, foreign, doc_id, tie, text): the documents in ranges of descending doc_id, with the head of the next range, flagged foreign, at the end of each.
 
-    The bounds of the ranges (one for some thousand rows, at most MOST_RANGES) and the ids at their heads are all that reaches the driver.
+    The bounds of the ranges (one for some thousand rows, at most MOST_RANGES) and their heads are all that reaches the
+    driver. An id with more rows than a range is cut into ranges by the hash of the text, the order of rows of one id.
     """
     lowest = -(2**63)
-    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", "text")
+    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("k", "doc_id", "text", F.xxhash64("text").alias("tie"))
     n = docs.count()
     ranges = min(MOST_RANGES, 1 + n // RANGE_ROWS)
-    cuts = keyed.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 and n else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    cuts = keyed.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 and n else None
+    bounds, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    # an id that is a bound several times over has a range of its own and shares of it; ids between bounds share one range
+    parts = np.where(times > 1, times, 0)
+    first = np.concatenate([[0], np.cumsum(1 + parts[::-1])])
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, k.to_numpy(np.int64), "left"), dtype="int32")
-
-    heads = {r[0]: r[1] for r in keyed.select("k").groupBy(range_of("k")).agg(F.max("k")).collect()}
+    def range_of(k: pd.Series, tie: pd.Series) -> pd.Series:
+        k, tie = k.to_numpy(np.int64), tie.to_numpy(np.int64)
+        above = len(bounds) - np.searchsorted(bounds, k, "left")  # bounds at k or over it
+        out = first[above]
+        if len(bounds):
+            at = np.minimum(np.searchsorted(bounds, k), len(bounds) - 1)
+            hot = (bounds[at] == k) & (parts[at] > 0)
+            share = ((tie.astype(np.float64) / 2.0**64 + 0.5) * parts[at]).astype(np.int64)
+            out = np.where(hot, first[len(bounds) - 1 - at] + 1 + np.minimum(share, parts[at] - 1), out)
+        return pd.Series(out, dtype="int32")
+
+    order = F.struct((-F.when(F.col("k") > lowest, F.col("k"))).alias("down"), "tie")
+    heads = keyed.select("k", "tie", range_of("k", "tie").alias("range")).groupBy("range").agg(F.min_by(F.struct("k", "tie"), F.struct(F.col("k") == lowest, order)).alias("head")).collect()
+    heads = {r[0]: tuple(r[1]) for r in heads}
     filled = sorted(heads)
     before = {heads[r]: filled[i - 1] for i, r in enumerate(filled)}
+    heads_k = np.array(sorted({k for k, _ in before}), np.int64)
 
     @F.pandas_udf("int")
-    def also(k: pd.Series) -> pd.Series:
-        return k.map(before).fillna(-1).astype("int32")
-
-    places = F.filter(F.array(F.struct(range_of("k").alias("range"), F.lit(False).alias("foreign")), F.struct(also("k").alias("range"), F.lit(True).alias("foreign"))), lambda x: x["range"] >= 0)
-    dealt = keyed.select("k", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("place"))
-    rows = dealt.select("place.range", "place.foreign", "k", "doc_id", F.xxhash64("text").alias("tie"), "text")
+    def also(k: pd.Series, tie: pd.Series) -> pd.Series:
+        out = np.full(len(k), -1, np.int32)
+        ks = k.to_numpy(np.int64)
+        if len(heads_k):
+            for i in np.flatnonzero(heads_k[np.minimum(np.searchsorted(heads_k, ks), len(heads_k) - 1)] == ks):
+                out[i] = before.get((int(ks[i]), int(tie.iat[i])), -1)
+        return pd.Series(out)
+
+    places = F.filter(F.array(F.struct(range_of("k", "tie").alias("range"), F.lit(False).alias("foreign")), F.struct(also("k", "tie").alias("range"), F.lit(True).alias("foreign"))), lambda x: x["range"] >= 0)
+    rows = keyed.withColumn("place", F.explode(places)).select("place.range", "place.foreign", "k", "doc_id", "tie", "text")
     return rows.repartition("range").sortWithinPartitions("range", "foreign", F.desc("k"), "tie")
 
 

@@ -10,6 +10,7 @@ that a short paragraph between long ones stays. If an article or main element ho
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from html.parser import HTMLParser
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import bounded
 
+PIECES = re.compile(r"[-_]+")
+
 #: Characters that the parser gets at a time.
 FEED = 1 << 16
 SIGMA, RADIUS = 1.0, 2
@@ -47,38 +50,53 @@ NAMES = frozenset(
     "respond replies widget toolbar pagination pager masthead login signup search topbar banner skip hidden".split()
 )
 NAMES_OUTSIDE = frozenset("header copyright legal tags meta".split())
+#: Parts of a name that tell a state or a layout of an element rather than what it is: "no-sidebar", "comments-closed", "js-skip".
+STATES = frozenset("no not non has have with without is are js can show shows hide hides enable enabled disable disabled open opened closed on off active inactive layout template supports support".split())
+#: A named element that holds the whole text of a page is not furniture if it holds so much text, or a heading or an article.
+MUCH = 400
 
 
 class Line:
-    __slots__ = ("chars", "furniture", "landmark", "linked", "parts", "tags")
+    __slots__ = ("chars", "furniture", "landmark", "linked", "parts", "tags", "within")
 
-    def __init__(self, landmark: int, furniture: bool):
+    def __init__(self, landmark: int, furniture: bool, within: tuple[int, ...]):
         self.parts: list[str] = []
-        self.tags, self.chars, self.linked, self.landmark, self.furniture = 0, 0, 0, landmark, furniture
+        self.tags, self.chars, self.linked, self.landmark, self.furniture, self.within = 0, 0, 0, landmark, furniture, within
+
+
+def tells_furniture(name: str, names: frozenset[str]) -> bool:
+    """Whether a class or id names furniture: one of its parts does, and none tells that it is a state."""
+    parts = PIECES.split(name)
+    return any(x in names for x in parts) and STATES.isdisjoint(parts)
 
 
 class Lines(HTMLParser):
-    """The page as lines. Only the open elements and the lines themselves are held."""
+    """The page as lines. Only the open elements and the lines themselves are held.
 
-    def __init__(self):
+    Elements that are furniture by name alone are numbered; those whose number is in excused are taken as any other.
+    """
+
+    def __init__(self, excused: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # element, whether it mutes, whether it is furniture
+        self.open: list[tuple[str, bool, bool, bool]] = []  # element, whether it mutes, whether it is furniture, whether by name
         self.opened: dict[str, int] = {}
-        self.mute = self.furniture = self.landmarks = 0
+        self.mute = self.furniture = self.landmarks = self.named = 0
+        self.excused, self.within, self.titled = excused, (), set()
         self.lines: list[Line] = []
-        self.line = Line(0, False)
+        self.line = Line(0, False, ())
 
     def cut(self) -> None:
         if self.line.parts or self.line.tags:
             self.lines.append(self.line)
-        self.line = Line(self.landmarks, self.furniture > 0)
+        self.line = Line(self.landmarks, self.furniture > 0, self.within)
 
     def drop(self, to: int) -> None:
-        for tag, mute, furniture in self.open[to:]:
+        for tag, mute, furniture, named in self.open[to:]:
             self.opened[tag] -= 1
             self.mute -= mute
             self.furniture -= furniture
             self.landmarks -= tag in LANDMARK
+            self.within = self.within[: len(self.within) - named]
         del self.open[to:]
 
     def last(self, tag: str) -> int:
@@ -94,8 +112,15 @@ class Lines(HTMLParser):
             return True
         if "none" in (style := (said.get("style") or "").lower().replace(" ", "")) and "display:none" in style:
             return True
-        named = f"{said.get('class') or ''} {said.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
-        return any(x in NAMES or not self.landmarks and x in NAMES_OUTSIDE for x in named)
+        return False
+
+    def is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether class or id names furniture."""
+        if tag in ("html", "body", "main") or not attrs:
+            return False
+        said = dict(attrs)
+        named = f"{said.get('class') or ''} {said.get('id') or ''}".lower().split()
+        return any(tells_furniture(x, NAMES) or not self.landmarks and tells_furniture(x, NAMES_OUTSIDE) for x in named)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -115,7 +140,14 @@ class Lines(HTMLParser):
                 if not any(x[0] in HOLDERS for x in self.open[at:]):
                     self.drop(at)
         mute, furniture = tag in MUTE, self.is_furniture(tag, attrs)
-        self.open.append((tag, mute, furniture))
+        named = not furniture and not mute and self.is_named(tag, attrs)
+        if named:
+            self.within = (*self.within, self.named)
+            furniture = self.named not in self.excused
+            self.named += 1
+        if tag in LANDMARK or tag in ("h1", "h2"):
+            self.titled.update(self.within)
+        self.open.append((tag, mute, furniture, named))
         self.opened[tag] = self.opened.get(tag, 0) + 1
         self.mute += mute
         self.furniture += furniture
@@ -174,20 +206,26 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page, blocks joined by an empty line; empty for null, empty or text-free pages."""
-    if not html:
-        return ""
-    parser = Lines()
+def parsed(html: str, excused: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(excused)
     for at in range(0, len(html), FEED):
         parser.feed(html[at : at + FEED])
     if UNFINISHED.match(parser.rawdata):
         parser.rawdata = ""
     parser.close()
     parser.cut()
+    return parser
+
+
+def running_of(line: Line) -> float:
+    """The characters of a line outside links."""
+    return len(" ".join("".join(line.parts).split())) * (1 - line.linked / max(line.chars, 1))
+
+
+def content_of(lines: list[Line]) -> str:
     rows = []  # (text, ratio, in an article, region)
     region, before = 0, None
-    for line in parser.lines:
+    for line in lines:
         text = " ".join("".join(line.parts).split())
         if not text and not line.furniture:
             continue
@@ -206,6 +244,31 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(r[0] for r in rows if r[0] and not r[4] and r[3] in content)
 
 
+def main_text(html: str | None) -> str:
+    """The main text of one page, blocks joined by an empty line; empty for null, empty or text-free pages.
+
+    A page whose text lies wholly in elements that are furniture by their names is read again with the outermost of them
+    taken as any other element, and so on inwards, as long as the element holds most of the text and looks like a page.
+    """
+    if not html:
+        return ""
+    page = parsed(html)
+    text = content_of(page.lines)
+    if text or not page.named:
+        return text
+    held: dict[int, float] = {}
+    for line in page.lines:
+        if line.within and (n := running_of(line)):
+            for i in line.within:
+                held[i] = held.get(i, 0.0) + n
+    most = sum(running_of(line) for line in page.lines if line.within) / 2
+    chain = sorted(i for i, n in held.items() if n > most and (n >= MUCH or i in page.titled))
+    for n in itertools.chain(range(1, min(len(chain), 8) + 1), [len(chain)] if len(chain) > 8 else []):
+        if text := content_of(parsed(html, frozenset(chain[:n])).lines):
+            break
+    return text
+
+
 def main_text_of(html: str = "html") -> Column:
     """The main text of a column of pages; null pages count as empty."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.html_text import main_text_of
-from tessera.llm.text import WHITE, bounded, mix, raw, slices
+from tessera.llm.text import WHITE, bounded, mix, packed, raw, slices
 from tessera.plans.cut import cut, small
 
 #: Trigram cells of a language, and of all languages together: more than 64 languages get fewer cells each. This bounds what reaches the driver.
@@ -196,14 +196,13 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     The declared lang is the markup's; the source stands for the host, and for its own suffix. Texts are read by two narrow
     passes and joined with one row per source. Where no row declares a language there is nothing to learn from and nothing to
-    judge by: all rows stay as they are.
+    judge by: all rows stay as they are. No column of docs can clash with what is added here.
     """
     model = fit_trigrams(docs)
     if not model.languages:
         return docs
     source = F.coalesce("source", F.lit(""))
-    rows = docs.withColumns({"tessera_e": text_evidence(model), "declared": F.col("lang"), "host": source, "suffix": suffix_of(source)})
-    rows = rows.withColumns({"log_text": F.col("tessera_e.log_text"), "fit": F.col("tessera_e.fit")})
-    kept = [c for c in docs.columns if c != "lang"]
-    out = identified(rows, model, kept)
-    return out.filter(F.col("language").isNotNull() & (F.col("posterior") >= least)).withColumnRenamed("language", "lang").select(*docs.columns)
+    rows = packed(docs, "text", F.col("lang").alias("declared"), source.alias("host"), suffix_of(source).alias("suffix")).withColumn("e", text_evidence(model))
+    out = identified(rows.select("row", "declared", "host", "suffix", "e.log_text", "e.fit"), model, ["row"])
+    out = out.filter(F.col("language").isNotNull() & (F.col("posterior") >= least))
+    return out.select(*[F.col("language").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

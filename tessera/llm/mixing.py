@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.text import packed
 from tessera.plans.cut import cut, small
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
@@ -34,9 +35,10 @@ def quality_weight(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with mix_size, mix_source (a string, null as a value of its own) and mix_key."""
+    """(row, mix_size, mix_source, mix_key, w): docs as one column, with words, source (a string, null as a value of its own), key and weight."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 11) + 0.5) / float(1 << 53)
-    return docs.withColumns({"mix_size": size_of(), "mix_source": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")), "mix_key": -F.log(u) / quality_weight()})
+    source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    return packed(docs, size_of().alias("mix_size"), source.alias("mix_source"), (-F.log(u) / quality_weight()).alias("mix_key"), quality_weight().alias("w"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = REPEATS, most: float = 3.0) -> DataFrame:
@@ -59,7 +61,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = REPEATS, most: float
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
     """One row per source: mix_source, source_size, target, epochs, full_below (ranges under it are taken whole), ranges, rate, last_key and gap_key."""
-    slim = cut(keyed(docs, seed).select("mix_source", "mix_size", "mix_key", quality_weight().alias("w")))
+    slim = cut(keyed(docs, seed).drop("row"))
     sums = slim.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n"), F.avg("w").alias("rate"))
     aim = targets(sums, weights).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS).cast("long"))
     has = F.col("source_size") > 0
@@ -85,16 +87,25 @@ def key_range() -> Column:
     return F.least(F.floor((1 - F.exp(-F.col("mix_key") * F.col("rate"))) * F.col("ranges")), F.col("ranges") - 1).cast("long")
 
 
+def decide(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
+    """(row, mix_size, source_size, target, copies): every row of docs as one column, and the number of times that the mix takes it."""
+    decided = small(cut(plan(docs, weights, seed)))
+    took = (F.col("full_below").isNull() & (F.col("budget") > 0)) | (key_range() < F.col("full_below")) | ((key_range() == F.col("full_below")) & (F.col("mix_key") <= F.col("last_key"))) | (F.col("mix_key") == F.col("gap_key"))
+    out = keyed(docs, seed).join(decided, "mix_source").withColumn("copies", F.col("epochs") + F.coalesce(took, F.lit(False)).cast("long"))
+    return out.select("row", "mix_size", "source_size", "target", "copies")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
     """docs with mix_size, source_size, target and copies, the number of times that the mix takes the document.
 
     Null texts have no words. A null source is a source, the last in order. Documents without words are taken with every
     epoch and with the prefix they fall in, at no cost. Rows that repeat share one key and so are taken or left together.
     An empty table gives an empty one. Equal tables and seeds give equal mixes. Columns of docs keep their values, except
-    those that bear the names added here.
+    those that bear one of the four names added here.
     """
-    docs = docs.drop("mix_size", "mix_source", "mix_key", "source_size", "target", "copies")
-    decided = small(cut(plan(docs, weights, seed)))
-    took = (F.col("full_below").isNull() & (F.col("budget") > 0)) | (key_range() < F.col("full_below")) | ((key_range() == F.col("full_below")) & (F.col("mix_key") <= F.col("last_key"))) | (F.col("mix_key") == F.col("gap_key"))
-    out = keyed(docs, seed).join(decided, "mix_source").withColumn("copies", F.col("epochs") + F.coalesce(took, F.lit(False)).cast("long"))
-    return out.select(*docs.columns, "mix_size", "source_size", "target", "copies")
+    return decide(docs.drop("mix_size", "source_size", "target", "copies"), weights, seed).select("row.*", "mix_size", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; every column keeps its values."""
+    return decide(docs, weights, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -2,7 +2,7 @@
 
 Texts are tokenised where they lie and only piece lengths are shuffled. A document longer than a sequence is cut into full
 pieces, each a sequence of its own, and a rest; the rests are packed group by group. Groups are dealt by a hash of the
-document, so no source or key makes a group large, and groups do not depend on each other.
+row, equal rows apart, so no source, key or repeated row makes a group large, and groups do not depend on each other.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import bounded, trim
+from tessera.llm.text import FORGET, bounded, trim
 
 LENGTH, END = 2048, 1
 #: Bytes of text that are tokenised at once.
-GATHERED = 8 << 20
+GATHERED = 4 << 20
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
@@ -156,7 +156,8 @@ class Tokenizer:
 
 @functools.cache
 def tokenizer_of(path: str, apart: bool) -> Tokenizer:
-    """One for all tasks of a worker."""
+    """One for all packing tasks of a worker."""
+    FORGET.append(tokenizer_of.cache_clear)
     return Tokenizer(path, apart)
 
 
@@ -174,19 +175,25 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = GATHERED) -> Iterat
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, apart: bool = True) -> DataFrame:
-    """(doc_id, tie, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut into pieces of at most length. tie is a hash of the text."""
+    """(doc_id, tie, nth, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut into pieces of at most length.
+
+    tie is a hash of the text and nth numbers equal rows within a task, so a task that is run again gives the same rows in any order.
+    """
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer, apart)
+        seen: dict[tuple, int] = {}
         for part in gathered(batches):
             out: list[tuple] = []
             for doc, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.ids(part.column("text")), strict=True):
                 ids = np.append(ids, end).astype("<u4")
-                out += [(doc, tie, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"])
+                seen[doc, tie] = nth = seen.get((doc, tie), -1) + 1
+                out += [(doc, tie, nth, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "tie", "nth", "start", "length", "ids_crc32", "doc_tokens"])
 
     slim = bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    return slim.mapInArrow(run, "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInArrow(run, "doc_id long, tie long, nth long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 42) -> DataFrame:
@@ -197,10 +204,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
     An empty table gives no pieces. Other columns of docs are not read.
     """
     groups = max(1, -(-docs.count() // group_rows))
-    pieces = tokenized_pieces(docs, tokenizer, length, end).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(groups)))
+    pieces = tokenized_pieces(docs, tokenizer, length, end).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "nth"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "tie", "start")])
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "tie", "nth", "start")])
         sizes = rows.column("length").to_numpy()
         whole = sizes == length
         rest = np.flatnonzero(~whole)

@@ -3,12 +3,16 @@
 Documents are read as their lower-cased words joined by spaces, ended by a line feed, which no word can hold; a document's
 first byte follows the end of another. The training documents are counted once as byte strings of order + 1, merged by a
 grouped sum. A shorter context counts each longer one that it ends once (update exclusion), so it tells what follows where
-the longer one is new. The trie keeps the strings that occur min_count times or more, or more often if at some depth more
-than max_nodes would: its size, and so the broadcast, has a fixed bound, whatever the corpus. What is left out stays in the
-escape estimate of its context. A byte is coded at the longest context in the trie, with method D's escape (half a count for
+the longer one is new. A byte is coded at the longest context that training has, with method D's escape (half a count for
 each distinct byte) and with the bytes of the longer context excluded at the shorter one; below the empty context all bytes
 are equally likely. The odds of all bytes at a context sum to one.
 
+Nothing that was counted is left out. The trie is never in one place: all contexts that end in the same LOW + 1 bytes form one
+branch, and a task works out the odds of every string of its branches, whether of training or met in held-out documents
+only; the contexts of at most LOW bytes, whose number the alphabet bounds, are broadcast to it. Of the odds, those of the
+`most_table` strings that occur most are broadcast to the documents; a document's other strings meet theirs in a shuffled
+join, together with its rarer words.
+
 The base is a unigram model of words. Its counts grow with the corpus, so only words with at least `heavy` of all training
 tokens (at most 1 / heavy of them) are broadcast; a document's other words meet their counts in a shuffled join in which
 no word can be hot.
@@ -18,17 +22,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import bounded, mix, slices
 from tessera.plans.cut import cut
 
-ORDER, MIN_COUNT, MAX_NODES, HEAVY = 5, 3, 1 << 20, 2e-6
+ORDER, MOST_TABLE, HEAVY = 5, 1 << 20, 2e-6
+#: Bytes of the longest contexts that all tasks have; there are at most 256 ** (LOW + 1) strings of them, in text some hundred thousand.
+LOW = 2
+#: Strings of a trie that a task builds at once; a branch is never cut.
+BRANCHES = 1 << 20
 #: Bytes of text counted or scored at once: some ten arrays of eight times the size.
 PART = 1 << 20
 END_BYTE = 0x0A
@@ -57,43 +65,41 @@ def stream(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Model:
-    """The trie as sorted arrays. levels: for each order from 0 the byte strings, ascending, their counts, and the counts of their contexts, ascending, with all bytes."""
-
-    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.order, self.levels, self.built = order, levels, False
-
-    def __getstate__(self) -> dict:
-        if self.built:
-            raise ValueError("a trie is sent as its levels, before it is built")
-        return {"order": self.order, "levels": self.levels, "built": False}
-
-    def build(self) -> Model:
-        if self.built:
-            return self
-        self.keys, self.kept, self.contexts, self.total, self.share, self.shared, self.shared_kept = ([] for _ in range(7))
-        n_below = np.zeros(0)
-        for k, (keys, n, total) in enumerate(self.levels):
-            keys, n = keys.astype(np.uint64), n.astype(np.float64)
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-
-            def add(v: np.ndarray, first: np.ndarray = first) -> np.ndarray:
-                return np.add.reduceat(v, first) if len(first) else v[:0]
-
-            below = np.zeros(len(keys))
-            if k:  # how often the shorter context has the bytes that follow this one
-                below = n_below[np.searchsorted(self.keys[k - 1], keys & np.uint64(256**k - 1))]
-            self.keys.append(keys)
-            self.kept.append((n - 0.5).astype(np.float32))
-            self.contexts.append(contexts)
-            self.total.append(total.astype(np.float64))
-            self.share.append(add(n - 0.5))
-            self.shared.append(add(below))
-            self.shared_kept.append(add(below - 0.5))
-            n_below = n
-        self._table()
-        self.built, self.levels = True, []  # a worker keeps one form of the trie
+    """The trie as sorted arrays: for each order from 0 the byte strings, ascending, and what their contexts sum up to."""
+
+    def __init__(self):
+        self.order = -1
+        self.keys, self.kept, self.contexts, self.total, self.share, self.shared, self.shared_kept, self.n = ([] for _ in range(8))
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> Model:
+        """The next order, from its strings, ascending, and their counts."""
+        keys, n, k = keys.astype(np.uint64), n.astype(np.float64), self.order + 1
+        contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+
+        def of(v: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(v, first) if len(first) else v[:0]
+
+        below = np.zeros(len(keys))
+        if k:  # how often the shorter context has the bytes that follow this one
+            below = self.n[k - 1][np.searchsorted(self.keys[k - 1], keys & np.uint64(256**k - 1))]
+        for held, new in ((self.keys, keys), (self.kept, (n - 0.5).astype(np.float32)), (self.contexts, contexts), (self.total, of(n)), (self.share, of(n - 0.5)), (self.shared, of(below)), (self.shared_kept, of(below - 0.5)), (self.n, n)):
+            held.append(new)
+        self.order = k
         return self
 
+    def with_strings(self, keys: np.ndarray, n: np.ndarray, order: int) -> Model:
+        """A model that has the orders of this one and those up to order, from the strings of that order in whole branches."""
+        out = Model()
+        out.order = self.order
+        for name in ("keys", "kept", "contexts", "total", "share", "shared", "shared_kept", "n"):
+            setattr(out, name, list(getattr(self, name)))
+        levels = [(keys, n)]
+        for k in range(order, self.order + 1, -1):
+            levels.insert(0, np.unique(levels[0][0] & np.uint64(256**k - 1), return_counts=True))
+        for level in levels:
+            out.add(*level)
+        return out
+
     @staticmethod
     def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(where):
@@ -123,66 +129,81 @@ class Model:
         out[left] -= np.log2(256 - len(self.keys[0]))
         return out
 
-    def _table(self) -> None:
-        """An open-addressing table of the longest strings, for one probe or two a byte."""
-        keys = self.keys[self.order]
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.table, self.value = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.zeros(1 << self.bits, np.float32)
-        value, slot, left = self.log2(keys).astype(np.float32), self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.table[slot[left]] == np.uint64(2**64 - 1)]
-            self.table[slot[free]] = keys[free]  # of several, the last stays
-            won = free[self.table[slot[free]] == keys[free]]
-            self.value[slot[won]] = value[won]
-            left = left[self.table[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+class Table:
+    """An open-addressing table of strings and their logarithms, for one probe or two a byte."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        self.keys, self.value, self.slots = keys.astype(np.uint64), value.astype(np.float32), None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "value": self.value, "slots": None}
+
+    def build(self) -> Table:
+        if self.slots is None:
+            self.bits = max(4, int(1.5 * len(self.keys)).bit_length())
+            slots, values = np.full(1 << self.bits, _NONE, np.uint64), np.zeros(1 << self.bits, np.float32)
+            slot, left = self._slot(self.keys), np.arange(len(self.keys))
+            while len(left):
+                free = left[slots[slot[left]] == _NONE]
+                slots[slot[free]] = self.keys[free]  # of several, the last stays
+                won = free[slots[slot[free]] == self.keys[free]]
+                values[slot[won]] = self.value[won]
+                left = left[slots[slot[left]] != self.keys[left]]
+                slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            self.slots, self.values, self.keys, self.value = slots, values, None, None  # a worker keeps one form
+        return self
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log2_of_stream(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms of keys, 0 where there is none, and the places of those."""
         slot = self._slot(keys)
-        out = self.value[slot]
-        got = self.table[slot]
+        out, got = self.values[slot], self.slots[slot]
         left = np.flatnonzero(got != keys)
-        got, missing = got[left], []
+        got, missing = got[left], [np.zeros(0, np.int64)]
         while len(left):
-            none = got == np.uint64(2**64 - 1)
+            none = got == _NONE
             missing.append(left[none])
             left = left[~none]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            got = self.table[slot[left]]
+            got = self.slots[slot[left]]
             same = got == keys[left]
-            out[left[same]] = self.value[slot[left[same]]]
+            out[left[same]] = self.values[slot[left[same]]]
             left, got = left[~same], got[~same]
-        missing = np.concatenate([*missing, np.zeros(0, np.int64)])
-        if len(missing):
-            distinct, which = np.unique(keys[missing], return_inverse=True)
-            out[missing] = self.log2(distinct)[which]
-        return out.astype(np.float64)
+        missing = np.sort(np.concatenate(missing))
+        out[missing] = 0
+        return out.astype(np.float64), missing
+
+
+_NONE = np.uint64(2**64 - 1)
 
 
 def _string_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(key, n): how often each byte string of order + 1 occurs."""
+    """(key, n, met): how often each byte string of order + 1 occurs in training documents, and in all. docs: text, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def merged() -> pa.RecordBatch:
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, *n = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.argsort(keys)
-            keys, n = keys[by], n[by]
+            keys = keys[by]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            held[:] = [(keys[first], np.add.reduceat(n, first))]
-            return pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], ["key", "n"])
+            held[:] = [(keys[first], *(np.add.reduceat(x[by], first) for x in n))]
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1]), pa.array(held[0][2])], ["key", "n", "met"])
 
         for batch in batches:
             for part in slices(batch, "text", PART):
-                keys, _ = stream([tokens(t) for t in part.column("text").to_pylist()], order)
-                keys.sort()
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                held.append((keys[first], np.diff(np.append(first, len(keys)))))
-                if sum(len(k) for k, _ in held) > 3 * HELD:
+                texts, out = part.column("text").to_pylist(), part.column("held_out").to_pylist()
+                for learn in (True, False):
+                    keys, _ = stream([tokens(t) for t, h in zip(texts, out, strict=True) if h != learn], order)
+                    keys.sort()
+                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                    met = np.diff(np.append(first, len(keys)))
+                    held.append((keys[first], met if learn else np.zeros(len(met), np.int64), met))
+                if sum(len(k) for k, *_ in held) > 3 * HELD:
                     out = merged()
                     if out.num_rows > 3 * HELD // 2:
                         yield out
@@ -190,33 +211,70 @@ def _string_counts(docs: DataFrame, order: int) -> DataFrame:
         if held:
             yield merged()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES) -> Model:
-    """The trie of all training documents. order: bytes of context, at most 6."""
-    level = cut(_string_counts(training, order).select("key", F.col("n").alias("raw"), "n"))
-    levels, most = [level], min_count
-    for k in range(order, 0, -1):
-        level = cut(level.groupBy(F.col("key").bitwiseAND(F.lit(256**k - 1)).alias("key")).agg(F.sum("raw").alias("raw"), F.count("*").alias("n")))
-        levels.insert(0, level)
-    for level in levels:  # how many strings there are by the size of their count, in steps of an eighth of a power of two
-        steps = dict(level.groupBy(F.floor(8 * F.log2("raw")).alias("step")).count().collect())
-        kept = sum(steps.values())
-        for step in sorted(steps):
-            if kept <= max_nodes:
-                break
-            kept -= steps[step]
-            most = max(most, 2 ** ((step + 1) / 8))
-    got = []
+    return docs.select("text", "held_out").mapInArrow(run, "key long, n long, met long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+
+
+def low_orders(counted: DataFrame, order: int) -> Model:
+    """The orders up to LOW of the trie of all counted strings (key, n), of which those with n > 0 count."""
+    low = min(LOW, order)
+    level, levels = counted.filter("n > 0").select("key", "n"), []
+    if order > low:
+        longer = level.select(F.col("key").bitwiseAND(F.lit(256 ** (low + 2) - 1)).alias("key")).distinct()
+        level = longer.groupBy(F.col("key").bitwiseAND(F.lit(256 ** (low + 1) - 1)).alias("key")).agg(F.count("*").alias("n"))
+    rows = level.toArrow()
+    keys, n = (rows.column(c).to_numpy() for c in ("key", "n"))
+    by = np.argsort(keys)
+    levels = [(keys[by], n[by])]
+    for k in range(low, 0, -1):
+        levels.insert(0, np.unique(levels[0][0] & (256**k - 1), return_counts=True))
+    model = Model()
     for level in levels:
-        total = F.sum("n").over(Window.partitionBy(F.shiftright("key", 8)))
-        rows = level.withColumn("total", total).filter(F.col("raw") >= most).select("key", "n", "total").toArrow()
-        key, n, total = (rows.column(i).to_numpy() for i in range(3))
-        by = np.argsort(key)
-        key, n, total = key[by], n[by].astype(np.uint32 if n.max(initial=0) < 2**32 else np.uint64), total[by]
-        got.append((key, n, total[np.flatnonzero(np.diff(key >> 8, prepend=-1))]))
-    return Model(order, got)
+        model.add(*level)
+    return model
+
+
+def string_odds(counted: DataFrame, low: Model, order: int) -> DataFrame:
+    """(key, met, log2): the logarithm of the odds of every counted string (key, n, met), branch by branch of the trie."""
+    shared = counted.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # branch, key, n, met
+
+        def scored(branch: np.ndarray, key: np.ndarray, n: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+            by = np.argsort(key)
+            key, n, met = key[by], n[by], met[by]
+            model = shared.value
+            if order > model.order:
+                model = model.with_strings(key[n > 0].astype(np.uint64), n[n > 0], order)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(met), pa.array(model.log2(key.astype(np.uint64)))], ["key", "met", "log2"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy() for c in ("branch", "key", "n", "met")))
+            if sum(len(x[0]) for x in held) >= BRANCHES:
+                every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                whole = int(np.searchsorted(every[0], every[0][-1]))  # the last branch may go on
+                if whole:
+                    yield scored(*(x[:whole] for x in every))
+                held = [tuple(x[whole:] for x in every)]
+        if held:
+            yield scored(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    branch = F.shiftright("key", 8).bitwiseAND(F.lit(256 ** (LOW + 1) - 1))
+    return counted.withColumn("branch", branch).repartition("branch").sortWithinPartitions("branch").mapInArrow(run, "key long, met long, log2 double")
+
+
+def most_met(odds: DataFrame, most: int) -> int:
+    """The least number of occurrences such that at most `most` strings have it."""
+    steps = dict(odds.groupBy(F.floor(8 * F.log2("met")).alias("step")).count().collect())
+    kept, least = sum(steps.values()), 0
+    for step in sorted(steps):
+        if kept <= most:
+            break
+        kept -= steps[step]
+        least = ceil(2 ** ((step + 1) / 8))
+    return least
 
 
 def _token_counts(docs: DataFrame) -> DataFrame:
@@ -240,35 +298,42 @@ def _token_counts(docs: DataFrame) -> DataFrame:
 SCORES = "doc_id long, tie long, token binary, n int, main struct<n_tokens:long, n_known:long, base_score:double, score:double, held_out:boolean>"
 
 
-def score_documents(docs: DataFrame, training: Column | None = None, order: int = ORDER, min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES, heavy: float = HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column | None = None, order: int = ORDER, most_table: int = MOST_TABLE, heavy: float = HEAVY) -> DataFrame:
     """Every document with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     training says which rows the models learn from (default: crc32 of doc_id as text, modulo 5, is not 1; null counts as
     the text "null"). score is log10 of the model's odds of the whole text with its end. A null or empty text is its end
     alone. Without training rows the models are uniform. Rows that repeat are scored alike. Extra columns are not read.
+    order: bytes of context, at most 6. most_table and heavy bound what is broadcast; they do not change results.
     """
     if training is None:
         training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 5 != 1
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held_out"))
-    learn = docs.filter("not held_out")
-    counts = cut(_token_counts(learn))
+    counts = cut(_token_counts(docs.filter("not held_out")))
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (distinct + 1)
     frequent = {bytes(r[0]): log10((r[1] + 0.5) / below) for r in counts.filter((F.col("c") >= heavy * total) & (F.col("c") > 0)).collect()}
     frequent.setdefault(b"", log10(0.5 / below))
     ends_known = int(total > 0)
-    shared = docs.sparkSession.sparkContext.broadcast((fit(learn, order, min_count, max_nodes), frequent))
+    strings = cut(_string_counts(docs, order))
+    odds = cut(string_odds(strings, low_orders(strings, order), order))
+    least = most_met(odds, most_table)
+    top = odds.filter(F.col("met") >= least).select("key", F.col("log2").cast("float").alias("log2")).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((Table(top.column("key").to_numpy(), top.column("log2").to_numpy()), frequent))
+    del top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value
-        model.build()
+        table, words = shared.value
+        table.build()
         for batch in batches:
             for part in slices(batch, "text", PART):
                 texts = [tokens(t) for t in part.column("text").to_pylist()]
                 keys, begin = stream(texts, order)
-                score = np.add.reduceat(model.log2_of_stream(keys), begin) * log10(2)
+                found, missing = table.find(keys)
+                score = np.add.reduceat(found, begin) * log10(2)
+                rarer = np.searchsorted(missing, np.append(begin, len(keys)))
                 rows: list[tuple] = []
-                for doc, tie, held, text, s in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tie", "held_out")), texts, score.tolist(), strict=True):
+                for i, (doc, tie, held, text, s) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "tie", "held_out")), texts, score.tolist(), strict=True)):
                     base, known, rest = words[b""], ends_known, []
                     for word, n in Counter(text).items():
                         if word in words:
@@ -276,6 +341,8 @@ def score_documents(docs: DataFrame, training: Column | None = None, order: int
                             known += n
                         else:
                             rest.append((doc, tie, word, n, None))
+                    if rarer[i] < rarer[i + 1]:
+                        rest += [(doc, tie, b"\t" + key.to_bytes(8), -n, None) for key, n in Counter(keys[missing[rarer[i] : rarer[i + 1]]].tolist()).items()]
                     # no word begins with a line feed, so this row meets no count and its key spreads over the partitions
                     rows.append((doc, tie, b"\n%d" % tie, 0, (len(text) + 1, known, base, s, held)))
                     rows += rest
@@ -287,18 +354,21 @@ def score_documents(docs: DataFrame, training: Column | None = None, order: int
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int32()), packed], ["doc_id", "tie", "token", "n", "main"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "held_out", "text").mapInArrow(run, SCORES)
-    rare = rows.join(counts, "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    n = F.col("n")
+    # words hold no white space: a tab and a string's eight bytes are no word
+    string = F.concat(F.lit(b"\t"), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+    facts = counts.select("token", "c", F.lit(0.0).alias("log2")).unionAll(odds.filter(F.col("met") < least).select(string, F.lit(0).cast("long"), "log2"))
+    rare = rows.join(facts, "token", "left")
+    c, n = F.coalesce("c", F.lit(0)), F.col("n")
     repeats = F.count("main")
     per = rare.groupBy("doc_id", "tie").agg(
         repeats.alias("repeats"),
         *[F.max(f"main.{c}").alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "held_out")],  # one row has them; apart, they need no sort
-        (F.sum(F.when(c > 0, n).otherwise(0)) / repeats).cast("long").alias("known"),
-        (F.sum(n * F.log10((c + 0.5) / F.lit(float(below)))) / repeats).alias("base"),
+        (F.sum(F.when((c > 0) & (n > 0), n).otherwise(0)) / repeats).cast("long").alias("known"),
+        (F.sum(F.when(n > 0, n * F.log10((c + 0.5) / F.lit(float(below)))).otherwise(0.0)) / repeats).alias("base"),
+        (F.sum(F.when(n < 0, -n * F.col("log2")).otherwise(0.0)) * log10(2) / repeats).alias("rarer"),
     )
     out = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("base")).alias("base_score"), "score",
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("base")).alias("base_score"), (F.col("score") + F.col("rarer")).alias("score"),
     )

@@ -7,15 +7,13 @@ on bad documents, and the share of good ones; the posterior probability of quali
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, bounded, mix, slices
+from tessera.llm.text import Words, bounded, mix, packed, slices
 from tessera.plans.cut import cut
 
 SYMBOLS = np.zeros(256, bool)
@@ -107,12 +105,9 @@ RULES = (
 )
 
 
-def pattern(rules: tuple = RULES, prefix: str = "") -> Column:
+def pattern(rules: tuple = RULES) -> Column:
     """The votes as digits in base 3: 0 against, 1 abstains, 2 in favour."""
-    def of(sql: str) -> Column:
-        return F.expr(re.sub(r"\b(n_\w+|word_chars)\b", rf"{prefix}.\1", sql) if prefix else sql)
-
-    return sum((F.when(of(bad), 0).when(of(good), 2).otherwise(1) * (3**i) for i, (_, bad, good) in enumerate(rules)), F.lit(0)).cast("int")
+    return sum((F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1) * (3**i) for i, (_, bad, good) in enumerate(rules)), F.lit(0)).cast("int")
 
 
 class LabelModel:
@@ -177,9 +172,14 @@ def judge(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFram
 
 
 def keep_good(docs: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
-    """The rows of docs that `judge` keeps, by two narrow passes: one counts patterns, one filters. Texts are not shuffled."""
-    failed = F.expr(re.sub(r"\b(n_\w+)\b", r"tessera_f.\1", BASE_FAILED))
-    voted = bounded(docs).withColumn("tessera_f", features()).filter(~failed).withColumn("tessera_p", pattern(rules, "tessera_f"))
-    quality = fit_votes(voted.groupBy(F.col("tessera_p").alias("pattern")).agg(F.count("*").alias("n")), len(rules))
-    good = quality.filter(F.col("quality") >= least).select("pattern")
-    return voted.join(F.broadcast(good), F.col("tessera_p") == F.col("pattern"), "left_semi").select(*docs.columns)
+    """The rows of docs that `judge` keeps, by two narrow passes: one counts patterns, one filters. Texts are not shuffled.
+
+    Null and empty texts fail the base rules and go; rows that repeat stay or go together; an empty table gives an empty one.
+    No column of docs can clash with what is added here.
+    """
+    def voted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("f", features()).select("*", "f.*").filter(f"not {BASE_FAILED}").withColumn("pattern", pattern(rules))
+
+    quality = fit_votes(voted(bounded(docs).select("text")).groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
+    good = F.broadcast(quality.filter(F.col("quality") >= least).select("pattern"))
+    return voted(packed(docs, "text")).join(good, "pattern", "left_semi").select("row.*")

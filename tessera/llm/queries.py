@@ -68,6 +68,55 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_mixing, op3_fingerprints, op4_ppm_scores, op5_packing, op6_language, op7_licenses, op8_warc, op9_quality, op10_simhash)}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 aims at, without what it draws."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", F.round("target", 3).alias("target"))
+
 
-ORACLES: dict[str, str] = {}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts, without the verdict of the model."""
+    out = quality.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_text, op2_mixing, op3_fingerprints, op4_ppm_scores, op5_packing, op6_language, op7_licenses, op8_warc, op9_quality, op10_simhash, mixing_targets, quality_counts)
+}
+
+_SIZES = "select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents"
+#: Sharing runs until no target is above its bound; a round stops one more source at least.
+_TARGETS = """
+with recursive sized as ({sizes}), sources as (select source, sum(size) as source_size, (array[5, 2, 1])[1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from sized group by source),
+shared as (
+  select 0 as round, source, source_size, weight, cast(null as double) as stopped, (select sum(source_size) from sources) * weight / (select cast(sum(weight) as double) from sources) as share from sources
+  union all
+  select round + 1, source, source_size, weight, now, case when now is null then left_over * weight / left_weight end from (
+    select *, sum(source_size) over () - sum(coalesce(now, 0)) over () as left_over, cast(sum(case when now is null then weight end) over () as double) as left_weight, sum(case when now is not null and stopped is null then 1 else 0 end) over () as news
+    from (select *, coalesce(stopped, case when share > 3 * source_size then 3e0 * source_size end) as now from shared) x) y
+  where news > 0
+),
+last as (select source, source_size, coalesce(stopped, share) as target from shared where round = (select max(round) from shared))
+select d.doc_id, d.size, cast(l.source_size as bigint) as source_size, round(l.target, 3) as target from sized d join last l on l.source is not distinct from d.source
+"""
+_COUNTS = """
+with docs as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
+worded as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, string_split(text, chr(10)) as lines from docs),
+windows as (select r, i, w[i:i + 2] as three, len(w) as n from (select r, w, unnest(generate_series(1, len(w) - 2)) as i from worded) x),
+again as (select r, unnest([i, i + 1, i + 2]) as pos from (select r, i, count(*) over (partition by r, three) as times from windows) x where times > 1),
+repeats as (select r, count(distinct pos) as n from again group by r),
+filled as (select r, len(list_filter(lines, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) as n, len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))) as different from worded)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(length(array_to_string(d.w, '')) as bigint) as word_chars, cast(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  cast(f.n - f.different as bigint) as n_dup_lines, cast(coalesce(p.n, 0) as bigint) as n_repeat_words, len(d.w) < 50 or 100 * coalesce(p.n, 0) > 50 * len(d.w) as base_failed
+from worded d join filled f on f.r = d.r left join repeats p on p.r = d.r
+"""
+_WARC = """
+with payloads as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n from pages),
+top as (select digest, max(page_id) as page_id from payloads where n >= 1000 group by digest)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest, case when t.page_id <> p.page_id then 'revisit' else 'response' end as record_type, case when t.page_id <> p.page_id then t.page_id end as refers_to
+from payloads p left join top t on t.digest = p.digest and p.n >= 1000
+"""
+
+#: What the others give cannot be told in SQL (XXH64, fitted models, tokenizers, parsers, drawn samples); tests hold it against brute force.
+ORACLES: dict[str, str] = {"op8_warc": _WARC, "mixing_targets": _TARGETS.format(sizes=_SIZES), "quality_counts": _COUNTS}

@@ -8,12 +8,13 @@ about half of the bits as the key, so that few others do.
 
 Equal fingerprints are one node from the start, so copies cost nothing. The fingerprints that meet in a bucket are linked
 by growing clusters: one comparison of a member with all that are left, which finds a spanning tree and no list of pairs.
-A bucket with very many fingerprints is dealt out again by a second set of masks, which covers all its pairs likewise.
+A bucket with very many fingerprints is dealt out again by further sets of masks, which cover all its pairs likewise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.copies import keep_first
 from tessera.llm.text import bounded
 from tessera.operators.components import connected_components
 from tessera.plans.cut import cut, small
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Distinct fingerprints of a bucket beyond which it is dealt out again; the rest of a bucket is compared in one task.
+#: Sets of masks at most; three of them leave some eight bits free.
+LEVELS = 4
+#: Distinct fingerprints of a bucket beyond which it is dealt out again.
 BUCKET = 20_000
 
 
@@ -68,10 +72,10 @@ def masks(radius: int = RADIUS, shift: int = 0) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def _tables(df: DataFrame, radius: int, shift: int, name: str) -> DataFrame:
-    """df once for each mask, with name: the table's number and the masked fingerprint."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("f").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius, shift))]))
-    return df.withColumn(name, each)
+def _dealt(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """rows (key, f) once for each mask of the level's set, with the bucket, the table and the masked fingerprint hashed to a new key. Two buckets of one hash only are compared as one."""
+    each = F.array(*[F.xxhash64("key", F.lit(level), F.lit(i), F.col("f").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, 7 * level))])
+    return rows.select(F.explode(each).alias("key"), "f")
 
 
 def cluster(found: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -89,14 +93,14 @@ def cluster(found: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """(u, v): the links of all buckets, from rows (keys, f) of distinct f."""
+def _links(buckets: DataFrame, radius: int) -> DataFrame:
+    """(u, v): the links of all buckets, from rows (key, f) of distinct f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the rows of the last bucket, which may go on
 
         def linked(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(f)]])
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(f)]])
             size = np.diff(edge)
             pairs = edge[:-1][size == 2]
             pairs = pairs[np.bitwise_count(f[pairs] ^ f[pairs + 1]) <= radius]
@@ -105,35 +109,54 @@ def _links(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            key = batch.column("key").to_numpy()
             f = batch.column("f").to_numpy().view(np.uint64)
             if not len(f):
                 continue
-            same = (key == key[-1]).all(axis=1)
+            same = key == key[-1]
             cut_at = len(f) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut_at:
                 k = np.concatenate([*(x[0] for x in held), key[:cut_at]])
                 yield linked(k, np.concatenate([*(x[1] for x in held), f[:cut_at]]))
                 held = []
-            elif held and (held[-1][0][-1] != key[0]).any():
+            elif held and held[-1][0][-1] != key[0]:
                 yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
             held.append((key[cut_at:], f[cut_at:]))
         if held:
             yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return buckets.select(*keys, "f").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def near_links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): links that join all distinct fingerprints f (long) that chains of pairs within the radius join."""
-    rows = _tables(fingerprints, radius, 0, "b").select("f", F.col("b.t").alias("t"), F.col("b.key").alias("key"))
-    hot = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
-    if hot.isEmpty():
-        return _links(rows, ["t", "key"], radius).distinct()
-    hot = small(hot.select("t", "key"))
-    again = _tables(rows.join(hot, ["t", "key"], "left_semi"), radius, 7, "c").select("t", "key", F.col("c.t").alias("t2"), F.col("c.key").alias("key2"), "f")
-    return _links(rows.join(hot, ["t", "key"], "left_anti"), ["t", "key"], radius).unionAll(_links(again, ["t", "key", "t2", "key2"], radius)).distinct()
+    """(u, v): links that join all distinct fingerprints f (long) that chains of pairs within the radius join.
+
+    A bucket of more than `bucket` fingerprints is dealt out by another set of masks, again and again; each set leaves
+    about half of the bits free, so that buckets of LEVELS sets hold few whatever the input.
+    """
+    rows, found = _dealt(fingerprints.select(F.lit(0).cast("long").alias("key"), "f"), radius, 0), []
+    for level in range(1, LEVELS + 1):
+        hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
+        if level == LEVELS or hot.isEmpty():
+            break
+        hot = small(hot.select("key"))
+        found.append(_links(rows.join(hot, "key", "left_anti"), radius))
+        rows = _dealt(rows.join(hot, "key", "left_semi"), radius, level)
+    return reduce(DataFrame.unionAll, [*found, _links(rows, radius)]).distinct()
+
+
+def _marked(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(doc_id, th, f) of every row; th stands for the text."""
+    text = F.coalesce("text", F.lit(""))
+    return cut(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), simhash("text", k, seed).alias("f")))
+
+
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """(f, component, least): the fingerprint that stands for the component of each, and the smallest doc_id of f."""
+    nodes = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
+    linked = connected_components(near_links(nodes.select("f"), radius)).withColumnRenamed("node", "f")
+    return cut(nodes.join(linked, "f", "left").select("f", F.coalesce("component", "f").alias("component"), "least"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -141,25 +164,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, see
 
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id counts as no id: its row has the
     component of the others, or null if none of them has an id. Rows that repeat come back as often. Other columns of docs
-    are not read.
+    are not read. Sides that one row in a third may meet are cut before they are joined: they are broadcast if they are
+    small, else Spark can split the join where it is hot.
     """
-    marked = cut(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text", k, seed).alias("f")))
-    nodes = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
-    linked = connected_components(near_links(nodes.select("f"), radius)).withColumnRenamed("node", "f")
-    roots = nodes.join(linked, "f", "left").withColumn("component", F.coalesce("component", "f"))
-    roots = cut(roots.select("f", "component", "least"))
-    ids = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    per = roots.filter("component <> f").unionAll(roots.filter("component = f")).join(ids, "component").select("f", "component_id")
-    return marked.join(cut(per), "f").select("doc_id", "f", "component_id")
+    marked = _marked(docs, k, seed)
+    roots = _components(marked, radius)
+    ids = cut(roots.groupBy("component").agg(F.min("least").alias("component_id")))
+    per = cut(roots.join(small(ids), "component").select("f", "component_id"))
+    return marked.join(small(per), "f").select("doc_id", "f", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id.
+    """docs with one row of each component: that of the smallest doc_id, and of rows that share it the first by a hash of the text.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay; of rows that repeat wholly, or an id and its text, one stays. No column of docs can clash with
+    what is added here.
     """
-    found = cut(near_duplicates(docs, radius, k, seed).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(found.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    if not found.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    marked = _marked(docs, k, seed)
+    roots = _components(marked, radius)
+    rows = cut(marked.filter("doc_id is not null").join(small(roots.select("f", "component")), "f").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
+    return keep_first(docs, rows)

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; a longer text goes alone. The arrays over it take up to a hundred times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Bytes of an Arrow batch between Spark and Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+#: Calls that free what an operator's tasks remember from one to the next. Workers live on; another operator's task makes the calls.
+FORGET: list[Callable[[], None]] = []
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -27,6 +31,11 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def packed(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """docs with all columns in one, row, beside more: no name that an operator adds can clash with theirs. select("row.*") gives docs back."""
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -64,6 +73,8 @@ def trim() -> None:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in parts with at most limit bytes of text each."""
+    while FORGET:
+        FORGET.pop()()
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(size), 0
     while at < len(size):

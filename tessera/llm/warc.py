@@ -11,6 +11,7 @@ executor leaves none half-written.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,9 @@ SCHEMA = "record_id string, record_type string, target_uri string, refers_to str
 #: Column of a predicate: the header it is about.
 HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "date": "warc-date"}
 PART_BYTES, READ_BYTES, MOST_HEADER = 64 << 20, 1 << 20, 1 << 20
+#: Bytes that a byte of a gzip file counts as when partitions are planned.
+INFLATED = 8
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -49,7 +53,7 @@ class Bytes:
     """A forward reader over a file: lines, exact reads and skips. Skips of plain files seek; those of gzip files inflate and forget."""
 
     def __init__(self, file, gzip: bool):
-        self.file, self.gzip, self.held, self.at, self.z, self.ended = file, gzip, b"", 0, None, False
+        self.file, self.gzip, self.held, self.at, self.z = file, gzip, b"", 0, None
 
     def more(self) -> bool:
         if self.gzip and self.z is not None and self.z.unconsumed_tail:
@@ -119,6 +123,17 @@ def fields(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
+def http_head(data: Bytes, length: int) -> tuple[bytes, bytes, int]:
+    """The HTTP headers of a block of length bytes, what was read beyond them, and how much of the block is left. Lines may end with a bare LF; a block without an empty line is all headers."""
+    got = b""
+    while length and len(got) <= MOST_HEADER:
+        more = data.read(min(length, 4096))
+        begin, got, length = max(0, len(got) - 3), got + more, length - len(more)
+        if end := EMPTY_LINE.search(got, begin):
+            return got[: end.start()], got[end.end() :], length
+    return got, b"", length
+
+
 def records(data: Bytes, wants, payload: bool) -> Iterator[tuple]:
     """The records that wants(headers) accepts, as rows of SCHEMA."""
     while (line := data.line()) is not None:
@@ -134,24 +149,18 @@ def records(data: Bytes, wants, payload: bool) -> Iterator[tuple]:
         if not wants(h):
             data.skip(length)
             continue
-        body, size = None, length
-        if payload or h.get("content-type", "").startswith("application/http"):
-            if h.get("content-type", "").startswith("application/http"):
-                inner, used = [], 0
-                while used < length:
-                    line = data.line()
-                    used += len(line) + 2
-                    if not line:
-                        break
-                    inner.append(line)
-                http = fields(inner[1:])
-                h |= {f"http-{k}": v for k, v in http.items()}
-                length -= used
-                size = int(http.get("content-length", length))
-            if payload:
-                body = data.read(length)
-                length = 0
-        data.skip(length)
+        body, size, read = None, length, b""
+        if h.get("content-type", "").startswith("application/http"):
+            inner, read, length = http_head(data, length)
+            said = fields(inner.splitlines()[1:])
+            h |= {f"http-{k}": v for k, v in said.items()}
+            size = len(read) + length
+            if h.get("warc-type") == "revisit" and not size and said.get("content-length", "").isdigit():
+                size = int(said["content-length"])  # of the payload that it revisits
+        if payload:
+            body = read + data.read(length)
+        else:
+            data.skip(length)
         yield (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("warc-date"), size, h, body)
 
 
@@ -186,6 +195,7 @@ class WarcReader(DataSourceReader):
         held: list[str] = []
         size = 0
         for path, n in _files(self.path):
+            n *= INFLATED if path.endswith(".gz") else 1
             if held and size + n > self.part_bytes:
                 out.append(Files(held))
                 held, size = [], 0
@@ -200,7 +210,10 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(path). Options: payload (true; false leaves the payload null and skips it), partbytes (bytes of files in a partition)."""
+    """spark.read.format("warc").load(path). Options: payload (true; false leaves the payload null and skips it), partbytes (bytes of files in a partition, gzip ones counted INFLATED times).
+
+    payload_bytes is what the record holds; for a revisit without a payload, what its HTTP headers say.
+    """
 
     @classmethod
     def name(cls) -> str:
