@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import copies, language, mixing, packing, quality, simhash
 from tessera.llm.queries import tokenizer_path
@@ -13,24 +12,27 @@ from tessera.plans.cut import checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the label model over the quality rules keeps. Null, empty and short texts go; rows that repeat stay or go together."""
     return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is told, which then stands in lang. Without any declared language all stay as they are."""
     return language.keep_identified(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the smallest doc_id; rows without an id stay, of rows that repeat one does."""
     return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, once the near copies are gone that the radius of simhash_dedup leaves (five-word shingles, 0.8 or more alike)."""
-    mixed = mixing.mix_sources(copies.keep_unlike(docs)).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.take(copies.keep_unlike(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens; a null text is its end token."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
