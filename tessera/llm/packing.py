@@ -25,7 +25,7 @@ from tessera.llm.text import FORGET, bounded, trim
 
 LENGTH, END = 2048, 1
 #: Bytes of text that are tokenised at once.
-GATHERED = 4 << 20
+GATHERED = 8 << 20
 #: Documents of a group on average.
 GROUP_ROWS = 8_192
 #: Distinct chunks, and distinct pre-tokens, of a generation that a worker remembers.
@@ -174,7 +174,7 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = GATHERED) -> Iterat
         yield pa.concat_batches(held)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, apart: bool = True) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, apart: bool = True, gather: int = GATHERED) -> DataFrame:
     """(doc_id, tie, nth, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut into pieces of at most length.
 
     tie is a hash of the text and nth numbers equal rows within a task, so a task that is run again gives the same rows in any order.
@@ -184,7 +184,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer, apart)
         seen: dict[tuple, int] = {}
-        for part in gathered(batches):
+        for part in gathered(batches, gather):
             out: list[tuple] = []
             for doc, tie, ids in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), tok.ids(part.column("text")), strict=True):
                 ids = np.append(ids, end).astype("<u4")
@@ -196,15 +196,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end:
     return slim.mapInArrow(run, "doc_id long, tie long, nth long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 42) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 42, gather: int = GATHERED) -> DataFrame:
     """The pieces of all documents with their sequence and offset.
 
     A null or empty text is the end id alone. Rows that repeat are documents of their own. Pieces lie without gaps from
     offset 0 of their sequence; sequence_id is the group's number times 2^32 plus the bin, so it is unique but not dense.
-    An empty table gives no pieces. Other columns of docs are not read.
+    An empty table gives no pieces. Other columns of docs are not read. gather: bytes of text that are tokenised at once; less
+    takes less memory and more time.
     """
     groups = max(1, -(-docs.count() // group_rows))
-    pieces = tokenized_pieces(docs, tokenizer, length, end).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "nth"), F.lit(groups)))
+    pieces = tokenized_pieces(docs, tokenizer, length, end, gather=gather).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie", "nth"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "tie", "nth", "start")])

@@ -31,6 +31,8 @@ from tessera.plans.cut import cut, small
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Sets of masks at most; three of them leave some eight bits free.
 LEVELS = 4
+#: Rows of a table by fingerprint that may be broadcast; such tables grow with the documents.
+FEW = 10_000
 #: Distinct fingerprints of a bucket beyond which it is dealt out again.
 BUCKET = 20_000
 
@@ -170,8 +172,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, see
     marked = _marked(docs, k, seed)
     roots = _components(marked, radius)
     ids = cut(roots.groupBy("component").agg(F.min("least").alias("component_id")))
-    per = cut(roots.join(small(ids), "component").select("f", "component_id"))
-    return marked.join(small(per), "f").select("doc_id", "f", "component_id")
+    per = cut(roots.join(small(ids, FEW), "component").select("f", "component_id"))
+    return marked.join(small(per, FEW), "f").select("doc_id", "f", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -182,5 +184,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, seed: int
     """
     marked = _marked(docs, k, seed)
     roots = _components(marked, radius)
-    rows = cut(marked.filter("doc_id is not null").join(small(roots.select("f", "component")), "f").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
+    rows = cut(marked.filter("doc_id is not null").join(small(roots.select("f", "component"), FEW), "f").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
     return keep_first(docs, rows)
