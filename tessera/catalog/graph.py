@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.registry import TEST, _like, query
 from tessera.functions import paths
-from tessera.operators import enrich, lookup, traverse
+from tessera.operators import enrich, lookup, spans, traverse
 from tessera.sources import adapter
 
 START, METHOD_NATION, ORDER_ID = "n3", "n7", "o5"
@@ -255,7 +255,7 @@ INNER = "select file_path, line, id from (select l.file_path, l.line, s.id, row_
 def j07_innermost_span(spark, sf_dir):
     symbols = adapter.symbols(spark, sf_dir)
     lines = symbols.filter("kind in ('class', 'method', 'function') and start_line % 5 = 1").select("file_path", (F.col("start_line") + F.col("start_line") % 13).alias("line")).distinct()
-    return traverse.innermost(lines, symbols)
+    return spans.innermost(lines, symbols)
 
 
 @query(
@@ -266,7 +266,7 @@ def j07_innermost_span(spark, sf_dir):
 def j08_nearest_span(spark, sf_dir):
     symbols = adapter.symbols(spark, sf_dir)
     lines = symbols.filter("kind = 'method'").select("file_path", (F.col("start_line") - 2).alias("line")).distinct()
-    return lookup.nearest_span(lines, symbols)
+    return spans.nearest_span(lines, symbols)
 
 
 @query("j13_member_links", "select distinct c.from_id as holder, l.type, l.to_id as other from links c join symbols s on s.id = c.from_id and s.kind in ('class', 'interface') join links l on l.from_id = c.to_id and l.type <> 'contains' where c.type = 'contains'")
@@ -359,7 +359,7 @@ CHANGED = "select distinct s.id from hunks h join symbols s on s.file_path = h.f
 @query("k08_detect_changes", "select c.id, coalesce(d.dependents, 0) as dependents from changed c left join dependents d on d.id = c.id", {"hunks": HUNKS, "changed": CHANGED})
 def k08_detect_changes(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
-    return lookup.changed_symbols(spark.sql(HUNKS), symbols).select("id").distinct().join(lookup.dependent_files(links, symbols), "id", "left").fillna(0)
+    return spans.changed_symbols(spark.sql(HUNKS), symbols).select("id").distinct().join(lookup.dependent_files(links, symbols), "id", "left").fillna(0)
 
 
 REVIEW = {**RISK, "hunks": HUNKS, "changed": CHANGED, "reviewed": "select l.* from leveled l join changed c on c.id = l.id"}

@@ -58,18 +58,18 @@ def v03_scoped_grep(spark, sf_dir):
 
 
 TOK = {
-    "toks": "select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1) as ts from documents where doc_id < 200",
+    "toks": "select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1) as ts from documents",
     "dfs": "select term, count(*) as df from (select unnest(list_distinct(ts)) as term from toks) x group by term",
 }
 FNV = "list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(string_split({t}, ''), lambda c: cast(ascii(c) as bigint))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
-@query("a17_document_frequencies", "select term, df from dfs", {**TOK, "toks": TOK["toks"].replace(" where doc_id < 200", "")})
+@query("a17_document_frequencies", "select term, df from dfs", TOK)
 def a17_document_frequencies(spark, sf_dir):
     return textsearch.document_frequencies(_docs(spark, sf_dir))
 
 
-@query("a18_term_frequencies", "select id, term, count(*) as tf from (select id, unnest(ts) as term from toks) x group by id, term", {"toks": TOK["toks"].replace(" where doc_id < 200", "")})
+@query("a18_term_frequencies", "select id, term, count(*) as tf from (select id, unnest(ts) as term from toks) x group by id, term", {"toks": TOK["toks"]})
 def a18_term_frequencies(spark, sf_dir):
     words = _docs(spark, sf_dir).select("id", F.explode(textsearch.tokens(F.col("text"))).alias("term"))
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -79,14 +79,13 @@ def a18_term_frequencies(spark, sf_dir):
     "v04_tfidf",
     "select id, bucket, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from sums where w <> 0",
     {
-        "toks": "select item_id as id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1) as ts from benchmark",
-        "dfs": TOK["dfs"],
-        "hashed": f"select term, ln(1 + (select count(*) from benchmark) / cast(1 + df as double)) as idf, {FNV.format(t='term')} % 256 as bucket, case when {FNV.format(t="(term || '_sign')")} % 2 = 0 then 1e0 else -1e0 end as sign from dfs",
+        **TOK,
+        "hashed": f"select term, ln(1 + (select count(*) from documents) / cast(1 + df as double)) as idf, {FNV.format(t='term')} % 256 as bucket, case when {FNV.format(t="(term || '_sign')")} % 2 = 0 then 1e0 else -1e0 end as sign from dfs",
         "sums": "select t.id, h.bucket, sum(t.tf / cast(t.len as double) * h.idf * h.sign) as w from (select id, len, term, count(*) as tf from (select id, len(ts) as len, unnest(ts) as term from toks) x group by 1, 2, 3) t join hashed h on h.term = t.term group by 1, 2",
     },
 )
 def v04_tfidf(spark, sf_dir):
-    return textsearch.tfidf(adapter.table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"))
+    return textsearch.tfidf(_docs(spark, sf_dir))
 
 
 @query("v06_embeddings", "select count(*) as n, count(*) filter (len(embedding) = 64) as sound, count(distinct label) as labels from embeddings")

@@ -46,14 +46,14 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     base = F.concat(F.col("path"), F.lit("#section:"), F.col("name"))
     heads = heads.withColumn("n", same).withColumn("id", F.when(F.col("n") == 1, base).otherwise(F.concat(base, F.lit(":"), F.col("n")))).drop("n")
     total = files.select("path", (F.size(F.split("text", "\r?\n")) - F.when(F.col("text").endswith("\n"), 1).otherwise(0)).alias("total"))
-    after = Window.partitionBy("path").orderBy("start_line").rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy("path").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    following = F.collect_list(F.struct("start_line", "level")).over(after)
-    earlier = F.collect_list(F.struct("id", "level")).over(before)
-    heads = heads.withColumn("following", following).withColumn("earlier", earlier).join(total, "path")
-    stop = F.try_element_at(F.filter("following", lambda h: h["level"] <= F.col("level")), F.lit(1))["start_line"]
-    parent = F.try_element_at(F.filter("earlier", lambda h: h["level"] < F.col("level")), F.lit(-1))["id"]
-    return heads.select("id", "path", "name", "level", "start_line", F.coalesce(stop - 1, "total").alias("end_line"), parent.alias("parent_id"))
+    after = Window.partitionBy("path").orderBy(F.desc("start_line")).rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("level")
+    # one running aggregate for each of the six levels, so that no heading looks at all the others
+    stops = F.array(*[F.min(F.when(level <= k, F.col("start_line"))).over(after) for k in range(1, 7)])
+    parents = F.array(*[F.max(F.when(level < k, F.struct("start_line", "id"))).over(before) for k in range(1, 7)])
+    heads = heads.withColumn("stops", stops).withColumn("parents", parents).join(total, "path")
+    return heads.select("id", "path", "name", "level", "start_line", F.coalesce(F.element_at("stops", level) - 1, "total").alias("end_line"), F.element_at("parents", level)["id"].alias("parent_id"))
 
 
 def markdown_links(files: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".py", "/in
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """imports (file_path, module_path, ...) with target: the first existing file among the endings of the module path, else null.
 
-    A path with an alias (prefix to folder) or a leading dot is resolved; others are tried as they are.
+    A path with an alias (prefix to folder) or a leading dot is resolved; others are tried as they are. A .js path that leads
+    nowhere is tried as .ts and .tsx.
     """
     m = F.col("module_path")
     folder = F.regexp_replace("file_path", "[^/]*$", "")
@@ -139,8 +140,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
         return F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
 
     plain = F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/")
-    plain = F.when(plain.endswith(".js"), plain).otherwise(plain)
-    tries = imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).select("*", F.posexplode(F.array(*[F.concat(plain, F.lit(e)) for e in ENDINGS])).alias("tessera_at", "path"))
+    tried = [F.concat(plain, F.lit(e)) for e in ENDINGS] + [F.when(plain.rlike(r"\.jsx?$"), F.regexp_replace(plain, r"\.jsx?$", e)) for e in (".ts", ".tsx")]
+    tries = imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).select("*", F.posexplode(F.array(*tried)).alias("tessera_at", "path"))
     hit = tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("tessera_id").agg(F.min_by("path", "tessera_at").alias("target"))
     return imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).join(hit, "tessera_id", "left").drop("tessera_id")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import traverse
+from tessera.operators import spans, traverse
 from tessera.operators.enrich import enrich, half_up
 
 
@@ -82,14 +82,6 @@ def domain_stats(files: DataFrame, counted: DataFrame) -> DataFrame:
     return files.join(marks, "id", "left").groupBy("zone").agg(F.count_distinct("file_path").alias("files"), F.count("mark").alias("symbols"))
 
 
-def nearest_span(lines: DataFrame, symbols: DataFrame, reach: int = 3) -> DataFrame:
-    """(file_path, line, id): a symbol whose span holds the line, else one that starts at most reach lines away; the nearest start, then the first id."""
-    inside: Column = (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
-    away = F.abs(F.col("start_line") - F.col("line"))
-    order = Window.partitionBy("file_path", "line").orderBy(F.when(inside, 0).otherwise(1), away, "id")
-    return lines.join(symbols.select("file_path", "id", "start_line", "end_line"), "file_path").filter(inside | (away <= reach)).withColumn("r", F.row_number().over(order)).filter("r = 1").select("file_path", "line", "id")
-
-
 def resolution_diff(legacy: DataFrame, scoped: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(from_id, to_id, type, side): links that one side alone has, or whose confidences differ by more than tolerance."""
     key = ["from_id", "to_id", "type"]
@@ -152,13 +144,8 @@ def edit_gates(links: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame
     return symbols.select("id").join(n, "id", "left").fillna(0).select("id", (F.col("strict") > most).alias("impact_blocked"), (F.col("guard") > most).alias("guard_blocked"))
 
 
-def changed_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols whose span meets a hunk (file_path, from_line, to_line)."""
-    return symbols.join(hunks, "file_path").filter((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")))
-
-
 def review(links: DataFrame, symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    return risk(links, symbols).join(changed_symbols(hunks, symbols).select("id"), "id", "left_semi")
+    return risk(links, symbols).join(spans.changed_symbols(hunks, symbols).select("id"), "id", "left_semi")
 
 
 def review_rollup(reviewed: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.cut import cut
+
 EXTERNAL = "#external:"
 # Names that belong to the language rather than to the project.
 BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "super", "open", "map", "filter", "push", "pop", "slice", "join", "log", "require", "parseInt", "setTimeout", "fetch", "Error", "Promise", "Array", "Object")
@@ -172,21 +174,20 @@ def c3(parents: dict[str, list[str]], name: str) -> list[str] | None:
     return line(name, ())
 
 
-def method_orders(heritage: DataFrame, depth: int = 20) -> DataFrame:
+def method_orders(heritage: DataFrame) -> DataFrame:
     """(class, order): the C3 method resolution order of every class in heritage (class, parent, position), null where there is none.
 
-    Each class meets its own ancestors only: their closure is a bounded walk, and a class's ancestor edges are one small group.
+    Each class meets its own ancestors only: their closure is a walk that ends when a level adds nothing, and a class's
+    ancestor edges are one small group.
     """
-    edges = heritage.select("class", "parent", "position").distinct()
-    names = edges.select(F.col("class").alias("c")).unionAll(edges.select("parent")).distinct()
-    closure = names.select("c", F.col("c").alias("a"))
-    frontier = closure
-    for _ in range(depth):
-        frontier = frontier.join(edges, F.col("a") == F.col("class")).select("c", F.col("parent").alias("a")).distinct()
+    edges = cut(heritage.select("class", "parent", "position").distinct())
+    up = edges.select(F.col("class").alias("a"), F.col("parent").alias("next")).filter("next is not null").distinct()
+    names = edges.select(F.col("class").alias("c")).unionAll(edges.select("parent")).filter("c is not null").distinct()
+    closure = frontier = cut(names.select("c", F.col("c").alias("a")))
+    while not frontier.isEmpty():
+        frontier = cut(frontier.join(up, "a").select("c", F.col("next").alias("a")).distinct().join(closure, ["c", "a"], "left_anti"))
         closure = closure.unionAll(frontier)
-        if frontier.isEmpty():
-            break
-    own = closure.distinct().join(edges, F.col("a") == F.col("class"), "left").select("c", F.col("a").alias("class"), "parent", "position")
+    own = closure.join(edges, F.col("a") == F.col("class"), "left").select("c", F.col("a").alias("class"), "parent", "position")
 
     def run(key: tuple, rows):
         import pandas as pd

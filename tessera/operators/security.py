@@ -38,25 +38,27 @@ RULES = [
 def scan(files: DataFrame, rules: list[tuple] = RULES, apart: bool = True) -> DataFrame:
     """(rule, category, severity, file, line, match): every rule's first match on every line of files (path, text).
 
-    A file must fit a rule's glob and not its exclusion. apart drops all but the first rule of a category on a line. Matches
-    of secrets are redacted, others cut to 100 characters. Lines are read once and hold all rules' answers as one array, so
-    there is no join of files with rules.
+    A file must fit a rule's globs and none of its exclusions. apart drops all but the first rule of a category on a line.
+    Matches of secrets are redacted, others cut to 100 characters. Lines are read once and hold all rules' answers as one
+    array, in the order of the rules' ids, so each pattern runs once on a line and nothing is joined or shuffled.
     """
     def answer(rule: tuple) -> Column:
-        id_, category, severity, pattern, glob, without = rule
-        applies = F.col("path").rlike(glob_to_regex(glob)) if glob != "**" else F.lit(True)
-        if without:
-            applies = applies & ~F.col("path").rlike(glob_to_regex(without))
+        id_, category, severity, pattern, glob, without = rule[:6]
         found = F.regexp_substr("body", F.lit(pattern))
-        shown = redact(found) if category == "secrets" else F.when(F.length(found) > 100, F.concat(F.substring(found, 1, 97), F.lit("..."))).otherwise(found)
-        return F.when(applies & F.col("body").rlike(pattern), F.struct(F.lit(id_).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), shown.alias("match")))
-
-    hits = F.filter(F.array(*[answer(r) for r in rules]), lambda x: x.isNotNull())
-    found = lines(files.select("path", "text")).select(F.col("path").alias("file"), "line", F.explode(hits).alias("h")).select("h.rule", "h.category", "h.severity", "file", "line", "h.match")
+        for globs, wanted in ((glob, True), (without, False)):
+            if globs and globs != "**":
+                fits = F.col("path").rlike("|".join(f"(?:{glob_to_regex(g)})" for g in globs.split("|")))
+                found = F.when(fits if wanted else ~fits, found)
+        return F.struct(F.lit(id_).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), found.alias("found"))
+
+    answers = F.filter(F.array(*[answer(r) for r in sorted(rules, key=lambda r: r[0])]), lambda x: x["found"].isNotNull())
+    hits = lines(files.select("path", "text")).select(F.col("path").alias("file"), "line", F.col("path"), "body").select("file", "line", answers.alias("hits")).filter(F.size("hits") > 0)
     if apart:
-        first = Window.partitionBy("category", "file", "line").orderBy("rule")
-        found = found.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
-    return found
+        earlier = lambda x, i: F.exists(F.slice("hits", F.lit(1), i), lambda y: y["category"] == x["category"])
+        hits = hits.withColumn("hits", F.filter("hits", lambda x, i: (i == 0) | ~earlier(x, i)))
+    h = F.col("h")
+    cut_off = F.when(F.length(h["found"]) > 100, F.concat(F.substring(h["found"], 1, 97), F.lit("..."))).otherwise(h["found"])
+    return hits.withColumn("h", F.explode("hits")).select("h.rule", "h.category", "h.severity", "file", "line", F.when(h["category"] == "secrets", redact(h["found"])).otherwise(cut_off).alias("match"))
 
 
 def by_severity(findings: DataFrame, most: int = 50) -> DataFrame:

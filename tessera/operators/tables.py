@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.cut import cut
+
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """stored with the rows of changes in place of those with the same keys; of several changes to a key the last by seq counts."""
@@ -57,9 +59,17 @@ def newest(rows: DataFrame, group: list[str], by: str, most: int = 10, tie: str
 
 
 def chunks(files: DataFrame, size: str, order: str, budget: int) -> DataFrame:
-    """files with chunk: a new one whenever the running size passes a multiple of budget."""
-    total = F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("chunk", F.floor(F.coalesce(total, F.lit(0)) / budget).cast("long"))
+    """files with chunk: a new one whenever the running size passes a multiple of budget.
+
+    Files are dealt into ranges of the order; a range adds up its own sizes, after the sum of the ranges before it.
+    """
+    ranged = cut(files.repartitionByRange(order).withColumn("tessera_range", F.spark_partition_id()))
+    sums = ranged.groupBy("tessera_range").agg(F.sum(size).alias("tessera_size"))
+    until = Window.orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sums.select("tessera_range", F.coalesce(F.sum("tessera_size").over(until), F.lit(0)).alias("tessera_offset"))
+    before = F.sum(size).over(Window.partitionBy("tessera_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    total = F.col("tessera_offset") + F.coalesce(before, F.lit(0))
+    return ranged.join(F.broadcast(offsets), "tessera_range").withColumn("chunk", F.floor(total / budget).cast("long")).drop("tessera_range", "tessera_offset")
 
 
 class Versions:

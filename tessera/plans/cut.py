@@ -33,9 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has few rows; otherwise df, for a shuffled join.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has few rows. The count stops at rows + 1. Give it a checkpointed or cheap frame."""
+    return df.limit(rows + 1).count() <= rows
+
 
-    The count stops at rows + 1. Give it a checkpointed or cheap frame.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has few rows; otherwise df, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -18,16 +18,16 @@ union all select 'o' || o_orderkey, 'order_' || o_orderkey, 'function', case whe
   cast(o_orderkey * 10 + 1 as int), cast(o_orderkey * 10 + 9 as int), o_orderstatus = 'F', cast(null as {s}) from {orders}
 """
 
-#: from_id, to_id, type, confidence. Unions drop repeated edges.
+#: from_id, to_id, type, confidence. Only line items have repeated edges; keys make the others distinct.
 REFERENCES = """
 select from_id, to_id, type, (35 + 10 * (n % 7)) / 1e2 as confidence from (
 select 'o' || o_orderkey as from_id, 'c' || o_custkey as to_id, 'calls' as type, o_orderkey as n from {orders}
-union select 'c' || c_custkey, 'n' || c_nationkey, 'extends', c_custkey from {customer}
-union select 's' || s_suppkey, 'n' || s_nationkey, 'implements', s_suppkey from {supplier}
-union select 'n' || n_nationkey, 'r' || n_regionkey, 'imports', n_nationkey from {nation}
-union select 'n' || n_nationkey, 'n' || ((n_nationkey * 7 + 3) % 25), 'calls', n_nationkey from {nation}
-union select 'o' || l_orderkey, 'p' || l_partkey, 'references', l_orderkey from {lineitem} where l_linenumber = 1
-union select 'p' || l_partkey, 's' || l_suppkey, 'imports', l_partkey from {lineitem} where l_linenumber = 2 and l_quantity > 40) as edges
+union all select 'c' || c_custkey, 'n' || c_nationkey, 'extends', c_custkey from {customer}
+union all select 's' || s_suppkey, 'n' || s_nationkey, 'implements', s_suppkey from {supplier}
+union all select 'n' || n_nationkey, 'r' || n_regionkey, 'imports', n_nationkey from {nation}
+union all select 'n' || n_nationkey, 'n' || ((n_nationkey * 7 + 3) % 25), 'calls', n_nationkey from {nation}
+union all select distinct 'o' || l_orderkey, 'p' || l_partkey, 'references', l_orderkey from {lineitem} where l_linenumber = 1
+union all select distinct 'p' || l_partkey, 's' || l_suppkey, 'imports', l_partkey from {lineitem} where l_linenumber = 2 and l_quantity > 40) as edges
 """
 
 CONTAINS = "select parent_id as from_id, id as to_id, 'contains' as type, 1e0 as confidence from ({symbols}) as nodes where parent_id is not null"
