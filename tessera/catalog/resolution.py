@@ -1,4 +1,4 @@
-"""Resolution of facts to links on a small project of our own, with the links that its source says."""
+"""Resolution of facts to links. The facts come from the star-schema tables, as a project whose files import, call and extend each other; the same SQL makes them for both engines."""
 
 from __future__ import annotations
 
@@ -9,139 +9,223 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.registry import query
 from tessera.operators import resolve
-
-#: id, name, kind, file_path, exported, parent_id, start_line
-SYMBOLS = [
-    ("m#Base", "Base", "class", "src/m.ts", True, None, 1), ("m#save", "save", "method", "src/m.ts", False, "m#Base", 2), ("m#User", "User", "class", "src/m.ts", True, None, 5), ("m#load", "load", "method", "src/m.ts", False, "m#User", 6),
-    ("u#fmt", "fmt", "function", "src/u.ts", True, None, 1), ("u#helper", "helper", "function", "src/u.ts", False, None, 4), ("v#fmt", "fmt", "function", "lib/v.ts", True, None, 1), ("a#main", "main", "function", "src/a.ts", True, None, 3), ("a#helper", "helper", "function", "src/a.ts", False, None, 9),
-]
-#: file_path, target, name, alias, kind, line
-IMPORTS = [("src/a.ts", "src/idx.ts", "User", "U", "named", 1), ("src/a.ts", "src/u.ts", "fmt", None, "named", 2), ("src/a.ts", "src/m.ts", "d", None, "default", 3), ("src/b.ts", "src/u.ts", "*", None, "wildcard", 1), ("src/b.ts", "src/none.ts", "x", None, "default", 2), ("src/b.ts", None, "react", None, "default", 3), ("src/b.ts", None, "./gone", None, "named", 4)]
-#: file, name, source, line
-REEXPORTS = [("src/idx.ts", "*", "src/mid.ts", 1), ("src/mid.ts", "User", "src/m.ts", 1), ("src/mid.ts", "*", "src/u.ts", 2)]
-#: call_id, file_path, scope_id, name, receiver, line
-CALLS = [
-    (1, "src/a.ts", "a#main", "U", None, 4), (2, "src/a.ts", "a#main", "fmt", None, 5), (3, "src/a.ts", "a#main", "helper", None, 6), (4, "src/a.ts", "a#main", "load", "u", 7), (5, "src/m.ts", "m#load", "save", "this", 7), (6, "src/a.ts", "a#main", "shadow", None, 8),
-    (7, "src/a.ts", "a#main", "print", None, 8), (8, "src/b.ts", "u#fmt", "fmt", None, 3), (9, "src/a.ts", "a#main", "main", None, 9),
-]
-LOCALS = [("a#main", "shadow")]
-BINDINGS = [("src/a.ts", "u", "User")]
-HERITAGE = [("src/m.ts", "User", "Base", "extends", 5), ("src/m.ts", "Base", "Model", "extends", 1)]
-
-
-def _tables(spark) -> dict[str, DataFrame]:
-    make = spark.createDataFrame
-    return {
-        "symbols": make(SYMBOLS, "id string, name string, kind string, file_path string, exported boolean, parent_id string, start_line int"),
-        "imports": make(IMPORTS, "file_path string, target string, name string, alias string, kind string, line int"),
-        "reexports": make(REEXPORTS, "file string, name string, source string, line int"),
-        "calls": make(CALLS, "call_id int, file_path string, scope_id string, name string, receiver string, line int"),
-        "locals": make(LOCALS, "scope_id string, name string"),
-        "bindings": make(BINDINGS, "file_path string, name string, type_name string"),
-        "heritage": make(HERITAGE, "file_path string, child string, parent string, type string, line int"),
-    }
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    text = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
-    return f"select * from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) as v({columns})"
-
-
-LINK = "from_id, to_id, confidence, reason"
-A, B = "src/a.ts#module:_top:0", "src/b.ts#module:_top:0"
-IMPORT_LINKS = [(A, "m#User", 0.95, "import-named"), (A, "u#fmt", 0.95, "import-named"), (A, "m#Base", 0.85, "import-default"), (B, "u#fmt", 0.65, "import-wildcard"), (B, "src/none.ts#module:_top:0", 0.6, "import-default-module")]
-
-
-@query("r01_r03_import_links", _values(IMPORT_LINKS, LINK))
-@query("j10_import_bindings", _values(IMPORT_LINKS, LINK))
+from tessera.sources import adapter
+
+#: Symbols with names that many share: functions and methods are called alike in many files.
+CODE = """select id, case kind when 'function' then 'order_' || ((start_line - 1) / 10 % 50) when 'method' then 'm' || ((start_line - 1) / 10 % 10) else name end as name, kind, file_path, exported, parent_id, start_line from symbols"""
+INDEX = "src/geo/index.ts"
+FACTS = {
+    "code": CODE.replace("(start_line - 1) / 10", "cast(floor((start_line - 1) / 1e1) as int)"),
+    # file, name, source, line: an index names every other nation and passes on all of one file through another
+    "reexports": f"select '{INDEX}' as file, n_name as name, 'src/geo/n' || (n_nationkey % 5) || '.ts' as source, n_nationkey as line from nation where n_nationkey % 2 = 0 union all select '{INDEX}', '*', 'src/geo/mid.ts', 90 union all select 'src/geo/mid.ts', '*', 'src/geo/n1.ts', 1",
+    # file_path, target, name, alias, kind, line
+    "imports": f"""select distinct o.file_path, c.file_path as target, c.name, case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey end as alias, 'named' as kind, cast(x.o_custkey % 90 as int) as line from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey
+      union all select distinct c.file_path, n.file_path, 'd', cast(null as VARCHAR), 'default', 1 from symbols c join symbols n on n.id = c.parent_id where c.kind = 'class'
+      union all select distinct s.file_path, n.file_path, '*', cast(null as VARCHAR), 'wildcard', 2 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
+      union all select distinct s.file_path, '{INDEX}', n.name, cast(null as VARCHAR), 'named', 3 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
+      union all select distinct file_path, cast(null as VARCHAR), case when start_line % 20 < 10 then 'lib' || (start_line % 7) else './gone' || (start_line % 7) end, cast(null as VARCHAR), 'default', 4 from symbols where kind = 'type'""",
+    # call_id, file_path, scope_id, name, receiver, line
+    "calls": """select cast(x.o_orderkey as bigint) as call_id, o.file_path, o.id as scope_id,
+        case x.o_orderkey % 8 when 0 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 1 then 'order_' || (x.o_orderkey % 60) when 2 then 'm' || (x.o_custkey % 12) when 3 then 'm' || (x.o_custkey % 10) when 4 then 'm' || (x.o_custkey % 10) when 5 then 'print' when 6 then 'nobody' else 'shadow' end as name,
+        case x.o_orderkey % 8 when 2 then 'any' when 3 then 'v' when 4 then n.name end as receiver, o.start_line as line
+      from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
+      union all select cast(-start_line as bigint), file_path, id, 'm' || (start_line % 7), 'this', start_line from symbols where kind = 'method'""",
+    "locals": "select scope_id, name from calls where name = 'shadow' and call_id % 16 = 7",
+    # file_path, name, type_name
+    "bindings": "select distinct o.file_path, 'v' as name, n.name as type_name from symbols o join symbols n on n.id = 'n' || (o.start_line % 3) where o.kind = 'function'",
+    # file_path, child, parent, type, line
+    "heritage": "select c.file_path, c.name as child, case when c.start_line % 11 = 0 then 'Ghost' || (c.start_line % 5) else n.name end as parent, 'extends' as type, c.start_line as line from symbols c join symbols n on n.id = c.parent_id where c.kind = 'class'",
+    # file_path, scope_id, type_name, line, kind
+    "typed": "select distinct o.file_path, o.id as scope_id, p.p_name as type_name, o.start_line as line, case when o.start_line % 20 < 10 then 'type-annotation' else 'return-annotation' end as kind from lineitem l join symbols o on o.id = 'o' || l.l_orderkey join part p on p.p_partkey = l.l_partkey where l.l_linenumber = 1",
+    "assigned": "select distinct file_path, 'w' || (start_line % 9) as name, 'v' as source from symbols where kind = 'function' and start_line % 3 = 0",
+    "results": "select distinct file_path, case when start_line % 5 = 0 then 'v' else 'z' || (start_line % 9) end as name, 'make' || (start_line % 4) as callee from symbols where kind = 'function'",
+    "returned": "select 'make' || (n_nationkey % 3) as callee, n_name as type_name from nation",
+}
+
+
+def _facts(spark, sf_dir) -> dict[str, DataFrame]:
+    """The facts as frames; each may use those before it."""
+    names = adapter.spark_names(sf_dir)
+    symbols = adapter.symbols(spark, sf_dir)
+    ctes = {"symbols": adapter._fill(adapter.SYMBOLS, "string", names)} | {t: f"select * from {names[t]}" for t in ("orders", "nation", "lineitem", "part")} | {k: v.replace("VARCHAR", "string") for k, v in FACTS.items()}
+
+    def frame(name: str) -> DataFrame:
+        order, need = list(ctes), set()
+
+        def add(n: str) -> None:
+            if n not in need:
+                need.add(n)
+                for other in order:
+                    if other != n and other in ctes[n].replace(",", " ").replace("(", " ").split():
+                        add(other)
+
+        add(name)
+        return spark.sql("with " + ", ".join(f"{n} as ({ctes[n]})" for n in order if n in need) + f" select * from {name}")
+
+    return {k: frame(k) for k in FACTS} | {"symbols": symbols}
+
+
+LINK = ["from_id", "to_id", "confidence", "reason"]
+CHAIN = {
+    "names": "select distinct target || '#' || name as key, target as file, name from imports where kind = 'named'",
+    "exports": "select file_path, name, id from code where exported",
+    "followed": """select key, file, name, 0 as hop from names union all
+      select key, coalesce((select min(source) from reexports r where r.file = f.file and r.name = f.name), (select min(source) from reexports r where r.file = f.file and r.name = '*')), name, hop + 1
+      from followed f where hop < 6 and file is not null and not exists (select 1 from exports e where e.file_path = f.file and e.name = f.name)""",
+    "chain": "select f.key, min(e.id) as target_id from followed f join exports e on e.file_path = f.file and e.name = f.name group by f.key",
+}
+IMPORTED = {
+    **FACTS, **CHAIN,
+    "mains": "select file_path, id from (select file_path, id, row_number() over (partition by file_path order by case kind when 'class' then 0 when 'function' then 1 else 2 end, start_line, id) as r from code where exported) x where r = 1",
+    "import_links": """select file_path || '#module:_top:0' as from_id, coalesce(m.id, target || '#module:_top:0') as to_id, case when m.id is null then 0.6e0 else 0.85e0 end as confidence, case when m.id is null then 'import-default-module' else 'import-default' end as reason, 'imports' as type
+        from (select * from imports where kind = 'default' and target is not null) i left join (select file_path as file, id from mains) m on m.file = i.target
+      union all select file_path || '#module:_top:0', c.target_id, 0.95e0, 'import-named', 'imports' from imports i join chain c on c.key = i.target || '#' || i.name where i.kind = 'named'
+      union all select i.file_path || '#module:_top:0', e.id, 0.65e0, 'import-wildcard', 'imports' from imports i join exports e on e.file_path = i.target where i.kind = 'wildcard'""",
+}
+
+
+def _imports(t: dict[str, DataFrame], kinds: str = "kind is not null") -> DataFrame:
+    return resolve.import_links(t["imports"].filter(kinds), t["code"], t["reexports"])
+
+
+@query("r01_r03_import_links", "select from_id, to_id, confidence, reason from import_links", IMPORTED)
 def r01_r03_import_links(spark, sf_dir):
-    t = _tables(spark)
-    return resolve.import_links(t["imports"], t["symbols"], t["reexports"]).select("from_id", "to_id", "confidence", "reason")
+    return _imports(_facts(spark, sf_dir)).select(*LINK)
+
+
+@query("r18_wildcard_expansion", "select from_id, to_id, confidence, reason from import_links where reason = 'import-wildcard'", IMPORTED)
+def r18_wildcard_expansion(spark, sf_dir):
+    return _imports(_facts(spark, sf_dir), "kind = 'wildcard'").select(*LINK)
+
 
+@query("j10_import_bindings", "select file_path, coalesce(alias, name) as local_name, target, name as exported_name from imports where kind = 'named'", FACTS)
+def j10_import_bindings(spark, sf_dir):
+    return _facts(spark, sf_dir)["imports"].filter("kind = 'named'").select("file_path", F.coalesce("alias", "name").alias("local_name"), "target", F.col("name").alias("exported_name"))
 
-@query("j12_reexport_chain", _values([(1, "m#User"), (2, "u#fmt")], "key, target_id"))
-@query("t15_reexport_chain", _values([(1, "m#User"), (2, "u#fmt")], "key, target_id"))
+
+@query("j12_reexport_chain", "select key, target_id from chain", IMPORTED)
 def j12_reexport_chain(spark, sf_dir):
-    t = _tables(spark)
-    names = spark.createDataFrame([(1, "src/idx.ts", "User"), (2, "src/idx.ts", "fmt"), (3, "src/idx.ts", "nothing")], "key int, file string, name string")
-    return resolve.follow_reexports(names, t["reexports"], t["symbols"].filter("exported"))
+    t = _facts(spark, sf_dir)
+    names = t["imports"].filter("kind = 'named'").select(F.concat_ws("#", "target", "name").alias("key"), F.col("target").alias("file"), "name").distinct()
+    return resolve.follow_reexports(names, t["reexports"], t["code"].filter("exported"))
+
+
+@query("t15_reexport_chain", f"select n_name as name, target_id from nation join chain on key = '{INDEX}#' || n_name", IMPORTED)
+def t15_reexport_chain(spark, sf_dir):
+    """What the index passes on: half of the nations by name, those of one file through a second hop, the rest not at all."""
+    t = _facts(spark, sf_dir)
+    names = adapter.table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.lit(INDEX).alias("file"), F.col("n_name").alias("name"))
+    used = t["imports"].filter((F.col("target") == INDEX) & (F.col("kind") == "named")).select("name").distinct()
+    return resolve.follow_reexports(names.join(used, "name", "left_semi"), t["reexports"], t["code"].filter("exported")).withColumnRenamed("key", "name")
 
 
-@query("r04_unresolved", _values([("external", 1), ("unresolved", 1)], "state, n"))
+@query("r04_unresolved", "select case when starts_with(name, '.') or starts_with(name, '/') then 'unresolved' else 'external' end as state, count(*) as n from imports where target is null group by 1", FACTS)
 def r04_unresolved(spark, sf_dir):
-    t = _tables(spark)["imports"].filter("target is null")
-    return t.groupBy(resolve.state_of(F.col("name")).alias("state")).agg(F.count("*").alias("n"))
+    return _facts(spark, sf_dir)["imports"].filter("target is null").groupBy(resolve.state_of(F.col("name")).alias("state")).agg(F.count("*").alias("n"))
+
+
+_BUILTIN = "(" + ", ".join(f"'{b}'" for b in resolve.BUILTINS) + ")"
+#: All candidates of every call with their tier, of which the first wins; an imported alias stands for its name.
+CALLED = {
+    **IMPORTED,
+    "asked": "select c.*, i.real, i.target as imported_file, coalesce(i.real, c.name) as target_name from calls c left join (select distinct file_path, coalesce(alias, name) as name, name as real, target from imports where kind = 'named') i on i.file_path = c.file_path and i.name = c.name where not exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name)",
+    "targets": "select s.*, p.name as parent_name, count(*) over (partition by s.name) as n, regexp_replace(s.file_path, '[^/]*$', '') as folder from code s left join (select id, name from code where kind in ('class', 'interface', 'struct')) p on p.id = s.parent_id where s.kind in ('function', 'method', 'class')",
+    "bound": "select file_path, name, min(type_name) as type_name from bindings group by 1, 2",
+    "reach": "select distinct file_path, target from imports where target is not null",
+    "tiered": f"""select a.call_id, a.scope_id, t.id, t.file_path, t.start_line, case
+        when a.real is not null and (a.imported_file = t.file_path or (t.n = 1 and a.real <> a.name)) then 0
+        when a.receiver in ('this', 'self') and o.parent_id = t.parent_id then 1 when b.type_name = t.parent_name then 2 when a.receiver = t.parent_name then 3
+        when t.n = 1 and a.name not in {_BUILTIN} and not (a.receiver is not null and t.kind = 'function') then 4
+        when a.receiver is null and t.file_path = a.file_path then 5 when a.receiver is null and r.target is not null then 6 when r.target is not null then 7
+        when t.folder = regexp_replace(a.file_path, '[^/]*$', '') and a.name not in {_BUILTIN} then 8 end as tier
+      from asked a join targets t on t.name = a.target_name left join bound b on b.file_path = a.file_path and b.name = a.receiver left join reach r on r.file_path = a.file_path and r.target = t.file_path left join symbols o on o.id = a.scope_id""",
+    "call_links": """select scope_id as from_id, id as to_id, [0.95e0, 0.95e0, 0.93e0, 0.9e0, 0.9e0, 0.9e0, 0.95e0, 0.85e0, 0.6e0][tier + 1] as confidence, ['call-alias', 'call-receiver', 'call-receiver', 'call-receiver', 'call-unique', 'call-samefile', 'call-imported', 'call-proximity', 'call-proximity'][tier + 1] as reason, 'calls' as type
+      from (select *, row_number() over (partition by call_id order by tier, file_path, start_line, id) as r from tiered where tier is not null) x where r = 1""",
+}
+
+
+def _calls(t: dict[str, DataFrame]) -> DataFrame:
+    return resolve.call_links(t["calls"], t["code"], t["imports"], t["locals"], t["bindings"])
+
+
+@query("r05_r12_call_links", "select from_id, to_id, confidence, reason from call_links", CALLED)
+def r05_r12_call_links(spark, sf_dir):
+    return _calls(_facts(spark, sf_dir)).select(*LINK)
 
 
-CALL_LINKS = [("a#main", "m#User", 0.95, "call-alias"), ("a#main", "u#fmt", 0.95, "call-alias"), ("a#main", "a#helper", 0.9, "call-samefile"), ("a#main", "m#load", 0.93, "call-receiver"), ("m#load", "m#save", 0.9, "call-unique"), ("u#fmt", "u#fmt", 0.95, "call-imported"), ("a#main", "a#main", 0.9, "call-unique")]
+@query("j09_name_index", "select name, count(*) as n, min(id) as first_id from code where kind in ('function', 'method', 'class') group by name", FACTS)
+def j09_name_index(spark, sf_dir):
+    return _facts(spark, sf_dir)["code"].filter("kind in ('function', 'method', 'class')").groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("r05_r12_call_links", _values(CALL_LINKS, LINK))
-@query("j09_name_index", _values(CALL_LINKS, LINK))
-@query("j11_excluded_names", _values(CALL_LINKS, LINK))
-def r05_r12_call_links(spark, sf_dir):
-    t = _tables(spark)
-    return resolve.call_links(t["calls"], t["symbols"], t["imports"], t["locals"], t["bindings"]).select("from_id", "to_id", "confidence", "reason")
+@query("j11_excluded_names", f"select call_id, name in {_BUILTIN} as builtin from calls c where name in {_BUILTIN} or exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name)", FACTS)
+def j11_excluded_names(spark, sf_dir):
+    t = _facts(spark, sf_dir)
+    builtin = F.col("name").isin(*resolve.BUILTINS)
+    shadowed = t["calls"].filter(~builtin).join(t["locals"].distinct(), ["scope_id", "name"], "left_semi")
+    return t["calls"].filter(builtin).unionByName(shadowed).select("call_id", builtin.alias("builtin"))
 
 
-@query("r13_type_links", _values([("a#main", "m#User", 0.7, "type-annotation"), ("u#fmt", "m#Base", 0.7, "return-annotation")], LINK))
+@query("r13_type_links", "select scope_id as from_id, id as to_id, 0.7e0 as confidence, kind as reason from (select b.scope_id, b.kind, t.id, row_number() over (partition by b.scope_id, b.type_name, b.kind order by case when t.file_path = b.file_path then 0 else 1 end, t.id) as r from typed b join symbols t on t.name = b.type_name and t.kind in ('class', 'interface', 'type', 'enum', 'struct')) x where r = 1", FACTS)
 def r13_type_links(spark, sf_dir):
-    rows = spark.createDataFrame([("src/a.ts", "a#main", "User", 3, "type-annotation"), ("src/u.ts", "u#fmt", "Base", 1, "return-annotation"), ("src/u.ts", "u#fmt", "Nothing", 1, "type-annotation")], "file_path string, scope_id string, type_name string, line int, kind string")
-    return resolve.type_links(rows, _tables(spark)["symbols"]).select("from_id", "to_id", "confidence", "reason")
+    t = _facts(spark, sf_dir)
+    return resolve.type_links(t["typed"], t["symbols"]).select(*LINK)
 
 
-@query("r14_heritage_links", _values([("m#User", "m#Base", 0.95, "heritage"), ("m#Base", "#external:Model", 0.7, "heritage-external")], LINK))
+HERITAGE = """select c.id as from_id, coalesce(p.id, '#external:' || h.parent) as to_id, case when p.id is null then 0.7e0 else 0.95e0 end as confidence, case when p.id is null then 'heritage-external' else 'heritage' end as reason, 'extends' as type
+  from heritage h join symbols c on c.kind = 'class' and c.file_path = h.file_path and c.name = h.child left join (select name, min(id) as id from symbols where kind in ('class', 'interface', 'struct', 'trait') group by name) p on p.name = h.parent"""
+
+
+@query("r14_heritage_links", f"select from_id, to_id, confidence, reason from ({HERITAGE}) x", FACTS)
 def r14_heritage_links(spark, sf_dir):
-    t = _tables(spark)
-    return resolve.heritage_links(t["heritage"], t["symbols"]).select("from_id", "to_id", "confidence", "reason")
+    t = _facts(spark, sf_dir)
+    return resolve.heritage_links(t["heritage"], t["symbols"]).select(*LINK)
 
 
-@query("r15_contains_links", _values([("m#Base", "m#save", 1.0, "contains"), ("m#User", "m#load", 1.0, "contains")], LINK))
+@query("r15_contains_links", "select parent_id as from_id, id as to_id, 1e0 as confidence, 'contains' as reason from symbols where parent_id is not null")
 def r15_contains_links(spark, sf_dir):
-    return resolve.contains_links(_tables(spark)["symbols"]).select("from_id", "to_id", "confidence", "reason")
+    return resolve.contains_links(adapter.symbols(spark, sf_dir)).select(*LINK)
 
 
-@query("r16_reexport_links", _values([("src/mid.ts#module:_top:0", "m#User", 0.85, "reexport-named"), ("src/mid.ts#module:_top:0", "u#fmt", 0.6, "reexport-wildcard")], LINK))
+@query("r16_reexport_links", "select r.file || '#module:_top:0' as from_id, e.id as to_id, case when r.name = '*' then 0.6e0 else 0.85e0 end as confidence, case when r.name = '*' then 'reexport-wildcard' else 'reexport-named' end as reason from reexports r join exports e on e.file_path = r.source and (r.name = '*' or r.name = e.name)", IMPORTED)
 def r16_reexport_links(spark, sf_dir):
-    t = _tables(spark)
-    return resolve.reexport_links(t["reexports"], t["symbols"]).select("from_id", "to_id", "confidence", "reason")
+    t = _facts(spark, sf_dir)
+    return resolve.reexport_links(t["reexports"], t["code"]).select(*LINK)
 
 
-@query("r17_type_propagation", _values([("src/a.ts", "u", "User"), ("src/a.ts", "w", "User"), ("src/a.ts", "z", "Base")], "file_path, name, type_name"))
+@query(
+    "r17_type_propagation",
+    """select file_path, name, type_name from (select *, row_number() over (partition by file_path, name order by o, type_name) as r from (
+      select file_path, name, type_name, 0 as o from bindings union all select a.file_path, a.name, b.type_name, 1 from assigned a join bindings b on b.file_path = a.file_path and b.name = a.source
+      union all select r.file_path, r.name, m.type_name, 2 from results r join (select callee, min(type_name) as type_name from returned group by 1) m on m.callee = r.callee) x) y where r = 1""",
+    FACTS,
+)
 def r17_type_propagation(spark, sf_dir):
-    b = _tables(spark)["bindings"]
-    a = spark.createDataFrame([("src/a.ts", "w", "u"), ("src/a.ts", "q", "nobody")], "file_path string, name string, source string")
-    c = spark.createDataFrame([("src/a.ts", "z", "make"), ("src/a.ts", "u", "make")], "file_path string, name string, callee string")
-    return resolve.propagate_types(b, a, c, spark.createDataFrame([("make", "Base")], "callee string, type_name string"))
-
-
-@query("r18_wildcard_expansion", _values([(B, "u#fmt", 0.65, "import-wildcard")], LINK))
-def r18_wildcard_expansion(spark, sf_dir):
-    t = _tables(spark)
-    return resolve.import_links(t["imports"].filter("kind = 'wildcard'"), t["symbols"], t["reexports"]).select("from_id", "to_id", "confidence", "reason")
+    t = _facts(spark, sf_dir)
+    return resolve.propagate_types(t["bindings"], t["assigned"], t["results"], t["returned"])
 
 
-ALL = sorted({(a, b, c) for a, b, c, _ in [*IMPORT_LINKS, *CALL_LINKS, ("m#User", "m#Base", 0.95, ""), ("m#Base", "#external:Model", 0.7, ""), ("m#Base", "m#save", 1.0, ""), ("m#User", "m#load", 1.0, "")]})
-
-
-@query("r19_resolved_graph", _values(ALL, "from_id, to_id, confidence"))
+@query(
+    "r19_resolved_graph",
+    f"select from_id, to_id, type, max(confidence) as confidence, count(*) as n from (select from_id, to_id, type, confidence from import_links union all select from_id, to_id, type, confidence from call_links union all select from_id, to_id, type, confidence from ({HERITAGE}) h union all select parent_id, id, 'contains', 1e0 from symbols where parent_id is not null) x group by 1, 2, 3",
+    CALLED,
+)
 def r19_resolved_graph(spark, sf_dir):
-    t = _tables(spark)
-    parts = [
-        resolve.import_links(t["imports"], t["symbols"], t["reexports"]), resolve.call_links(t["calls"], t["symbols"], t["imports"], t["locals"], t["bindings"]),
-        resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"]),
-    ]
-    return resolve.dedupe(reduce(DataFrame.unionByName, parts)).select("from_id", "to_id", "confidence")
+    t = _facts(spark, sf_dir)
+    every = reduce(DataFrame.unionByName, [_imports(t), _calls(t), resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"])])
+    n = every.groupBy("from_id", "to_id", "type").agg(F.count("*").alias("n"))
+    return resolve.dedupe(every).select("from_id", "to_id", "type", "confidence").join(n, ["from_id", "to_id", "type"])
 
 
-@query("r20_builtin_names", _values([("len", True), ("fmt", False)], "name, builtin"))
+@query("r20_builtin_names", f"select name, name in {_BUILTIN} as builtin, count(*) as n from calls group by name", FACTS)
 def r20_builtin_names(spark, sf_dir):
-    return spark.createDataFrame([("len",), ("fmt",)], "name string").select("name", F.col("name").isin(*resolve.BUILTINS).alias("builtin"))
-
-
-MRO = [("D", "B", 0), ("D", "C", 1), ("B", "A", 0), ("C", "A", 0), ("X", "A", 0), ("X", "B", 1)]
+    return _facts(spark, sf_dir)["calls"].groupBy("name").agg(F.count("*").alias("n")).select("name", F.col("name").isin(*resolve.BUILTINS).alias("builtin"), "n")
 
 
-@query("t14_method_orders", _values([("D", "D>B>C>A"), ("B", "B>A"), ("C", "C>A"), ("A", "A"), ("X", None)], "class, \"order\""))
+@query(
+    "t14_method_orders",
+    "select id as class, id || '>' || parent_id || coalesce('>' || p2, '') as \"order\" from (select s.id, s.parent_id, p.parent_id as p2 from symbols s join symbols p on p.id = s.parent_id) x union all select id, id from symbols where kind = 'module'",
+)
 def t14_method_orders(spark, sf_dir):
-    return resolve.method_orders(spark.createDataFrame(MRO, "class string, parent string, position int"))
+    edges = adapter.symbols(spark, sf_dir).filter("parent_id is not null").select(F.col("id").alias("class"), F.col("parent_id").alias("parent"), F.lit(0).alias("position"))
+    return resolve.method_orders(edges)

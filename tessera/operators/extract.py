@@ -146,6 +146,30 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     return imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).join(hit, "tessera_id", "left").drop("tessera_id")
 
 
+#: A name that a re-export list gives on, with its name outside.
+EXPORTED_AS = r"^\s*(?:type\s+)?([\w$]+)(?:\s+as\s+([\w$]+))?\s*$"
+
+
+def reexports(files: DataFrame) -> DataFrame:
+    """(path, name, real, module_path, line): what files (path, text) of the JavaScript family pass on; name is the one outside, * stands for all, line for where the statement begins.
+
+    Statements begin a line; lists may go on over several lines.
+    """
+    joined = F.regexp_replace("text", r"(?m)^[ \t]*//.*$", "")
+    star = r"^\s*export\s*\*\s*(?:as\s+([\w$]+)\s+)?from\s*['\"]([^'\"]+)['\"]"
+    several = r"^\s*export\s*(?:type\s*)?\{([^}]*)\}\s*from\s*['\"]([^'\"]+)['\"]"
+    # the text is cut before each statement, so that lines can be counted
+    parts = files.select("path", F.posexplode(F.split(joined, r"(?=(?<=^|\n)[ \t]*export\b)")).alias("at", "body"))
+    breaks = F.size(F.split("body", "\n")) - 1
+    before = F.coalesce(F.sum(breaks).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("line", (before + 1).cast("int"))
+    outer = F.regexp_extract("body", star, 1)
+    stars = parts.filter(F.col("body").rlike(star)).select("path", F.when(outer == "", "*").otherwise(outer).alias("name"), F.lit("*").alias("real"), F.regexp_extract("body", star, 2).alias("module_path"), "line")
+    each = parts.filter(F.col("body").rlike(several)).select("path", F.explode(F.split(F.regexp_extract("body", several, 1), ",")).alias("n"), F.regexp_extract("body", several, 2).alias("module_path"), "line").filter(F.col("n").rlike(EXPORTED_AS))
+    inner, named = F.regexp_extract("n", EXPORTED_AS, 1), F.regexp_extract("n", EXPORTED_AS, 2)
+    return stars.unionByName(each.select("path", F.when(named == "", inner).otherwise(named).alias("name"), inner.alias("real"), "module_path", "line"))
+
+
 MANIFEST_NPM = "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>"
 
 

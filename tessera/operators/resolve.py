@@ -34,10 +34,14 @@ def follow_reexports(names: DataFrame, reexports: DataFrame, exports: DataFrame,
     r = reexports.select(F.col("file").alias("file"), F.col("name").alias("named"), F.col("source").alias("next"))
     e = exports.select(F.col("file_path").alias("file"), "name", F.col("id").alias("target_id"))
     for _ in range(hops + 1):
+        at = cut(at)
+        if at.isEmpty():
+            break
         found.append(at.join(e, ["file", "name"]).select("key", "target_id"))
         step = at.join(e, ["file", "name"], "left_anti").join(r, "file").filter((F.col("named") == F.col("name")) | (F.col("named") == "*"))
         best = Window.partitionBy("key").orderBy(F.when(F.col("named") == "*", 1).otherwise(0), "next")
         at = step.withColumn("r", F.row_number().over(best)).filter("r = 1").select("key", F.col("next").alias("file"), "name")
+    found = found or [at.select("key", F.lit(None).cast("string").alias("target_id")).limit(0)]
     return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.min("target_id").alias("target_id"))
 
 
@@ -67,37 +71,55 @@ def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_
     """Links of calls (call_id, file_path, scope_id, name, receiver, line).
 
     Candidates have the called name. Tiers, the first that holds: an imported name from its file, or the only one of an aliased name (.95), the receiver itself
-    or its bound type (.95, .93), one candidate in the whole project (.9), the same file (.9), an imported file (.95), and
+    or its bound type (.95, .93, .9), one candidate in the whole project (.9), the same file (.9), an imported file (.95), and
     nearness (.85 imported, .6 same folder); of equals the first by file, line and id. Calls of a local name, and of
     language names without a candidate in reach, give no link.
+
+    Each tier has its best candidate worked out once for each name within a file, folder, type or the project, so a call
+    meets one row a tier however many symbols share its name.
     """
-    c = calls.join(locals_.select(F.col("scope_id"), "name").distinct(), ["scope_id", "name"], "left_anti")
-    s = symbols.filter("kind in ('function', 'method', 'class')").select(F.col("name").alias("target_name"), F.col("id").alias("to_id"), F.col("file_path").alias("to_file"), F.col("parent_id").alias("to_parent"), "kind", "start_line")
-    alias = imports.filter("kind = 'named'").select("file_path", F.coalesce("alias", "name").alias("name"), F.col("name").alias("real"), F.col("target").alias("imported_file"))
-    renamed = c.join(alias, ["file_path", "name"], "left").withColumn("target_name", F.coalesce("real", "name"))
-    files = imports.filter("target is not null").select("file_path", F.col("target").alias("to_file")).distinct().withColumn("reached", F.lit(True))
-    bound = bindings.select("file_path", F.col("name").alias("receiver"), "type_name").groupBy("file_path", "receiver").agg(F.min("type_name").alias("type_name"))
-    types = symbols.filter("kind in ('class', 'interface', 'struct')").select(F.col("id").alias("to_parent"), F.col("name").alias("parent_name"))
-    own = symbols.select(F.col("id").alias("scope_id"), F.col("parent_id").alias("own_parent"))
-    wide = renamed.join(s, "target_name").join(files, ["file_path", "to_file"], "left").join(bound, ["file_path", "receiver"], "left").join(types, "to_parent", "left").join(own, "scope_id", "left")
-    wide = wide.withColumn("n", F.count("*").over(Window.partitionBy("call_id")))
+    s = symbols.filter("kind in ('function', 'method', 'class')").select(F.col("name").alias("target_name"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to"), F.col("parent_id").alias("to_parent"), "kind")
+    s = s.withColumn("to_file", F.col("to.to_file"))
     folder = lambda p: F.regexp_replace(p, "[^/]*$", "")
-    got = F.col("receiver").isNotNull()
-    language = F.col("name").isin(*builtins)
-    rules = [
-        (F.col("real").isNotNull() & ((F.col("imported_file") == F.col("to_file")) | ((F.col("n") == 1) & (F.col("real") != F.col("name")))), 0.95, "call-alias"),
-        (F.col("receiver").isin("this", "self") & (F.col("own_parent") == F.col("to_parent")), 0.95, "call-receiver"),
-        (got & (F.col("type_name") == F.col("parent_name")), 0.93, "call-receiver"),
-        (got & (F.col("receiver") == F.col("parent_name")), 0.9, "call-receiver"),
-        ((F.col("n") == 1) & ~language & ~(got & (F.col("kind") == "function")), 0.9, "call-unique"),
-        ((F.col("to_file") == F.col("file_path")) & ~got, 0.9, "call-samefile"),
-        (F.col("reached") & ~got, 0.95, "call-imported"),
-        (F.col("reached"), 0.85, "call-proximity"),
-        ((folder("to_file") == folder("file_path")) & ~language, 0.6, "call-proximity"),
+    types = symbols.filter("kind in ('class', 'interface', 'struct')").select(F.col("id").alias("to_parent"), F.col("name").alias("type_name"))
+
+    def best(rows: DataFrame, name: str, *by: Column | str) -> DataFrame:
+        return rows.groupBy(*by, "target_name").agg(F.min("to").alias(name))
+
+    by_file = best(s, "in_file", "to_file")
+    by_type = best(s.join(types, "to_parent"), "in_type", "type_name")
+    by_name = s.groupBy("target_name").agg(F.count("*").alias("n"), F.min("to").alias("only"), F.min("kind").alias("only_kind"))
+    c = calls.join(locals_.select("scope_id", "name").distinct(), ["scope_id", "name"], "left_anti")
+    alias = imports.filter("kind = 'named'").select("file_path", F.coalesce("alias", "name").alias("name"), F.col("name").alias("real"), F.col("target").alias("imported_file")).distinct()
+    c = c.join(alias, ["file_path", "name"], "left").withColumn("target_name", F.coalesce("real", "name"))
+    bound = bindings.groupBy("file_path", F.col("name").alias("receiver")).agg(F.min("type_name").alias("type_name"))
+    own = symbols.select(F.col("id").alias("scope_id"), F.col("parent_id").alias("to_parent"))
+    files = imports.filter("target is not null").select("file_path", F.col("target").alias("to_file")).distinct()
+    reached = c.select("file_path", "target_name").distinct().join(files, "file_path").join(by_file, ["to_file", "target_name"]).groupBy("file_path", "target_name").agg(F.min("in_file").alias("reached"))
+    wide = (
+        c.join(by_name, "target_name", "left")
+        .join(by_file.withColumnRenamed("to_file", "file_path"), ["file_path", "target_name"], "left")
+        .join(reached, ["file_path", "target_name"], "left")
+        .join(by_file.select(F.col("to_file").alias("imported_file"), "target_name", F.col("in_file").alias("imported")), ["imported_file", "target_name"], "left")
+        .withColumn("folder", folder("file_path")).join(best(s, "in_folder", folder("to_file").alias("folder")), ["folder", "target_name"], "left")
+        .join(own, "scope_id", "left").join(best(s, "in_parent", "to_parent"), ["to_parent", "target_name"], "left")
+        .join(bound, ["file_path", "receiver"], "left").join(by_type.withColumnRenamed("in_type", "in_bound"), ["type_name", "target_name"], "left")
+        .join(by_type.select(F.col("type_name").alias("receiver"), "target_name", F.col("in_type").alias("in_receiver")), ["receiver", "target_name"], "left")
+    )
+    got, language, single = F.col("receiver").isNotNull(), F.col("name").isin(*builtins), F.col("n") == 1
+    tiers = [
+        (F.col("real").isNotNull(), F.coalesce("imported", F.when(single & (F.col("real") != F.col("name")), F.col("only"))), 0.95, "call-alias"),
+        (F.col("receiver").isin("this", "self"), F.col("in_parent"), 0.95, "call-receiver"),
+        (got, F.col("in_bound"), 0.93, "call-receiver"),
+        (got, F.col("in_receiver"), 0.9, "call-receiver"),
+        (single & ~language & ~(got & (F.col("only_kind") == "function")), F.col("only"), 0.9, "call-unique"),
+        (~got, F.col("in_file"), 0.9, "call-samefile"),
+        (~got, F.col("reached"), 0.95, "call-imported"),
+        (F.lit(True), F.col("reached"), 0.85, "call-proximity"),
+        (~language, F.col("in_folder"), 0.6, "call-proximity"),
     ]
-    tier = F.coalesce(*[F.when(rule, F.struct(F.lit(i).alias("tier"), F.lit(conf).alias("confidence"), F.lit(reason).alias("reason"))) for i, (rule, conf, reason) in enumerate(rules)])
-    best = Window.partitionBy("call_id").orderBy("t.tier", "to_file", "start_line", "to_id")
-    won = wide.withColumn("t", tier).filter("t is not null").withColumn("r", F.row_number().over(best)).filter("r = 1")
+    tier = F.coalesce(*[F.when(rule & to.isNotNull(), F.struct(F.lit(i).alias("tier"), to.alias("to"), F.lit(conf).alias("confidence"), F.lit(reason).alias("reason"))) for i, (rule, to, conf, reason) in enumerate(tiers)])
+    won = wide.withColumn("t", tier).filter("t is not null").groupBy("call_id", "scope_id", "line").agg(F.min("t").alias("t")).withColumn("to_id", F.col("t.to.to_id"))
     return _link(won, "scope_id", "to_id", "calls", F.col("t.confidence"), F.col("t.reason"))
 
 
