@@ -80,7 +80,7 @@ LANGUAGES = {
     "ts": ("export async function load%d() {}\nclass Box%d {}\n// function no\nconst x%d = 1;", ("load", "Box", "x")),
     "py": ("def f%d():\n  pass\nclass C%d:\n    def m%d(self): pass", ("f", "C", "m")),
     "go": ("func (s *S) Run%d() {}\ntype T%d struct {}\nvar x%d = 1", ("Run", "T")),
-    "rs": ("pub fn go%d() {}\nstruct P%d;\n// fn no\nenum E%d {}", ("go", "P", "E")),
+    "rs": ("pub fn go%d() {}\nstruct W%d;\n// fn no\nenum E%d {}", ("go", "W", "E")),
     "rb": ("module M%d\n  def hi%d; end\n  class K%d; end\nend", ("M", "hi", "K")),
     "java": ("public class J%d {\n  private static int n%d() {}\n  protected String s%d() {}\n}", ("J", "n", "s")),
     "php": ("<?php\nclass P%d {\n  public function q%d() {}\n  private static function r%d() {}\n}", ("P", "q", "r")),

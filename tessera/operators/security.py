@@ -10,7 +10,7 @@ from tessera.operators.textsearch import lines
 
 SEVERITIES = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
-# Rules as (id, category, severity, pattern, files, files left out). Patterns keep to syntax that Java and RE2 share.
+#: Rules of our own as (id, category, severity, pattern, files, files left out). Patterns keep to syntax that Java and RE2 share.
 RULES = [
     ("SEC-001", "secrets", "CRITICAL", r"(?i)(?:password|passwd|pwd)\s*[:=]\s*['\"][^'\"]{4,}['\"]", "**", "**/*.test.*"),
     ("SEC-002", "secrets", "CRITICAL", r"(?i)(?:secret|secret_?key|client_?secret|signing_?key)\s*[:=]\s*['\"][A-Za-z0-9_+=/-]{16,}['\"]", "**", "**/*.test.*"),
@@ -31,10 +31,93 @@ RULES = [
     ("PII-001", "data-leak", "LOW", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "**", ""),
     ("PII-002", "data-leak", "LOW", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "**", ""),
     ("DOC-001", "docker", "MEDIUM", r"^FROM\s+\S+:latest\b", "**/Dockerfile*", ""),
+    ("SEC-007", "secrets", "CRITICAL", r"\bxox[abprs]-[0-9A-Za-z-]{10,}", "**", ""),
+    ("SEC-008", "secrets", "CRITICAL", r"\bsk_live_[0-9A-Za-z]{16,}", "**", ""),
+    ("SEC-009", "secrets", "CRITICAL", r"\bAIza[0-9A-Za-z_-]{35}", "**", ""),
+    ("SEC-010", "secrets", "CRITICAL", r"\bglpat-[0-9A-Za-z_-]{20}", "**", ""),
+    ("SEC-011", "secrets", "HIGH", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "**", "**/*.test.*"),
+    ("SEC-012", "secrets", "HIGH", r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:/@]+:[^\s:/@]+@", "**", "**/*.{md,example}"),
+    ("SEC-013", "secrets", "HIGH", r"(?i)\bauthorization['\"]?\s*[:=]\s*['\"](?:basic|bearer)\s+[A-Za-z0-9+/=._-]{12,}", "**", "**/*.test.*"),
+    ("SEC-014", "secrets", "HIGH", r"\bSG\.[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}", "**", ""),
+    ("SEC-015", "secrets", "HIGH", r"\bnpm_[A-Za-z0-9]{36}\b", "**", ""),
+    ("SEC-016", "secrets", "MEDIUM", r"(?i)\b(?:aws_secret_access_key|azure_client_secret|private_key)\b\s*[:=]\s*\S{16,}", "**", ""),
+    ("INJ-003", "injection", "CRITICAL", r"(?i)`\s*(?:select|insert into|update|delete from)\b[^`]*\$\{", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("INJ-004", "injection", "HIGH", r"(?i)['\"](?:select|insert|update|delete)\b[^'\"]*['\"]\s*%\s*[\w(]", "**/*.py", ""),
+    ("INJ-005", "injection", "HIGH", r"(?i)\.(?:raw|extra|execute)\s*\(\s*f['\"]", "**/*.py", ""),
+    ("INJ-006", "injection", "HIGH", r"(?i)fmt\.Sprintf\s*\(\s*['\"`](?:select|insert|update|delete)\b", "**/*.go", ""),
+    ("INJ-007", "injection", "HIGH", r"(?i)(?:createQuery|executeQuery|prepareStatement)\s*\(\s*\"[^\"]*\"\s*\+", "**/*.java", ""),
+    ("INJ-008", "injection", "HIGH", r"(?i)mysqli?_query\s*\([^)]*\$_(?:get|post|request)", "**/*.php", ""),
+    ("INJ-009", "injection", "HIGH", r"(?i)\bwhere\s*\(\s*\"[^\"]*#\{", "**/*.rb", ""),
+    ("INJ-010", "injection", "HIGH", r"\$where['\"]?\s*:", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("INJ-011", "injection", "MEDIUM", r"(?i)\b(?:ldap|xpath)\w*\.(?:search|evaluate|select)\s*\([^)]*\+", "**", ""),
+    ("RCE-003", "rce", "CRITICAL", r"\bnew\s+Function\s*\(", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("RCE-004", "rce", "CRITICAL", r"\b(?:exec|execSync|spawn)\s*\(\s*(?:`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("RCE-005", "rce", "HIGH", r"(?i)\b(?:shell_exec|passthru|popen|proc_open|system)\s*\(\s*\$", "**/*.php", ""),
+    ("RCE-006", "rce", "HIGH", r"Runtime\.getRuntime\(\)\.exec\s*\(", "**/*.java", ""),
+    ("RCE-007", "rce", "HIGH", r"exec\.Command\s*\(\s*\"(?:sh|bash|cmd)\"", "**/*.go", ""),
+    ("RCE-008", "rce", "HIGH", r"(?:\b(?:instance_eval|class_eval|send)\s*\(?\s*params|`[^`]*#\{)", "**/*.rb", ""),
+    ("RCE-009", "rce", "HIGH", r"\b(?:vm|vm2)\.(?:runInNewContext|runInThisContext)\s*\(", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("RCE-010", "rce", "HIGH", r"\b__import__\s*\(|\bexec\s*\(\s*(?:request|input|data)", "**/*.py", ""),
+    ("XSS-002", "xss", "HIGH", r"\bv-html\s*=|\{\{\{[^}]*\}\}\}", "**/*.{vue,html,hbs}", ""),
+    ("XSS-003", "xss", "HIGH", r"\b(?:outerHTML|insertAdjacentHTML)\b\s*[=(]", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("XSS-004", "xss", "HIGH", r"\|\s*safe\b|mark_safe\s*\(|autoescape\s+off", "**/*.{py,html,jinja}", ""),
+    ("XSS-005", "xss", "HIGH", r"(?i)\becho\s+\$_(?:get|post|request|cookie)", "**/*.php", ""),
+    ("XSS-006", "xss", "MEDIUM", r"\braw\s*\(|\.html_safe\b", "**/*.{rb,erb}", ""),
+    ("XSS-007", "xss", "MEDIUM", r"\bbypassSecurityTrust\w+\s*\(", "**/*.ts", ""),
+    ("XSS-008", "xss", "MEDIUM", r"(?i)href\s*=\s*['\"]\s*javascript:", "**", ""),
+    ("PTH-001", "path-traversal", "HIGH", r"\b(?:readFile|readFileSync|createReadStream|sendFile)\s*\([^)]*req\.(?:params|query|body)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("PTH-002", "path-traversal", "HIGH", r"\bopen\s*\(\s*(?:request|flask\.request)\.", "**/*.py", ""),
+    ("PTH-003", "path-traversal", "HIGH", r"(?i)\b(?:include|require)(?:_once)?\s*\(?\s*\$_(?:get|post|request)", "**/*.php", ""),
+    ("PTH-004", "path-traversal", "MEDIUM", r"\.\./\.\./\.\./", "**/*.{py,go,java,php,rb}", "**/*test*"),
+    ("DES-002", "deserialization", "HIGH", r"\bunserialize\s*\(\s*\$", "**/*.php", ""),
+    ("DES-003", "deserialization", "HIGH", r"\bnew\s+ObjectInputStream\s*\(|\breadObject\s*\(\s*\)", "**/*.java", ""),
+    ("DES-004", "deserialization", "HIGH", r"\b(?:Marshal|YAML)\.load\s*\(", "**/*.rb", ""),
+    ("DES-005", "deserialization", "MEDIUM", r"\b(?:shelve\.open|marshal\.loads?|dill\.loads?|jsonpickle\.decode)\s*\(", "**/*.py", ""),
+    ("CRY-003", "crypto", "HIGH", r"(?i)\b(?:des|rc4|rc2|blowfish)\b.{0,12}\b(?:cipher|encrypt|createcipher)|createCipher\s*\(", "**", ""),
+    ("CRY-004", "crypto", "HIGH", r"(?i)\bAES[./_]ECB\b|MODE_ECB", "**", ""),
+    ("CRY-005", "crypto", "MEDIUM", r"\brandom\.(?:random|randint|choice)\s*\(", "**/*.py", "**/*test*"),
+    ("CRY-006", "crypto", "MEDIUM", r"\bmath/rand\b", "**/*.go", "**/*_test.go"),
+    ("CRY-007", "crypto", "MEDIUM", r"\bnew\s+Random\s*\(", "**/*.java", ""),
+    ("NET-003", "config", "HIGH", r"InsecureSkipVerify\s*:\s*true", "**/*.go", ""),
+    ("NET-004", "config", "MEDIUM", r"NODE_TLS_REJECT_UNAUTHORIZED['\"]?\]?\s*[:=]\s*['\"]?0", "**", ""),
+    ("NET-005", "config", "MEDIUM", r"\bDEBUG\s*=\s*True\b|\bapp\.run\([^)]*debug\s*=\s*True", "**/*.py", ""),
+    ("NET-006", "config", "LOW", r"\bhttp://[A-Za-z0-9.-]+\.[a-z]{2,}", "**/*.{yml,yaml,toml,env}", ""),
+    ("NET-007", "cors-headers", "MEDIUM", r"\bcors\s*\(\s*\)|origin\s*:\s*(?:true|['\"]\*['\"])", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("NET-008", "cors-headers", "LOW", r"(?i)x-powered-by|helmet\s*\(\s*\{[^}]*false", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("SRF-001", "ssrf", "HIGH", r"\b(?:axios|fetch|got|request)(?:\.\w+)?\s*\(\s*req\.(?:query|body|params)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("SRF-002", "ssrf", "HIGH", r"\b(?:requests|httpx|urllib\.request)\.\w+\s*\(\s*request\.", "**/*.py", ""),
+    ("SRF-003", "ssrf", "MEDIUM", r"\b169\.254\.169\.254\b", "**", ""),
+    ("RED-001", "redirect", "MEDIUM", r"\bredirect\s*\(\s*(?:req|request)\.(?:query|params|args|GET)", "**", ""),
+    ("COK-001", "session", "MEDIUM", r"(?i)\b(?:httpOnly|secure)\s*:\s*false\b", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("COK-002", "session", "MEDIUM", r"SESSION_COOKIE_SECURE\s*=\s*False|CSRF_COOKIE_SECURE\s*=\s*False|@csrf_exempt", "**/*.py", ""),
+    ("COK-003", "session", "LOW", r"\blocalStorage\.setItem\s*\(\s*['\"][^'\"]*(?:token|jwt|password)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("JWT-002", "jwt", "HIGH", r"\bjwt\.decode\s*\([^)]*verify(?:_signature)?['\"]?\s*[:=]\s*(?:False|false)", "**", ""),
+    ("PRT-001", "prototype", "MEDIUM", r"__proto__['\"]?\]?\s*[=:]|\bconstructor\.prototype\b\s*=", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("RGX-001", "redos", "MEDIUM", r"new\s+RegExp\s*\(\s*(?:req|request|input|params)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("XXE-001", "xxe", "HIGH", r"(?i)<!ENTITY\s+\S+\s+SYSTEM", "**", ""),
+    ("XXE-002", "xxe", "MEDIUM", r"DocumentBuilderFactory\.newInstance\(\)|resolve_entities\s*=\s*True", "**/*.{java,py}", ""),
+    ("DOC-002", "docker", "LOW", r"(?i)^ADD\s+https?://", "**/Dockerfile*", ""),
+    ("DOC-003", "docker", "MEDIUM", r"(?i)^USER\s+root\b", "**/Dockerfile*", ""),
+    ("DOC-004", "docker", "HIGH", r"(?i)^ENV\s+\w*(?:password|secret|token)\w*[= ]\S+", "**/Dockerfile*", ""),
+    ("DOC-005", "docker", "HIGH", r"privileged\s*:\s*true", "**/*.{yml,yaml}", ""),
+    ("CIC-001", "ci", "HIGH", r"\$\{\{\s*github\.event\.(?:issue|pull_request|comment)\.(?:title|body)", "**/*.{yml,yaml}", ""),
+    ("CIC-002", "ci", "MEDIUM", r"\bcurl\b[^|]*\|\s*(?:sudo\s+)?(?:ba)?sh\b", "**", ""),
+    ("MEM-001", "memory", "HIGH", r"\b(?:strcpy|strcat|sprintf|gets)\s*\(", "**/*.{c,cc,cpp,h}", ""),
+    ("MEM-002", "memory", "MEDIUM", r"\bunsafe\s*\{|\bmem::transmute\b", "**/*.rs", ""),
+    ("UPL-001", "upload", "MEDIUM", r"\bmulter\s*\(\s*\)|move_uploaded_file\s*\(", "**", ""),
+    ("PII-003", "data-leak", "MEDIUM", r"\bconsole\.log\s*\([^)]*(?:password|token|secret)", "**/*.{ts,tsx,js,jsx,mjs,cjs,vue}", ""),
+    ("PII-004", "data-leak", "MEDIUM", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "**", ""),
+    ("PII-005", "data-leak", "LOW", r"\b(?:4[0-9]{3}|5[1-5][0-9]{2})(?:[ -]?[0-9]{4}){3}\b", "**", ""),
     ("JWT-001", "jwt", "HIGH", r"(?i)algorithms?\s*[:=]\s*\[?\s*['\"]none['\"]", "**", ""),
 ]
 
 
+def in_template(found: Column) -> Column:
+    """Whether what was found in body stands in an event or a bound attribute of a template, or goes on a hyphenated name."""
+    before = F.call_function("substring_index", F.col("body"), found, F.lit(1))
+    return before.contains("@") | before.contains("v-on:") | before.rlike(r"(^|\s):(\w+-)*$|(^|\s):(\w+-)*password") | before.endswith("-")
+
+
 def scan(files: DataFrame, rules: list[tuple] = RULES, apart: bool = True) -> DataFrame:
     """(rule, category, severity, file, line, match): every rule's first match on every line of files (path, text).
 
@@ -42,17 +125,23 @@ def scan(files: DataFrame, rules: list[tuple] = RULES, apart: bool = True) -> Da
     Matches of secrets are redacted, others cut to 100 characters. Lines are read once and hold all rules' answers as one
     array, in the order of the rules' ids, so each pattern runs once on a line and nothing is joined or shuffled.
     """
+    wanted = sorted({(r[4], r[5]) for r in rules})
+
+    def fits(glob: str, without: str) -> Column:
+        yes = F.lit(True) if glob == "**" else F.col("path").rlike(glob_to_regex(glob))
+        return yes & ~F.col("path").rlike(glob_to_regex(without)) if without else yes
+
     def answer(rule: tuple) -> Column:
-        id_, category, severity, pattern, glob, without = rule[:6]
-        found = F.regexp_substr("body", F.lit(pattern))
-        for globs, wanted in ((glob, True), (without, False)):
-            if globs and globs != "**":
-                fits = F.col("path").rlike("|".join(f"(?:{glob_to_regex(g)})" for g in globs.split("|")))
-                found = F.when(fits if wanted else ~fits, found)
+        id_, category, severity, pattern, glob, without = rule
+        found = F.when(F.col("fits")[wanted.index((glob, without))], F.regexp_substr("body", F.lit(pattern)))
+        if id_ == "SEC-001":  # in a component's template the name of an event or a bound attribute is no secret
+            found = F.when(~(F.col("path").endswith(".vue") & in_template(found)), found)
         return F.struct(F.lit(id_).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), found.alias("found"))
 
     answers = F.filter(F.array(*[answer(r) for r in sorted(rules, key=lambda r: r[0])]), lambda x: x["found"].isNotNull())
-    hits = lines(files.select("path", "text")).select(F.col("path").alias("file"), "line", F.col("path"), "body").select("file", "line", answers.alias("hits")).filter(F.size("hits") > 0)
+    # globs are tried once a file; a file that no rule is about is not read
+    asked = files.select("path", F.array(*[fits(*w) for w in wanted]).alias("fits"), "text").filter(F.exists("fits", lambda x: x))
+    hits = lines(asked).select(F.col("path").alias("file"), "line", answers.alias("hits")).filter(F.size("hits") > 0)
     if apart:
         earlier = lambda x, i: F.exists(F.slice("hits", F.lit(1), i), lambda y: y["category"] == x["category"])
         hits = hits.withColumn("hits", F.filter("hits", lambda x, i: (i == 0) | ~earlier(x, i)))
@@ -139,4 +228,35 @@ def routes(files: DataFrame, patterns: list[tuple] = ROUTES) -> DataFrame:
         route = F.regexp_extract("body", pattern, path)
         each.append(F.when(F.col("path").rlike(glob_to_regex(glob)) & F.col("body").rlike(pattern), F.struct(F.lit(name).alias("framework"), said.alias("method"), F.when(route == "", "/").otherwise(route).alias("route"))))
     found = rows.select("path", "line", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r"))
-    return found.select("r.framework", "r.method", "r.route", "path", "line")
+    return with_controllers(found.select("r.framework", "r.method", "r.route", "path", "line"), rows)
+
+
+CONTROLLER = r"@Controller\s*\(\s*(?:['\"`]([^'\"`]*)['\"`])?"
+
+
+def with_controllers(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Routes of decorators with the prefix of the controller whose class holds them: from its decorator to where its braces close."""
+    about = rows.join(found.filter("framework = 'nestjs'").select("path").distinct(), "path", "left_semi")
+    depth = F.size(F.split("body", r"\{")) - F.size(F.split("body", r"\}"))
+    until = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    nested = about.withColumn("depth", F.sum(depth).over(until)).withColumn("opens", F.col("body").rlike(CONTROLLER))
+    nested = nested.withColumn("c", F.max(F.when(F.col("opens"), F.struct(F.col("line").alias("at"), F.regexp_extract("body", CONTROLLER, 1).alias("prefix"), (F.col("depth") - depth).alias("base")))).over(until))
+    # the class is over at the first line after its opening brace that is back at the depth of the decorator
+    back = F.when((F.col("depth") <= F.col("c.base")) & depth.__lt__(0), F.col("line"))
+    over = F.min(back).over(Window.partitionBy("path", "c.at").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    prefix = nested.filter("c is not null").withColumn("over", over).filter("over is null").select("path", "line", F.regexp_replace("c.prefix", "^/+|/+$", "").alias("prefix"))
+    joined = found.join(prefix, ["path", "line"], "left")
+    full = F.concat(F.lit("/"), F.col("prefix"), F.when(F.regexp_replace("route", "^/+", "") == "", "").otherwise(F.concat(F.lit("/"), F.regexp_replace("route", "^/+", ""))))
+    route = F.when((F.col("framework") == "nestjs") & F.col("prefix").isNotNull() & (F.col("prefix") != ""), full).otherwise(F.col("route"))
+    return joined.select("framework", "method", route.alias("route"), "path", "line")
+
+
+#: Routes that a display shows of each framework.
+SHOWN = 20
+
+
+def routes_shown(found: DataFrame, most: int = SHOWN) -> DataFrame:
+    """The first most routes of each framework by path and line, with how many more there are."""
+    whole, by = Window.partitionBy("framework"), Window.partitionBy("framework").orderBy("path", "line", "route")
+    ranked = found.withColumn("r", F.row_number().over(by)).withColumn("more", F.greatest(F.count("*").over(whole) - most, F.lit(0).cast("long")))
+    return ranked.filter(F.col("r") <= most).drop("r")
