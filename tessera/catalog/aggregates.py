@@ -219,7 +219,9 @@ def f02_like_tests(spark, sf_dir):
     return adapter.symbols(spark, sf_dir).filter(paths.any_like(F.col("file_path"), paths.TEST_LIKE)).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
-SAMPLE = "select * from (values ('app/x/page.tsx', 'Page'), ('web/app/metadata.ts', 'metadata'), ('src/contests/a.ts', 'a'), ('test/a.md', 'b'), ('src/test/b.py', 'c'), ('test_x.py', 'd'), ('a/test_y.py', 'e'), ('x_test.go', 'f'), ('src/__tests__/g.ts', 'g'), ('A.Test.ts', 'h'), ('b.spec.jsx', 'i'), ('lib/fixtures/j.ts', 'j'), ('dist/k.ts', 'k'), ('docs/l.md', 'l'), ('api/m.py', 'm'), ('src/routes/+page.svelte', 'n'), ('n.vue', 'o'), ('noext', 'p')) as v(file_path, name)"
+#: Paths of 18 shapes, one for each part.
+SHAPES = "(values (0, 'app/x#/page.tsx', 'Page'), (1, 'web#/app/metadata.ts', 'metadata'), (2, 'src/contests/a#.ts', 'a'), (3, 'test/a#.md', 'b'), (4, 'src/test/b#.py', 'c'), (5, 'test_x#.py', 'd'), (6, 'a#/test_y.py', 'e'), (7, 'x#_test.go', 'f'), (8, 'src/__tests__/g#.ts', 'g'), (9, 'A#.Test.ts', 'h'), (10, 'b#.spec.jsx', 'i'), (11, 'lib/fixtures/j#.ts', 'j'), (12, 'dist/k#.ts', 'k'), (13, 'docs/l#.md', 'l'), (14, 'api/m#.py', 'm'), (15, 'src#/routes/+page.svelte', 'n'), (16, 'n#.vue', 'o'), (17, 'noext#', 'p')) as v(i, shape, name)"
+SAMPLE = f"select replace(v.shape, '#', '' || p_partkey) as file_path, v.name from {{part}} join {SHAPES} on p_partkey % 18 = v.i"
 
 
 @query(
@@ -229,19 +231,19 @@ SAMPLE = "select * from (values ('app/x/page.tsx', 'Page'), ('web/app/metadata.t
       regexp_matches(file_path, '(?i)\\.(ts|tsx|js|jsx|mjs|cjs|py|go|rb|java|php|rs)$') and regexp_matches(file_path, '[/\\\\]tests?[/\\\\]|\\.(?i:test|spec)\\.') as stored,
       contains(file_path, '/test/') or contains(file_path, '.test.') or contains(file_path, '.spec.') as plan, {TEST} or regexp_matches(file_path, '(^|[/\\\\])fixtures[/\\\\]') as fixture,
       regexp_matches(file_path, '(^|/)(node_modules|dist|build|coverage|__pycache__|\\.venv|\\.git)/') or not regexp_matches(file_path, '(?i)\\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|rb|php|java|vue)$') as non_source from sample""",
-    {"sample": SAMPLE},
+    {"sample": SAMPLE.format(part="part")},
 )
 def f03_f08_path_predicates(spark, sf_dir):
     p = F.col("file_path")
-    return spark.sql(SAMPLE).select(
+    return spark.sql(SAMPLE.format(**adapter.spark_names(sf_dir))).select(
         p, paths.is_framework_entry(p, F.col("name")).alias("framework"), paths.is_test_file(p).alias("test"), paths.is_test_file_shown(p).alias("shown"), paths.is_test_file_stored(p).alias("stored"),
         paths.is_test_plan_file(p).alias("plan"), paths.is_fixture_or_test(p).alias("fixture"), paths.is_non_source(p).alias("non_source"),
     )
 
 
-@query("f09_globs", "select file_path from sample where regexp_matches(lower(file_path), '^src/.*/[^/]*\\.(?:ts|py)$')", {"sample": SAMPLE})
+@query("f09_globs", "select file_path from sample where regexp_matches(lower(file_path), '^src/.*/[^/]*\\.(?:ts|py)$')", {"sample": SAMPLE.format(part="part")})
 def f09_globs(spark, sf_dir):
-    return spark.sql(SAMPLE).filter(F.col("file_path").rlike(paths.glob_to_regex("src/**/*.{ts,py}"))).select("file_path")
+    return spark.sql(SAMPLE.format(**adapter.spark_names(sf_dir))).filter(F.col("file_path").rlike(paths.glob_to_regex("src/**/*.{ts,py}"))).select("file_path")
 
 
 @query("f11_json", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -306,13 +308,13 @@ def f24_regex_guard(spark, sf_dir):
     return spark.createDataFrame([(p, paths.is_safe_regex(p)) for p in patterns], "pattern string, safe boolean")
 
 
-CODE = "select * from (values ('import os'), ('  from a import b'), ('use std::io;'), ('const x = require(1)'), ('export async function f() {'), ('class A:'), ('pub fn g()'), ('return import'), ('')) as v(line)"
+CODE = "select replace(v.shape, '#', '' || p_partkey) as line from {part} join (values (0, 'import os#'), (1, '  from a# import b'), (2, 'use std::io#;'), (3, 'const x# = require(1)'), (4, 'export async function f#() {{'), (5, 'class A#:'), (6, 'pub fn g#()'), (7, 'return import#'), (8, '')) as v(i, shape) on p_partkey % 9 = v.i"
 
 
-@query("f25_line_scopes", "select line, regexp_matches(ltrim(line), '^(import\\s|from\\s|require\\(|use\\s|include\\s|require_relative|require\\s)') as imports, regexp_matches(ltrim(line), '^(export\\s+)?(async\\s+)?(function|class|interface|type|enum|struct|trait|const|let|var|def|fn|pub\\s+fn|pub\\s+struct|pub\\s+enum|module)\\s') as defines from code", {"code": CODE})
+@query("f25_line_scopes", "select line, regexp_matches(ltrim(line), '^(import\\s|from\\s|require\\(|use\\s|include\\s|require_relative|require\\s)') as imports, regexp_matches(ltrim(line), '^(export\\s+)?(async\\s+)?(function|class|interface|type|enum|struct|trait|const|let|var|def|fn|pub\\s+fn|pub\\s+struct|pub\\s+enum|module)\\s') as defines from code", {"code": CODE.format(part="part")})
 def f25_line_scopes(spark, sf_dir):
     t = F.ltrim("line")
-    return spark.sql(CODE).select("line", t.rlike(paths.IMPORT_LINE).alias("imports"), t.rlike(paths.DEFINITION_LINE).alias("defines"))
+    return spark.sql(CODE.format(**adapter.spark_names(sf_dir))).select("line", t.rlike(paths.IMPORT_LINE).alias("imports"), t.rlike(paths.DEFINITION_LINE).alias("defines"))
 
 
 @query("f26_formats", "select id, name || ' [' || kind || ']' as short, name || ' [' || kind || '] ' || file_path || ':' || start_line as full_text from symbols where kind = 'interface'")

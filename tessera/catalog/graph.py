@@ -114,7 +114,28 @@ def t08_file_clusters(spark, sf_dir):
     return enrich.file_clusters(symbols, links)
 
 
-@query("t09_domains")
+CLUSTERS = {
+    "hubs": "select file from (select file_a as file from file_edges where weight >= 2 union all select file_b from file_edges where weight >= 2) x group by file having count(*) > 8",
+    "joined": "select file_a as a, file_b as b from file_edges where weight >= 2 and file_a not in (select file from hubs) and file_b not in (select file from hubs)",
+    "both_ways": "select a, b from joined union select b, a from joined",
+    "reach": "select distinct file_path as file, file_path as to_file from symbols union select r.file, e.b from reach r join both_ways e on e.a = r.to_file",
+}
+GENERAL = "(" + ", ".join(f"'{x}'" for x in enrich.GENERIC_FOLDERS) + ")"
+
+
+@query(
+    "t09_domains",
+    f"""select o.file, case when size > greatest({enrich.MOST_FILES}, floor({enrich.MOST_SHARE}e0 * n_files)) then case when o.leaf in {GENERAL} and o.parent is not null then o.parent || '/' || o.leaf else o.leaf end
+      when best in {GENERAL} and size > 1 and best_parent is not null then best_parent || '/' || best else best end as domain
+      from outlines o join sizes z on z.cluster = o.cluster join leaves l on l.cluster = o.cluster left join parents p on p.cluster = o.cluster, (select count(*) as n_files from outlines) t""",
+    {
+        **CLUSTERS,
+        "outlines": "select file, min(to_file) as cluster, split_part(file, '/', -2) as leaf, case when len(string_split(file, '/')) >= 3 then split_part(file, '/', -3) end as parent from reach group by file",
+        "sizes": "select cluster, count(*) as size from outlines group by cluster",
+        "leaves": "select cluster, leaf as best from (select cluster, leaf, row_number() over (partition by cluster order by count(*) desc, leaf) as r from outlines group by cluster, leaf) x where r = 1",
+        "parents": "select cluster, parent as best_parent from (select o.cluster, o.parent, row_number() over (partition by o.cluster order by count(*) desc, o.parent) as r from outlines o join leaves l on l.cluster = o.cluster and l.best = o.leaf where o.parent is not null group by o.cluster, o.parent) x where r = 1",
+    },
+)
 def t09_domains(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
     return enrich.domains(enrich.file_clusters(symbols, links))
@@ -154,13 +175,25 @@ NEAR = {
 
 
 @query("t13_similar", SIMILAR, NEAR)
-@query("v10_find_similar", SIMILAR, NEAR)
-@query("j14_shared_neighbours", SIMILAR, NEAR)
 def t13_similar(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
     return traverse.similar(links, symbols, "c5")
 
 
+@query("v10_find_similar", SIMILAR.replace("'c5'", "'n3'"), NEAR)
+def v10_find_similar(spark, sf_dir):
+    """As t13, of an interface, whose neighbours are other interfaces, a module and its implementers."""
+    links, symbols = _graph(spark, sf_dir)
+    return traverse.similar(links, symbols, "n3")
+
+
+@query("j14_shared_neighbours", "select n.id, count(*) as shared from near n join (select other from near where id = 'c5') t on t.other = n.other join symbols y on y.id = n.id and y.exported where n.id <> 'c5' group by n.id", NEAR)
+def j14_shared_neighbours(spark, sf_dir):
+    """Every exported candidate with what it shares with the target: a join on neighbours, not of all pairs."""
+    links, symbols = _graph(spark, sf_dir)
+    return traverse.candidates(traverse.neighbours(links, symbols), "c5").join(symbols.filter("exported").select("id"), "id", "left_semi")
+
+
 @query("u05_jaccard", "select a.id, count(*) filter (b.other is not null) as shared, count(*) as size from near a left join (select other from near where id = 'c5') b on b.other = a.other where a.id in ('c5', 'c6', 'c12', 'n3') group by a.id", NEAR)
 def u05_jaccard(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
@@ -227,16 +260,17 @@ def k05_gap_risk(spark, sf_dir):
     return gaps.select("id", "heat", risk.alias("risk")).orderBy(F.desc("heat"), "id").limit(100)
 
 
+#: Two symbols of a component for each part, with a link from the customer's side that imports or calls its module.
 VUE = {
-    "vs": "select 'a.vue#class:A' as id, 'A' as name, 'class' as kind, 'a.vue' as file_path union all select 'a.vue#module:_top:0', '_top', 'module', 'a.vue' union all select 'b.vue#class:B', 'B', 'class', 'b.vue' union all select 'b.vue#module:_top:0', '_top', 'module', 'b.vue' union all select 'c.ts#class:C', 'C', 'class', 'c.ts'",
-    "vl": "select 'c.ts#class:C' as from_id, 'a.vue#module:_top:0' as to_id, 'imports' as type union all select 'c.ts#class:C', 'b.vue#module:_top:0', 'calls'",
+    "vs": "select 'p' || p_partkey || '.vue#class' as id, 'P' || p_partkey as name, 'class' as kind, 'p' || p_partkey || case when p_partkey % 5 = 0 then '.ts' else '.vue' end as file_path from {part} union all select 'p' || p_partkey || '.vue#module:_top:0', '_top', 'module', 'p' || p_partkey || case when p_partkey % 5 = 0 then '.ts' else '.vue' end from {part}",
+    "vl": "select 'c' || (p_partkey % 9) as from_id, 'p' || p_partkey || '.vue#module:_top:0' as to_id, case p_partkey % 3 when 0 then 'imports' when 1 then 'calls' else 'references' end as type from {part}",
 }
 
 
-@query("j05_component_roots", "select id from vs s where file_path like '%.vue' and kind = 'class' and exists (select 1 from vs t join vl l on l.to_id = t.id and l.type = 'imports' where t.file_path = s.file_path and t.kind = 'module' and t.name = '_top')", VUE)
+@query("j05_component_roots", "select id from vs s where file_path like '%.vue' and kind = 'class' and exists (select 1 from vs t join vl l on l.to_id = t.id and l.type = 'imports' where t.file_path = s.file_path and t.kind = 'module' and t.name = '_top')", {k: v.format(part="part") for k, v in VUE.items()})
 def j05_component_roots(spark, sf_dir):
-    symbols = spark.sql(VUE["vs"])
-    return lookup.component_roots(spark.sql(VUE["vl"]), symbols).select("id")
+    symbols, links = (spark.sql(VUE[k].format(**adapter.spark_names(sf_dir))) for k in ("vs", "vl"))
+    return lookup.component_roots(links, symbols).select("id")
 
 
 @query("j06_domain_stats", "select split_part(s.file_path, '/', 2) as zone, count(distinct s.file_path) as files, count(c.id) as symbols from symbols s left join (select id from symbols where exported) c on c.id = s.id group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog.registry import query
-from tessera.operators import textsearch
+from tessera.operators import tables, textsearch
 from tessera.sources import adapter
 
 
@@ -23,8 +23,6 @@ BM_SQL = """select id, round(greatest(ln((n - d0 + 0.5e0) / (d0 + 0.5e0)), 0e0)
 
 
 @query("v01_bm25", BM_SQL, BM)
-@query("v09_semantic_search", BM_SQL, BM)
-@query("j02_index_hits", BM_SQL, BM)
 def v01_bm25(spark, sf_dir):
     return textsearch.bm25(_docs(spark, sf_dir), ["licensed", "license"])
 
@@ -49,12 +47,47 @@ def v02_grep_regex(spark, sf_dir):
     return textsearch.grep(_docs(spark, sf_dir), 'token = "[0-9a-f]{8}', regex=True)
 
 
-FILES = "select * from (values (1, 'import os' || chr(10) || 'x = 1'), (2, 'def f():' || chr(10) || '  import sys'), (3, 'class Import:')) as v(id, text)"
+#: Symbols as what is searched: name, path and kind.
+SYMBOL_WORDS = {
+    "words": "select id, list_filter(regexp_split_to_array(lower(name || ' ' || file_path || ' ' || kind), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from symbols",
+    "counts": "select id, len(ws) as length, len(list_filter(ws, lambda x: x = 'class')) as f0, len(list_filter(ws, lambda x: x = 'machinery')) as f1 from words",
+    "facts": BM["facts"],
+}
+
+
+def _symbol_texts(spark, sf_dir):
+    return adapter.symbols(spark, sf_dir).select("id", F.concat_ws(" ", "name", "file_path", "kind").alias("text"))
+
+
+@query("v01_symbol_search", BM_SQL, SYMBOL_WORDS)
+def v01_symbol_search(spark, sf_dir):
+    return textsearch.bm25(_symbol_texts(spark, sf_dir), ["class", "machinery"])
+
+
+@query("v09_semantic_search", f"select h.id, h.score, s.kind, s.file_path from ({BM_SQL}) h join symbols s on s.id = h.id", SYMBOL_WORDS)
+def v09_semantic_search(spark, sf_dir):
+    """The tool's answer: the index alone, with kind and file of each hit."""
+    return v01_symbol_search(spark, sf_dir).join(adapter.symbols(spark, sf_dir).select("id", "kind", "file_path"), "id")
+
 
+@query("j02_index_hits", "select p.id, p.tf, s.name, s.kind from (select id, count(*) as tf from (select id, unnest(ws) as term from words) x where term = 'machinery' group by id) p join symbols s on s.id = p.id", SYMBOL_WORDS)
+def j02_index_hits(spark, sf_dir):
+    hits = textsearch.postings(_symbol_texts(spark, sf_dir)).filter("term = 'machinery'").select("id", "tf")
+    return hits.join(adapter.symbols(spark, sf_dir).select("id", "name", "kind"), "id")
 
-@query("v03_scoped_grep", "select id, line, body as text from (select 1 as id, 1 as line, 'import os' as body union all select 2, 2, 'import sys') x")
+
+#: Three lines of code for each part; every one has the word, two in scope.
+SCOPED = "select p_partkey as id, 'import os' || p_partkey || '{nl}x = important(1){nl}def imported():' as text from {part}"
+
+
+@query("v03_scoped_grep", "select p_partkey as id, 1 as line, 'import os' || p_partkey as text from part")
 def v03_scoped_grep(spark, sf_dir):
-    return textsearch.grep(spark.sql(FILES.replace("chr(10)", "'\\n'")), "import", scope="imports")
+    return textsearch.grep(spark.sql(SCOPED.format(nl="\\n", **adapter.spark_names(sf_dir))), "import", scope="imports", most=None)
+
+
+@query("v03_scoped_definitions", "select p_partkey as id, 3 as line, 'def imported():' as text from part")
+def v03_scoped_definitions(spark, sf_dir):
+    return textsearch.grep(spark.sql(SCOPED.format(nl="\\n", **adapter.spark_names(sf_dir))), "import", scope="definitions", most=None)
 
 
 TOK = {
@@ -88,6 +121,15 @@ def v04_tfidf(spark, sf_dir):
     return textsearch.tfidf(_docs(spark, sf_dir))
 
 
+@query("v06_embedding_store", "select vec_id as id, case when vec_id % 10 = 0 then 2 else 64 end as size, case when vec_id % 10 = 0 then null else round(cast(embedding[1] as double), 6) end as first from embeddings union all select -1, 64, 1e0")
+def v06_embedding_store(spark, sf_dir):
+    """Vectors after an upsert that replaces every tenth by one of a wrong length and adds one; a wrong length reads as null."""
+    e = adapter.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    changes = e.filter("id % 10 = 0").withColumn("v", F.slice("v", 1, 2)).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.array_repeat(F.lit(1.0), 64).alias("v")))
+    stored = tables.upsert(e, changes.select(F.col("id").cast(e.schema["id"].dataType), "v"), ["id"])
+    return stored.select("id", F.size("v").alias("size"), F.round(textsearch.vector_of(F.col("v"), 64)[0], 6).alias("first"))
+
+
 @query("v06_embeddings", "select count(*) as n, count(*) filter (len(embedding) = 64) as sound, count(distinct label) as labels from embeddings")
 def v06_embeddings(spark, sf_dir):
     return adapter.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("sound"), F.count_distinct("label").alias("labels"))

@@ -41,7 +41,6 @@ UPSERT = "select n_nationkey as key, case when n_nationkey % 5 = 0 then n_nation
 
 
 @query("s08_upsert", UPSERT)
-@query("s09_upsert_registry", UPSERT)
 def s08_upsert(spark, sf_dir):
     n = adapter.table(spark, sf_dir, "nation")
     stored = n.select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("value"))
@@ -105,7 +104,6 @@ REFRESH = "select doc_id as path, case when doc_id % 7 = 0 or doc_id % 13 = 0 th
 
 
 @query("i02_incremental_facts", REFRESH)
-@query("i03_live_facts", REFRESH)
 def i02_incremental_facts(spark, sf_dir):
     d = adapter.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("fact"), F.lit("h").alias("hash"))
     live = d.filter("path % 11 <> 0")
@@ -119,3 +117,26 @@ def i23_schema_growth(spark, sf_dir):
     e = adapter.table(spark, sf_dir, "events")
     old, new = e.filter("event_id % 2 = 0").select("event_id", "event_type"), e.filter("event_id % 2 = 1").select("event_id", "event_type", "value")
     return tables.union_all([old, new])
+
+
+HASHED = "select doc_id, source, case when doc_id % 7 = 0 then 'new' || (doc_id % 3) else substr(sha256(text), 1, 8) end as hash from documents"
+
+
+@query("s09_file_rows", f"select doc_id, hash, coalesce(source, 'none') as zone from ({HASHED}) x")
+def s09_file_rows(spark, sf_dir):
+    """Hashes and zones of files after an upsert of every seventh hash; the zone stays."""
+    d = adapter.table(spark, sf_dir, "documents")
+    stored = d.select("doc_id", F.substring(F.sha2("text", 256), 1, 8).alias("hash"))
+    changes = d.filter("doc_id % 7 = 0").select("doc_id", F.concat(F.lit("new"), F.col("doc_id") % 3).alias("hash"))
+    zones = d.select("doc_id", F.coalesce("source", F.lit("none")).alias("zone"))
+    return tables.upsert(stored, changes, ["doc_id"]).join(zones, "doc_id").select("doc_id", "hash", "zone")
+
+
+@query("i03_live_facts", "select l_orderkey % 3 = 0 as kept_old, count(*) as n from lineitem where l_orderkey % 4 <> 0 group by 1")
+def i03_live_facts(spark, sf_dir):
+    """Facts of line items by order: orders whose number four divides are gone, and two in three of the others are read again."""
+    facts = adapter.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), "l_linenumber")
+    live = facts.filter("path % 4 <> 0").select("path").distinct()
+    changed = live.filter("path % 3 <> 0")
+    now = tables.refresh(facts.withColumn("old", F.lit(True)), facts.withColumn("old", F.lit(False)), live, changed)
+    return now.groupBy(F.col("old").alias("kept_old")).agg(F.count("*").alias("n"))

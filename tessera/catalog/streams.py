@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.memory import FOLD
 from tessera.catalog.registry import query
 from tessera.plans.cut import checkpoint_dir
+from tessera.sources import adapter
 from tessera.streaming import flows
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -34,10 +35,20 @@ def i10_annotation_stream(spark, sf_dir):
     return _run(spark, flows.annotate(e)).select("id", "confidence", "event")
 
 
-@query("i07_debounced_changes")
+BURSTS = {
+    "changes": "select 'src/f' || (user_id % 50) || '.ts' as path, ts, user_id % 5 as repo from events",
+    "opened": "select *, case when ts - lag(ts) over (partition by repo order by ts) <= interval 1 hour then 0 else 1 end as opens from changes",
+    "bursts": "select *, sum(opens) over (partition by repo order by ts rows unbounded preceding) as burst from opened",
+}
+
+
+@query("i07_debounced_changes", "select repo, min(ts) as from_time, max(ts) + interval 1 hour as to_time, string_agg(distinct path, ',' order by path) as paths from bursts group by repo, burst", BURSTS)
 def i07_debounced_changes(spark, sf_dir):
-    e = _stream(spark, sf_dir).select(F.concat(F.lit("src/f"), F.col("user_id") % 50, F.lit(".ts")).alias("path"), "ts", (F.col("user_id") % 5).alias("repo"))
-    return _run(spark, flows.debounced(e, "1 hour", "1 day")).select("repo", "from_time", "to_time", F.array_join("paths", ",").alias("paths"))
+    """All bursts: those that the stream emits, and those that it holds open when its source ends."""
+    of = lambda e: e.select(F.concat(F.lit("src/f"), F.col("user_id") % 50, F.lit(".ts")).alias("path"), "ts", (F.col("user_id") % 5).alias("repo"))
+    emitted = _run(spark, flows.debounced(of(_stream(spark, sf_dir)), "1 hour", "1 day"))
+    left = flows.last_bursts(of(adapter.table(spark, sf_dir, "events")), emitted, "1 hour")
+    return emitted.unionByName(left).select("repo", "from_time", "to_time", F.array_join("paths", ",").alias("paths"))
 
 
 @query("i08_refresh_batches", "select distinct 'src/f' || (user_id % 50) || '.ts' as path from events")

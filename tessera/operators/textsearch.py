@@ -76,6 +76,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_of(v: Column, dimensions: int) -> Column:
+    """A stored vector, null if it has another length."""
+    return F.when(F.size(v) == dimensions, v)
+
+
 def cosine_top(vectors: DataFrame, query: DataFrame, most: int, dimensions: int) -> DataFrame:
     """(id, similarity) of vectors (id, v) to the one row of query (id, v), without it; vectors of another length are left out, zero vectors score 0."""
     q = query.select(F.col("id").alias("qid"), F.col("v").alias("q")).limit(1)

@@ -140,12 +140,18 @@ def neighbours(links: DataFrame, symbols: DataFrame) -> DataFrame:
     return own.unionAll(own.join(members, "id").select(F.col("holder").alias("id"), "other")).distinct()
 
 
+def candidates(near: DataFrame, target: str) -> DataFrame:
+    """(id, shared): the symbols that share neighbours (id, other) with target, and how many."""
+    mine = near.filter(F.col("id") == target).select("other").distinct()
+    return near.filter(F.col("id") != target).join(mine, "other", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+
+
 def similar(links: DataFrame, symbols: DataFrame, target: str, least: float = 0.15, most: int = 10) -> DataFrame:
     """(id, similarity): exported symbols by the Jaccard similarity of their neighbours to target's. Candidates come from a join on shared neighbours, not from all symbols."""
     near = cut(neighbours(links, symbols))
     mine = near.filter(F.col("id") == target).select("other").distinct()
     size = near.groupBy("id").agg(F.count("*").alias("size"))
-    shared = near.filter(F.col("id") != target).join(mine, "other", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+    shared = candidates(near, target)
     mine_size = mine.agg(F.count("*").alias("mine"))
     found = shared.join(size, "id").crossJoin(mine_size).join(symbols.filter("exported").select("id"), "id", "left_semi")  # mine_size is one row
     similarity = F.col("shared") / (F.col("size") + F.col("mine") - F.col("shared"))

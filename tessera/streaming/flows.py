@@ -19,6 +19,14 @@ def debounced(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 seco
     return burst.agg(F.array_sort(F.collect_set("path")).alias("paths")).select("repo", F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "paths")
 
 
+def last_bursts(changes: DataFrame, emitted: DataFrame, quiet: str = "2 seconds") -> DataFrame:
+    """The bursts that a finished stream still held open: those of changes (repo, path, ts), read as a table, after the last that was emitted of their repository."""
+    over = emitted.groupBy("repo").agg(F.max("to_time").alias("over"))
+    rest = changes.join(over, "repo", "left").filter("over is null or ts >= over").drop("over")
+    burst = rest.groupBy("repo", F.session_window("ts", quiet).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    return burst.select("repo", F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "paths")
+
+
 def refresh(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs apply on the distinct paths of each micro-batch, one at a time; a batch that was done before a restart is not done again. every: how often; otherwise once, for all there is."""
     done: set[int] = set()
