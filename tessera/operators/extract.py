@@ -282,3 +282,56 @@ def python_facts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     return files.select("path", "text").mapInArrow(run, FACTS)
+
+
+# Calls in class bodies of Ruby that declare something, by kind.
+RUBY_DSL = {
+    "attribute": "attr_accessor attr_reader attr_writer".split(),
+    "association": "has_many has_one belongs_to has_and_belongs_to_many".split(),
+    "scope": ["scope"],
+    "callback": "before_save after_save before_create after_create before_update after_update before_destroy after_destroy before_validation after_validation after_commit before_action after_action around_action".split(),
+}
+
+
+def ruby_declarations(files: DataFrame) -> DataFrame:
+    """(path, line, kind, name, visible): what Ruby classes declare by calls, one row for each symbol, and methods; what follows a private or protected line of a class is not visible."""
+    kinds = F.create_map(*[F.lit(x) for kind, words in RUBY_DSL.items() for w in words for x in (w, kind)])
+    call = r"^\s*([a-z_]+)[\s(]+(:[A-Za-z_]\w*[?!]?.*)"
+    method = r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"
+    rows = lines(files.select("path", "text"))
+    section = F.when(F.col("body").rlike(r"^\s*(?:class|module)\s"), True).when(F.col("body").rlike(r"^\s*(private|protected)\s*$"), False).when(F.col("body").rlike(r"^\s*public\s*$"), True)
+    at = F.max(F.when(section.isNotNull(), F.struct("line", section.alias("open")))).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("visible", F.coalesce(at["open"], F.lit(True)))
+    kind = kinds[F.regexp_extract("body", call, 1)]
+    # an association or scope names one thing, an attribute or callback as many as there are symbols before any option
+    listed = F.regexp_extract_all(F.regexp_replace(F.regexp_extract("body", call, 2), r",\s*\w+:.*$|,\s*:\w+\s*=>.*$|,?\s*(->|lambda|proc).*$", ""), F.lit(r":([A-Za-z_]\w*[?!]?)"), 1)
+    names = F.when(kind.isin("association", "scope"), F.slice(listed, 1, 1)).otherwise(listed)
+    declared = rows.withColumn("kind", kind).filter("kind is not null").select("path", "line", "kind", F.explode(names).alias("name"), "visible")
+    name = F.regexp_extract("body", method, 1)
+    return declared.unionByName(rows.filter(name != "").select("path", "line", F.lit("method").alias("kind"), name.alias("name"), "visible"))
+
+
+def component_facts(files: DataFrame) -> DataFrame:
+    """(path, fact, name) of single-file components: the component itself by its file's name, the script's language, components that the template uses (kebab names as Pascal ones), reactive state, computed values, props, emits, lifecycle hooks, and selectors of the style."""
+    def block(tag: str) -> Column:
+        return F.regexp_extract(F.coalesce("text", F.lit("")), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+
+    pascal = lambda x: F.array_join(F.transform(F.split(x, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    text, script = F.coalesce("text", F.lit("")), block("script")
+    template = F.regexp_extract(text, r"(?is)<template\b[^>]*>(.*)</template\s*>", 1)
+    tags = F.array_distinct(F.transform(F.regexp_extract_all(template, F.lit(r"<([A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*(?:-[a-z0-9]+)+)[\s/>]"), 1), pascal))
+    tags = F.filter(tags, lambda x: ~x.isin("Template", "Component", "Slot", "Transition", "KeepAlive", "RouterLink", "RouterView"))
+    named = lambda p: F.regexp_extract_all(script, F.lit(p), 1)
+    facts = [
+        ("component", F.array(pascal(F.regexp_extract("path", r"([^/]+)\.vue$", 1)))),
+        ("script", F.filter(F.array(F.when(F.length(script) > 0, F.coalesce(F.nullif(F.regexp_extract(text, r"""(?is)<script\b[^>]*\blang\s*=\s*["'](\w+)""", 1), F.lit("")), F.lit("js")))), lambda x: x.isNotNull())),
+        ("uses", tags),
+        ("state", named(r"(?m)\b(?:const|let)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:ref|reactive|shallowRef)\b")),
+        ("computed", named(r"(?m)\bconst\s+([A-Za-z_$][\w$]*)\s*=\s*computed\b")),
+        ("hook", F.array_distinct(named(r"\b(on(?:Mounted|Unmounted|Updated|BeforeMount|BeforeUnmount))\s*\("))),
+        ("macro", F.array_distinct(named(r"\b(define(?:Props|Emits|Expose))\b"))),
+        ("selector", F.array_distinct(F.regexp_extract_all(block("style"), F.lit(r"([.#][A-Za-z_][\w-]*)(?=[^{}]*\{)"), 1))),
+    ]
+    told = lambda fact: lambda name: F.struct(F.lit(fact).alias("fact"), name.alias("name"))
+    each = F.flatten(F.array(*[F.transform(names, told(fact)) for fact, names in facts]))
+    return files.filter(F.lower("path").endswith(".vue")).select("path", F.explode(each).alias("f")).select("path", "f.fact", "f.name")

@@ -65,7 +65,7 @@ def _aliases_of(path: str, text: str) -> list[tuple]:
     name, here = posixpath.basename(path), posixpath.dirname(path)
     at = lambda *p: posixpath.normpath(posixpath.join(here, *p)).removeprefix("./")
     out: list[tuple] = []
-    if re.fullmatch(r"(ts|js)config(\..+)?\.json", name):
+    if re.fullmatch(r"(ts|js)config(\..+)?\.json", name) or name.endswith(".json") and '"compilerOptions"' in text:
         got = _jsonc(text)
         options = got.get("compilerOptions") or {}
         for prefix, to in (options.get("paths") or {}).items():
@@ -112,6 +112,7 @@ def aliases(files: DataFrame) -> DataFrame:
     from tessera.plans.cut import cut
 
     config = F.regexp_extract("path", "[^/]+$", 0).rlike(r"^((ts|js)config(\..+)?\.json|composer\.json|go\.mod|Cargo\.toml|pyproject\.toml|vite\.config\.[cm]?[jt]s)$")
+    config = config | (F.col("path").endswith(".json") & F.col("text").contains('"compilerOptions"'))  # what others extend may have any name
     rows = cut(files.filter(config).select("path", "text").mapInArrow(run, ALIASES))
     up = rows.filter("parent is not null").select("path", "parent").distinct()
     seen = frontier = rows.select("path", F.col("path").alias("from_path"), F.lit(0).alias("hops")).distinct()
