@@ -180,7 +180,7 @@ def in_range(version: Column, clause: Column) -> Column:
     high_op, high = F.regexp_extract(clause, r"(<=|<|==|=)\s+(\S+)\s*$", 1), F.regexp_extract(clause, r"(<=|<|==|=)\s+(\S+)\s*$", 2)
     l, h = semver(low), semver(high)
     above = F.when(low_op == "", True).when(low_op == ">=", v >= l).otherwise(v > l)
-    under = F.when(high_op == "", True).when(high_op == "<", v < h).otherwise(v <= h)
+    under = F.when(high_op == "", True).when(high_op == "<", v < h).when(high_op == "<=", v <= h).otherwise(v == h)
     return F.coalesce(clause.rlike(op) & v.isNotNull() & above & under, F.lit(False))
 
 

@@ -92,9 +92,7 @@ def shortest_path(links: DataFrame, start: str, end: str, depth: int = 5) -> Dat
             ways = ways.filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("at"), "member", F.array_append("path", F.col("next")).alias("path"))
             ways = ways.unionAll(two) if hops == 2 else ways
             frontier = first(ways.join(small(seen), "at", "left_anti"))
-        if not frontier.filter(F.col("at") == end).isEmpty():
-            break
-        if frontier.isEmpty():
+        if not frontier.filter(F.col("at") == end).isEmpty() or hops > 1 and frontier.isEmpty():
             break
         seen = cut(seen.unionAll(frontier.select("at")).distinct())
     found = frontier.filter(F.col("at") == end).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
