@@ -23,6 +23,8 @@ from tessera.llm.text import Words, bounded, mix, slices, windows
 BINS, BITS, SHINGLE = 512, 4, 5
 #: Rows of a key range of the sorted pass, and the most ranges; beyond, ranges grow (they are read as a stream).
 RANGE_ROWS, MOST_RANGES = 2_000, 20_000
+#: Bytes of text that are fingerprinted at once.
+PART = 1 << 20
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -81,7 +83,7 @@ def fingerprint(text: str = "text", bins: int = BINS, bits: int = BITS, shingle:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])
-        return pd.Series([f for part in slices(batch, "t") for f in fingerprints_of(part.column(0), bins, bits, shingle)], dtype="object")
+        return pd.Series([f for part in slices(batch, "t", PART) for f in fingerprints_of(part.column(0), bins, bits, shingle)], dtype="object")
 
     return run(F.coalesce(F.col(text), F.lit("")))
 
@@ -160,7 +162,7 @@ def fingerprint_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, shing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose next one is still to come
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 columns = [part.column(c).to_pylist() for c in ("range", "foreign", "doc_id", "text")]
                 prints = fingerprints_of(part.column("text"), bins, bits, shingle)
                 rows = ([held] if held else []) + list(zip(*columns, prints, strict=True))
@@ -169,7 +171,7 @@ def fingerprint_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, shing
                 texts = [t[: len(t) - len(t) // 2] + b[3][: len(t) // 2] for a, b in pairs for t in (a[3],)]
                 edited = []
                 whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
-                for some in slices(whole, "t"):
+                for some in slices(whole, "t", PART):
                     edited += fingerprints_of(some.column(0), bins, bits, shingle)
                 yield pa.RecordBatch.from_arrays(
                     [
