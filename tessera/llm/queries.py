@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html_text, language, license, mixing, packing, ppm, quality, simhash, warc
+from tessera.llm import bestfit, divergence, fingerprints, html_text, language, license, mixing, packing, ppm, quality, ranked, simhash, warc
 from tessera.plans.cut import checkpoint_dir
 
 
@@ -68,6 +68,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 aims at, without what it draws."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -82,7 +94,10 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_text, op2_mixing, op3_fingerprints, op4_ppm_scores, op5_packing, op6_language, op7_licenses, op8_warc, op9_quality, op10_simhash, mixing_targets, quality_counts)
+    for f in (
+        op1_html_text, op2_mixing, op3_fingerprints, op4_ppm_scores, op5_packing, op6_language, op7_licenses, op8_warc, op9_quality, op10_simhash, op11_ranked_search, op12_best_fit, op13_source_audit,
+        mixing_targets, quality_counts,
+    )
 }
 
 _SIZES = "select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents"
@@ -118,5 +133,32 @@ select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_dige
 from payloads p left join top t on t.digest = p.digest and p.n >= 1000
 """
 
+_RANKED = r"""
+with found as (select row_number() over () as r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tfs as (select r, doc_id, term, count(*) as tf from found group by all),
+lengths as (select r, sum(tf) as n from tfs group by r),
+total as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from lengths),
+weights as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, total group by term),
+ms as (select r, cast(10 + (90 * cast(n as hugeint) * docs) // terms as bigint) as m from lengths, total),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scores as (select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from asked join tfs using (term) join weights using (term) join ms using (r) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0 qualify rank <= 10
+"""
+_AUDIT = r"""
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+tfs as (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs) x group by all),
+kept as (select lang, term, cast(sum(n) as hugeint) as n from tfs group by lang, term having count(*) >= 30),
+sizes as (select lang, cast(count(*) as hugeint) as v, cast(sum(n) as hugeint) as total from kept group by lang),
+grouped as (select distinct lang, source from docs),
+counts as (select lang, source, term, cast(sum(n) as hugeint) as n from tfs semi join kept using (lang, term) group by all),
+totals as (select g.lang, g.source, cast(coalesce(sum(n), 0) as hugeint) as total from grouped g left join counts using (lang, source) group by all),
+shares as (select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (t.total + 5 * s.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (s.total + 5 * s.v) as q
+  from totals t join sizes s using (lang) join kept k using (lang) left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f, 0) as bigint) as value from grouped a join grouped b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as f from shares x join shares y on x.lang = y.lang and x.term = y.term group by all) d on d.lang = a.lang and d.source = a.source and d.item = b.source),
+every as (select * from pairs union all select lang, source, 'term', term, cast(p - q as bigint) from shares where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from every qualify part = 'pair' or rank <= 50
+"""
+
 #: What the others give cannot be told in SQL (XXH64, fitted models, tokenizers, parsers, drawn samples); tests hold it against brute force.
-ORACLES: dict[str, str] = {"op8_warc": _WARC, "mixing_targets": _TARGETS.format(sizes=_SIZES), "quality_counts": _COUNTS}
+ORACLES: dict[str, str] = {"op8_warc": _WARC, "op11_ranked_search": _RANKED, "op13_source_audit": _AUDIT, "mixing_targets": _TARGETS.format(sizes=_SIZES), "quality_counts": _COUNTS}

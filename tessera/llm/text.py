@@ -39,6 +39,15 @@ def packed(docs: DataFrame, *more: Column | str) -> DataFrame:
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: What parts terms: every ASCII character but letters, and every one but letters and digits.
+NO_LETTER = np.zeros(256, bool)
+NO_LETTER[:0x80] = ~np.array([chr(c).isalpha() for c in range(0x80)])
+NO_LETTER_OR_DIGIT = NO_LETTER.copy()
+NO_LETTER_OR_DIGIT[0x30:0x3A] = False
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -96,11 +105,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of texts: start, end, document and 64-bit hash of each, and each document's first word."""
+    """The words of texts: start, end, document and 64-bit hash of each, and each document's first word.
+
+    A word is a longest run of bytes that are not `apart` (white space, unless told otherwise); lower takes A-Z as a-z.
+    """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, apart: np.ndarray = WHITE, lower: bool = False):
         self.data, self.off = raw(texts)
-        word = ~WHITE[self.data]
+        if lower:
+            self.data = LOWER[self.data]
+        word = ~apart[self.data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
