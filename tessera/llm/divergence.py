@@ -32,13 +32,51 @@ LIGHT = 8
 TILE_TERMS, TILE_GROUPS, POSTING_TERMS, SHARE_GROUPS = 1_024, 128, 8_192, 64
 #: Rows of counts that a task holds before it gives them out.
 HELD_ROWS = 1 << 18
+#: Hashes of terms in enough documents that may be broadcast (eight bytes each); with more, terms are counted before they are dropped.
+MOST_HASHES = 1 << 21
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences of each term in each group, and how many of the group's documents hold it."""
+def often_held(docs: DataFrame, least_docs: int, most: int = MOST_HASHES) -> np.ndarray | None:
+    """The hashes, in order, of all terms that least_docs documents of any language hold, or None if they are more than most.
+
+    Only a first sieve that drops the many terms of few documents early: terms are kept by their own counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, back = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return h, np.bincount(back, np.concatenate([df for _, df in held])).astype(np.int64)
+
+        given = lambda h, df: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df)], ["h", "df"])
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), NO_LETTER, lower=True)
+                hashes, term = np.unique(words.hashes(), return_inverse=True)
+                in_doc = np.unique(words.doc * max(1, len(hashes)) + term)
+                held.append((hashes, np.bincount(in_doc % max(1, len(hashes)), minlength=len(hashes))))
+                rows += len(hashes)
+                if rows >= 2 * HELD_ROWS:
+                    held = [summed()]
+                    rows = len(held[0][0])
+                    if rows >= HELD_ROWS:
+                        yield given(*held[0])
+                        held, rows = [], 0
+        if held:
+            yield given(*summed())
+
+    counted = bounded(docs.select("text")).mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") >= least_docs).select("h")
+    found = counted.limit(most + 1).toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64)) if len(found) <= most else None
+
+
+def term_counts(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(lang, source, term, n, df): occurrences of each term in each group, and how many of the group's documents hold it. only: hashes of the terms asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(only)
         for batch in batches:
             for part in slices(batch, "text"):
                 held.add(part)
@@ -54,7 +92,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 class Held:
     """Counts by group and term of the slices so far; a term is kept once, as its bytes at the first place."""
 
-    def __init__(self):
+    def __init__(self, only: np.ndarray | None):
+        self.only = only
         self.groups: dict[tuple[str, str], int] = {}
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.words: list[tuple[np.ndarray, pa.Array]] = []
@@ -65,8 +104,15 @@ class Held:
         if not len(words.start):
             return
         hashes, first, term = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        doc = words.doc
+        if self.only is not None:
+            asked = np.isin(hashes, self.only, assume_unique=True)
+            doc, term = doc[asked[term]], (np.cumsum(asked) - 1)[term[asked[term]]]
+            hashes, first = hashes[asked], first[asked]
+        if not len(hashes):
+            return
         group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)], np.int64)
-        in_doc, n = np.unique(words.doc * len(hashes) + term, return_counts=True)
+        in_doc, n = np.unique(doc * len(hashes) + term, return_counts=True)
         key, at, back = np.unique(group[in_doc // len(hashes)] * len(hashes) + in_doc % len(hashes), return_index=True, return_inverse=True)
         self.parts.append((key // len(hashes), hashes[key % len(hashes)], np.bincount(back, n).astype(np.int64), np.bincount(back)))
         length = words.end[first] - words.start[first]
@@ -85,35 +131,37 @@ class Held:
         terms = pa.concat_arrays([t for _, t in self.words]).take(pa.array(at[np.searchsorted(known, hashes[begin])])).cast(pa.string())
         langs, sources = (pa.array(x, pa.string()).take(pa.array(group[begin])) for x in zip(*self.groups, strict=True))
         out = pa.RecordBatch.from_arrays([langs, sources, terms, pa.array(np.add.reduceat(n[order], begin)), pa.array(np.add.reduceat(df[order], begin))], ["lang", "source", "term", "n", "df"])
-        self.__init__()
+        self.__init__(self.only)
         return out
 
 
 def share(n: Column | str, of: Column | str, terms: Column | str) -> Column:
-    """1 + floor(SCALE * (n + SMOOTH) / (of + SMOOTH * terms)), exact: the products pass 64 bits."""
-    wide = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
-    above, below = F.lit(SCALE).cast("decimal(10,0)") * (wide(n) + SMOOTH).cast("decimal(28,0)"), wide(of) + wide(terms) * SMOOTH
-    return (F.lit(1) + F.call_function("div", above, below)).cast("long")
+    """1 + floor(SCALE * (n + SMOOTH) / (of + SMOOTH * terms)), exact; beyond 9e9 occurrences the product passes 64 bits, and decimals take it."""
+    n, below = (F.col(n) if isinstance(n, str) else n).cast("long") + SMOOTH, (F.col(of) if isinstance(of, str) else of) + F.col(terms) * SMOOTH
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * n.cast("decimal(28,0)"), below.cast("decimal(38,0)"))
+    return F.lit(1) + F.when(n < 9_000_000_000, F.call_function("div", n * SCALE, below)).otherwise(wide)
 
 
 def _tables(docs: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, terms, counts): groups (lang, source, total, kept, p0, number), terms (lang, term, held, q), counts (lang, source, term, n, p) of kept terms."""
+    """(groups, terms, counts): groups (lang, source, number, p0), terms (lang, t, held), counts (lang, source, term, t, number, p0, held, q, p) of kept terms.
+
+    t numbers terms; number numbers the groups of a language from 1.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     plain = docs.select(blank("lang"), blank("source"), blank("text"))
-    counted = term_counts(plain)
+    counted = cut(term_counts(plain, often_held(plain, least_docs)))
     by_term = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df"), F.count("*").alias("held")).filter(F.col("df") >= least_docs)
-    terms = cut(by_term.drop("df"))
-    counts = cut(counted.drop("df").join(small(terms.select("lang", "term")), ["lang", "term"]))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    terms = cut(by_term.select("lang", "term", "lang_n", "held", F.monotonically_increasing_id().alias("t")))
+    langs = cut(terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")))
+    kept = terms.join(small(langs), "lang").select("lang", "term", "t", "held", share("lang_n", "lang_total", "kept").alias("q"))
+    counts = cut(counted.select("lang", "source", "term", "n").join(small(kept), ["lang", "term"]))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    every = plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "kept", "lang_total"])
+    every = plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(small(langs), "lang", "left").fillna(0, ["total", "kept"])
     p0 = F.when(F.col("kept") > 0, share(F.lit(0), "total", "kept")).otherwise(0)
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")
-    groups = cut(every.select("lang", "source", "total", "kept", "lang_total", p0.alias("p0"), number.alias("number")))
-    terms = terms.join(small(langs), "lang").select("lang", "term", "held", share("lang_n", "lang_total", "kept").alias("q"))
-    known = groups.select("lang", "source", "total", "kept", "number", "p0")
-    counts = cut(counts.join(small(known), ["lang", "source"]).join(small(terms), ["lang", "term"]).select("lang", "source", "term", "number", "p0", "held", "q", share("n", "total", "kept").alias("p")))
-    return groups, terms, counts
+    groups = cut(every.select("lang", "source", "total", "kept", p0.alias("p0"), number.alias("number")))
+    known = counts.join(small(groups), ["lang", "source"])
+    return groups.drop("total", "kept"), terms.select("lang", "t", "held"), cut(known.select("lang", "source", "term", "t", "number", "p0", "held", "q", share("n", "total", "kept").alias("p")))
 
 
 def _pairs(lang, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -123,29 +171,27 @@ def _pairs(lang, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
 PAIRS = "lang string, a long, b long, value long"
 
 
-def dense_pairs(heavy: DataFrame, groups: DataFrame, tile_terms: int = TILE_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
-    """Sums over heavy terms (lang, term, number, p) for pairs a < b of groups (lang, number, p0), tile by tile."""
-    terms = heavy.select("lang", "term").distinct()
+def dense_pairs(heavy: DataFrame, terms: DataFrame, groups: DataFrame, tile_terms: int = TILE_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
+    """Sums over heavy terms (lang, t, number, p) for pairs a < b of groups (lang, number, p0), tile by tile. terms (lang, t): the heavy ones."""
     n_blocks = terms.groupBy("lang").agg(F.ceil(F.count("*") / tile_terms).alias("term_blocks"))
     sides = groups.groupBy("lang").agg(F.floor((F.count("*") - 1) / tile_groups).alias("last"))
-    sizes = n_blocks.join(sides, "lang")
+    sizes = small(cut(n_blocks.join(sides, "lang")))
     side = F.floor((F.col("number") - 1) / tile_groups)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    rows = heavy.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), "term_blocks").alias("block"), side.alias("side"), "number", "p", "term", other)
-    headers = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("term_blocks") - 1)).alias("block"), side.alias("side"), "number", F.col("p0").alias("p"), F.lit(None).cast("string").alias("term"), "last")
-    headers = headers.select("lang", "block", "side", "number", "p", "term", other)
-    tiles = rows.unionByName(headers).select("lang", "block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "number", "p", "term")
+    rows = heavy.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("t"), "term_blocks").alias("block"), side.alias("side"), "number", "p", "t", other)
+    headers = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("term_blocks") - 1)).alias("block"), side.alias("side"), "number", F.col("p0").alias("p"), F.lit(None).cast("long").alias("t"), "last")
+    headers = headers.select("lang", "block", "side", "number", "p", "t", other)
+    tiles = rows.unionByName(headers).select("lang", "block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "number", "p", "t")
 
     def run(t: pa.Table) -> pa.Table:
         lang = t.column("lang")[0].as_py()
-        header = t.column("term").is_null().to_numpy()
+        header = t.column("t").is_null().to_numpy()
         number, p = t.column("number").to_numpy(), t.column("p").to_numpy()
         order = np.argsort(number[header])
         has, p0 = number[header][order], p[header][order]
-        term = t.column("term").filter(pa.array(~header)).combine_chunks().dictionary_encode()
-        n_terms = len(term.dictionary)
-        dense = np.tile(p0[:, None], (1, n_terms))
-        dense[np.searchsorted(has, number[~header]), term.indices.to_numpy()] = p[~header]
+        terms, term = np.unique(t.column("t").filter(pa.array(~header)).to_numpy(), return_inverse=True)
+        dense = np.tile(p0[:, None], (1, len(terms)))
+        dense[np.searchsorted(has, number[~header]), term] = p[~header]
         low = (has - 1) // tile_groups == t.column("low")[0].as_py()
         high = (has - 1) // tile_groups == t.column("high")[0].as_py()
         mine, theirs = np.flatnonzero(low), np.flatnonzero(high)
@@ -188,14 +234,14 @@ def share_pairs(light: DataFrame, groups: DataFrame, share_groups: int = SHARE_G
     return shares.select("lang", "number", "p", "times", block.alias("block")).unionByName(headers).groupBy("lang", "block").applyInArrow(run, PAIRS)
 
 
-def posting_pairs(light: DataFrame, posting_terms: int = POSTING_TERMS) -> DataFrame:
-    """Corrections for pairs a < b that both hold a light term (lang, term, number, p, p0), summed within blocks of terms."""
-    n_blocks = light.select("lang", "term").distinct().groupBy("lang").agg(F.ceil(F.count("*") / posting_terms).alias("term_blocks"))
-    rows = light.join(n_blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), "term_blocks").alias("block"), "term", "number", "p", "p0")
+def posting_pairs(light: DataFrame, terms: DataFrame, posting_terms: int = POSTING_TERMS) -> DataFrame:
+    """Corrections for pairs a < b that both hold a light term (lang, t, number, p, p0), summed within blocks of terms. terms (lang, t): the light ones."""
+    n_blocks = small(cut(terms.groupBy("lang").agg(F.ceil(F.count("*") / posting_terms).alias("term_blocks"))))
+    rows = light.join(n_blocks, "lang").select("lang", F.pmod(F.xxhash64("t"), "term_blocks").alias("block"), "t", "number", "p", "p0")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("term", "ascending"), ("number", "ascending")])
-        lang, term = t.column("lang")[0].as_py(), t.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+        t = t.sort_by([("t", "ascending"), ("number", "ascending")])
+        lang, term = t.column("lang")[0].as_py(), t.column("t").to_numpy()
         number, p, p0 = (t.column(c).to_numpy() for c in ("number", "p", "p0"))
         found, step = [], 1
         while step < len(term) and (same := np.flatnonzero(term[step:] == term[:-step])).size:  # the next but step of the same term
@@ -221,15 +267,15 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP,
     of 0 and no terms; a group without terms has the smoothed shares. Rows that repeat count each; equal values rank by item.
     Texts are read whole; other columns are not read. An empty table gives no rows.
     """
-    groups, _, counts = _tables(docs, least_docs)
-    slim = counts.select("lang", "term", "number", "p", "p0", "held")
-    rare = slim.filter(F.col("held") <= light)
-    either = dense_pairs(slim.filter(F.col("held") > light), groups).unionByName(posting_pairs(rare))
+    groups, terms, counts = _tables(docs, least_docs)
+    slim, few = counts.select("lang", "t", "number", "p", "p0", "held"), F.col("held") <= light
+    rare, rare_terms = slim.filter(few), terms.filter(few)
+    either = dense_pairs(slim.filter(~few), terms.filter(~few), groups).unionByName(posting_pairs(rare, rare_terms))
     both = either.unionByName(either.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     one = share_pairs(rare, groups)
     one = one.unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     corrections = both.unionByName(one).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    absent = rare.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("light_terms"))
+    absent = rare_terms.groupBy("lang").agg(F.count("*").alias("light_terms"))
     a = groups.join(absent, "lang", "left").select("lang", "source", F.col("number").alias("a"), F.col("p0").alias("p0_a"), F.coalesce("light_terms", F.lit(0)).alias("light_terms"))
     b = groups.select("lang", F.col("source").alias("item"), F.col("number").alias("b"), F.col("p0").alias("p0_b"))
     pairs = a.join(b, "lang").filter("a <> b").join(corrections, ["lang", "a", "b"], "left")
