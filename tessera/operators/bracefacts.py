@@ -45,19 +45,30 @@ def _told(rows: DataFrame) -> DataFrame:
     text, lang, word, args, depth, head, inside_ = (F.col(c) for c in ("text", "lang", "word", "args", "depth", "head", "inside"))
     p, n = [F.col("before")[k] for k in range(4)], [F.col("after")[k] for k in range(7)]
     js, java, go = lang.isin("typescript", "javascript"), lang == "java", lang == "go"
+    rows = rows.filter(word | text.isin("*") | text.rlike('^("|import\\s)'))
+
+    def named_now(**columns: Column) -> list[Column]:
+        """The columns, worked out once a token and read by name from here on."""
+        nonlocal rows
+        rows = rows.withColumns({f"{k}_now": c for k, c in columns.items()})
+        return [F.col(f"{k}_now") for k in columns]
+
     controls = lambda c: reduce(lambda a, b: a | b, [(lang == k) & c.isin(*words) for k, words in CONTROL.items()])
-    keyword = controls(text)
-    role = F.coalesce(inside_["role"], F.lit(""))
-    in_class = role.isin("class", "record", "enum", "interface")
     has = F.array_contains
     before = F.col("before")
     declares = head["text"]
     body, nxt = F.col("body"), F.col("next")
     closes = [F.col(f"close{k}") for k in (1, 2, 3, 4)]
+    keyword, keyword_before, keyword_inside, after_params, role = named_now(
+        keyword=controls(text), keyword_before=controls(p[0]), keyword_inside=F.coalesce(controls(inside_["before"][0]), F.lit(False)),
+        after_params=F.coalesce(closes[0]["after"][0], F.lit("")), role=F.coalesce(inside_["role"], F.lit("")),
+    )
 
+    in_class = role.isin("class", "record", "enum", "interface")
     # types: the keyword stands right before the name (Go: after it)
     by_word = F.create_map(*[F.lit(x) for name, la in LANGUAGES.items() for k, kind in la.types.items() for x in (f"{name} {k}", kind)])
-    kind = F.when(go, F.when(p[0] == "type", F.coalesce(by_word[F.concat_ws(" ", lang, n[0])], F.lit("type")))).otherwise(F.when(p[1] != ".", by_word[F.concat_ws(" ", lang, p[0])]))
+    kind_of = F.when(go, F.when(p[0] == "type", F.coalesce(by_word[F.concat_ws(" ", lang, n[0])], F.lit("type")))).otherwise(F.when(p[1] != ".", by_word[F.concat_ws(" ", lang, p[0])]))
+    (kind,) = named_now(kind=kind_of)
     is_alias = (kind == "type") & F.when(go, F.lit(True)).otherwise(n[0] == "=")
     is_type = word & ~keyword & kind.isNotNull() & ((kind != "type") | is_alias) & ~(js & text.isin("extends", "implements", "from"))
     end = F.when(kind == "type", F.struct((nxt["at"] - 1).alias("at"), F.coalesce(nxt["line"], F.col("line")).alias("line"))).otherwise(F.struct(body["close"]["at"].alias("at"), body["close"]["line"].alias("line")))
@@ -68,9 +79,7 @@ def _told(rows: DataFrame) -> DataFrame:
     named = (p[0].isin("function", "func") | ((p[0] == "*") & (p[1] == "function"))) & (n[0] == "(")
     opened = body["at"].isNotNull() & (body["at"] > closes[0]["at"]) & (nxt["at"].isNull() | (body["at"] < nxt["at"]))
     is_function = word & (js | go) & named & opened & ~((p[0] == "*") & go)
-    keyword_before = controls(p[0])
     # methods: name(...) { within a class, or in an object where nothing but a method can stand so; Go: func (r T) name(
-    after_params = F.coalesce(closes[0]["after"][0], F.lit(""))
     callable_ = word & (n[0] == "(") & ~keyword & ~p[0].isin("function", "func", "new", ".", "?.", "=>") & ~((p[0] == "*") & (p[1] == "function"))
     js_method = js & callable_ & (role.isin("class", "{")) & ((after_params == "{") | ((after_params == ":") & (role == "class") & opened))
     typed_before = F.col("before")[0].rlike(r"^([\w$]+|\]|>)$") & ~keyword_before
@@ -83,7 +92,7 @@ def _told(rows: DataFrame) -> DataFrame:
     typed = (n[0] == ":") & (n[2] == "=")
     value = F.when(typed, n[3]).otherwise(F.when(n[0] == "=", n[1]))
     shift = lambda k: F.when(typed, closes[min(k + 1, 3)]).otherwise(closes[k - 1])  # noqa: E731  close of the token k after the name
-    first = F.when(value == "async", shift(3)).otherwise(shift(2))
+    constant, first = named_now(constant=constant, first=F.when(value == "async", shift(3)).otherwise(shift(2)))
     to_body = (first["after"][0] == "=>") | ((first["after"][0] == ":") & (first["after"][2] == "=>"))
     bare = (n[0] == "=") & ((n[2] == "=>") | ((n[1] == "async") & (n[3] == "=>")))
     is_arrow = js & word & constant & (F.coalesce(to_body, F.lit(False)) | bare)
@@ -93,6 +102,7 @@ def _told(rows: DataFrame) -> DataFrame:
     is_variable = js & word & constant & (depth == 0) & ~is_arrow
     go_variable = go & word & p[0].isin("var", "const") & (n[0] != "(")
     java_field = java & word & in_class & n[0].isin("=", ";", ",") & typed_before & ~F.coalesce(declares == "return", F.lit(False)) & (p[0] != "package")
+    is_type, is_function, is_method, is_arrow, is_variable = named_now(is_type=is_type, is_function=is_function, is_method=is_method, is_arrow=is_arrow, is_variable=is_variable)
     head_at, head_line = F.coalesce(head["at"], F.col("at")), F.coalesce(head["line"], F.col("line"))
     out = [
         _fact(is_type, "symbol", text, kind=kind, line=head_line_of(js, p, head, "line"), end_line=end["line"], at=F.col("at") - 1, end_at=end["at"], exported=public | (go & text.rlike("^[A-Z]"))),
@@ -111,8 +121,8 @@ def _told(rows: DataFrame) -> DataFrame:
     declared = js & word & exported_here & (is_type | is_function | is_arrow | (is_variable & (p[1] == "export")))
     out += [
         _fact(declared | listed | (js & word & (p[0] == "default") & (p[1] == "export") & ~text.isin("class", "function", "async", "abstract", "new")), "export", local_name),
-        _fact(listed & from_list, "reexport", outer, parent=string["text"], receiver=local_name, line=inside_["head"]["line"]),
-        _fact(js & (text == "*") & (p[0] == "export"), "reexport", F.when(n[0] == "as", n[1]).otherwise("*"), parent=string["text"], receiver="*", line=head_line),
+        _fact(listed & from_list, "reexport", outer, parent=string, receiver=local_name, line=inside_["head"]["line"]),
+        _fact(js & (text == "*") & (p[0] == "export"), "reexport", F.when(n[0] == "as", n[1]).otherwise("*"), parent=string, receiver="*", line=head_line),
     ]
     # imports
     importing = js & (F.coalesce(inside_["head"]["text"], F.lit("")) == "import") & (inside_["close"]["after"][0] == "from") & (role == "{")
@@ -129,13 +139,13 @@ def _told(rows: DataFrame) -> DataFrame:
     java_path = F.regexp_extract("text", r"^import\s+(?:static\s+)?(\w+(?:\.\w+)*(?:\.\*)?)", 1)
     java_last = F.element_at(F.split(java_path, r"\."), -1)
     out += [
-        _fact(imported, "import", alias("as"), kind="named", parent=string["text"], receiver=text, line=inside_["head"]["line"]),
-        _fact(clause, "import", text, kind="default", parent=string["text"], line=head_line),
-        _fact(star, "import", n[1], kind="wildcard", parent=string["text"], line=head_line),
-        _fact(side, "import", F.lit("*"), kind="wildcard", parent=string["text"]),
-        _fact(required_names, "import", alias(":"), kind="named", parent=string["text"], receiver=text, line=inside_["line"]),
-        _fact(dynamic & ~((p[0] == "await") & (p[1] == "=") & (p[2] == "}")), "import", F.lit("*"), kind="dynamic", parent=string["text"]),
-        _fact(required & (p[1] != "}"), "import", p[1], kind="wildcard", parent=string["text"]),
+        _fact(imported, "import", alias("as"), kind="named", parent=string, receiver=text, line=inside_["head"]["line"]),
+        _fact(clause, "import", text, kind="default", parent=string, line=head_line),
+        _fact(star, "import", n[1], kind="wildcard", parent=string, line=head_line),
+        _fact(side, "import", F.lit("*"), kind="wildcard", parent=string),
+        _fact(required_names, "import", alias(":"), kind="named", parent=string, receiver=text, line=inside_["line"]),
+        _fact(dynamic & ~((p[0] == "await") & (p[1] == "=") & (p[2] == "}")), "import", F.lit("*"), kind="dynamic", parent=string),
+        _fact(required & (p[1] != "}"), "import", p[1], kind="wildcard", parent=string),
         _fact(java & text.rlike(r"^import\s"), "import", java_last, kind=F.when(java_last == "*", "wildcard").otherwise("named"), parent=F.regexp_replace(java_path, r"\.\*$", ""), receiver=F.when(java_last == "*", "").otherwise(java_last)),
         _fact(go & text.rlike('^"') & ((p[0] == "import") | (F.coalesce(inside_["before"][0], F.lit("")) == "import") | ((p[1] == "import") & p[0].rlike(r"^[\w.]"))), "import",
               F.when(p[0].rlike(r"^[\w._]+$") & (p[0] != "import") & ~(F.col("before")[0].isin("(")), p[0]).otherwise(F.element_at(F.split(F.regexp_replace("text", '"', ""), "/"), -1)), kind="module", parent=F.regexp_replace("text", '"', "")),
@@ -146,7 +156,7 @@ def _told(rows: DataFrame) -> DataFrame:
     annotated = (js | java) & word & (p[0] == "@") & ~((n[0] == "(") & js) & (text != "interface")
     calls = word & (n[0] == "(") & ~keyword & ~is_method & ~is_function & ~p[0].isin("function", "func", "record") & ~(go & (p[0] == ")") & (declares == "func") & (depth == 0)) & ~(js & (text == "async"))
     abstract_js = js & callable_ & role.isin("class", "interface") & after_params.isin(":", ";")
-    in_call = (role == "(") & F.coalesce(inside_["before"][0].rlike(r"^[\w$]+$") & ~controls(inside_["before"][0]) & ~inside_["before"][1].isin("function", "func"), F.lit(False)) & ~F.coalesce(inside_["close"]["after"][0].isin("{", "=>", ":"), F.lit(False))
+    in_call = (role == "(") & F.coalesce(inside_["before"][0].rlike(r"^[\w$]+$") & ~keyword_inside & ~inside_["before"][1].isin("function", "func"), F.lit(False)) & ~F.coalesce(inside_["close"]["after"][0].isin("{", "=>", ":"), F.lit(False))
     passed = js & word & in_call & p[0].isin("(", ",") & n[0].isin(")", ",") & ~text.isin("this", "true", "false", "null", "undefined", "super")
     receiver = F.when(p[0].isin(".", "?."), F.when(p[1].rlike(r"^[\w$]+$"), F.when(p[2].isin(".", "?."), F.concat(p[3], p[2], p[1])).otherwise(p[1])).otherwise("()")).otherwise("")
     out += [
@@ -166,7 +176,8 @@ def _told(rows: DataFrame) -> DataFrame:
         _fact((js | java) & declares.isin("class", "record") & is_type, "class_head", text, end_at=head["at"]),
     ]
     # what variables hold
-    params = (role == "(") & (F.coalesce(inside_["close"]["after"][0].isin("=>", "{"), F.lit(False)) | (F.coalesce(inside_["close"]["after"][0] == ":", F.lit(False)) & (F.coalesce(inside_["before"][1], F.lit("")).isin("function") | (F.coalesce(inside_["close"]["after"][2], F.lit("")).isin("=>", "{"))))) & ~F.coalesce(controls(inside_["before"][0]) & (inside_["before"][0] != "function"), F.lit(False))
+    params = (role == "(") & (F.coalesce(inside_["close"]["after"][0].isin("=>", "{"), F.lit(False)) | (F.coalesce(inside_["close"]["after"][0] == ":", F.lit(False)) & (F.coalesce(inside_["before"][1], F.lit("")).isin("function") | (F.coalesce(inside_["close"]["after"][2], F.lit("")).isin("=>", "{"))))) & ~(keyword_inside & F.coalesce(inside_["before"][0] != "function", F.lit(False)))
+    (params,) = named_now(params=params)
     parameter = js & word & params & p[0].isin("(", ",", "public", "private", "protected", "readonly") & n[0].isin(",", ")", ":", "?", "=")
     argument_of = lambda a: F.nullif(F.regexp_extract(F.coalesce(a, F.lit("")), r"^<\s*([\w$]+)", 1), F.lit(""))  # noqa: E731  Array<User>: the first argument
     of_type = js & word & (p[0] == ":") & ~n[0].isin(".", "(") & (p[1].rlike(r"^[\w$]+$"))

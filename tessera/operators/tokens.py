@@ -67,6 +67,8 @@ HEADS = ("class", "interface", "enum", "record", "struct", "namespace", "functio
 def token_rows(files: DataFrame) -> DataFrame:
     """Tokens of files (path, text) in the languages above, without white space and comments. Paths are unique; null texts have none.
 
+    Of marks only brackets, stars and semicolons are given; the others stand in before and after.
+
     path, lang, at (order), text, line, args (type arguments that follow), depth (brackets around it), before and after (the texts
     on either side, nearest first), close (of an opener: at, line and after of its partner, and args of the second token after it),
     head (the last of HEADS at its depth, with what stands before it), role (of a brace: what it is the body of), inside (the opener
@@ -95,27 +97,30 @@ def token_rows(files: DataFrame) -> DataFrame:
     near = lambda f, most: F.array(*[F.coalesce(f("text", k).over(order), F.lit("")) for k in range(1, most)])
     rows = rows.select("*", F.lag("line").over(order).alias("line_before"), F.lead("args", 2).over(order).alias("args_after"), depth.alias("depth"), F.when(opens | closes, depth + 1).alias("level"), near(F.lag, 5).alias("before"), near(F.lead, 8).alias("after"), (F.lead("line").over(order) > F.col("line")).alias("ends_line"))
     pairs = Window.partitionBy("path", "level").orderBy("at")
-    partner = F.struct(F.lead("at").over(pairs).alias("at"), F.lead("line").over(pairs).alias("line"), F.lead("after").over(pairs).alias("after"), F.lead("args_after").over(pairs).alias("args"))
-    rows = rows.withColumn("close", F.when(opens, partner))
+    partner = F.lead(F.struct("at", "line", F.slice("after", 1, 4).alias("after"), F.col("args_after").alias("args"))).over(pairs)
+    rows = rows.withColumn("close", F.when(opens, partner)).drop("args_after")
+    rows = rows.select("*", *[F.lead("close", k).over(order).alias(f"close{k}") for k in (1, 2, 3, 4)])
+    # from here on only words, brackets, strings and what ends a statement matter; the rest is known to its neighbours
+    rows = rows.filter(text.rlike(r"^[\p{L}_$\"'`*;(\[{)\]}]"))
     same_depth = Window.partitionBy("path", "depth").orderBy("at")
     last = same_depth.rowsBetween(Window.unboundedPreceding, -1)
     begins = (text.isin(*HEADS) & (F.col("before")[0] != ".")) | ((text == "}") & ~F.col("after")[0].isin(",", ")", ".", "from"))
-    mark = F.when(begins, F.struct("text", "at", "line", "before"))
+    mark = F.when(begins, F.struct("text", "at", "line"))
     rows = rows.withColumn("head", F.last(mark, True).over(last))
     role = F.when(text == "{", F.when(F.col("head.text").isin("class", "interface", "enum", "record", "struct"), F.col("head.text")))
     rows = rows.withColumn("role", F.coalesce(role, text))
     around = Window.partitionBy("path", F.coalesce("level", "depth")).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    opener = F.when(opens, F.struct("at", "line", "role", "before", "head", "close"))
+    opener = F.when(opens, F.struct("at", "line", "role", F.slice("before", 1, 2).alias("before"), F.struct("head.text", "head.line").alias("head"), "close"))
     backwards = Window.partitionBy("path").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    quote = F.when(text.rlike("^[\"'`]"), F.struct(F.regexp_replace("text", "^[\"'`]|[\"'`]$", "").alias("text"), F.col("at")))
+    quote = F.when(text.rlike("^[\"'`]"), F.regexp_replace("text", "^[\"'`]|[\"'`]$", ""))
     ends = F.when(begins & ~text.isin("if", "for", "while", "switch", "do", "try"), F.struct("at", F.col("line_before").alias("line")))
     after_same = Window.partitionBy("path", "depth").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    brace = F.when(text == "{", F.struct("at", "line", "close"))
+    brace = F.when(text == "{", F.struct("at", F.struct("close.at", "close.line").alias("close")))
     return rows.select(
         "path", "lang", "at", "text", "line", "args", "depth", "before", "after", "ends_line", "close", "head", "role", word.alias("word"),
         F.when(F.col("depth") > 0, F.when(F.col("level").isNull(), F.last(opener, True).over(around))).alias("inside"),
         F.last(quote, True).over(backwards).alias("string"),
         F.last(ends, True).over(after_same).alias("next"),
         F.last(brace, True).over(after_same).alias("body"),
-        *[F.lead("close", k).over(order).alias(f"close{k}") for k in (1, 2, 3, 4)],
+        *[f"close{k}" for k in (1, 2, 3, 4)],
     )
