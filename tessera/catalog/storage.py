@@ -21,10 +21,18 @@ def s02_listed_files(spark, sf_dir):
     return adapter.symbols(spark, sf_dir).join(listed, "file_path", "left_semi").select("id")
 
 
-@query("s04_byte_chunks", "select item_id, cast(floor(coalesce(sum(length(text)) over (order by item_id rows between unbounded preceding and 1 preceding), 0) / 5000) as bigint) as chunk from benchmark")
+@query(
+    "s04_byte_chunks",
+    "select doc_id, chunk from chunked",
+    {
+        "files": "select doc_id, row_number() over (order by doc_id) as i, octet_length(encode(coalesce(text, ''))) as size from documents",
+        "chunked": """select doc_id, i, size as used, cast(0 as bigint) as chunk from files where i = 1
+          union all select f.doc_id, f.i, case when c.used + f.size > 20000 then f.size else c.used + f.size end, c.chunk + case when c.used + f.size > 20000 then 1 else 0 end from chunked c join files f on f.i = c.i + 1""",
+    },
+)
 def s04_byte_chunks(spark, sf_dir):
-    b = adapter.table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("size"))
-    return tables.chunks(b, "size", "item_id", 5000).select("item_id", "chunk")
+    d = adapter.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return tables.chunks(d, "size", "doc_id", 20_000).select("doc_id", "chunk")
 
 
 @query("s07_symbol_scan", "select id, name, kind, file_path, start_line, end_line, exported, parent_id from symbols")

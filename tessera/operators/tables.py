@@ -58,18 +58,56 @@ def newest(rows: DataFrame, group: list[str], by: str, most: int = 10, tie: str
     return rows.withColumn("tessera_r", F.row_number().over(order)).filter(F.col("tessera_r") <= most).drop("tessera_r")
 
 
-def chunks(files: DataFrame, size: str, order: str, budget: int) -> DataFrame:
-    """files with chunk: a new one whenever the running size passes a multiple of budget.
+def _numbered(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """rows with tessera_i (from 1, in order) and tessera_upto (the sum of size up to and with the row), range by range."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("tessera_range", F.spark_partition_id()))
+    sums = ranged.groupBy("tessera_range").agg(F.sum(size).alias("size"), F.count("*").alias("n"))
+    until = Window.orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sums.select("tessera_range", F.coalesce(F.sum("size").over(until), F.lit(0)).alias("tessera_size"), F.coalesce(F.sum("n").over(until), F.lit(0)).alias("tessera_n"))
+    within = Window.partitionBy("tessera_range").orderBy(*order)
+    upto = F.col("tessera_size") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranged.join(F.broadcast(before), "tessera_range")
+    return joined.withColumn("tessera_i", F.col("tessera_n") + F.row_number().over(within)).withColumn("tessera_upto", upto).drop("tessera_size", "tessera_n", "tessera_range")
+
+
+def _next_starts(numbered: DataFrame, budget: int) -> DataFrame:
+    """(i, next): for a chunk that starts at row i (tessera_i, tessera_upto, size), the first row that it has no room for, or null.
 
-    Files are dealt into ranges of the order; a range adds up its own sizes, after the sum of the ranges before it.
+    The sums up to each row and the sums at which each start is full are merged in ranges of their common order: what is
+    looked for is the next row's sum after a start's, in its range or else the first of a later one.
     """
-    ranged = cut(files.repartitionByRange(order).withColumn("tessera_range", F.spark_partition_id()))
-    sums = ranged.groupBy("tessera_range").agg(F.sum(size).alias("tessera_size"))
-    until = Window.orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = sums.select("tessera_range", F.coalesce(F.sum("tessera_size").over(until), F.lit(0)).alias("tessera_offset"))
-    before = F.sum(size).over(Window.partitionBy("tessera_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.col("tessera_offset") + F.coalesce(before, F.lit(0))
-    return ranged.join(F.broadcast(offsets), "tessera_range").withColumn("chunk", F.floor(total / budget).cast("long")).drop("tessera_range", "tessera_offset")
+    ends = numbered.select(F.col("tessera_upto").alias("at"), F.lit(0).alias("start"), F.col("tessera_i").alias("i"))
+    starts = numbered.select((F.col("tessera_upto") - F.col("tessera_own") + budget).alias("at"), F.lit(1).alias("start"), F.col("tessera_i").alias("i"))
+    merged = cut(ends.unionAll(starts).repartitionByRange("at", "start").withColumn("range", F.spark_partition_id()))
+    found = F.when(F.col("start") == 0, F.col("i"))
+    firsts = merged.groupBy("range").agg(F.min(found).alias("first"))
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    after = firsts.select("range", F.min("first").over(later).alias("after"))
+    back = Window.partitionBy("range").orderBy(F.desc("at"), F.desc("start"), F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    within = merged.withColumn("within", F.min(found).over(back)).filter("start = 1").join(F.broadcast(after), "range")
+    full = F.coalesce("within", "after")
+    return within.select("i", F.when(full.isNotNull(), F.greatest(full, F.col("i") + 1)).alias("next"))
+
+
+def chunks(files: DataFrame, size: str, order: str | list[str], budget: int) -> DataFrame:
+    """files with chunk, from 0: a new one at each file that no longer fits within budget behind those before it; a larger file is alone.
+
+    Where a chunk ends depends on where it starts, so starts are followed by pointer doubling: round k marks what lies up to
+    2^k chunks behind what is marked, so a million chunks take twenty joins and no task walks along all files. Rows of equal
+    order may stand in any order; a null size counts as 0.
+    """
+    order = [order] if isinstance(order, str) else order
+    numbered = cut(_numbered(files.withColumn("tessera_own", F.coalesce(F.col(size), F.lit(0)).cast("long")), order, "tessera_own"))
+    last = numbered.agg(F.max("tessera_i")).first()[0] or 0
+    jump = cut(_next_starts(numbered, budget).filter(F.col("next") <= last))
+    marked = numbered.filter("tessera_i = 1").select(F.col("tessera_i").alias("i"))
+    while not jump.isEmpty():
+        marked = cut(marked.unionAll(marked.join(jump, "i").select(F.col("next").alias("i"))))
+        jump = cut(jump.join(jump.select(F.col("i").alias("next"), F.col("next").alias("then")), "next").select("i", F.col("then").alias("next")))
+    starts = marked.select(F.col("i").alias("tessera_i"), F.lit(1).cast("long").alias("tessera_start"))
+    told = numbered.join(starts, "tessera_i", "left").withColumn("tessera_start", F.coalesce("tessera_start", F.lit(0)))
+    counted = _numbered(told.withColumn("tessera_j", F.col("tessera_i")).drop("tessera_i", "tessera_upto"), ["tessera_j"], "tessera_start")
+    return counted.withColumn("chunk", F.col("tessera_upto") - 1).drop("tessera_i", "tessera_j", "tessera_upto", "tessera_own", "tessera_start")
 
 
 class Versions:
