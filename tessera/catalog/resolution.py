@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.catalog.registry import query
+from tessera.functions import names
 from tessera.operators import resolve
 from tessera.sources import adapter
 
@@ -23,16 +24,24 @@ FACTS = {
       union all select distinct c.file_path, n.file_path, 'd', cast(null as VARCHAR), 'default', 1 from symbols c join symbols n on n.id = c.parent_id where c.kind = 'class'
       union all select distinct s.file_path, n.file_path, '*', cast(null as VARCHAR), 'wildcard', 2 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
       union all select distinct s.file_path, '{INDEX}', n.name, cast(null as VARCHAR), 'named', 3 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
+      union all select distinct o.file_path, n.file_path, 'dn', cast(null as VARCHAR), 'default', 5 from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
+      union all select distinct file_path, cast(null as VARCHAR), 'far' || (start_line % 3), cast(null as VARCHAR), 'named', 6 from symbols where kind = 'function'
       union all select distinct file_path, cast(null as VARCHAR), case when start_line % 20 < 10 then 'lib' || (start_line % 7) else './gone' || (start_line % 7) end, cast(null as VARCHAR), 'default', 4 from symbols where kind = 'type'""",
-    # call_id, file_path, scope_id, name, receiver, line
+    # call_id, file_path, scope_id, name, receiver, line, argument
     "calls": """select cast(x.o_orderkey as bigint) as call_id, o.file_path, o.id as scope_id,
         case x.o_orderkey % 8 when 0 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 1 then 'order_' || (x.o_orderkey % 60) when 2 then 'm' || (x.o_custkey % 12) when 3 then 'm' || (x.o_custkey % 10) when 4 then 'm' || (x.o_custkey % 10) when 5 then 'print' when 6 then 'nobody' else 'shadow' end as name,
-        case x.o_orderkey % 8 when 2 then 'any' when 3 then 'v' when 4 then n.name end as receiver, o.start_line as line
+        case x.o_orderkey % 8 when 2 then 'any' when 3 then 'v' when 4 then n.name end as receiver, o.start_line as line, false as argument
       from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
-      union all select cast(-start_line as bigint), file_path, id, 'm' || (start_line % 7), 'this', start_line from symbols where kind = 'method'""",
+      union all select cast(-start_line as bigint), file_path, id, 'm' || (start_line % 7), 'this', start_line, false from symbols where kind = 'method'
+      union all select cast(x.o_orderkey + 1000000000 as bigint), o.file_path, o.id,
+        case x.o_orderkey % 9 when 2 then 'nothing' when 3 then 'nothing' when 4 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 5 then 'order_' || (x.o_orderkey % 60) when 7 then 'get' when 8 then 'far' || (x.o_orderkey % 3) else 'm' || (x.o_custkey % 10) end,
+        case x.o_orderkey % 9 when 0 then 'this.f' when 1 then lower(substring(n.name, 1, 1)) || substring(n.name, 2) when 2 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 3 then 'dn' when 6 then 'dn' when 7 then o.name end,
+        o.start_line, x.o_orderkey % 9 in (4, 5)
+      from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id""",
     "locals": "select scope_id, name from calls where name = 'shadow' and call_id % 16 = 7",
-    # file_path, name, type_name
-    "bindings": "select distinct o.file_path, 'v' as name, n.name as type_name from symbols o join symbols n on n.id = 'n' || (o.start_line % 3) where o.kind = 'function'",
+    # file_path, name, type_name, scope_id
+    "bindings": """select distinct o.file_path, 'v' as name, n.name as type_name, cast(null as VARCHAR) as scope_id from symbols o join symbols n on n.id = 'n' || (o.start_line % 3) where o.kind = 'function'
+      union all select o.file_path, 'f', n.name, o.id from symbols o join symbols n on n.id = 'n' || (o.start_line % 5) where o.kind = 'function' and o.start_line % 3 = 0""",
     # file_path, child, parent, type, line
     "heritage": "select c.file_path, c.name as child, case when c.start_line % 11 = 0 then 'Ghost' || (c.start_line % 5) else n.name end as parent, 'extends' as type, c.start_line as line from symbols c join symbols n on n.id = c.parent_id where c.kind = 'class'",
     # file_path, scope_id, type_name, line, kind
@@ -45,9 +54,9 @@ FACTS = {
 
 def _facts(spark, sf_dir) -> dict[str, DataFrame]:
     """The facts as frames; each may use those before it."""
-    names = adapter.spark_names(sf_dir)
+    tables = adapter.spark_names(sf_dir)
     symbols = adapter.symbols(spark, sf_dir)
-    ctes = {"symbols": adapter._fill(adapter.SYMBOLS, "string", names)} | {t: f"select * from {names[t]}" for t in ("orders", "nation", "lineitem", "part")} | {k: v.replace("VARCHAR", "string") for k, v in FACTS.items()}
+    ctes = {"symbols": adapter._fill(adapter.SYMBOLS, "string", tables)} | {t: f"select * from {tables[t]}" for t in ("orders", "nation", "lineitem", "part")} | {k: v.replace("VARCHAR", "string") for k, v in FACTS.items()}
 
     def frame(name: str) -> DataFrame:
         order, need = list(ctes), set()
@@ -124,23 +133,44 @@ def r04_unresolved(spark, sf_dir):
     return _facts(spark, sf_dir)["imports"].filter("target is null").groupBy(resolve.state_of(F.col("name")).alias("state")).agg(F.count("*").alias("n"))
 
 
-_BUILTIN = "(" + ", ".join(f"'{b}'" for b in resolve.BUILTINS) + ")"
-#: All candidates of every call with their tier, of which the first wins; an imported alias stands for its name.
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_GLOBAL = _listed(names.GLOBALS)
+#: Every way to a symbol of every call, of which the first wins.
 CALLED = {
     **IMPORTED,
-    "asked": "select c.*, i.real, i.target as imported_file, coalesce(i.real, c.name) as target_name from calls c left join (select distinct file_path, coalesce(alias, name) as name, name as real, target from imports where kind = 'named') i on i.file_path = c.file_path and i.name = c.name where not exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name)",
-    "targets": "select s.*, p.name as parent_name, count(*) over (partition by s.name) as n, regexp_replace(s.file_path, '[^/]*$', '') as folder from code s left join (select id, name from code where kind in ('class', 'interface', 'struct')) p on p.id = s.parent_id where s.kind in ('function', 'method', 'class')",
-    "bound": "select file_path, name, min(type_name) as type_name from bindings group by 1, 2",
+    "boundnames": "select file_path, coalesce(alias, name) as local, max(row(line, target, case when alias <> name then name end, kind = 'default')) as b from imports where kind <> 'wildcard' and target is not null group by 1, 2",
+    "bound": "select file_path, local, b[2] as target, b[3] as real, b[4] as main from boundnames",
+    "faraway": "select distinct file_path, coalesce(alias, name) as name from imports where kind <> 'wildcard' and target is null",
+    "asked": "select c.*, exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name) as held, exists (select 1 from faraway f where f.file_path = c.file_path and f.name = c.name) as far, o.parent_id as around, regexp_replace(c.file_path, '[^/]*$', '') as folder, regexp_replace(c.receiver, '^(this|self)[.]', '') as variable from calls c left join symbols o on o.id = c.scope_id",
+    "targets": "select s.*, p.name as parent_name, count(*) over (partition by s.name) as n, regexp_replace(s.file_path, '[^/]*$', '') as folder from code s left join (select id, name from code where kind in ('class', 'interface', 'struct', 'trait')) p on p.id = s.parent_id",
     "reach": "select distinct file_path, target from imports where target is not null",
-    "tiered": f"""select a.call_id, a.scope_id, t.id, t.file_path, t.start_line, case
-        when a.real is not null and (a.imported_file = t.file_path or (t.n = 1 and a.real <> a.name)) then 0
-        when a.receiver in ('this', 'self') and o.parent_id = t.parent_id then 1 when b.type_name = t.parent_name then 2 when a.receiver = t.parent_name then 3
-        when t.n = 1 and a.name not in {_BUILTIN} and not (a.receiver is not null and t.kind = 'function') then 4
-        when a.receiver is null and t.file_path = a.file_path then 5 when a.receiver is null and r.target is not null then 6 when r.target is not null then 7
-        when t.folder = regexp_replace(a.file_path, '[^/]*$', '') and a.name not in {_BUILTIN} then 8 end as tier
-      from asked a join targets t on t.name = a.target_name left join bound b on b.file_path = a.file_path and b.name = a.receiver left join reach r on r.file_path = a.file_path and r.target = t.file_path left join symbols o on o.id = a.scope_id""",
-    "call_links": """select scope_id as from_id, id as to_id, [0.95e0, 0.95e0, 0.93e0, 0.9e0, 0.9e0, 0.9e0, 0.95e0, 0.85e0, 0.6e0][tier + 1] as confidence, ['call-alias', 'call-receiver', 'call-receiver', 'call-receiver', 'call-unique', 'call-samefile', 'call-imported', 'call-proximity', 'call-proximity'][tier + 1] as reason, 'calls' as type
-      from (select *, row_number() over (partition by call_id order by tier, file_path, start_line, id) as r from tiered where tier is not null) x where r = 1""",
+    "infile": "select file_path, name, arg_min(type_name, row(scope_id is not null, type_name)) as type_name from bindings group by 1, 2",
+    "vartypes": """select a.call_id, coalesce((select min(type_name) from bindings b where b.file_path = a.file_path and b.name = a.variable and b.scope_id = a.scope_id), (select min(type_name) from bindings b where b.file_path = a.file_path and b.name = a.variable and b.scope_id = a.around), f.type_name) as type_name
+      from asked a left join infile f on f.file_path = a.file_path and f.name = a.variable where a.receiver is not null""",
+    "pairs": "select a.*, t.id, t.file_path as to_file, t.start_line, t.parent_id, t.parent_name, t.n, t.kind, t.folder as to_folder from asked a join targets t on t.name = a.name",
+    "ways": f"""select call_id, 0 as tier, e.id, e.file_path as to_file, e.start_line from asked a join bound b on b.file_path = a.file_path and b.local = a.name join code e on e.file_path = b.target and e.name = b.real and e.exported where a.receiver is null
+      union all select call_id, case when name in {_GLOBAL} or far then 1 else 2 end, id, to_file, start_line from pairs where n = 1 and not (receiver is not null and name in {_listed(names.METHODS)}) and not argument and not (receiver is null and held)
+      union all select call_id, 3, id, to_file, start_line from pairs where receiver in ('this', 'self') and parent_id = around
+      union all select call_id, 4, p.id, to_file, start_line from pairs p join bound b on b.file_path = p.file_path and b.local = p.receiver and b.main join (select file_path as file, id as main_id from mains) m on m.file = b.target where p.parent_id = m.main_id
+      union all select p.call_id, 5, id, to_file, start_line from pairs p join vartypes v on v.call_id = p.call_id and v.type_name = p.parent_name where starts_with(p.receiver, 'this.') or starts_with(p.receiver, 'self.')
+      union all select call_id, case when p.parent_name = p.receiver then 6 else 7 end, id, to_file, start_line from pairs p join bound b on b.file_path = p.file_path and b.local = p.receiver where p.to_file = b.target
+      union all select p.call_id, 8, id, to_file, start_line from pairs p join vartypes v on v.call_id = p.call_id and v.type_name = p.parent_name
+      union all select call_id, 9, id, to_file, start_line from pairs where parent_name = upper(receiver[1]) || receiver[2:]
+      union all select call_id, 10, p.id, to_file, start_line from pairs p join (select file_path as file, name as here, min(id) as here_id from code where kind in ('class', 'struct', 'trait') group by 1, 2) h on h.file = p.file_path and h.here = p.receiver where p.parent_id = h.here_id
+      union all select call_id, 11, id, to_file, start_line from pairs where receiver is null and to_file = file_path
+      union all select call_id, 12, id, to_file, start_line from pairs p join bound b on b.file_path = p.file_path and b.local = p.name where receiver is null and to_file = b.target
+      union all select call_id, 13, id, to_file, start_line from pairs p join reach r on r.file_path = p.file_path and r.target = p.to_file where receiver is null and not held
+      union all select call_id, 14, id, to_file, start_line from pairs where receiver is null and not held and to_folder = folder
+      union all select call_id, 15, m.main_id, '', 0 from asked a join bound b on b.file_path = a.file_path and b.local = a.receiver and b.main join (select file_path as file, id as main_id from mains) m on m.file = b.target where not argument
+      union all select call_id, 16, t.id, t.file_path, t.start_line from asked a join bound b on b.file_path = a.file_path and b.local = a.receiver join targets t on t.file_path = b.target and t.name = b.real where not argument
+      union all select call_id, 17, t.id, t.file_path, t.start_line from asked a left join bound b on b.file_path = a.file_path and b.local = a.receiver join targets t on t.name = a.receiver and t.file_path = coalesce(b.target, a.file_path) where not argument and a.receiver not in ('this', 'self')""",
+    "call_links": """select c.scope_id as from_id, id as to_id, [0.95e0, 0e0, 0.9e0, 0.95e0, 0.9e0, 0.93e0, 0.92e0, 0.85e0, 0.93e0, 0.55e0, 0.9e0, 0.9e0, 0.95e0, 0.85e0, 0.6e0, 0.85e0, 0.85e0, 0.85e0][tier + 1] as confidence,
+        case when tier = 0 then 'call-alias' when tier = 2 then 'call-unique' when tier <= 10 then 'call-receiver' when tier = 11 then 'call-samefile' when tier = 12 then 'call-imported' when tier <= 14 then 'call-proximity' when tier = 15 then 'receiver-ref-default' else 'receiver-ref' end as reason,
+        case when tier >= 15 then 'references' else 'calls' end as type
+      from (select *, row_number() over (partition by call_id order by tier, to_file, start_line, id) as r from ways) x join calls c using (call_id) where r = 1 and tier <> 1""",
 }
 
 
@@ -148,6 +178,12 @@ def _calls(t: dict[str, DataFrame]) -> DataFrame:
     return resolve.call_links(t["calls"], t["code"], t["imports"], t["locals"], t["bindings"])
 
 
+@query("r05_r12_tiers", "select reason, confidence, type, count(*) as n from call_links group by 1, 2, 3", CALLED)
+def r05_r12_tiers(spark, sf_dir):
+    """How many links each way of reaching a symbol gives."""
+    return _calls(_facts(spark, sf_dir)).groupBy("reason", "confidence", "type").agg(F.count("*").alias("n"))
+
+
 @query("r05_r12_call_links", "select from_id, to_id, confidence, reason from call_links", CALLED)
 def r05_r12_call_links(spark, sf_dir):
     return _calls(_facts(spark, sf_dir)).select(*LINK)
@@ -158,10 +194,10 @@ def j09_name_index(spark, sf_dir):
     return _facts(spark, sf_dir)["code"].filter("kind in ('function', 'method', 'class')").groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("j11_excluded_names", f"select call_id, name in {_BUILTIN} as builtin from calls c where name in {_BUILTIN} or exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name)", FACTS)
+@query("j11_excluded_names", f"select call_id, name in {_GLOBAL} as builtin from calls c where name in {_GLOBAL} or exists (select 1 from locals l where l.scope_id = c.scope_id and l.name = c.name)", FACTS)
 def j11_excluded_names(spark, sf_dir):
     t = _facts(spark, sf_dir)
-    builtin = F.col("name").isin(*resolve.BUILTINS)
+    builtin = F.col("name").isin(*names.GLOBALS)
     shadowed = t["calls"].filter(~builtin).join(t["locals"].distinct(), ["scope_id", "name"], "left_semi")
     return t["calls"].filter(builtin).unionByName(shadowed).select("call_id", builtin.alias("builtin"))
 
@@ -217,9 +253,9 @@ def r19_resolved_graph(spark, sf_dir):
     return resolve.dedupe(every).select("from_id", "to_id", "type", "confidence").join(n, ["from_id", "to_id", "type"])
 
 
-@query("r20_builtin_names", f"select name, name in {_BUILTIN} as builtin, count(*) as n from calls group by name", FACTS)
+@query("r20_builtin_names", f"select name, name in {_GLOBAL} as builtin, count(*) as n from calls group by name", FACTS)
 def r20_builtin_names(spark, sf_dir):
-    return _facts(spark, sf_dir)["calls"].groupBy("name").agg(F.count("*").alias("n")).select("name", F.col("name").isin(*resolve.BUILTINS).alias("builtin"), "n")
+    return _facts(spark, sf_dir)["calls"].groupBy("name").agg(F.count("*").alias("n")).select("name", F.col("name").isin(*names.GLOBALS).alias("builtin"), "n")
 
 
 @query(

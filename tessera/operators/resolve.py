@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import names
 from tessera.plans.cut import cut
 
 EXTERNAL = "#external:"
-# Names that belong to the language rather than to the project.
-BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "super", "open", "map", "filter", "push", "pop", "slice", "join", "log", "require", "parseInt", "setTimeout", "fetch", "Error", "Promise", "Array", "Object")
 
 
 def state_of(module: Column) -> Column:
@@ -67,60 +66,134 @@ def import_links(imports: DataFrame, symbols: DataFrame, reexports: DataFrame) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, bindings: DataFrame, builtins: tuple[str, ...] = BUILTINS) -> DataFrame:
-    """Links of calls (call_id, file_path, scope_id, name, receiver, line).
+#: Types whose members are methods, by kind.
+TYPES = ("class", "interface", "struct", "trait")
 
-    Candidates have the called name. Tiers, the first that holds: an imported name from its file, or the only one of an aliased name (.95), the receiver itself
-    or its bound type (.95, .93, .9), one candidate in the whole project (.9), the same file (.9), an imported file (.95), and
-    nearness (.85 imported, .6 same folder); of equals the first by file, line and id. Calls of a local name, and of
-    language names without a candidate in reach, give no link.
 
-    Each tier has its best candidate worked out once for each name within a file, folder, type or the project, so a call
-    meets one row a tier however many symbols share its name.
+def _column(rows: DataFrame, name: str, default: Column) -> DataFrame:
+    return rows if name in rows.columns else rows.withColumn(name, default)
+
+
+def variable_types(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of bindings (file_path, name, type_name and, if there are, scope_id): the type of a variable in a scope, and in its file (outside all scopes, else anywhere)."""
+    rows = _column(bindings, "scope_id", F.lit(None).cast("string"))
+    scoped = rows.filter("scope_id is not null").groupBy("file_path", "name", "scope_id").agg(F.min("type_name").alias("type_name"))
+    in_file = rows.groupBy("file_path", "name").agg(F.min_by("type_name", F.struct(F.col("scope_id").isNotNull(), "type_name")).alias("type_name"))
+    return scoped, in_file
+
+
+def call_candidates(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, bindings: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """calls, each with the best symbol of every way to reach one: one row a call however many symbols share its name.
+
+    Each way has its best symbol (first by file, line and id) worked out once for a name within a file, folder, type, class or the
+    project; a call then meets one row for each of them.
     """
-    s = symbols.filter("kind in ('function', 'method', 'class')").select(F.col("name").alias("target_name"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to"), F.col("parent_id").alias("to_parent"), "kind")
+    s = symbols.select(F.col("name").alias("target_name"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to"), F.col("parent_id").alias("to_parent"), "kind", F.col("exported"))
     s = s.withColumn("to_file", F.col("to.to_file"))
-    folder = lambda p: F.regexp_replace(p, "[^/]*$", "")
-    types = symbols.filter("kind in ('class', 'interface', 'struct')").select(F.col("id").alias("to_parent"), F.col("name").alias("type_name"))
+    types = symbols.filter(F.col("kind").isin(*TYPES)).select(F.col("id").alias("to_parent"), F.col("name").alias("type_name"))
 
-    def best(rows: DataFrame, name: str, *by: Column | str) -> DataFrame:
+    def best(rows: DataFrame, name: str, *by: str) -> DataFrame:
         return rows.groupBy(*by, "target_name").agg(F.min("to").alias(name))
 
-    by_file = best(s, "in_file", "to_file")
-    by_type = best(s.join(types, "to_parent"), "in_type", "type_name")
+    members = s.join(types, "to_parent")
+    by_file, by_parent, by_type = best(s, "in_file", "to_file"), best(s.filter("to_parent is not null"), "in_parent", "to_parent"), best(members, "in_type", "type_name")
+    if ancestors is not None:  # a method of the nearest ancestor that has one
+        above = ancestors.select(F.col("class").alias("own"), F.col("ancestor").alias("type_name"), "position").join(by_type, "type_name").select(F.col("own").alias("type_name"), "target_name", F.struct("position", "in_type").alias("found"))
+        own = by_type.select("type_name", "target_name", F.struct(F.lit(-1).alias("position"), "in_type").alias("found"))
+        by_type = own.unionByName(above).groupBy("type_name", "target_name").agg(F.min("found")["in_type"].alias("in_type"))
     by_name = s.groupBy("target_name").agg(F.count("*").alias("n"), F.min("to").alias("only"), F.min("kind").alias("only_kind"))
-    c = calls.join(locals_.select("scope_id", "name").distinct(), ["scope_id", "name"], "left_anti")
-    alias = imports.filter("kind = 'named'").select("file_path", F.coalesce("alias", "name").alias("name"), F.col("name").alias("real"), F.col("target").alias("imported_file")).distinct()
-    c = c.join(alias, ["file_path", "name"], "left").withColumn("target_name", F.coalesce("real", "name"))
-    bound = bindings.groupBy("file_path", F.col("name").alias("receiver")).agg(F.min("type_name").alias("type_name"))
-    own = symbols.select(F.col("id").alias("scope_id"), F.col("parent_id").alias("to_parent"))
+    names = imports.filter("kind <> 'wildcard'").select("file_path", F.coalesce("alias", "name").alias("local"), F.when(F.col("alias") != F.col("name"), F.col("name")).alias("real"), F.col("target").alias("bound_file"), "kind", "line")
+    reached = names.filter("bound_file is not null").groupBy("file_path", "local").agg(F.max_by(F.struct("bound_file", "real", F.when(F.col("kind") == "default", F.col("bound_file")).alias("default_file")), F.struct("line", "bound_file")).alias("bound"))
+    reached = reached.select("file_path", "local", "bound.*")
+    outside = names.filter("bound_file is null").select("file_path", F.col("local").alias("name"), F.lit(True).alias("outside")).distinct()
+    exported = symbols.filter("exported")
+    rank = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "function", 1).otherwise(2)
+    main = exported.groupBy(F.col("file_path").alias("default_file")).agg(F.min_by("id", F.struct(rank, "start_line", "id")).alias("main_id"))
+    given = exported.select(F.col("file_path").alias("bound_file"), F.col("name").alias("real"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to")).groupBy("bound_file", "real").agg(F.min("to").alias("aliased"))
+    folder = F.regexp_replace("file_path", "[^/]*$", "")
+    in_folder = best(s.withColumn("folder", F.regexp_replace("to_file", "[^/]*$", "")), "in_folder", "folder")
+
+    c = _column(_column(calls, "argument", F.lit(False)), "receiver", F.lit(None).cast("string"))
+    c = c.withColumn("receiver", F.nullif("receiver", F.lit(""))).withColumn("target_name", F.col("name")).withColumn("folder", folder)
+    receiver = F.col("receiver")
+    variable = F.when(receiver.rlike(r"^(this|self)\."), F.regexp_replace(receiver, r"^(this|self)\.", "")).otherwise(receiver)
+    pascal = F.concat(F.upper(F.substring(receiver, 1, 1)), F.expr("substring(receiver, 2)"))
+    c = c.withColumn("variable", variable).withColumn("pascal", pascal)
+    known = locals_.select("scope_id", "name", F.lit(True).alias("is_local")).distinct()
+    c = c.join(by_name, "target_name", "left").join(known, ["scope_id", "name"], "left").join(outside, ["file_path", "name"], "left")
+    c = c.join(by_file.withColumnRenamed("to_file", "file_path"), ["file_path", "target_name"], "left")
+    called = reached.select("file_path", F.col("local").alias("name"), "bound_file", "real").join(given, ["bound_file", "real"], "left").drop("real")
+    c = c.join(called, ["file_path", "name"], "left").join(by_file.select(F.col("to_file").alias("bound_file"), "target_name", F.col("in_file").alias("imported")), ["bound_file", "target_name"], "left").drop("bound_file")
+    # nearness matters only to calls without a receiver of a name that several have, none of them here
+    near = c.filter("receiver is null and n > 1 and in_file is null").select("file_path", "target_name").distinct()
     files = imports.filter("target is not null").select("file_path", F.col("target").alias("to_file")).distinct()
-    reached = c.select("file_path", "target_name").distinct().join(files, "file_path").join(by_file, ["to_file", "target_name"]).groupBy("file_path", "target_name").agg(F.min("in_file").alias("reached"))
-    wide = (
-        c.join(by_name, "target_name", "left")
-        .join(by_file.withColumnRenamed("to_file", "file_path"), ["file_path", "target_name"], "left")
-        .join(reached, ["file_path", "target_name"], "left")
-        .join(by_file.select(F.col("to_file").alias("imported_file"), "target_name", F.col("in_file").alias("imported")), ["imported_file", "target_name"], "left")
-        .withColumn("folder", folder("file_path")).join(best(s, "in_folder", folder("to_file").alias("folder")), ["folder", "target_name"], "left")
-        .join(own, "scope_id", "left").join(best(s, "in_parent", "to_parent"), ["to_parent", "target_name"], "left")
-        .join(bound, ["file_path", "receiver"], "left").join(by_type.withColumnRenamed("in_type", "in_bound"), ["type_name", "target_name"], "left")
-        .join(by_type.select(F.col("type_name").alias("receiver"), "target_name", F.col("in_type").alias("in_receiver")), ["receiver", "target_name"], "left")
-    )
-    got, language, single = F.col("receiver").isNotNull(), F.col("name").isin(*builtins), F.col("n") == 1
+    close = near.join(files, "file_path").join(by_file, ["to_file", "target_name"]).groupBy("file_path", "target_name").agg(F.min("in_file").alias("in_reach"))
+    c = c.join(close, ["file_path", "target_name"], "left").join(in_folder, ["folder", "target_name"], "left")
+    own = symbols.select(F.col("id").alias("scope_id"), F.col("parent_id").alias("scope_parent"))
+    c = c.join(own, "scope_id", "left").join(by_parent.select(F.col("to_parent").alias("scope_parent"), "target_name", F.col("in_parent").alias("in_own")), ["scope_parent", "target_name"], "left")
+    of_receiver = reached.select("file_path", F.col("local").alias("receiver"), F.col("bound_file").alias("receiver_file"), F.col("real").alias("receiver_real"), "default_file").join(main, "default_file", "left")
+    c = c.join(of_receiver, ["file_path", "receiver"], "left").join(by_parent.select(F.col("to_parent").alias("main_id"), "target_name", F.col("in_parent").alias("in_main")), ["main_id", "target_name"], "left")
+    typed = best(members.withColumnRenamed("to_file", "receiver_file").withColumnRenamed("type_name", "receiver"), "in_receiver", "receiver_file", "receiver")
+    c = c.join(typed, ["receiver_file", "receiver", "target_name"], "left").join(by_file.select(F.col("to_file").alias("receiver_file"), "target_name", F.col("in_file").alias("in_receiver_file")), ["receiver_file", "target_name"], "left")
+    scoped, in_file = variable_types(bindings)
+    scoped, in_file = scoped.withColumnRenamed("name", "variable"), in_file.withColumnRenamed("name", "variable")
+    c = c.join(scoped.withColumnRenamed("type_name", "type_here"), ["file_path", "variable", "scope_id"], "left")
+    c = c.join(scoped.select("file_path", "variable", F.col("scope_id").alias("scope_parent"), F.col("type_name").alias("type_around")), ["file_path", "variable", "scope_parent"], "left")
+    c = c.join(in_file.withColumnRenamed("type_name", "type_file"), ["file_path", "variable"], "left").withColumn("type_name", F.coalesce("type_here", "type_around", "type_file"))
+    c = c.join(by_type.withColumnRenamed("in_type", "in_bound"), ["type_name", "target_name"], "left")
+    by_pascal = best(members, "in_pascal", "type_name").withColumnRenamed("type_name", "pascal")
+    c = c.join(by_pascal, ["pascal", "target_name"], "left")
+    here = symbols.filter(F.col("kind").isin("class", "struct", "trait")).select("file_path", F.col("name").alias("receiver"), F.col("id").alias("here_id")).groupBy("file_path", "receiver").agg(F.min("here_id").alias("here_id"))
+    c = c.join(here, ["file_path", "receiver"], "left").join(by_parent.select(F.col("to_parent").alias("here_id"), "target_name", F.col("in_parent").alias("in_here")), ["here_id", "target_name"], "left")
+    # what the receiver itself is
+    real = by_file.select(F.col("to_file").alias("receiver_file"), F.col("target_name").alias("receiver_real"), F.col("in_file").alias("receiver_alias"))
+    same = by_file.select(F.col("to_file").alias("at_file"), F.col("target_name").alias("receiver"), F.col("in_file").alias("receiver_symbol"))
+    return c.join(real, ["receiver_file", "receiver_real"], "left").withColumn("at_file", F.coalesce("receiver_file", "file_path")).join(same, ["at_file", "receiver"], "left")
+
+
+def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, bindings: DataFrame, ancestors: DataFrame | None = None, globals_: list[str] = names.GLOBALS, methods: list[str] = names.METHODS) -> DataFrame:
+    """Links of calls (call_id, file_path, scope_id, name, receiver, line and, if there is, argument: only passed on).
+
+    The first of these that holds decides. An imported alias without a receiver: what it stands for (.95). The only symbol of
+    the name (.9), unless a built-in method is called on a receiver, a function on a receiver in a language without declared
+    types, the name is only passed on, or it is local to its scope; if it is a global or imported from outside, there is no
+    link. With a receiver: this or self to a method of the class around (.95); a default import to one of what it exports
+    (.9); a field of this by its type (.93); an imported type to its method (.92) or to any symbol of its file (.85); a
+    variable by its type (.93); a type called like the receiver with a capital (.55); a class of that name in the file (.9);
+    else no call link. Without: the same file (.9), the imported file (.95), nothing for a local name, then nearness: an
+    imported file (.85) or the same folder (.6). A receiver that led nowhere and is a plain name is itself referred to (.85).
+    ancestors (class, ancestor, position): a variable's type has their methods too, the nearest first.
+    """
+    wide = call_candidates(calls, symbols, imports, locals_, bindings, ancestors)
+    c = F.col
+    got, held = c("receiver").isNotNull(), F.coalesce(c("is_local"), F.lit(False))
+    itself, field = c("receiver").isin("this", "self"), c("receiver").rlike(r"^(this|self)\.")
+    untyped = c("file_path").rlike(r"(?i)\.(py|rb|php)$")
+    unique = (c("n") == 1) & ~(got & c("name").isin(*methods)) & ~(got & (c("only_kind") == "function") & untyped) & ~c("argument") & ~(~got & held)
+    foreign = c("name").isin(*globals_) | F.coalesce(c("outside"), F.lit(False))
     tiers = [
-        (F.col("real").isNotNull(), F.coalesce("imported", F.when(single & (F.col("real") != F.col("name")), F.col("only"))), 0.95, "call-alias"),
-        (F.col("receiver").isin("this", "self"), F.col("in_parent"), 0.95, "call-receiver"),
-        (got, F.col("in_bound"), 0.93, "call-receiver"),
-        (got, F.col("in_receiver"), 0.9, "call-receiver"),
-        (single & ~language & ~(got & (F.col("only_kind") == "function")), F.col("only"), 0.9, "call-unique"),
-        (~got, F.col("in_file"), 0.9, "call-samefile"),
-        (~got, F.col("reached"), 0.95, "call-imported"),
-        (F.lit(True), F.col("reached"), 0.85, "call-proximity"),
-        (~language, F.col("in_folder"), 0.6, "call-proximity"),
+        (~got, c("aliased"), 0.95, "call-alias"),
+        (unique & foreign, c("only"), 0.0, "external"),
+        (unique, c("only"), 0.9, "call-unique"),
+        (itself, c("in_own"), 0.95, "call-receiver"),
+        (got, c("in_main"), 0.9, "call-receiver"),
+        (field, c("in_bound"), 0.93, "call-receiver"),
+        (got, c("in_receiver"), 0.92, "call-receiver"),
+        (got, c("in_receiver_file"), 0.85, "call-receiver"),
+        (got, c("in_bound"), 0.93, "call-receiver"),
+        (got, c("in_pascal"), 0.55, "call-receiver"),
+        (got, c("in_here"), 0.9, "call-receiver"),
+        (~got, c("in_file"), 0.9, "call-samefile"),
+        (~got, c("imported"), 0.95, "call-imported"),
+        (~got & ~held, c("in_reach"), 0.85, "call-proximity"),
+        (~got & ~held, c("in_folder"), 0.6, "call-proximity"),
     ]
-    tier = F.coalesce(*[F.when(rule & to.isNotNull(), F.struct(F.lit(i).alias("tier"), to.alias("to"), F.lit(conf).alias("confidence"), F.lit(reason).alias("reason"))) for i, (rule, to, conf, reason) in enumerate(tiers)])
-    won = wide.withColumn("t", tier).filter("t is not null").groupBy("call_id", "scope_id", "line").agg(F.min("t").alias("t")).withColumn("to_id", F.col("t.to.to_id"))
-    return _link(won, "scope_id", "to_id", "calls", F.col("t.confidence"), F.col("t.reason"))
+    plain = got & ~itself & ~c("receiver").contains(".") & ~c("argument")
+    receivers = [(plain, c("main_id"), "receiver-ref-default"), (plain, c("receiver_alias.to_id"), "receiver-ref"), (plain, c("receiver_symbol.to_id"), "receiver-ref")]
+    told = [F.when(rule & to.isNotNull(), F.struct(to["to_id"].alias("to_id"), F.lit("calls").alias("type"), F.lit(conf).alias("confidence"), F.lit(reason).alias("reason"))) for rule, to, conf, reason in tiers]
+    told += [F.when(rule & to.isNotNull(), F.struct(to.alias("to_id"), F.lit("references").alias("type"), F.lit(0.85).alias("confidence"), F.lit(reason).alias("reason"))) for rule, to, reason in receivers]
+    won = wide.withColumn("t", F.coalesce(*told)).filter("t.confidence > 0")
+    return won.select(c("scope_id").alias("from_id"), "t.to_id", "t.type", "t.confidence", "t.reason", c("line").cast("int").alias("line"))
 
 
 def heritage_links(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
