@@ -13,7 +13,7 @@ from tessera.operators import resolve
 from tessera.sources import adapter
 
 #: Symbols with names that many share: functions and methods are called alike in many files.
-CODE = """select id, case kind when 'function' then 'order_' || ((start_line - 1) / 10 % 50) when 'method' then 'm' || ((start_line - 1) / 10 % 10) else name end as name, kind, file_path, exported, parent_id, start_line from symbols"""
+CODE = """select id, case kind when 'function' then 'order_' || ((start_line - 1) / 10 % 50) when 'method' then 'm' || ((start_line - 1) / 10 % 10) when 'type' then 't' || ((start_line - 1) / 10 % 97) else name end as name, kind, file_path, exported, parent_id, start_line from symbols"""
 INDEX = "src/geo/index.ts"
 FACTS = {
     "code": CODE.replace("(start_line - 1) / 10", "cast(floor((start_line - 1) / 1e1) as int)"),
@@ -25,6 +25,7 @@ FACTS = {
       union all select distinct s.file_path, n.file_path, '*', cast(null as VARCHAR), 'wildcard', 2 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
       union all select distinct s.file_path, '{INDEX}', n.name, cast(null as VARCHAR), 'named', 3 from symbols s join symbols n on n.id = s.parent_id where s.kind = 'method'
       union all select distinct o.file_path, n.file_path, 'dn', cast(null as VARCHAR), 'default', 5 from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
+      union all select distinct o.file_path, 'src/supply/s' || (x.o_custkey % 3) || '.ts', n.name, cast(null as VARCHAR), 'named', 7 from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id where x.o_orderkey % 11 = 10
       union all select distinct file_path, cast(null as VARCHAR), 'far' || (start_line % 3), cast(null as VARCHAR), 'named', 6 from symbols where kind = 'function'
       union all select distinct file_path, cast(null as VARCHAR), case when start_line % 20 < 10 then 'lib' || (start_line % 7) else './gone' || (start_line % 7) end, cast(null as VARCHAR), 'default', 4 from symbols where kind = 'type'""",
     # call_id, file_path, scope_id, name, receiver, line, argument
@@ -34,10 +35,11 @@ FACTS = {
       from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
       union all select cast(-start_line as bigint), file_path, id, 'm' || (start_line % 7), 'this', start_line, false from symbols where kind = 'method'
       union all select cast(x.o_orderkey + 1000000000 as bigint), o.file_path, o.id,
-        case x.o_orderkey % 9 when 2 then 'nothing' when 3 then 'nothing' when 4 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 5 then 'order_' || (x.o_orderkey % 60) when 7 then 'get' when 8 then 'far' || (x.o_orderkey % 3) else 'm' || (x.o_custkey % 10) end,
-        case x.o_orderkey % 9 when 0 then 'this.f' when 1 then lower(substring(n.name, 1, 1)) || substring(n.name, 2) when 2 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 3 then 'dn' when 6 then 'dn' when 7 then o.name end,
-        o.start_line, x.o_orderkey % 9 in (4, 5)
-      from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id""",
+        case x.o_orderkey % 11 when 2 then 'nothing' when 3 then 'nothing' when 4 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 5 then 'order_' || (x.o_orderkey % 60) when 7 then 'get' when 8 then 'far' || (x.o_orderkey % 3) else 'm' || (x.o_custkey % 10) end,
+        case x.o_orderkey % 11 when 0 then 'this.f' when 1 then lower(substring(n.name, 1, 1)) || substring(n.name, 2) when 2 then case when x.o_custkey % 4 = 0 then 'A' || x.o_custkey else c.name end when 3 then 'dn' when 6 then 'dn' when 7 then o.name when 10 then n.name end,
+        o.start_line, x.o_orderkey % 11 in (4, 5)
+      from orders x join symbols o on o.id = 'o' || x.o_orderkey join symbols c on c.id = 'c' || x.o_custkey join symbols n on n.id = c.parent_id
+      union all select cast(start_line + 2000000000 as bigint), file_path, id, 't' || (start_line * 7 % 97), cast(null as VARCHAR), start_line, false from symbols where kind = 'type'""",
     "locals": "select scope_id, name from calls where name = 'shadow' and call_id % 16 = 7",
     # file_path, name, type_name, scope_id
     "bindings": """select distinct o.file_path, 'v' as name, n.name as type_name, cast(null as VARCHAR) as scope_id from symbols o join symbols n on n.id = 'n' || (o.start_line % 3) where o.kind = 'function'
