@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,12 +177,13 @@ def dense_pairs(heavy: DataFrame, terms: DataFrame, groups: DataFrame, tile_term
     n_blocks = terms.groupBy("lang").agg(F.ceil(F.count("*") / tile_terms).alias("term_blocks"))
     sides = groups.groupBy("lang").agg(F.floor((F.count("*") - 1) / tile_groups).alias("last"))
     sizes = small(cut(n_blocks.join(sides, "lang")))
-    side = F.floor((F.col("number") - 1) / tile_groups)
+    side, block = F.floor((F.col("number") - 1) / tile_groups), F.pmod(F.xxhash64("t"), "term_blocks").alias("block")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    rows = heavy.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("t"), "term_blocks").alias("block"), side.alias("side"), "number", "p", "t", other)
-    headers = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("term_blocks") - 1)).alias("block"), side.alias("side"), "number", F.col("p0").alias("p"), F.lit(None).cast("long").alias("t"), "last")
-    headers = headers.select("lang", "block", "side", "number", "p", "t", other)
-    tiles = rows.unionByName(headers).select("lang", "block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "number", "p", "t")
+    rows = heavy.join(sizes, "lang").select("lang", block, side.alias("side"), "number", "p", "t", F.lit(None).cast("long").alias("n_terms"), other)
+    # a group's header in each tile: its p0, and how many terms the tile's block has, for a term may be absent from both sides
+    blocks = terms.join(sizes, "lang").groupBy("lang", block, "last").agg(F.count("*").alias("n_terms"))
+    headers = groups.join(blocks, "lang").select("lang", "block", side.alias("side"), "number", F.col("p0").alias("p"), F.lit(None).cast("long").alias("t"), "n_terms", other)
+    tiles = rows.unionByName(headers).select("lang", "block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "number", "p", "t", "n_terms")
 
     def run(t: pa.Table) -> pa.Table:
         lang = t.column("lang")[0].as_py()
@@ -196,7 +198,8 @@ def dense_pairs(heavy: DataFrame, terms: DataFrame, groups: DataFrame, tile_term
         high = (has - 1) // tile_groups == t.column("high")[0].as_py()
         mine, theirs = np.flatnonzero(low), np.flatnonzero(high)
         out = [(has[i], theirs[has[theirs] > has[i]]) for i in mine]
-        sums = [np.abs(dense[j] - dense[i]).sum(axis=1) for i, (_, j) in zip(mine, out, strict=True)]
+        absent = pc.max(t.column("n_terms")).as_py() - len(terms)
+        sums = [np.abs(dense[j] - dense[i]).sum(axis=1) + absent * np.abs(p0[j] - p0[i]) for i, (_, j) in zip(mine, out, strict=True)]
         a = np.repeat([a for a, _ in out], [len(j) for _, j in out]).astype(np.int64)
         return _pairs(lang, a, has[np.concatenate([j for _, j in out])], np.concatenate(sums))
 
