@@ -8,6 +8,10 @@ fits. One more document, the one whose size is nearest to what is then missing,
 The prefix sum needs no sort of a whole source: a histogram of word sums over key ranges (one grouped sum, so a hot source
 is summed where its rows lie) finds the range in which the budget ends, and only that range is sorted. A source's decision
 is a key threshold, so documents are joined with one row per source and their texts are never shuffled.
+
+Rows that repeat have one key. They are summed as one before any sort, and where the prefix ends among them, as many are
+taken as fit: those with the smallest ties, a tie being a hash of a row's place in the scan. Which of equal rows that is
+makes no difference to the result. Should a second scan deal the rows out otherwise, still about as many have such ties.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ def quality_weight(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """(row, mix_size, mix_source, mix_key, w): docs as one column, with words, source (a string, null as a value of its own), key and weight."""
+    """(row, mix_size, mix_source, mix_key, w, tie): docs as one column, with words, source (a string, null as a value of its own), key, weight, and what tells equal rows apart."""
+    tie = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 11) + 0.5) / float(1 << 53)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 11) + 0.5) / float(1 << 53)
     source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    return packed(docs, size_of().alias("mix_size"), source.alias("mix_source"), (-F.log(u) / quality_weight()).alias("mix_key"), quality_weight().alias("w"))
+    return packed(docs, size_of().alias("mix_size"), source.alias("mix_source"), (-F.log(u) / quality_weight()).alias("mix_key"), quality_weight().alias("w"), tie.alias("tie"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = REPEATS, most: float = 3.0) -> DataFrame:
@@ -60,7 +65,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = REPEATS, most: float
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
-    """One row per source: mix_source, source_size, target, epochs, full_below (ranges under it are taken whole), ranges, rate, last_key and gap_key."""
+    """One row per source: mix_source, source_size, target, epochs, full_below (ranges under it are taken whole), ranges, rate, last_key, part_key with part_tie, and gap_key with gap_tie."""
     slim = cut(keyed(docs, seed).drop("row"))
     sums = slim.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n"), F.avg("w").alias("rate"))
     aim = targets(sums, weights).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS).cast("long"))
@@ -75,12 +80,36 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) ->
     ends = hist.filter("end > budget").groupBy("mix_source").agg(F.min_by(F.struct("range", (F.col("end") - F.col("words")).alias("base")), "range").alias("x")).select("mix_source", F.col("x.range").alias("full_below"), F.col("x.base").alias("base"))
     ends = cut(ends)
     rest = ranged.join(small(ends), "mix_source").filter("range >= full_below")
-    inside = rest.filter("range = full_below").withColumn("sum", F.col("base") + F.sum("mix_size").over(Window.partitionBy("mix_source").orderBy("mix_key")))
-    fit = inside.filter("sum <= budget").groupBy("mix_source").agg(F.max("mix_key").alias("last_key"), F.max("sum").alias("sum"))
-    cuts = cut(ends.join(fit, "mix_source", "left"))
-    left = rest.drop("full_below", "base").join(small(cuts), "mix_source").filter("range > full_below or last_key is null or mix_key > last_key").withColumn("gap", F.col("budget") - F.coalesce("sum", "base"))
-    closing = left.filter("mix_size > 0 and abs(gap - mix_size) < gap").groupBy("mix_source").agg(F.min_by("mix_key", F.struct(F.abs(F.col("gap") - F.col("mix_size")), "mix_key")).alias("gap_key"))
-    return aim.join(cuts.drop("base", "sum"), "mix_source", "left").join(closing, "mix_source", "left")
+    # equal rows as one, which has their words and number
+    equal = rest.filter("range = full_below").groupBy("mix_source", "mix_key", "budget", "base").agg(F.sum("mix_size").alias("words"), F.count("*").alias("times"))
+    inside = equal.withColumn("sum", F.col("base") + F.sum("words").over(Window.partitionBy("mix_source").orderBy("mix_key")))
+    whole = F.col("sum") <= F.col("budget")
+    before = F.col("sum") - F.col("words")
+    fit = inside.groupBy("mix_source").agg(
+        F.max(F.when(whole, F.col("mix_key"))).alias("last_key"),
+        F.max(F.when(whole, F.col("sum"))).alias("sum"),
+        F.min_by(F.struct("mix_key", "times", F.floor((F.col("budget") - before) * F.col("times") / F.col("words")).alias("part"), (F.col("words") / F.col("times")).alias("each")), F.when(~whole, F.col("mix_key"))).alias("x"),
+    )
+    ends = cut(ends.join(fit, "mix_source", "left").select("mix_source", "full_below", "base", "last_key", "sum", F.when(F.col("x.part") > 0, F.col("x")).alias("x")))
+    parts = cut(ends.filter("x is not null").select("mix_source", F.col("x.mix_key").alias("part_key"), "x.part", "x.times", (F.col("x.part") * F.col("x.each")).alias("part_words")))
+    cuts = cut(ends.drop("x").join(part_ties(ranged, parts), "mix_source", "left"))
+    left = rest.drop("full_below", "base").join(small(cuts), "mix_source").filter("(range > full_below or last_key is null or mix_key > last_key) and not coalesce(mix_key = part_key and tie <= part_tie, false)")
+    left = left.withColumn("gap", F.col("budget") - F.coalesce("sum", "base") - F.coalesce("part_words", F.lit(0.0)))
+    closing = left.filter("mix_size > 0 and abs(gap - mix_size) < gap").groupBy("mix_source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("mix_size")).alias("off"), "mix_key", "tie")).alias("x"))
+    closing = cut(closing.select("mix_source", F.col("x.mix_key").alias("gap_key"), F.col("x.tie").alias("gap_tie")))
+    # a row without equals needs no tie
+    closing = left.join(small(closing), "mix_source").filter("mix_key = gap_key").groupBy("mix_source", "gap_key").agg(F.when(F.count("*") == 1, 1.0).otherwise(F.min("gap_tie")).alias("gap_tie"))
+    return aim.join(cuts.drop("base", "sum", "part_words"), "mix_source", "left").join(closing, "mix_source", "left")
+
+
+def part_ties(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(mix_source, part_key, part_words, part_tie): the tie up to which `part` of the `times` rows with part_key are taken. Only the range of ties in which it lies is sorted."""
+    among = rows.join(small(parts), "mix_source").filter("mix_key = part_key").withColumn("tied", F.floor(F.col("tie") * F.ceil(F.col("times") / RANGE_ROWS)))
+    counts = among.groupBy("mix_source", "tied", "part").count()
+    counts = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("mix_source").orderBy("tied")))
+    at = cut(counts.filter("upto >= part").groupBy("mix_source").agg(F.min_by(F.struct("tied", (F.col("part") - F.col("upto") + F.col("count")).alias("nth")), "tied").alias("x")).select("mix_source", "x.tied", "x.nth"))
+    nth = F.row_number().over(Window.partitionBy("mix_source").orderBy("tie"))
+    return among.join(small(at), ["mix_source", "tied"]).withColumn("r", nth).filter("r = nth").select("mix_source", "part_key", "part_words", F.col("tie").alias("part_tie"))
 
 
 def key_range() -> Column:
@@ -90,7 +119,7 @@ def key_range() -> Column:
 def decide(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int = 42) -> DataFrame:
     """(row, mix_size, source_size, target, copies): every row of docs as one column, and the number of times that the mix takes it."""
     decided = small(cut(plan(docs, weights, seed)))
-    took = (F.col("full_below").isNull() & (F.col("budget") > 0)) | (key_range() < F.col("full_below")) | ((key_range() == F.col("full_below")) & (F.col("mix_key") <= F.col("last_key"))) | (F.col("mix_key") == F.col("gap_key"))
+    took = (F.col("full_below").isNull() & (F.col("budget") > 0)) | (key_range() < F.col("full_below")) | ((key_range() == F.col("full_below")) & (F.col("mix_key") <= F.col("last_key"))) | ((F.col("mix_key") == F.col("part_key")) & (F.col("tie") <= F.col("part_tie"))) | ((F.col("mix_key") == F.col("gap_key")) & (F.col("tie") <= F.col("gap_tie")))
     out = keyed(docs, seed).join(decided, "mix_source").withColumn("copies", F.col("epochs") + F.coalesce(took, F.lit(False)).cast("long"))
     return out.select("row", "mix_size", "source_size", "target", "copies")
 
@@ -99,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = REPEATS, seed: int =
     """docs with mix_size, source_size, target and copies, the number of times that the mix takes the document.
 
     Null texts have no words. A null source is a source, the last in order. Documents without words are taken with every
-    epoch and with the prefix they fall in, at no cost. Rows that repeat share one key and so are taken or left together.
+    epoch and with the prefix they fall in, at no cost. Rows that repeat share one key; where a budget ends among them, only as many as fit are taken.
     An empty table gives an empty one. Equal tables and seeds give equal mixes. Columns of docs keep their values, except
     those that bear one of the four names added here.
     """
