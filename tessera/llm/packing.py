@@ -102,28 +102,28 @@ class Remembered(dict):
 
 
 class Tokenizer:
-    """Ids of whole texts by a tokenizers file whose pre-tokenizer never joins what white space parts.
+    """Ids of whole texts by a tokenizers file.
 
-    Then the ids of a text are those of its chunks between spaces one after another, and those of a chunk are its
-    pre-tokens' ones. Each distinct chunk is taken apart and each distinct pre-token encoded once. A chunk beyond Latin-1, and
-    any chunk of a file whose rules are not those of PLAIN_RULES, is encoded by the library.
-    apart=False encodes texts whole.
+    A file with the rules PLAIN_RULES never joins what white space parts: the ids of a text are those of its chunks between
+    spaces one after another, and those of a chunk are its pre-tokens' ones. Each distinct chunk is taken apart and each
+    distinct pre-token encoded once; a chunk beyond Latin-1 is encoded by the library. With any other file, and with
+    apart=False, the library encodes texts whole.
     """
 
     def __init__(self, path: str, apart: bool = True):
         from tokenizers import Tokenizer as Rust
 
-        self.rust, self.apart = Rust.from_file(path), apart
+        self.rust = Rust.from_file(path)
         self.chunks, self.tokens = Remembered(REMEMBERED), Remembered(REMEMBERED)
         rules = [json.loads(part.__getstate__()) if part else None for part in (self.rust.normalizer, self.rust.pre_tokenizer)]
-        self.plain = json.dumps(rules, sort_keys=True) == json.dumps(PLAIN_RULES, sort_keys=True)
+        self.apart = apart and json.dumps(rules, sort_keys=True) == json.dumps(PLAIN_RULES, sort_keys=True)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.rust.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
         latin, of_latin = LATIN.fullmatch, LATIN_PARTS.findall
-        plain = [c for c in chunks if latin(c) and "<|" not in c] if self.plain else []  # <| may begin a special token
+        plain = [c for c in chunks if latin(c) and "<|" not in c]  # <| may begin a special token
         odd = list(chunks.difference(plain))
         self.chunks.update(zip(odd, self.whole(odd), strict=True))
         # a word, and a word with one mark after it, need no pattern
