@@ -26,9 +26,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+def drop_like(docs: DataFrame) -> DataFrame:
+    """docs without the near copies that the radius of simhash_dedup leaves: one document stays of those 0.8 or more alike by five-word shingles."""
+    return copies.keep_unlike(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, once the near copies are gone that the radius of simhash_dedup leaves (five-word shingles, 0.8 or more alike)."""
-    return mixing.take(copies.keep_unlike(docs))
+    """Every document as often as the mix takes it, after drop_like: that step reads its input several times, so it stands here, where the input is a table."""
+    return mixing.take(drop_like(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +41,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), gather=4 << 20)
 
 
+#: simhash_dedup drops near copies within op10's radius; what is 0.8 or more alike beyond it goes at the beginning of mixing (drop_like).
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("simhash_dedup", simhash_dedup), ("mixing", mix), ("packing", pack)]
 
-#: No stage but the first can be told in SQL (models fitted to the corpus, XXH64, a tokenizer); tests hold run() against brute force.
+#: No stage can be told in SQL as a whole (models fitted to the corpus, XXH64, a tokenizer); tests hold run() against brute force.
 ORACLE_SQL = None
 
 
