@@ -109,9 +109,10 @@ def test_method_orders_of_a_deep_and_an_odd_hierarchy(spark):
 
 def test_chunks_need_no_single_task(spark):
     rows = [(f"f{i:03}", i % 7 + 1) for i in range(200)]
-    want, total = {}, 0
+    want, used, chunk = {}, 0, 0
     for path, size in rows:
-        want[path], total = total // 50, total + size
+        used, chunk = (size, chunk + 1) if used + size > 50 else (used + size, chunk)
+        want[path] = chunk
     df = tables.chunks(spark.createDataFrame(rows, "path string, size int").repartition(5), "size", "path", 50)
     assert {r.path: r.chunk for r in df.collect()} == want
 
