@@ -302,10 +302,17 @@ def f23_domain_segments(spark, sf_dir):
     return adapter.symbols(spark, sf_dir).select("file_path", paths.directory_segment(F.col("file_path")).alias("leaf")).distinct()
 
 
-@query("f24_regex_guard", "select * from (values ('(a+)+', false), ('abc.*', true), ('(a|b)*', false), ('((((x))))', false), ('^[a-z]+$', true)) as v(pattern, safe)")
+#: Patterns that users may ask for, by the number of an event.
+SHAPES = ["'(' || event_type || '+)+'", "event_type || '.*' || user_id", "'(' || event_type || '|b)*'", "'(((' || event_type || ')))' || '(x)'", "'((((' || event_type || '))))'", "'^[a-z]+$' || event_id", "repeat(event_type, 40)", "'(a)' || '(' || event_type || '[\\\\1])*'", "'(a\\\\1' || event_type || '){2}'"]
+
+
+@query(
+    "f24_regex_guard",
+    "select event_id, pattern, safe from (select event_id, case " + " ".join(f"when event_id % 9 = {i} then {shape}" for i, shape in enumerate(SHAPES)).replace("\\\\", "\\") + " end as pattern, event_id % 9 in (1, 3, 5) or (event_id % 9 = 6 and length(event_type) <= 5) as safe from events) x",
+)
 def f24_regex_guard(spark, sf_dir):
-    patterns = ["(a+)+", "abc.*", "(a|b)*", "((((x))))", "^[a-z]+$"]
-    return spark.createDataFrame([(p, paths.is_safe_regex(p)) for p in patterns], "pattern string, safe boolean")
+    shape = F.coalesce(*[F.when(F.col("event_id") % 9 == i, F.expr(shape)) for i, shape in enumerate(SHAPES)])
+    return adapter.table(spark, sf_dir, "events").select("event_id", shape.alias("pattern"), paths.is_safe_pattern(shape).alias("safe"))
 
 
 CODE = "select replace(v.shape, '#', '' || p_partkey) as line from {part} join (values (0, 'import os#'), (1, '  from a# import b'), (2, 'use std::io#;'), (3, 'const x# = require(1)'), (4, 'export async function f#() {{'), (5, 'class A#:'), (6, 'pub fn g#()'), (7, 'return import#'), (8, '')) as v(i, shape) on p_partkey % 9 = v.i"

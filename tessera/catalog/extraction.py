@@ -70,9 +70,9 @@ def x14_css_selectors(spark, sf_dir):
     return extract.css_selectors(sheets)
 
 
-@query("x17_exported_by_case", "select name, regexp_matches(name, '^[A-Z]') as exported from symbols where kind in ('interface', 'class')")
+@query("x17_exported_by_case", "select name, regexp_matches(name, '^[A-Z]') as exported from symbols")
 def x17_exported_by_case(spark, sf_dir):
-    return adapter.symbols(spark, sf_dir).filter("kind in ('interface', 'class')").select("name", extract.exported_by_case(F.col("name")).alias("exported"))
+    return adapter.symbols(spark, sf_dir).select("name", extract.exported_by_case(F.col("name")).alias("exported"))
 
 
 #: One file for each customer in a language that its number tells, with names that tell the number.

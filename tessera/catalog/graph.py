@@ -166,8 +166,8 @@ def t12_importance(spark, sf_dir):
 
 
 SIMILAR = """select id, floor(s * 100 + 0.5) / 100 as similarity from (
-  select n.id, count(*) filter (n.other in (select other from near where id = 'c5')) / cast(count(*) + (select count(*) from near where id = 'c5') - count(*) filter (n.other in (select other from near where id = 'c5')) as double) as s
-  from near n join symbols y on y.id = n.id and y.exported where n.id <> 'c5' group by n.id) x where s >= 0.15 order by similarity desc, id limit 10"""
+  select n.id, count(*) filter (n.other in (select other from near where id = 'o1')) / cast(count(*) + (select count(*) from near where id = 'o1') - count(*) filter (n.other in (select other from near where id = 'o1')) as double) as s
+  from near n join symbols y on y.id = n.id and y.exported where n.id <> 'o1' group by n.id) x where s >= 0.15 order by similarity desc, id limit 10"""
 NEAR = {
     "own": "select from_id as id, to_id as other from links where type <> 'contains' union select to_id, from_id from links where type <> 'contains'",
     "near": "select id, other from own union select l.from_id, o.other from links l join symbols s on s.id = l.from_id and s.kind in ('class', 'struct', 'trait') join own o on o.id = l.to_id where l.type = 'contains'",
@@ -177,14 +177,14 @@ NEAR = {
 @query("t13_similar", SIMILAR, NEAR)
 def t13_similar(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
-    return traverse.similar(links, symbols, "c5")
+    return traverse.similar(links, symbols, "o1")
 
 
-@query("v10_find_similar", SIMILAR.replace("'c5'", "'n3'"), NEAR)
+@query("v10_find_similar", SIMILAR.replace("'o1'", "'o3'"), NEAR)
 def v10_find_similar(spark, sf_dir):
-    """As t13, of an interface, whose neighbours are other interfaces, a module and its implementers."""
+    """As t13, of another function."""
     links, symbols = _graph(spark, sf_dir)
-    return traverse.similar(links, symbols, "n3")
+    return traverse.similar(links, symbols, "o3")
 
 
 @query("j14_shared_neighbours", "select n.id, count(*) as shared from near n join (select other from near where id = 'c5') t on t.other = n.other join symbols y on y.id = n.id and y.exported where n.id <> 'c5' group by n.id", NEAR)
@@ -194,12 +194,12 @@ def j14_shared_neighbours(spark, sf_dir):
     return traverse.candidates(traverse.neighbours(links, symbols), "c5").join(symbols.filter("exported").select("id"), "id", "left_semi")
 
 
-@query("u05_jaccard", "select a.id, count(*) filter (b.other is not null) as shared, count(*) as size from near a left join (select other from near where id = 'c5') b on b.other = a.other where a.id in ('c5', 'c6', 'c12', 'n3') group by a.id", NEAR)
+@query("u05_jaccard", "select a.id, count(*) filter (b.other is not null) as shared, count(*) as size from near a left join (select other from near where id = 'c5') b on b.other = a.other group by a.id", NEAR)
 def u05_jaccard(spark, sf_dir):
     links, symbols = _graph(spark, sf_dir)
     near = traverse.neighbours(links, symbols)
     mine = near.filter("id = 'c5'").select("other", F.lit(True).alias("mine"))
-    return near.filter("id in ('c5', 'c6', 'c12', 'n3')").join(mine, "other", "left").groupBy("id").agg(F.count("mine").alias("shared"), F.count("*").alias("size"))
+    return near.join(mine, "other", "left").groupBy("id").agg(F.count("mine").alias("shared"), F.count("*").alias("size"))
 
 
 @query(

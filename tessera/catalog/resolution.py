@@ -267,3 +267,24 @@ def r20_builtin_names(spark, sf_dir):
 def t14_method_orders(spark, sf_dir):
     edges = adapter.symbols(spark, sf_dir).filter("parent_id is not null").select(F.col("id").alias("class"), F.col("parent_id").alias("parent"), F.lit(0).alias("position"))
     return resolve.method_orders(edges)
+
+
+#: A class for each customer with two mixed-in parents that share one: a diamond. Every fifth names them the other way round above, which has no C3 order.
+DIAMOND = """select 'k' || c_custkey as class, 'a' || c_custkey as parent, 0 as position, c_custkey from customer union all select 'k' || c_custkey, 'b' || c_custkey, 1, c_custkey from customer
+  union all select 'a' || c_custkey, 'r' || c_nationkey, 0, c_custkey from customer union all select 'b' || c_custkey, 'r' || c_nationkey, 0, c_custkey from customer
+  union all select 'k' || c_custkey, 'r' || c_nationkey, case when c_custkey % 5 = 0 then -1 else 2 end, c_custkey from customer union all select 'x' || c_custkey, 'y' || c_custkey, 0, c_custkey from customer union all select 'y' || c_custkey, 'x' || c_custkey, 0, c_custkey from customer"""
+
+
+@query(
+    "t14_orders_by_rule",
+    """select 'k' || c_custkey as class, case c_custkey % 4 when 3 then 'k' || c_custkey when 2 then case when c_custkey % 5 = 0 then 'k' || c_custkey || '>r' || c_nationkey || '>a' || c_custkey || '>b' || c_custkey else 'k' || c_custkey || '>a' || c_custkey || '>r' || c_nationkey || '>b' || c_custkey end
+        when 1 then case when c_custkey % 5 <> 0 then 'k' || c_custkey || '>r' || c_nationkey || '>b' || c_custkey || '>a' || c_custkey end else case when c_custkey % 5 <> 0 then 'k' || c_custkey || '>a' || c_custkey || '>b' || c_custkey || '>r' || c_nationkey end end as "order" from customer
+      union all select unnest(['x', 'y']) || c_custkey, null from customer""",
+)
+def t14_orders_by_rule(spark, sf_dir):
+    c = adapter.table(spark, sf_dir, "customer")
+    c.createOrReplaceTempView("tessera_customer")
+    edges = spark.sql(DIAMOND.replace("from customer", "from tessera_customer"))
+    rules = c.select(F.concat(F.lit("k"), "c_custkey").alias("class"), F.element_at(F.array(*map(F.lit, resolve.RULES)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("rule"))
+    orders = resolve.method_orders(edges, rules)
+    return orders.filter(F.substring("class", 1, 1).isin("k", "x", "y"))

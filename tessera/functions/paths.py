@@ -125,3 +125,12 @@ def is_safe_regex(pattern: str) -> bool:
         depth += (c == "(") - (c == ")")
         most = max(most, depth)
     return most <= 3
+
+
+def is_safe_pattern(pattern: Column) -> Column:
+    """is_safe_regex of a column of patterns; null is not safe."""
+    known = pattern.rlike(r"[+*}]\)?[+*{]") | pattern.rlike(r"\([^)]*(\||\\[1-9])[^)]*\)[+*{]")
+    marks = F.split(F.regexp_replace(pattern, r"[^()]", ""), "")
+    step = lambda at, c: F.struct((at["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), F.greatest(at["most"], at["depth"] + F.when(c == "(", 1).otherwise(0)).alias("most"))
+    most = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")), step)["most"]
+    return F.coalesce((F.length(pattern) <= 200) & ~known & (most <= 3), F.lit(False))

@@ -269,20 +269,38 @@ def c3(parents: dict[str, list[str]], name: str) -> list[str] | None:
     return line(name, ())
 
 
-def method_orders(heritage: DataFrame) -> DataFrame:
-    """(class, order): the C3 method resolution order of every class in heritage (class, parent, position), null where there is none.
+def first_wins(parents: dict[str, list[str]], name: str) -> list[str]:
+    """name and all above it, depth first, each where it is first met."""
+    seen, todo = {}, [name]
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen[at] = None
+            todo += reversed(parents.get(at, []))
+    return list(seen)
 
-    Each class meets its own ancestors only: their closure is a walk that ends when a level adds nothing, and a class's
-    ancestor edges are one small group.
+
+#: Rules by which languages order a class's ancestors: C3; C3 from the far end (what is mixed in later counts first); depth first; none but the class itself.
+RULES = ("c3", "mixin", "first", "none")
+LANGUAGE_RULES = {"python": "c3", "ruby": "mixin", "rust": "none"}
+
+
+def method_orders(heritage: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(class, order): the method resolution order of every class in heritage (class, parent, position), null where there is none.
+
+    rules (class, rule): one of RULES for a class, c3 if not named. A cycle or an inconsistent order has no C3 order; depth first
+    takes either. Each class meets its own ancestors only: their closure is a walk that ends when a level adds nothing, and a
+    class's ancestor edges are one small group. Without heritage there are no rows.
     """
     edges = cut(heritage.select("class", "parent", "position").distinct())
     up = edges.select(F.col("class").alias("a"), F.col("parent").alias("next")).filter("next is not null").distinct()
-    names = edges.select(F.col("class").alias("c")).unionAll(edges.select("parent")).filter("c is not null").distinct()
-    closure = frontier = cut(names.select("c", F.col("c").alias("a")))
+    every = edges.select(F.col("class").alias("c")).unionAll(edges.select("parent")).filter("c is not null").distinct()
+    closure = frontier = cut(every.select("c", F.col("c").alias("a")))
     while not frontier.isEmpty():
         frontier = cut(frontier.join(up, "a").select("c", F.col("next").alias("a")).distinct().join(closure, ["c", "a"], "left_anti"))
         closure = closure.unionAll(frontier)
     own = closure.join(edges, F.col("a") == F.col("class"), "left").select("c", F.col("a").alias("class"), "parent", "position")
+    own = own.join(rules.groupBy(F.col("class").alias("c")).agg(F.min("rule").alias("rule")), "c", "left") if rules is not None else own.withColumn("rule", F.lit("c3"))
 
     def run(key: tuple, rows):
         import pandas as pd
@@ -290,7 +308,15 @@ def method_orders(heritage: DataFrame) -> DataFrame:
         table: dict[str, list[str]] = {}
         for r in rows.dropna(subset=["parent"]).sort_values("position").itertuples():
             table.setdefault(r[2], []).append(r.parent)
-        order = c3(table, key[0])
+        rule = rows["rule"].iloc[0]
+        if rule == "none":
+            order = [key[0]]
+        elif rule == "first":
+            order = first_wins(table, key[0])
+        else:
+            order = c3(table, key[0])
+            if order and rule == "mixin":
+                order = [order[0], *reversed(order[1:])]
         return pd.DataFrame({"class": [key[0]], "order": [order and ">".join(order)]})
 
     return own.groupBy("c").applyInPandas(run, "class string, order string")

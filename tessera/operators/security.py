@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.literals import required
 from tessera.functions.paths import glob_to_regex, redact
 from tessera.operators.textsearch import lines
 
@@ -118,36 +121,63 @@ def in_template(found: Column) -> Column:
     return before.contains("@") | before.contains("v-on:") | before.rlike(r"(^|\s):(\w+-)*$|(^|\s):(\w+-)*password") | before.endswith("-")
 
 
-def scan(files: DataFrame, rules: list[tuple] = RULES, apart: bool = True) -> DataFrame:
-    """(rule, category, severity, file, line, match): every rule's first match on every line of files (path, text).
+def _once(column: Column) -> Column:
+    """column, which a filter on it reads from the row: filters are not pushed below what numbers rows, so it is not worked out again for them."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def scan(files: DataFrame, rules: list[tuple] = RULES, apart: bool = True, every: bool = False, globs: bool = True, most_bytes: int | None = None) -> DataFrame:
+    """(rule, category, severity, file, line, match): what rules find on lines of files (path, text), one row a rule and line.
 
-    A file must fit a rule's globs and none of its exclusions. apart drops all but the first rule of a category on a line.
-    Matches of secrets are redacted, others cut to 100 characters. Lines are read once and hold all rules' answers as one
-    array, in the order of the rules' ids, so each pattern runs once on a line and nothing is joined or shuffled.
+    A file must fit a rule's globs and none of its exclusions (unless globs is False) and have at most most_bytes. apart drops
+    all but the first rule of a category on a line; every gives all matches of a rule on a line, not the first alone. Matches
+    of secrets are redacted, others cut to 100 characters. Null texts have no lines.
+
+    Few rules concern a text. Each has literals of which every match holds one; a text is searched for them once (or, if a
+    rule has none, by its pattern), and only texts with a rule left are cut into lines, on which only the rules left are
+    tried, and those only where a line holds their literals. Nothing is joined or shuffled.
     """
+    rules = sorted(rules, key=lambda r: r[0])
     wanted = sorted({(r[4], r[5]) for r in rules})
+    within = [required(r[3]) for r in rules]
 
     def fits(glob: str, without: str) -> Column:
-        yes = F.lit(True) if glob == "**" else F.col("path").rlike(glob_to_regex(glob))
-        return yes & ~F.col("path").rlike(glob_to_regex(without)) if without else yes
-
-    def answer(rule: tuple) -> Column:
-        id_, category, severity, pattern, glob, without = rule
-        found = F.when(F.col("fits")[wanted.index((glob, without))], F.regexp_substr("body", F.lit(pattern)))
+        path = lambda g: F.concat(F.lit("/"), F.col("path")) if g.startswith("**/") else F.col("path")  # noqa: E731  files of the root lie in a folder too
+        yes = F.lit(True) if glob == "**" or not globs else path(glob).rlike(glob_to_regex(glob))
+        return yes & ~path(without).rlike(glob_to_regex(without)) if without and globs else yes
+
+    def holds(low: Column, words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(F.lit(w)) for w in words])
+
+    def may(i: int) -> Column:
+        """Whether a text may hold a match; a pattern over the whole text finds what it finds on a line, and more."""
+        id_, _, _, pattern, glob, without = rules[i]
+        here = holds(F.col("low"), within[i]) if within[i] else F.col("text").rlike(pattern if "^" not in pattern else "(?m)" + pattern)
+        return F.when(F.col("fits")[wanted.index((glob, without))], here).otherwise(False)
+
+    def answer(i: int) -> Column:
+        id_, category, severity, pattern, *_ = rules[i]
+        found = F.regexp_extract_all("body", F.lit(pattern), F.lit(0)) if every else F.array(F.regexp_substr("body", F.lit(pattern)))
         if id_ == "SEC-001":  # in a component's template the name of an event or a bound attribute is no secret
-            found = F.when(~(F.col("path").endswith(".vue") & in_template(found)), found)
-        return F.struct(F.lit(id_).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), found.alias("found"))
+            found = F.filter(found, lambda x: ~(F.col("path").endswith(".vue") & in_template(x)))
+        asked = F.col("left")[i] & (holds(F.col("low_body"), within[i]) if within[i] else F.lit(True))
+        return F.when(asked, F.struct(F.lit(id_).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.filter(found, lambda x: x.isNotNull()).alias("found")))
 
-    answers = F.filter(F.array(*[answer(r) for r in sorted(rules, key=lambda r: r[0])]), lambda x: x["found"].isNotNull())
-    # globs are tried once a file; a file that no rule is about is not read
+    # globs and literals are tried once a file; a file that no rule is about is not read on
     asked = files.select("path", F.array(*[fits(*w) for w in wanted]).alias("fits"), "text").filter(F.exists("fits", lambda x: x))
-    hits = lines(asked).select(F.col("path").alias("file"), "line", answers.alias("hits")).filter(F.size("hits") > 0)
+    if most_bytes is not None:
+        asked = asked.filter(F.octet_length("text") <= most_bytes)
+    asked = asked.withColumn("low", F.lower("text"))
+    asked = asked.select("path", "text", _once(F.array(*[may(i) for i in range(len(rules))])).alias("left")).filter(F.exists("left", lambda x: x))
+    answers = F.filter(F.array(*[answer(i) for i in range(len(rules))]), lambda x: x.isNotNull() & (F.size(x["found"]) > 0))
+    hits = lines(asked).withColumn("low_body", F.lower("body")).select(F.col("path").alias("file"), "line", _once(answers).alias("hits")).filter(F.size("hits") > 0)
     if apart:
         earlier = lambda x, i: F.exists(F.slice("hits", F.lit(1), i), lambda y: y["category"] == x["category"])
         hits = hits.withColumn("hits", F.filter("hits", lambda x, i: (i == 0) | ~earlier(x, i)))
-    h = F.col("h")
-    cut_off = F.when(F.length(h["found"]) > 100, F.concat(F.substring(h["found"], 1, 97), F.lit("..."))).otherwise(h["found"])
-    return hits.withColumn("h", F.explode("hits")).select("h.rule", "h.category", "h.severity", "file", "line", F.when(h["category"] == "secrets", redact(h["found"])).otherwise(cut_off).alias("match"))
+    h, found = F.col("h"), F.col("found")
+    cut_off = F.when(F.length(found) > 100, F.concat(F.substring(found, 1, 97), F.lit("..."))).otherwise(found)
+    each = hits.withColumn("h", F.explode("hits")).withColumn("found", F.explode("h.found"))
+    return each.select("h.rule", "h.category", "h.severity", "file", "line", F.when(h["category"] == "secrets", redact(found)).otherwise(cut_off).alias("match"))
 
 
 def by_severity(findings: DataFrame, most: int = 50) -> DataFrame:
