@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.registry import query
 from tessera.functions import names
 from tessera.operators import resolve
+from tessera.plans.cut import cut
 from tessera.sources import adapter
 
 #: Symbols with names that many share: functions and methods are called alike in many files.
@@ -177,7 +178,8 @@ CALLED = {
 
 
 def _calls(t: dict[str, DataFrame]) -> DataFrame:
-    return resolve.call_links(t["calls"], t["code"], t["imports"], t["locals"], t["bindings"])
+    """The adapter's facts are worked out once: a call meets the symbols in a dozen ways."""
+    return resolve.call_links(*[cut(t[k]) for k in ("calls", "code", "imports", "locals", "bindings")])
 
 
 @query("r05_r12_tiers", "select reason, confidence, type, count(*) as n from call_links group by 1, 2, 3", CALLED)
@@ -250,7 +252,7 @@ def r17_type_propagation(spark, sf_dir):
 )
 def r19_resolved_graph(spark, sf_dir):
     t = _facts(spark, sf_dir)
-    every = reduce(DataFrame.unionByName, [_imports(t), _calls(t), resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"])])
+    every = cut(reduce(DataFrame.unionByName, [_imports(t), _calls(t), resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"])]))
     n = every.groupBy("from_id", "to_id", "type").agg(F.count("*").alias("n"))
     return resolve.dedupe(every).select("from_id", "to_id", "type", "confidence").join(n, ["from_id", "to_id", "type"])
 
