@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.registry import query
 from tessera.operators import bracefacts
+from tessera.plans.cut import cut
 from tessera.sources import adapter
 
 _O, _D, _C = "o", "d", "c"
@@ -58,8 +59,19 @@ def sources(spark, sf_dir) -> DataFrame:
     return files.select(F.explode(each).alias("f")).select("f.*")
 
 
+_EXTRACTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _all_facts(spark, sf_dir) -> DataFrame:
+    """The facts of a folder's sources, extracted and written once an application: the queries below read one table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXTRACTED:
+        _EXTRACTED[key] = cut(bracefacts.brace_facts(sources(spark, sf_dir)))
+    return _EXTRACTED[key]
+
+
 def _facts(spark, sf_dir, fact: str) -> DataFrame:
-    return bracefacts.brace_facts(sources(spark, sf_dir)).filter(F.col("fact") == fact)
+    return _all_facts(spark, sf_dir).filter(F.col("fact") == fact)
 
 
 _RUN = "over (partition by c order by o rows between unbounded preceding and 1 preceding)"
@@ -160,5 +172,5 @@ def x07_brace_bindings(spark, sf_dir):
     PLACED,
 )
 def x08_brace_flows(spark, sf_dir):
-    told = bracefacts.brace_facts(sources(spark, sf_dir)).filter(F.col("fact").isin("return_type", "assignment", "local", "call_result"))
+    told = _all_facts(spark, sf_dir).filter(F.col("fact").isin("return_type", "assignment", "local", "call_result"))
     return told.select("path", "fact", "name", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("parent")).alias("value"))
