@@ -198,23 +198,32 @@ def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_
 
 def heritage_links(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
     """Links of heritage (file_path, child, parent, type, line): the child in its file to the parent, same file first; unknown parents are external nodes."""
+def _first_named(rows: DataFrame, types: DataFrame, name: str) -> DataFrame:
+    """rows (file_path, ...) with the first id of a type of that name in the row's file (here) and in the project (anywhere): one row each, however many types share a name."""
+    t = types.select(F.col("name").alias(name), F.col("file_path"), F.col("id"))
+    here = t.groupBy("file_path", name).agg(F.min("id").alias("here"))
+    anywhere = here.groupBy(name).agg(F.min("here").alias("anywhere"))
+    return rows.join(here, ["file_path", name], "left").join(anywhere, name, "left")
+
+
+def _nearest(*more: str) -> Column:
+    """Of a group's rows with here and anywhere: the first here, else the first anywhere; more comes along."""
+    return F.min(F.struct(F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("far"), F.coalesce("here", "anywhere").alias("to_id"), *more))
+
+
     kinds = symbols.filter("kind in ('class', 'interface', 'struct', 'trait')")
     child = kinds.select("file_path", F.col("name").alias("child"), F.col("id").alias("from_id"))
-    parent = kinds.select(F.col("name").alias("parent"), F.col("id").alias("to_id"), F.col("file_path").alias("to_file"))
-    rows = heritage.join(child, ["file_path", "child"]).join(parent, "parent", "left")
-    best = Window.partitionBy("from_id", "parent", "type").orderBy(F.when(F.col("to_file") == F.col("file_path"), 0).otherwise(1), "to_id")
-    rows = rows.withColumn("r", F.row_number().over(best)).filter("r = 1")
+    rows = _first_named(heritage.join(child, ["file_path", "child"]), kinds, "parent")
+    rows = rows.groupBy("from_id", "parent", "type").agg(_nearest("line").alias("best")).select("from_id", "parent", "type", "best.to_id", "best.line")
     known = F.col("to_id").isNotNull()
-    rows = rows.withColumn("target", F.coalesce("to_id", F.concat(F.lit(EXTERNAL), F.col("parent"))))
-    out = rows.select("from_id", F.col("target").alias("to_id"), "type", F.when(known, 0.95).otherwise(0.7).alias("confidence"), F.when(known, "heritage").otherwise("heritage-external").alias("reason"), F.col("line").cast("int").alias("line"))
-    return out
+    target = F.coalesce("to_id", F.concat(F.lit(EXTERNAL), F.col("parent")))
+    return rows.select("from_id", target.alias("to_id"), "type", F.when(known, 0.95).otherwise(0.7).alias("confidence"), F.when(known, "heritage").otherwise("heritage-external").alias("reason"), F.col("line").cast("int").alias("line"))
 
 
 def type_links(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
     """Links of annotations (file_path, scope_id, type_name, line, kind) to the type of that name, same file first."""
-    t = symbols.filter("kind in ('class', 'interface', 'type', 'enum', 'struct')").select(F.col("name").alias("type_name"), F.col("id").alias("to_id"), F.col("file_path").alias("to_file"))
-    best = Window.partitionBy("scope_id", "type_name", "kind").orderBy(F.when(F.col("to_file") == F.col("file_path"), 0).otherwise(1), "to_id")
-    rows = bindings.join(t, "type_name").withColumn("r", F.row_number().over(best)).filter("r = 1")
+    rows = _first_named(bindings, symbols.filter("kind in ('class', 'interface', 'type', 'enum', 'struct')"), "type_name").filter("anywhere is not null")
+    rows = rows.groupBy("scope_id", "type_name", "kind").agg(_nearest("line").alias("best")).select("scope_id", "kind", "best.to_id", "best.line")
     return _link(rows, "scope_id", "to_id", "references", 0.7, F.col("kind"))
 
 
