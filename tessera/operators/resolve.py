@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,8 +198,6 @@ def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_
     return won.select(c("scope_id").alias("from_id"), "t.to_id", "t.type", "t.confidence", "t.reason", c("line").cast("int").alias("line"))
 
 
-def heritage_links(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Links of heritage (file_path, child, parent, type, line): the child in its file to the parent, same file first; unknown parents are external nodes."""
 def _first_named(rows: DataFrame, types: DataFrame, name: str) -> DataFrame:
     """rows (file_path, ...) with the first id of a type of that name in the row's file (here) and in the project (anywhere): one row each, however many types share a name."""
     t = types.select(F.col("name").alias(name), F.col("file_path"), F.col("id"))
@@ -211,6 +211,8 @@ def _nearest(*more: str) -> Column:
     return F.min(F.struct(F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("far"), F.coalesce("here", "anywhere").alias("to_id"), *more))
 
 
+def heritage_links(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Links of heritage (file_path, child, parent, type, line): the child in its file to the parent, same file first; unknown parents are external nodes."""
     kinds = symbols.filter("kind in ('class', 'interface', 'struct', 'trait')")
     child = kinds.select("file_path", F.col("name").alias("child"), F.col("id").alias("from_id"))
     rows = _first_named(heritage.join(child, ["file_path", "child"]), kinds, "parent")
@@ -266,14 +268,16 @@ def c3(parents: dict[str, list[str]], name: str) -> list[str] | None:
             lists = [y for y in ([z for z in x if z != head] for x in lists) if y]
         return out
 
+    done: dict[str, list[str] | None] = {}
+
     def line(n: str, above: tuple[str, ...]) -> list[str] | None:
         if n in above:
             return None
-        lines = [line(p, (*above, n)) for p in parents.get(n, [])]
-        if any(x is None for x in lines):
-            return None
-        rest = merge([*lines, list(parents.get(n, []))])
-        return None if rest is None else [n, *rest]
+        if n not in done:
+            lines = [line(p, (*above, n)) for p in parents.get(n, [])]
+            rest = None if any(x is None for x in lines) else merge([*lines, list(parents.get(n, []))])
+            done[n] = None if rest is None else [n, *rest]
+        return done[n]
 
     return line(name, ())
 
@@ -289,6 +293,19 @@ def first_wins(parents: dict[str, list[str]], name: str) -> list[str]:
     return list(seen)
 
 
+def order_of(name: str, children: list[str], parents: list[str], rule: str | None) -> list[str] | None:
+    """The order of one class by a rule; children and parents are the edges above it by position."""
+    table: dict[str, list[str]] = {}
+    for child, parent in zip(children, parents, strict=True):
+        table.setdefault(child, []).append(parent)
+    if rule == "none":
+        return [name]
+    if rule == "first":
+        return first_wins(table, name)
+    order = c3(table, name)
+    return [order[0], *reversed(order[1:])] if order and rule == "mixin" else order
+
+
 #: Rules by which languages order a class's ancestors: C3; C3 from the far end (what is mixed in later counts first); depth first; none but the class itself.
 RULES = ("c3", "mixin", "first", "none")
 LANGUAGE_RULES = {"python": "c3", "ruby": "mixin", "rust": "none"}
@@ -299,7 +316,7 @@ def method_orders(heritage: DataFrame, rules: DataFrame | None = None) -> DataFr
 
     rules (class, rule): one of RULES for a class, c3 if not named. A cycle or an inconsistent order has no C3 order; depth first
     takes either. Each class meets its own ancestors only: their closure is a walk that ends when a level adds nothing, and a
-    class's ancestor edges are one small group. Without heritage there are no rows.
+    class's ancestor edges are one row; many rows go to Python at once. Without heritage there are no rows.
     """
     edges = cut(heritage.select("class", "parent", "position").distinct())
     up = edges.select(F.col("class").alias("a"), F.col("parent").alias("next")).filter("next is not null").distinct()
@@ -308,24 +325,13 @@ def method_orders(heritage: DataFrame, rules: DataFrame | None = None) -> DataFr
     while not frontier.isEmpty():
         frontier = cut(frontier.join(up, "a").select("c", F.col("next").alias("a")).distinct().join(closure, ["c", "a"], "left_anti"))
         closure = closure.unionAll(frontier)
-    own = closure.join(edges, F.col("a") == F.col("class"), "left").select("c", F.col("a").alias("class"), "parent", "position")
+    at = F.struct(F.col("position").isNull(), "position", "class", "parent")
+    own = closure.join(edges, F.col("a") == F.col("class"), "left").groupBy("c").agg(F.array_sort(F.collect_list(F.when(F.col("parent").isNotNull(), at))).alias("up"))
     own = own.join(rules.groupBy(F.col("class").alias("c")).agg(F.min("rule").alias("rule")), "c", "left") if rules is not None else own.withColumn("rule", F.lit("c3"))
 
-    def run(key: tuple, rows):
-        import pandas as pd
-
-        table: dict[str, list[str]] = {}
-        for r in rows.dropna(subset=["parent"]).sort_values("position").itertuples():
-            table.setdefault(r[2], []).append(r.parent)
-        rule = rows["rule"].iloc[0]
-        if rule == "none":
-            order = [key[0]]
-        elif rule == "first":
-            order = first_wins(table, key[0])
-        else:
-            order = c3(table, key[0])
-            if order and rule == "mixin":
-                order = [order[0], *reversed(order[1:])]
-        return pd.DataFrame({"class": [key[0]], "order": [order and ">".join(order)]})
-
-    return own.groupBy("c").applyInPandas(run, "class string, order string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders = [order_of(*row) for row in zip(*[batch.column(k).to_pylist() for k in ("c", "children", "parents", "rule")], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([o and ">".join(o) for o in orders], pa.string())], ["class", "order"])
+
+    return own.select("c", F.col("up.class").alias("children"), F.col("up.parent").alias("parents"), "rule").mapInArrow(run, "class string, order string")

@@ -42,3 +42,11 @@ def test_types_of_one_name_are_not_paired(spark):
     rows, plan = run(resolve.heritage_links(children, both))
     assert {(r.from_id, r.to_id) for r in rows if r.from_id in ("p00007x", "p00050x")} == {("p00007x", "p00007"), ("p00050x", "p00000")}
     assert len(rows) == n and most_rows(plan) <= 4 * n
+
+
+def test_method_orders_go_to_python_in_batches(spark):
+    tower = [e for i in range(25) for e in ((f"a{i}", f"l{i}", 0), (f"a{i}", f"r{i}", 1), (f"l{i}", f"a{i + 1}", 0), (f"r{i}", f"a{i + 1}", 0))]
+    orders = resolve.method_orders(spark.createDataFrame(tower, "class string, parent string, position int"))
+    got, plan = run(orders)
+    assert {r["class"]: r["order"] for r in got}["a0"] == ">".join([x for i in range(25) for x in (f"a{i}", f"l{i}", f"r{i}")] + ["a25"])
+    assert not any("InPandas" in n.nodeName() for n in plan)
