@@ -2,8 +2,9 @@
 
 What stands in front of a module name (an alias, a Go module, a PHP namespace) is found by a join: each name gives all its
 prefixes, roots give theirs, and of those that meet the longest counts. What then remains, or a relative path, becomes a
-handful of paths in the order in which the language tries them, and the first that is a file wins. No list of roots or
-files is broadcast or looped over, so thousands of packages in one repository are one more join.
+handful of paths in the order in which the language tries them, and the first that is a file wins. No list of files is
+broadcast or looped over, and roots only if a count shows that they are few; thousands of packages are one more join. The
+joins are told to merge: sizes guessed before rows are exploded are far too small.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
+from tessera.plans.cut import cut, small
 
 # What parts the names of a module, and the paths that a language tries, in order.
 SEPARATORS = {"typescript": "/", "javascript": "/", "python": ".", "java": ".", "go": "/", "rust": "::", "php": "\\", "ruby": "/"}
@@ -38,7 +40,7 @@ def with_roots(modules: DataFrame, roots: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.call_function("array_join", F.slice(parts, F.lit(1), n), separator))
     each = modules.select("lang", "module", F.explode(prefixes).alias("prefix"))
     known = roots.groupBy("lang", F.rtrim("prefix", F.lit("\\/")).alias("prefix")).agg(F.min("folder").alias("folder"))
-    found = each.join(known, ["lang", "prefix"]).groupBy("lang", "module").agg(F.max_by(F.struct("folder", F.length("prefix").alias("cut")), F.length("prefix")).alias("root"))
+    found = each.join(small(cut(known)), ["lang", "prefix"]).groupBy("lang", "module").agg(F.max_by(F.struct("folder", F.length("prefix").alias("cut")), F.length("prefix")).alias("root"))
     return found.select("lang", "module", "root.folder", "root.cut")
 
 
@@ -89,11 +91,11 @@ def resolve_modules(imports: DataFrame, files: DataFrame, roots: DataFrame) -> D
     lang = paths.language(F.col("file_path"))
     asked = imports.select("file_path", F.col("module_path").alias("module"), lang.alias("lang")).filter("module is not null and lang is not null").distinct()
     rooted = with_roots(asked.select("lang", "module").distinct(), roots)
-    asked = asked.join(rooted, ["lang", "module"], "left")
+    asked = asked.join(rooted.hint("merge"), ["lang", "module"], "left")
     tries = asked.select("*", F.posexplode(candidates(F.col("lang"), F.col("module"), F.col("file_path"), F.col("folder"), F.col("cut"))).alias("nth", "path"))
     there = files.select("path", F.lit(False).alias("package")).union(files.filter(F.lower("path").endswith(".go")).select(F.regexp_replace("path", "/?[^/]*$", ""), F.lit(True))).distinct()
-    hit = tries.withColumn("package", F.col("lang") == "go").join(there, ["path", "package"]).groupBy("file_path", "module").agg(F.min_by("path", "nth").alias("target"))
-    told = asked.select("file_path", "module", F.col("folder").isNotNull().alias("rooted")).join(hit, ["file_path", "module"], "left")
+    hit = tries.withColumn("package", F.col("lang") == "go").join(there.hint("merge"), ["path", "package"]).groupBy("file_path", "module").agg(F.min_by("path", "nth").alias("target"))
+    told = asked.select("file_path", "module", F.col("folder").isNotNull().alias("rooted")).join(hit.hint("merge"), ["file_path", "module"], "left")
     state = F.when(F.col("target").isNotNull(), "resolved").when(F.col("rooted") | F.col("module").rlike("^[./]"), "unresolved").otherwise("external")
     told = told.select("file_path", F.col("module").alias("module_path"), "target", state.alias("state"))
-    return imports.join(told, ["file_path", "module_path"], "left").withColumn("state", F.coalesce("state", F.lit("external"))).select(*imports.columns, "target", "state")
+    return imports.join(told.hint("merge"), ["file_path", "module_path"], "left").withColumn("state", F.coalesce("state", F.lit("external"))).select(*imports.columns, "target", "state")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import resolve
+from tessera.operators import modules, resolve
 
 
 def nodes(plan):
@@ -50,3 +50,11 @@ def test_method_orders_go_to_python_in_batches(spark):
     got, plan = run(orders)
     assert {r["class"]: r["order"] for r in got}["a0"] == ">".join([x for i in range(25) for x in (f"a{i}", f"l{i}", f"r{i}")] + ["a25"])
     assert not any("InPandas" in n.nodeName() for n in plan)
+
+
+def test_module_names_are_not_broadcast(spark):
+    files = spark.range(200).select(F.format_string("src/m%d.ts", "id").alias("path"))
+    imports = spark.range(200).select(F.format_string("test/u%d.ts", "id").alias("file_path"), F.format_string("@/m%d", "id").alias("module_path"))
+    rows, plan = run(modules.resolve_modules(imports, files, spark.createDataFrame([("typescript", "@/", "src")], "lang string, prefix string, folder string")))
+    assert {r.target for r in rows} == {f"src/m{i}.ts" for i in range(200)}
+    assert sum(n.nodeName() == "BroadcastExchange" for n in plan) <= 1, "only the roots, which a count shows to be few"
