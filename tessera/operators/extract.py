@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.textsearch import lines
+from tessera.plans.cut import spread
 
 # Patterns of headings, links, scripts and references.
 HEADING = r"^(#{1,6})\s+(.+?)(?:\s*#+\s*)?$"
@@ -281,7 +282,7 @@ def python_facts(files: DataFrame) -> DataFrame:
             types = [pa.string()] * 7 + [pa.int32()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return files.select("path", "text").mapInArrow(run, FACTS)
+    return spread(files.select("path", "text")).mapInArrow(run, FACTS)
 
 
 # Calls in class bodies of Ruby that declare something, by kind.
@@ -334,4 +335,4 @@ def component_facts(files: DataFrame) -> DataFrame:
     ]
     told = lambda fact: lambda name: F.struct(F.lit(fact).alias("fact"), name.alias("name"))
     each = F.flatten(F.array(*[F.transform(names, told(fact)) for fact, names in facts]))
-    return files.filter(F.lower("path").endswith(".vue")).select("path", F.explode(each).alias("f")).select("path", "f.fact", "f.name")
+    return spread(files.select("path", "text").filter(F.lower("path").endswith(".vue"))).select("path", F.explode(each).alias("f")).select("path", "f.fact", "f.name")

@@ -41,3 +41,9 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has few rows; otherwise df, for a shuffled join."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cluster's cores, for work that is heavy a row: a table's few row groups would leave most of them idle."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

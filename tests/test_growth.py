@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import modules, resolve
+from tessera.operators import extract, modules, resolve
 
 
 def nodes(plan):
@@ -58,3 +58,10 @@ def test_module_names_are_not_broadcast(spark):
     rows, plan = run(modules.resolve_modules(imports, files, spark.createDataFrame([("typescript", "@/", "src")], "lang string, prefix string, folder string")))
     assert {r.target for r in rows} == {f"src/m{i}.ts" for i in range(200)}
     assert sum(n.nodeName() == "BroadcastExchange" for n in plan) <= 1, "only the roots, which a count shows to be few"
+
+
+def test_heavy_rows_are_spread(spark):
+    files = spark.range(0, 100, 1, 1)
+    for facts, ending, text in ((extract.python_facts, "py", "class A:\n    pass\n"), (extract.component_facts, "vue", "<script></script>")):
+        found = facts(files.select(F.concat("id", F.lit("." + ending)).alias("path"), F.lit(text).alias("text")))
+        assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and found.count() >= 100
