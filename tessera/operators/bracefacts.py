@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.spans import innermost, inside, near_spans
-from tessera.operators.tokens import LANGUAGES, token_rows
+from tessera.operators.tokens import LANGUAGES, language_of, token_rows
 from tessera.plans.cut import cut
 
 #: Words before a bracket that make it no call, or no method.
@@ -40,11 +40,11 @@ def _fact(when: Column, fact: str, name: Column, *, kind: Column | str = "", par
     return F.when(when, F.struct(*[v.cast(t).alias(n) for v, t, n in zip(values, types, FIELDS, strict=True)]))
 
 
-def _told(rows: DataFrame) -> DataFrame:
-    """Each token's facts, without scopes and ids."""
-    text, lang, word, args, depth, head, inside_ = (F.col(c) for c in ("text", "lang", "word", "args", "depth", "head", "inside"))
+def _told(rows: DataFrame, lang: str) -> DataFrame:
+    """The facts of each token of one language, without scopes and ids. What other languages have folds away, so that code can be generated for the rest."""
+    text, word, args, depth, head, inside_ = (F.col(c) for c in ("text", "word", "args", "depth", "head", "inside"))
     p, n = [F.col("before")[k] for k in range(4)], [F.col("after")[k] for k in range(7)]
-    js, java, go = lang.isin("typescript", "javascript"), lang == "java", lang == "go"
+    js, java, go = F.lit(lang in ("typescript", "javascript")), F.lit(lang == "java"), F.lit(lang == "go")
     rows = rows.filter(word | text.isin("*") | text.rlike('^("|import\\s)'))
 
     def named_now(**columns: Column) -> list[Column]:
@@ -53,7 +53,7 @@ def _told(rows: DataFrame) -> DataFrame:
         rows = rows.withColumns({f"{k}_now": c for k, c in columns.items()})
         return [F.col(f"{k}_now") for k in columns]
 
-    controls = lambda c: reduce(lambda a, b: a | b, [(lang == k) & c.isin(*words) for k, words in CONTROL.items()])
+    controls = lambda c: c.isin(*CONTROL[lang])
     has = F.array_contains
     before = F.col("before")
     declares = head["text"]
@@ -66,8 +66,8 @@ def _told(rows: DataFrame) -> DataFrame:
 
     in_class = role.isin("class", "record", "enum", "interface")
     # types: the keyword stands right before the name (Go: after it)
-    by_word = F.create_map(*[F.lit(x) for name, la in LANGUAGES.items() for k, kind in la.types.items() for x in (f"{name} {k}", kind)])
-    kind_of = F.when(go, F.when(p[0] == "type", F.coalesce(by_word[F.concat_ws(" ", lang, n[0])], F.lit("type")))).otherwise(F.when(p[1] != ".", by_word[F.concat_ws(" ", lang, p[0])]))
+    by_word = lambda c: F.coalesce(*[F.when(c == k, F.lit(kind)) for k, kind in LANGUAGES[lang].types.items()])
+    kind_of = F.when(p[0] == "type", F.coalesce(by_word(n[0]), F.lit("type"))) if lang == "go" else F.when(p[1] != ".", by_word(p[0]))
     (kind,) = named_now(kind=kind_of)
     is_alias = (kind == "type") & F.when(go, F.lit(True)).otherwise(n[0] == "=")
     is_type = word & ~keyword & kind.isNotNull() & ((kind != "type") | is_alias) & ~(js & text.isin("extends", "implements", "from"))
@@ -151,7 +151,7 @@ def _told(rows: DataFrame) -> DataFrame:
               F.when(p[0].rlike(r"^[\w._]+$") & (p[0] != "import") & ~(F.col("before")[0].isin("(")), p[0]).otherwise(F.element_at(F.split(F.regexp_replace("text", '"', ""), "/"), -1)), kind="module", parent=F.regexp_replace("text", '"', "")),
     ]
     # calls
-    jsx = (lang == "typescript") & word & (p[0] == "<") & text.rlike("^[A-Z]") & ~p[1].rlike(r"^[\w$)\]]+$") | ((lang == "typescript") & word & (p[0] == "<") & (p[1] == "return") & text.rlike("^[A-Z]"))
+    jsx = F.lit(lang == "typescript") & word & (p[0] == "<") & text.rlike("^[A-Z]") & ~p[1].rlike(r"^[\w$)\]]+$") | (F.lit(lang == "typescript") & word & (p[0] == "<") & (p[1] == "return") & text.rlike("^[A-Z]"))
     created = (js | java) & word & (p[0] == "new") & (js | (n[0].isin("(", "{", "[")))
     annotated = (js | java) & word & (p[0] == "@") & ~((n[0] == "(") & js) & (text != "interface")
     calls = word & (n[0] == "(") & ~keyword & ~is_method & ~is_function & ~p[0].isin("function", "func", "record") & ~(go & (p[0] == ")") & (declares == "func") & (depth == 0)) & ~(js & (text == "async"))
@@ -201,7 +201,9 @@ def _told(rows: DataFrame) -> DataFrame:
               parent=F.when(n[2] == "(", n[1]).when(n[4] == "(", n[3]).otherwise(n[5]), receiver=F.when(n[2] == "(", "").when(n[4] == "(", n[1]).otherwise(F.concat(n[1], n[2], n[3]))),
         _fact((js & word & constant) | (js & word & (p[0] == "var")) | parameter | caught | unpacked, "local", text),
     ]
-    return rows.select("path", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("f")).select("path", "f.*")
+    # the array is a column of its own, for which code is generated; within explode every token would be interpreted
+    rows = rows.select("path", F.array(*out).alias("facts"))
+    return rows.select("path", F.explode("facts").alias("f")).filter("f is not null").select("path", "f.*")
 
 
 def head_line_of(js: Column, p: list[Column], head: Column, what: str) -> Column:
@@ -224,7 +226,8 @@ def brace_facts(files: DataFrame) -> DataFrame:
     name (TypeScript, JavaScript), if it is public (Java) or begins with a capital (Go). Paths are unique; null texts have no facts.
     Not read: code within template strings, and more than two levels of type arguments.
     """
-    told = cut(_told(token_rows(files)))
+    each = [_told(token_rows(files.filter(language_of(F.col("path")) == lang)), lang) for lang in LANGUAGES]
+    told = cut(reduce(DataFrame.unionByName, each))
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("kind"))
     once = Window.partitionBy("path", "name", "line").orderBy(rank, "at")
     nth = F.row_number().over(Window.partitionBy("path", "kind", "name").orderBy("at"))
