@@ -53,12 +53,12 @@ def import_links(imports: DataFrame, symbols: DataFrame, reexports: DataFrame) -
     nothing; a named one the export of that name, or what re-exports lead to; a wildcard every export.
     """
     exported = symbols.filter("exported")
-    rows = imports.filter("target is not null").withColumn("from_id", module_of()).withColumn("key", F.xxhash64("file_path", "target", "name", "line"))
+    rows = imports.filter("target is not null").withColumn("from_id", module_of()).withColumn("key", F.struct("target", "name"))
     rank = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "function", 1).otherwise(2)
     main = exported.groupBy(F.col("file_path").alias("target")).agg(F.min_by("id", F.struct(rank, "start_line", "id")).alias("to_id"))
     default = rows.filter("kind = 'default'").join(main, "target", "left").withColumn("known", F.col("to_id").isNotNull()).withColumn("to_id", F.coalesce("to_id", module_of("target")))
     named = rows.filter("kind = 'named'")
-    chain = follow_reexports(named.select("key", F.col("target").alias("file"), "name"), reexports, exported)
+    chain = follow_reexports(named.select("key", F.col("target").alias("file"), "name").distinct(), reexports, exported)
     each = exported.select(F.col("file_path").alias("target"), F.col("id").alias("to_id"))
     parts = [
         _link(default, "from_id", "to_id", "imports", F.when(F.col("known"), 0.85).otherwise(0.6), F.when(F.col("known"), "import-default").otherwise("import-default-module")),
@@ -84,26 +84,56 @@ def variable_types(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scoped, in_file
 
 
-def call_candidates(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, bindings: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
-    """calls, each with the best symbol of every way to reach one: one row a call however many symbols share its name.
+#: The ways to a symbol, the first of which counts: type, confidence and reason of the link. The second gives none.
+WAYS = [
+    ("calls", 0.95, "call-alias"), ("calls", 0.0, "external"), ("calls", 0.9, "call-unique"), ("calls", 0.95, "call-receiver"), ("calls", 0.9, "call-receiver"), ("calls", 0.93, "call-receiver"),
+    ("calls", 0.92, "call-receiver"), ("calls", 0.85, "call-receiver"), ("calls", 0.93, "call-receiver"), ("calls", 0.55, "call-receiver"), ("calls", 0.9, "call-receiver"), ("calls", 0.9, "call-samefile"),
+    ("calls", 0.95, "call-imported"), ("calls", 0.85, "call-proximity"), ("calls", 0.6, "call-proximity"), ("references", 0.85, "receiver-ref-default"), ("references", 0.85, "receiver-ref"), ("references", 0.85, "receiver-ref"),
+]
+#: The ways that a name local to its scope leaves open.
+OPEN_TO_LOCALS = (0, 11, 12)
+FOLDER = "[^/]*$"
+#: What decides a call: calls alike in these have the same answer.
+ASKED = ["file_path", "name", "receiver", "argument", "around", "scoped_type"]
+
+
+def _asked(calls: DataFrame, symbols: DataFrame, scoped: DataFrame) -> DataFrame:
+    """calls with ask, the struct of what decides them: around is the class around a call on this or self, scoped_type the type of the receiver in the call's scope or the one around."""
+    c = _column(_column(calls, "argument", F.lit(False)), "receiver", F.lit(None).cast("string")).withColumn("receiver", F.nullif("receiver", F.lit("")))
+    none = F.lit(None).cast("string")
+    bare = c.filter("receiver is null").withColumns({"around": none, "scoped_type": none})
+    own = symbols.filter("parent_id is not null").select(F.col("id").alias("scope_id"), F.col("parent_id").alias("outer"))
+    on = c.filter("receiver is not null").withColumn("variable", F.regexp_replace("receiver", r"^(this|self)\.", "")).join(own, "scope_id", "left")
+    on = on.join(scoped.withColumnRenamed("type_name", "type_here"), ["file_path", "variable", "scope_id"], "left")
+    # a scope that nothing is around looks into itself again: null keys would all meet in one task
+    outer = scoped.select("file_path", "variable", F.col("scope_id").alias("look_in"), F.col("type_name").alias("type_around"))
+    on = on.withColumn("look_in", F.coalesce("outer", "scope_id")).join(outer, ["file_path", "variable", "look_in"], "left")
+    on = on.withColumns({"around": F.when(F.col("receiver").isin("this", "self"), F.col("outer")), "scoped_type": F.coalesce("type_here", "type_around")})
+    ask = F.struct(*ASKED).alias("ask")
+    return cut(on.select(ask, "scope_id", "line")).unionByName(bare.select(ask, "scope_id", "line"))
+
+
+def _answers(asked: DataFrame, symbols: DataFrame, imports: DataFrame, in_file: DataFrame, ancestors: DataFrame | None, globals_: list[str], methods: list[str]) -> DataFrame:
+    """(ask, free, held): the best way (tier, to_id) of every distinct question, and the best of those open to a name local to its scope.
 
     Each way has its best symbol (first by file, line and id) worked out once for a name within a file, folder, type, class or the
-    project; a call then meets one row for each of them.
+    project. Only questions that can go a way are joined with it, so no join meets null keys.
     """
-    s = symbols.select(F.col("name").alias("target_name"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to"), F.col("parent_id").alias("to_parent"), "kind", F.col("exported"))
-    s = s.withColumn("to_file", F.col("to.to_file"))
+    q = cut(asked.select("ask").distinct().select("ask", "ask.*", F.monotonically_increasing_id().alias("q")))
+    s = symbols.select(F.col("name"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to"), F.col("parent_id").alias("to_parent"), "kind", F.col("file_path").alias("to_file"))
     types = symbols.filter(F.col("kind").isin(*TYPES)).select(F.col("id").alias("to_parent"), F.col("name").alias("type_name"))
 
-    def best(rows: DataFrame, name: str, *by: str) -> DataFrame:
-        return rows.groupBy(*by, "target_name").agg(F.min("to").alias(name))
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("to").alias("to"))
 
     members = s.join(types, "to_parent")
-    by_file, by_parent, by_type = best(s, "in_file", "to_file"), best(s.filter("to_parent is not null"), "in_parent", "to_parent"), best(members, "in_type", "type_name")
+    by_file, by_parent, by_type = best(s, "to_file", "name"), best(s.filter("to_parent is not null"), "to_parent", "name"), best(members, "type_name", "name")
+    by_pascal = by_type
     if ancestors is not None:  # a method of the nearest ancestor that has one
-        above = ancestors.select(F.col("class").alias("own"), F.col("ancestor").alias("type_name"), "position").join(by_type, "type_name").select(F.col("own").alias("type_name"), "target_name", F.struct("position", "in_type").alias("found"))
-        own = by_type.select("type_name", "target_name", F.struct(F.lit(-1).alias("position"), "in_type").alias("found"))
-        by_type = own.unionByName(above).groupBy("type_name", "target_name").agg(F.min("found")["in_type"].alias("in_type"))
-    by_name = s.groupBy("target_name").agg(F.count("*").alias("n"), F.min("to").alias("only"), F.min("kind").alias("only_kind"))
+        above = ancestors.select(F.col("class").alias("own"), F.col("ancestor").alias("type_name"), "position").join(by_type, "type_name").select(F.col("own").alias("type_name"), "name", F.struct("position", "to").alias("found"))
+        own = by_type.select("type_name", "name", F.struct(F.lit(-1).alias("position"), "to").alias("found"))
+        by_type = own.unionByName(above).groupBy("type_name", "name").agg(F.min("found")["to"].alias("to"))
+    alone = s.groupBy("name").agg(F.count("*").alias("n"), F.min("to").alias("to"), F.min("kind").alias("only_kind")).filter("n = 1")
     names = imports.filter("kind <> 'wildcard'").select("file_path", F.coalesce("alias", "name").alias("local"), F.when(F.col("alias") != F.col("name"), F.col("name")).alias("real"), F.col("target").alias("bound_file"), "kind", "line")
     reached = names.filter("bound_file is not null").groupBy("file_path", "local").agg(F.max_by(F.struct("bound_file", "real", F.when(F.col("kind") == "default", F.col("bound_file")).alias("default_file")), F.struct("line", "bound_file")).alias("bound"))
     reached = reached.select("file_path", "local", "bound.*")
@@ -111,46 +141,46 @@ def call_candidates(calls: DataFrame, symbols: DataFrame, imports: DataFrame, lo
     exported = symbols.filter("exported")
     rank = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "function", 1).otherwise(2)
     main = exported.groupBy(F.col("file_path").alias("default_file")).agg(F.min_by("id", F.struct(rank, "start_line", "id")).alias("main_id"))
-    given = exported.select(F.col("file_path").alias("bound_file"), F.col("name").alias("real"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to")).groupBy("bound_file", "real").agg(F.min("to").alias("aliased"))
-    folder = F.regexp_replace("file_path", "[^/]*$", "")
-    in_folder = best(s.withColumn("folder", F.regexp_replace("to_file", "[^/]*$", "")), "in_folder", "folder")
-
-    c = _column(_column(calls, "argument", F.lit(False)), "receiver", F.lit(None).cast("string"))
-    c = c.withColumn("receiver", F.nullif("receiver", F.lit(""))).withColumn("target_name", F.col("name")).withColumn("folder", folder)
-    receiver = F.col("receiver")
-    variable = F.when(receiver.rlike(r"^(this|self)\."), F.regexp_replace(receiver, r"^(this|self)\.", "")).otherwise(receiver)
-    pascal = F.concat(F.upper(F.substring(receiver, 1, 1)), F.expr("substring(receiver, 2)"))
-    c = c.withColumn("variable", variable).withColumn("pascal", pascal)
-    known = locals_.select("scope_id", "name", F.lit(True).alias("is_local")).distinct()
-    c = c.join(by_name, "target_name", "left").join(known, ["scope_id", "name"], "left").join(outside, ["file_path", "name"], "left")
-    c = c.join(by_file.withColumnRenamed("to_file", "file_path"), ["file_path", "target_name"], "left")
-    called = reached.select("file_path", F.col("local").alias("name"), "bound_file", "real").join(given, ["bound_file", "real"], "left").drop("real")
-    c = c.join(called, ["file_path", "name"], "left").join(by_file.select(F.col("to_file").alias("bound_file"), "target_name", F.col("in_file").alias("imported")), ["bound_file", "target_name"], "left").drop("bound_file")
-    # nearness matters only to calls without a receiver of a name that several have, none of them here
-    near = c.filter("receiver is null and n > 1 and in_file is null").select("file_path", "target_name").distinct()
+    given = best(exported.select(F.col("file_path").alias("bound_file"), F.col("name").alias("real"), F.struct(F.col("file_path").alias("to_file"), "start_line", F.col("id").alias("to_id")).alias("to")), "bound_file", "real")
+    here = symbols.filter(F.col("kind").isin("class", "struct", "trait")).groupBy("file_path", F.col("name").alias("receiver")).agg(F.min("id").alias("to_parent"))
+
+    def way(rows: DataFrame, tier: int | Column, to: str = "to.to_id") -> DataFrame:
+        return rows.select("q", F.struct((tier if isinstance(tier, Column) else F.lit(tier)).alias("tier"), F.col(to).alias("to_id")).alias("way"))
+
+    bare, on = q.filter("receiver is null"), q.filter("receiver is not null")
+    got, field = F.col("receiver").isNotNull(), F.col("receiver").rlike(r"^(this|self)\.")
+    untyped = F.col("file_path").rlike(r"(?i)\.(py|rb|php)$")
+    unique = q.join(alone, "name").filter(~F.col("argument") & ~(got & F.col("name").isin(*methods)) & ~(got & (F.col("only_kind") == "function") & untyped)).join(outside, ["file_path", "name"], "left")
+    bound = bare.join(reached.withColumnRenamed("local", "name"), ["file_path", "name"])
+    of = on.join(reached.withColumnRenamed("local", "receiver"), ["file_path", "receiver"], "left")
+    known, defaults = of.filter("bound_file is not null"), of.filter("default_file is not null").join(main, "default_file")
+    plain = ~F.col("receiver").isin("this", "self") & ~F.col("receiver").contains(".") & ~F.col("argument")
+    typed = on.withColumn("variable", F.regexp_replace("receiver", r"^(this|self)\.", "")).join(in_file, ["file_path", "variable"], "left").withColumn("type_name", F.coalesce("scoped_type", "type_file")).filter("type_name is not null")
+    pascal = on.withColumn("type_name", F.concat(F.upper(F.substring("receiver", 1, 1)), F.expr("substring(receiver, 2)")))
+    near = bare.join(by_file.select(F.col("to_file").alias("file_path"), "name"), ["file_path", "name"], "left_anti").join(alone.select("name", F.lit(False).alias("argument")), ["name", "argument"], "left_anti")
     files = imports.filter("target is not null").select("file_path", F.col("target").alias("to_file")).distinct()
-    close = near.join(files, "file_path").join(by_file, ["to_file", "target_name"]).groupBy("file_path", "target_name").agg(F.min("in_file").alias("in_reach"))
-    c = c.join(close, ["file_path", "target_name"], "left").join(in_folder, ["folder", "target_name"], "left")
-    own = symbols.select(F.col("id").alias("scope_id"), F.col("parent_id").alias("scope_parent"))
-    c = c.join(own, "scope_id", "left").join(by_parent.select(F.col("to_parent").alias("scope_parent"), "target_name", F.col("in_parent").alias("in_own")), ["scope_parent", "target_name"], "left")
-    of_receiver = reached.select("file_path", F.col("local").alias("receiver"), F.col("bound_file").alias("receiver_file"), F.col("real").alias("receiver_real"), "default_file").join(main, "default_file", "left")
-    c = c.join(of_receiver, ["file_path", "receiver"], "left").join(by_parent.select(F.col("to_parent").alias("main_id"), "target_name", F.col("in_parent").alias("in_main")), ["main_id", "target_name"], "left")
-    typed = best(members.withColumnRenamed("to_file", "receiver_file").withColumnRenamed("type_name", "receiver"), "in_receiver", "receiver_file", "receiver")
-    c = c.join(typed, ["receiver_file", "receiver", "target_name"], "left").join(by_file.select(F.col("to_file").alias("receiver_file"), "target_name", F.col("in_file").alias("in_receiver_file")), ["receiver_file", "target_name"], "left")
-    scoped, in_file = variable_types(bindings)
-    scoped, in_file = scoped.withColumnRenamed("name", "variable"), in_file.withColumnRenamed("name", "variable")
-    c = c.join(scoped.withColumnRenamed("type_name", "type_here"), ["file_path", "variable", "scope_id"], "left")
-    c = c.join(scoped.select("file_path", "variable", F.col("scope_id").alias("scope_parent"), F.col("type_name").alias("type_around")), ["file_path", "variable", "scope_parent"], "left")
-    c = c.join(in_file.withColumnRenamed("type_name", "type_file"), ["file_path", "variable"], "left").withColumn("type_name", F.coalesce("type_here", "type_around", "type_file"))
-    c = c.join(by_type.withColumnRenamed("in_type", "in_bound"), ["type_name", "target_name"], "left")
-    by_pascal = best(members, "in_pascal", "type_name").withColumnRenamed("type_name", "pascal")
-    c = c.join(by_pascal, ["pascal", "target_name"], "left")
-    here = symbols.filter(F.col("kind").isin("class", "struct", "trait")).select("file_path", F.col("name").alias("receiver"), F.col("id").alias("here_id")).groupBy("file_path", "receiver").agg(F.min("here_id").alias("here_id"))
-    c = c.join(here, ["file_path", "receiver"], "left").join(by_parent.select(F.col("to_parent").alias("here_id"), "target_name", F.col("in_parent").alias("in_here")), ["here_id", "target_name"], "left")
-    # what the receiver itself is
-    real = by_file.select(F.col("to_file").alias("receiver_file"), F.col("target_name").alias("receiver_real"), F.col("in_file").alias("receiver_alias"))
-    same = by_file.select(F.col("to_file").alias("at_file"), F.col("target_name").alias("receiver"), F.col("in_file").alias("receiver_symbol"))
-    return c.join(real, ["receiver_file", "receiver_real"], "left").withColumn("at_file", F.coalesce("receiver_file", "file_path")).join(same, ["at_file", "receiver"], "left")
+    in_folder = best(s.withColumn("folder", F.regexp_replace("to_file", FOLDER, "")), "folder", "name")
+    at_file, as_parent = F.coalesce("bound_file", "file_path"), F.col("main_id").alias("to_parent")
+    ways = [
+        way(bound.filter("real is not null").join(given, ["bound_file", "real"]), 0),
+        way(unique, F.when(F.col("name").isin(*globals_) | F.coalesce("outside", F.lit(False)), 1).otherwise(2)),
+        way(on.filter("around is not null").withColumnRenamed("around", "to_parent").join(by_parent, ["to_parent", "name"]), 3),
+        way(defaults.select("q", "name", as_parent).join(by_parent, ["to_parent", "name"]), 4),
+        way(known.select("q", "name", F.col("bound_file").alias("to_file"), F.col("receiver").alias("type_name")).join(best(members, "to_file", "type_name", "name"), ["to_file", "type_name", "name"]), 6),
+        way(known.select("q", "name", F.col("bound_file").alias("to_file")).join(by_file, ["to_file", "name"]), 7),
+        way(typed.join(by_type, ["type_name", "name"]), F.when(field, 5).otherwise(8)),
+        way(pascal.join(by_pascal, ["type_name", "name"]), 9),
+        way(on.join(here, ["file_path", "receiver"]).join(by_parent, ["to_parent", "name"]), 10),
+        way(bare.withColumnRenamed("file_path", "to_file").join(by_file, ["to_file", "name"]), 11),
+        way(bound.select("q", "name", F.col("bound_file").alias("to_file")).join(by_file, ["to_file", "name"]), 12),
+        way(near.join(files, "file_path").join(by_file, ["to_file", "name"]).groupBy("q").agg(F.min("to").alias("to")), 13),
+        way(near.withColumn("folder", F.regexp_replace("file_path", FOLDER, "")).join(in_folder, ["folder", "name"]), 14),
+        way(defaults.filter(plain), 15, "main_id"),
+        way(known.filter(plain & F.col("real").isNotNull()).select("q", F.col("bound_file").alias("to_file"), F.col("real").alias("name")).join(by_file, ["to_file", "name"]), 16),
+        way(of.filter(plain).select("q", at_file.alias("to_file"), F.col("receiver").alias("name")).join(by_file, ["to_file", "name"]), 17),
+    ]
+    won = reduce(DataFrame.unionByName, ways).groupBy("q").agg(F.min("way").alias("free"), F.min(F.when(F.col("way.tier").isin(*OPEN_TO_LOCALS), F.col("way"))).alias("held"))
+    return q.join(won, "q").select("ask", "free", "held")
 
 
 def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, bindings: DataFrame, ancestors: DataFrame | None = None, globals_: list[str] = names.GLOBALS, methods: list[str] = names.METHODS) -> DataFrame:
@@ -165,37 +195,19 @@ def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame, locals_
     else no call link. Without: the same file (.9), the imported file (.95), nothing for a local name, then nearness: an
     imported file (.85) or the same folder (.6). A receiver that led nowhere and is a plain name is itself referred to (.85).
     ancestors (class, ancestor, position): a variable's type has their methods too, the nearest first.
+
+    Calls alike in all that decides are one question; questions meet the symbols, and calls only their answers.
     """
-    wide = call_candidates(calls, symbols, imports, locals_, bindings, ancestors)
-    c = F.col
-    got, held = c("receiver").isNotNull(), F.coalesce(c("is_local"), F.lit(False))
-    itself, field = c("receiver").isin("this", "self"), c("receiver").rlike(r"^(this|self)\.")
-    untyped = c("file_path").rlike(r"(?i)\.(py|rb|php)$")
-    unique = (c("n") == 1) & ~(got & c("name").isin(*methods)) & ~(got & (c("only_kind") == "function") & untyped) & ~c("argument") & ~(~got & held)
-    foreign = c("name").isin(*globals_) | F.coalesce(c("outside"), F.lit(False))
-    tiers = [
-        (~got, c("aliased"), 0.95, "call-alias"),
-        (unique & foreign, c("only"), 0.0, "external"),
-        (unique, c("only"), 0.9, "call-unique"),
-        (itself, c("in_own"), 0.95, "call-receiver"),
-        (got, c("in_main"), 0.9, "call-receiver"),
-        (field, c("in_bound"), 0.93, "call-receiver"),
-        (got, c("in_receiver"), 0.92, "call-receiver"),
-        (got, c("in_receiver_file"), 0.85, "call-receiver"),
-        (got, c("in_bound"), 0.93, "call-receiver"),
-        (got, c("in_pascal"), 0.55, "call-receiver"),
-        (got, c("in_here"), 0.9, "call-receiver"),
-        (~got, c("in_file"), 0.9, "call-samefile"),
-        (~got, c("imported"), 0.95, "call-imported"),
-        (~got & ~held, c("in_reach"), 0.85, "call-proximity"),
-        (~got & ~held, c("in_folder"), 0.6, "call-proximity"),
-    ]
-    plain = got & ~itself & ~c("receiver").contains(".") & ~c("argument")
-    receivers = [(plain, c("main_id"), "receiver-ref-default"), (plain, c("receiver_alias.to_id"), "receiver-ref"), (plain, c("receiver_symbol.to_id"), "receiver-ref")]
-    told = [F.when(rule & to.isNotNull(), F.struct(to["to_id"].alias("to_id"), F.lit("calls").alias("type"), F.lit(conf).alias("confidence"), F.lit(reason).alias("reason"))) for rule, to, conf, reason in tiers]
-    told += [F.when(rule & to.isNotNull(), F.struct(to.alias("to_id"), F.lit("references").alias("type"), F.lit(0.85).alias("confidence"), F.lit(reason).alias("reason"))) for rule, to, reason in receivers]
-    won = wide.withColumn("t", F.coalesce(*told)).filter("t.confidence > 0")
-    return won.select(c("scope_id").alias("from_id"), "t.to_id", "t.type", "t.confidence", "t.reason", c("line").cast("int").alias("line"))
+    scoped, in_file = variable_types(bindings)
+    asked = _asked(calls, symbols, scoped.withColumnRenamed("name", "variable"))
+    in_file = in_file.select("file_path", F.col("name").alias("variable"), F.col("type_name").alias("type_file"))
+    found = asked.join(_answers(asked, symbols, imports, in_file, ancestors, globals_, methods), "ask")
+    bare = F.col("ask.receiver").isNull()
+    known = locals_.select("scope_id", "name", F.lit(True).alias("is_local")).distinct()
+    told = found.filter(bare).withColumn("name", F.col("ask.name")).join(known, ["scope_id", "name"], "left").drop("name").withColumn("way", F.when(F.col("is_local"), F.col("held")).otherwise(F.col("free"))).drop("is_local")
+    told = told.unionByName(found.filter(~bare).withColumn("way", F.col("free"))).filter("way.tier <> 1")
+    kind = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), F.lit(r).alias("reason")) for t, c, r in WAYS])[F.col("way.tier")]
+    return told.select(F.col("scope_id").alias("from_id"), "way.to_id", kind["type"].alias("type"), kind["confidence"].alias("confidence"), kind["reason"].alias("reason"), F.col("line").cast("int").alias("line"))
 
 
 def _first_named(rows: DataFrame, types: DataFrame, name: str) -> DataFrame:

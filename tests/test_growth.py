@@ -72,3 +72,30 @@ def test_a_table_of_part_files_is_listed_once(spark, tmp_path):
     spark.range(10).repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
     spark.range(10).toPandas().to_parquet(f"{tmp_path}/part.parquet")
     assert sorted(r.path for r in QUERIES["s01_scan_files"](spark, str(tmp_path)).collect()) == ["orders.parquet", "part.parquet"]
+
+
+CALL = "call_id long, file_path string, scope_id string, name string, receiver string, line int, argument boolean"
+SYMBOL = "id string, name string, kind string, file_path string, exported boolean, parent_id string, start_line int"
+
+
+def test_calls_alike_are_one_question(spark):
+    n = 2000
+    calls = spark.range(n).select(F.col("id").alias("call_id"), F.lit("a.ts").alias("file_path"), F.format_string("o%d", "id").alias("scope_id"), F.lit("m").alias("name"), F.when(F.col("id") % 2 == 0, "v").alias("receiver"), F.lit(1).alias("line"), F.lit(False).alias("argument"))
+    symbols = spark.createDataFrame([("m1", "m", "method", "a.ts", False, "T", 1), ("m2", "m", "method", "b.ts", False, "U", 1), ("T", "Tea", "class", "a.ts", True, None, 1), ("U", "Use", "class", "b.ts", True, None, 1)], SYMBOL)
+    imports = spark.createDataFrame([], "file_path string, target string, name string, alias string, kind string, line int")
+    bindings = spark.createDataFrame([("a.ts", "v", "Use", None), ("a.ts", "v", "Tea", "o4")], "file_path string, name string, type_name string, scope_id string")
+    locals_ = spark.createDataFrame([("o1", "m")], "scope_id string, name string")
+    rows, plan = run(resolve.call_links(calls, symbols, imports, locals_, bindings))
+    got = {r.from_id: (r.to_id, r.confidence) for r in rows}
+    assert len(rows) == n and got["o2"] == ("m2", 0.93) and got["o4"] == ("m1", 0.93) and got["o1"] == got["o3"] == ("m1", 0.9)
+    wide = [p for p in plan if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") and p.metrics().apply("numOutputRows").value() >= n // 2]
+    assert len(wide) <= 3, "calls meet their answers and their scopes' locals, not the symbols"
+
+
+def test_a_name_passed_on_is_looked_for_nearby(spark):
+    calls = spark.createDataFrame([(1, "a.ts", "f", "solo", None, 1, True), (2, "a.ts", "f", "solo", None, 2, False)], CALL)
+    symbols = spark.createDataFrame([("s", "solo", "function", "x/z.ts", False, None, 1)], SYMBOL)
+    imports = spark.createDataFrame([("a.ts", "x/z.ts", "*", None, "wildcard", 1)], "file_path string, target string, name string, alias string, kind string, line int")
+    none = spark.createDataFrame([], "file_path string, name string, type_name string, scope_id string")
+    got = {(r.line, r.to_id, r.confidence) for r in resolve.call_links(calls, symbols, imports, none.select("scope_id", "name"), none).collect()}
+    assert got == {(1, "s", 0.85), (2, "s", 0.9)}
