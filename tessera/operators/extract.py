@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.textsearch import lines
-from tessera.plans.cut import spread
+from tessera.plans.cut import cut, small, spread
 
 # Patterns of headings, links, scripts and references.
 HEADING = r"^(#{1,6})\s+(.+?)(?:\s*#+\s*)?$"
@@ -140,11 +140,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     def step(done: Column, part: Column) -> Column:
         return F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
 
-    plain = F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/")
+    plain = F.array_join(F.aggregate(F.split("tessera_full", "/"), F.array().cast("array<string>"), step), "/")
+    # imports of one path from one folder are one question
     tried = [F.concat(plain, F.lit(e)) for e in ENDINGS] + [F.when(plain.rlike(r"\.jsx?$"), F.regexp_replace(plain, r"\.jsx?$", e)) for e in (".ts", ".tsx")]
-    tries = imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).select("*", F.posexplode(F.array(*tried)).alias("tessera_at", "path"))
-    hit = tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("tessera_id").agg(F.min_by("path", "tessera_at").alias("target"))
-    return imports.withColumn("tessera_id", F.xxhash64(*imports.columns)).join(hit, "tessera_id", "left").drop("tessera_id")
+    asked = imports.withColumn("tessera_full", full)
+    tries = asked.select("tessera_full").distinct().select("tessera_full", F.posexplode(F.array(*tried)).alias("tessera_at", "path"))
+    hit = tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("tessera_full").agg(F.min_by("path", "tessera_at").alias("target"))
+    return asked.join(small(cut(hit)), "tessera_full", "left").drop("tessera_full")
 
 
 #: A name that a re-export list gives on, with its name outside.

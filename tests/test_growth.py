@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.catalog import QUERIES
-from tessera.operators import extract, modules, resolve
+from tessera.operators import extract, index, modules, resolve, textsearch
 
 
 def nodes(plan):
@@ -99,3 +99,47 @@ def test_a_name_passed_on_is_looked_for_nearby(spark):
     none = spark.createDataFrame([], "file_path string, name string, type_name string, scope_id string")
     got = {(r.line, r.to_id, r.confidence) for r in resolve.call_links(calls, symbols, imports, none.select("scope_id", "name"), none).collect()}
     assert got == {(1, "s", 0.85), (2, "s", 0.9)}
+
+
+def test_links_are_counted_as_they_are_deduped(spark):
+    links = spark.createDataFrame([("a", "b", "calls", 0.5, "x", 1), ("a", "b", "calls", 0.9, "y", 2), ("a", "c", "calls", 0.5, "x", 3)], "from_id string, to_id string, type string, confidence double, reason string, line int")
+    assert {(r.to_id, r.n, r.confidence, r.reason) for r in resolve.dedupe(links).collect()} == {("b", 2, 0.9, "y"), ("c", 1, 0.5, "x")}
+
+
+def test_runs_work_out_what_is_asked_for(spark, monkeypatch):
+    symbols = spark.createDataFrame([("a", "x.ts"), ("b", "y.ts")], "id string, file_path string")
+    links = spark.createDataFrame([("a", "b", "calls"), ("b", "a", "calls")], "from_id string, to_id string, type string")
+    files = spark.createDataFrame([("x.ts", "2"), ("y.ts", "1")], "path string, hash string")
+    hashes = spark.createDataFrame([("x.ts", "1"), ("y.ts", "1")], "path string, hash string")
+    unread = links.withColumn("to_id", F.raise_error(F.lit("links were read")).cast("string"))
+    run_ = index.update(symbols, unread, symbols, unread, files, hashes)
+    assert run_.writes_meta and not run_.rebuilds_search and run_.symbols.count() == 2
+    monkeypatch.setattr(index.enrich, "enrich", lambda *a: 1 / 0)
+    assert index.update(symbols, links, symbols, links, files, hashes).links.count() == 2
+
+
+def test_terms_are_counted_where_texts_lie(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa Bb aa c"), (2, None), (3, ""), (4, "dd")], "id long, text string")
+    rows, plan = run(textsearch.term_frequencies(docs))
+    assert {(r.id, r.term, r.tf) for r in rows} == {(1, "aa", 3), (1, "bb", 2), (4, "dd", 1)}
+    assert not any(n.nodeName() == "Exchange" for n in plan)
+    twice = textsearch.term_frequencies(docs.unionAll(spark.createDataFrame([(1, "aa zz"), (None, "q1"), (None, "q1 q1")], docs.schema)))
+    assert {(r.id, r.term, r.tf) for r in twice.collect()} == {(1, "aa", 4), (1, "bb", 2), (1, "zz", 1), (4, "dd", 1), (None, "q1", 3)}
+
+
+def test_vectors_shuffle_no_terms_that_are_common(spark):
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("alpha beta alpha"), F.format_string("w%d x%d", F.col("id") % 40, "id")).alias("text"))
+    want, plan = run(textsearch.tfidf(docs))
+    assert "term" not in " ".join(n.toString().split("\n")[0] for n in plan if n.nodeName() == "Exchange")
+    # more terms than are broadcast: the rare ones are joined
+    got = textsearch.tfidf(docs, most_terms=50).collect()
+    key = lambda rows: sorted((r.id, r.bucket, r.weight) for r in rows)
+    assert len(want) > 600 and [k[:2] for k in key(got)] == [k[:2] for k in key(want)] and all(abs(a[2] - b[2]) <= 2e-6 for a, b in zip(key(got), key(want), strict=True))
+
+
+def test_imports_of_one_path_are_one_question(spark):
+    n = 500
+    imports = spark.range(n).select(F.concat(F.lit("src/a"), F.col("id") % 9, F.lit(".ts")).alias("file_path"), F.when(F.col("id") % 2 == 0, "./b").otherwise("react").alias("module_path"), "id")
+    rows, plan = run(extract.resolve_imports(imports, spark.createDataFrame([("src/b.ts",), ("src/b.js",)], "path string")))
+    assert len(rows) == n and all(r.target == ("src/b.ts" if r.id % 2 == 0 else None) for r in rows)
+    assert sum(p.nodeName() == "Exchange" for p in plan) == 0, "answers are few and come to the imports"
