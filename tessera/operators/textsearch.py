@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import DEFINITION_LINE, IMPORT_LINE, is_safe_regex
+from tessera.plans.cut import cut, is_small, small
 
 #: BM25 constants.
 K1, B = 1.2, 0.75
@@ -61,13 +62,49 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, bucket, weight): hashed TF-IDF vectors of unit length, without their zeros. A term's sign comes from the hash of the term and "_sign"."""
-    split = docs.select("id", tokens(F.col(text)).alias("ts"))
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, len, term, tf): how often each term stands in each row of docs, counted where the text lies: the runs of its sorted tokens."""
+    words = docs.select("id", F.sort_array(tokens(F.col(text))).alias("ts")).filter(F.size("ts") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: ~F.get("ts", i).eqNullSafe(F.get("ts", i - 1)))
+    words = words.select("id", "ts", F.size("ts").alias("len"), first.alias("first"))
+    runs = F.transform("first", lambda i, k: F.struct(F.get("ts", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.col("len")) - i).cast("long").alias("tf")))
+    return words.select("id", "len", F.inline(runs))
+
+
+def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, term, tf). Only documents that share an id are shuffled, to be counted as one."""
+    shared = cut(docs.groupBy(F.col("id").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1").select("shared"))
+    each = term_counts(docs, text).select("id", "term", "tf")
+    if shared.isEmpty():
+        return each
+    alike, several = F.col("id").eqNullSafe(F.col("shared")), small(shared)
+    return each.join(several, alike, "left_anti").unionAll(each.join(several, alike, "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf")))
+
+
+#: Rows of (term, idf, bucket, sign), under 100 bytes each, that may be broadcast.
+MOST_TERMS = 200_000
+
+
+def tfidf(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(id, bucket, weight): hashed TF-IDF vectors of unit length, without their zeros. A term's sign comes from the hash of the term and "_sign".
+
+    Terms are counted where the text lies. All terms' weights are broadcast if they are few; otherwise those of the terms in at
+    least one in most_terms of all (document, term) pairs, of which there are no more than that, and the others are joined.
+    What a document has in a bucket is shuffled once, by document, as numbers.
+    """
     n = docs.agg(F.count("*").alias("n"))
-    tf = split.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    idf = document_frequencies(docs, text).crossJoin(n).select("term", F.ln(1 + F.col("n") / (1 + F.col("df"))).alias("idf"), (fnv1a(F.col("term")) % dimensions).alias("bucket"), F.when(fnv1a(F.concat("term", F.lit("_sign"))) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))  # n is one row
-    sums = tf.join(idf, "term").groupBy("id", "bucket").agg(F.sum(F.col("tf") / F.col("len") * F.col("idf") * F.col("sign")).alias("w")).filter("w <> 0")
+    tf = term_counts(docs, text)
+    idf = document_frequencies(docs, text).crossJoin(n).select("term", "df", F.ln(1 + F.col("n") / (1 + F.col("df"))).alias("idf"), (fnv1a(F.col("term")) % dimensions).alias("bucket"), F.when(fnv1a(F.concat("term", F.lit("_sign"))) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))  # n is one row
+    idf = cut(idf)
+    if is_small(idf, most_terms):
+        met = tf.join(F.broadcast(idf.drop("df")), "term")
+    else:
+        pairs = idf.agg(F.sum("df")).first()[0]
+        common = F.broadcast(idf.filter(F.col("df") >= pairs / most_terms).drop("df"))
+        rare = tf.join(common, "term", "left_anti").join(idf.filter(F.col("df") < pairs / most_terms).drop("df").hint("merge"), "term")
+        met = tf.join(common, "term").unionByName(rare)
+    shares = met.select("id", "bucket", (F.col("tf") / F.col("len") * F.col("idf") * F.col("sign")).alias("share")).repartition("id")
+    sums = shares.groupBy("id", "bucket").agg(F.sum("share").alias("w")).filter("w <> 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return sums.select("id", "bucket", F.round(F.col("w") / norm, 6).alias("weight"))
 
