@@ -104,8 +104,7 @@ def a17_document_frequencies(spark, sf_dir):
 
 @query("a18_term_frequencies", "select id, term, count(*) as tf from (select id, unnest(ts) as term from toks) x group by id, term", {"toks": TOK["toks"]})
 def a18_term_frequencies(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("id", F.explode(textsearch.tokens(F.col("text"))).alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return textsearch.term_frequencies(_docs(spark, sf_dir))
 
 
 @query(
