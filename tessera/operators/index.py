@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import enrich, tables, textsearch
-from tessera.plans.cut import cut
+from tessera.plans.cut import cut, small
 
 
-@dataclass
 class Run:
-    """What a run leaves: symbols with their metadata, links, whether aggregate metadata and the search index are written, and the changes of files."""
+    """What a run leaves: symbols with their metadata, links, whether aggregate metadata and the search index are written, and the changes of files.
 
-    symbols: DataFrame
-    links: DataFrame
-    enriched: DataFrame
-    changes: DataFrame
-    writes_meta: bool
-    rebuilds_search: bool
+    Symbols, links and metadata are worked out once each, when they are first asked for.
+    """
+
+    def __init__(self, symbols: Callable[[], DataFrame], links: Callable[[], DataFrame], changes: DataFrame, writes_meta: bool, rebuilds_search: bool):
+        self._symbols, self._links, self.changes, self.writes_meta, self.rebuilds_search = symbols, links, changes, writes_meta, rebuilds_search
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return cut(self._symbols())
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return cut(self._links())
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        return enrich.enrich(self.symbols, self.links)
 
 
 def update(stored_symbols: DataFrame, stored_links: DataFrame, new_symbols: DataFrame, new_links: DataFrame, files: DataFrame, hashes: DataFrame, full: bool = False, subset: bool = False) -> Run:
@@ -36,15 +47,21 @@ def update(stored_symbols: DataFrame, stored_links: DataFrame, new_symbols: Data
     gone = changes.filter("change = 'gone'").select("path") if not full else hashes.join(files.select("path"), "path", "left_anti").select("path")
     empty = files.isEmpty() and not subset
     gone = gone.limit(0) if subset else gone
-    dropped = read.unionAll(gone).withColumnRenamed("path", "file_path")
+    as_files = lambda rows: small(rows.withColumnRenamed("path", "file_path"))
     source = lambda links, symbols: links.join(symbols.select(F.col("id").alias("from_id"), "file_path"), "from_id", "left")
-    kept = stored_symbols.limit(0) if empty else stored_symbols.join(dropped, "file_path", "left_anti")
-    symbols = cut(kept.unionByName(new_symbols.join(read.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(*kept.columns)))
-    old = source(stored_links, stored_symbols).join(dropped, "file_path", "left_anti").drop("file_path")
-    fresh = source(new_links, new_symbols).join(read.withColumnRenamed("path", "file_path"), "file_path", "left_semi").drop("file_path")
-    links = (old.limit(0) if empty else old).select(*stored_links.columns).unionByName(fresh.select(*stored_links.columns))
-    links = cut(links.join(gone.join(stored_symbols.withColumnRenamed("file_path", "path"), "path").select(F.col("id").alias("to_id")), "to_id", "left_anti"))
-    return Run(symbols, links, enrich.enrich(symbols, links), changes, full or not read.isEmpty(), full)
+
+    def symbols() -> DataFrame:
+        kept = stored_symbols.limit(0) if empty else stored_symbols.join(as_files(read.unionAll(gone)), "file_path", "left_anti")
+        return kept.unionByName(new_symbols.join(as_files(read), "file_path", "left_semi").select(*kept.columns))
+
+    def links() -> DataFrame:
+        columns = stored_links.columns
+        old = stored_links.limit(0) if empty else source(stored_links, stored_symbols).join(as_files(read.unionAll(gone)), "file_path", "left_anti").select(*columns)
+        every = old.unionByName(source(new_links, new_symbols).join(as_files(read), "file_path", "left_semi").select(*columns))
+        lost = small(cut(stored_symbols.join(as_files(gone), "file_path", "left_semi").select(F.col("id").alias("to_id"))))
+        return every.join(lost, "to_id", "left_anti")
+
+    return Run(symbols, links, changes, full or not read.isEmpty(), full)
 
 
 def search_index(stored: DataFrame, symbols: DataFrame, gone: DataFrame, rebuild: bool) -> DataFrame:
