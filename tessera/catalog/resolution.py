@@ -177,9 +177,12 @@ CALLED = {
 }
 
 
+CALL_FACTS = ("calls", "code", "imports", "locals", "bindings")
+
+
 def _calls(t: dict[str, DataFrame]) -> DataFrame:
     """The adapter's facts are worked out once: a call meets the symbols in a dozen ways."""
-    return resolve.call_links(*[cut(t[k]) for k in ("calls", "code", "imports", "locals", "bindings")])
+    return resolve.call_links(*[cut(t[k]) for k in CALL_FACTS])
 
 
 @query("r05_r12_tiers", "select reason, confidence, type, count(*) as n from call_links group by 1, 2, 3", CALLED)
@@ -252,9 +255,9 @@ def r17_type_propagation(spark, sf_dir):
 )
 def r19_resolved_graph(spark, sf_dir):
     t = _facts(spark, sf_dir)
-    every = cut(reduce(DataFrame.unionByName, [_imports(t), _calls(t), resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"])]))
-    n = every.groupBy("from_id", "to_id", "type").agg(F.count("*").alias("n"))
-    return resolve.dedupe(every).select("from_id", "to_id", "type", "confidence").join(n, ["from_id", "to_id", "type"])
+    t |= {k: cut(t[k]) for k in CALL_FACTS}  # imports and code are those of both steps
+    every = [_imports(t), resolve.call_links(*[t[k] for k in CALL_FACTS]), resolve.heritage_links(t["heritage"], t["symbols"]), resolve.contains_links(t["symbols"])]
+    return resolve.dedupe(reduce(DataFrame.unionByName, every)).select("from_id", "to_id", "type", "confidence", "n")
 
 
 @query("r20_builtin_names", f"select name, name in {_GLOBAL} as builtin, count(*) as n from calls group by name", FACTS)

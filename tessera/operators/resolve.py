@@ -263,8 +263,8 @@ def contains_links(symbols: DataFrame) -> DataFrame:
 
 
 def dedupe(links: DataFrame) -> DataFrame:
-    """One row per (from_id, to_id, type): the best confidence and its reason, distinct lines in order."""
-    return links.groupBy("from_id", "to_id", "type").agg(F.max("confidence").alias("confidence"), F.min_by("reason", F.struct(-F.col("confidence"), "line", "reason")).alias("reason"), F.array_sort(F.collect_set("line")).alias("lines"))
+    """One row per (from_id, to_id, type): the best confidence and its reason, distinct lines in order, and how many links they were (n)."""
+    return links.groupBy("from_id", "to_id", "type").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.min_by("reason", F.struct(-F.col("confidence"), "line", "reason")).alias("reason"), F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def c3(parents: dict[str, list[str]], name: str) -> list[str] | None:
