@@ -43,24 +43,38 @@ def refresh(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint:
 ANNOTATED = "symbol string, key string, value string, confidence double, event string, id long"
 
 
+#: How pandas holds a time that is missing; such rows come last.
+NO_TIME = pd.NaT.value
+
+
 def _annotate(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    value, confidence = state.get if state.exists else (None, -1.0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    """All annotations of one symbol: a call for each key would cost more than its few events."""
+    held = dict(zip(state.get[0], zip(state.get[1], state.get[2], strict=True), strict=True)) if state.exists else {}
+    # groups are many and short: their rows are handled as lists, which costs less than frames
+    rows = []
+    for batch in batches:
+        ts = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+        rows += zip(ts, batch["id"].tolist(), batch["key"].tolist(), batch["value"].tolist(), strict=True)
     out = []
-    for r in rows.itertuples():
-        if confidence >= 0 and r.value == value:
-            before, confidence = confidence, min(confidence + STEP, 1.0)
+    for _, at, key, new in sorted(rows, key=lambda r: (r[0] == NO_TIME, r[0], r[1])):
+        value, before = held.get(key, (None, -1.0))
+        if before >= 0 and new == value:
+            confidence = min(before + STEP, 1.0)
             event = "promoted" if confidence >= PROMOTED > before else "confidence_up"
         else:
-            value, confidence, event = r.value, START, "created"
-        out.append((*group, value, confidence, event, r.id))
-    state.update((value, confidence))
+            confidence, event = START, "created"
+        held[key] = (new, confidence)
+        out.append((group[0], key, new, confidence, event, at))
+    state.update((list(held), [v for v, _ in held.values()], [c for _, c in held.values()]))
     yield pd.DataFrame(out, columns=["symbol", "key", "value", "confidence", "event", "id"])
 
 
+STATE = "keys array<string>, latest array<string>, confidences array<double>"
+
+
 def annotate(events: DataFrame) -> DataFrame:
-    """A row for each event (symbol, key, value, ts, id) with the confidence after it: the streaming form of `memory.fold`. Events of a key must come in order from batch to batch."""
-    return events.groupBy("symbol", "key").applyInPandasWithState(_annotate, ANNOTATED, "value string, confidence double", "append", GroupStateTimeout.NoTimeout)
+    """A row for each event (symbol, key, value, ts, id) with the confidence after it: the streaming form of `memory.fold`. Events of a key must come in order from batch to batch. The state of a symbol is a row for its keys, of which there are few."""
+    return events.groupBy("symbol").applyInPandasWithState(_annotate, ANNOTATED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def over_rate(hits: DataFrame, most: int = 60, window: str = "1 minute", late: str = "1 minute") -> DataFrame:

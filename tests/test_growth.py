@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import QUERIES
 from tessera.operators import extract, index, modules, resolve, textsearch
+from tessera.streaming import flows
 
 
 def nodes(plan):
@@ -143,3 +144,14 @@ def test_imports_of_one_path_are_one_question(spark):
     rows, plan = run(extract.resolve_imports(imports, spark.createDataFrame([("src/b.ts",), ("src/b.js",)], "path string")))
     assert len(rows) == n and all(r.target == ("src/b.ts" if r.id % 2 == 0 else None) for r in rows)
     assert sum(p.nodeName() == "Exchange" for p in plan) == 0, "answers are few and come to the imports"
+
+
+def test_a_symbol_is_one_group_of_the_stream(spark, tmp_path):
+    events = [(i, f"s{i % 3}", f"k{i % 5}", "v") for i in range(60)]
+    rows = spark.createDataFrame(events, "id long, symbol string, key string, value string").withColumn("ts", F.timestamp_seconds("id"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = flows.annotate(stream).writeStream.format("memory").queryName("grouped").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination()
+    assert spark.table("grouped").filter("event = 'created'").count() == 15 and spark.table("grouped").count() == 60
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
