@@ -1,4 +1,4 @@
-"""Facts of TypeScript, JavaScript, Java and Go sources from their token rows: one pass tells each token's facts, joins tell scopes.
+"""Facts of TypeScript, JavaScript, Java and Go sources from their token rows: one pass tells each token's facts, a sweep over a file's facts tells scopes.
 
 A fact is (path, fact, name, kind, parent, receiver, scope, line, end_line, exported, at, end_at, argument):
 symbol (kind; parent: id of the class around a method), import (name: local, receiver: name in the module, kind: named, default, wildcard
@@ -10,14 +10,16 @@ method or class that holds the token, or the module's.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.spans import innermost, inside, near_spans
-from tessera.operators.tokens import LANGUAGES, language_of, token_rows
-from tessera.plans.cut import cut
+from tessera.operators.tokens import LANGUAGES, token_rows
+from tessera.plans.cut import spread
 
 #: Words before a bracket that make it no call, or no method.
 CONTROL = {
@@ -32,20 +34,25 @@ CONTAINERS = ("class", "struct")
 FIELDS = "fact name kind parent receiver line end_line exported at end_at argument".split()
 
 
-def _fact(when: Column, fact: str, name: Column, *, kind: Column | str = "", parent: Column | str = "", receiver: Column | str = "", line: Column | None = None, end_line: Column | None = None, at: Column | None = None, end_at: Column | None = None, exported: Column | None = None, argument: Column | None = None) -> Column:
+def _fact(when: Column, fact: str, name: Column, *, kind: Column | str = "", parent: Column | str = "", receiver: Column | str = "", line: Column | None = None, end_line: Column | None = None, at: Column | None = None, end_at: Column | None = None, exported: Column | None = None, argument: Column | None = None) -> tuple[str, Column]:
     text = lambda x: (F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit(""))).cast("string")
     line, at = F.col("line") if line is None else line, F.col("at") if at is None else at
     values = [F.lit(fact), text(name), text(kind), text(parent), text(receiver), line, line if end_line is None else F.coalesce(end_line, line), F.lit(False) if exported is None else exported, at, at if end_at is None else F.coalesce(end_at, at), F.lit(False) if argument is None else argument]
     types = ["string"] * 5 + ["int", "int", "boolean", "int", "int", "boolean"]
-    return F.when(when, F.struct(*[v.cast(t).alias(n) for v, t, n in zip(values, types, FIELDS, strict=True)]))
+    return fact, F.when(when, F.struct(*[v.cast(t).alias(n) for v, t, n in zip(values, types, FIELDS, strict=True)]))
 
 
-def _told(rows: DataFrame, lang: str) -> DataFrame:
-    """The facts of each token of one language, without scopes and ids. What other languages have folds away, so that code can be generated for the rest."""
-    text, word, args, depth, head, inside_ = (F.col(c) for c in ("text", "word", "args", "depth", "head", "inside"))
-    p, n = [F.col("before")[k] for k in range(4)], [F.col("after")[k] for k in range(7)]
-    js, java, go = F.lit(lang in ("typescript", "javascript")), F.lit(lang == "java"), F.lit(lang == "go")
-    rows = rows.filter(word | text.isin("*") | text.rlike('^("|import\\s)'))
+def _told(rows: DataFrame, facts: tuple[str, ...]) -> DataFrame:
+    """Those facts of each token, without scopes and ids; what only other facts need is not worked out."""
+    lang, text, word, args, depth = (F.col(c) for c in ("lang", "text", "word", "args", "depth"))
+    p, n = [F.col(f"p{k}") for k in range(4)], [F.col(f"n{k}") for k in range(7)]
+    js, java, go = lang.isin("typescript", "javascript"), lang == "java", lang == "go"
+    head = {c: F.col(f"head_{c}") for c in ("text", "at", "line")}
+    in_close = {"at": F.col("in_close_at"), "line": F.col("in_close_line"), "after": [F.col(f"in_close_n{k}") for k in range(3)]}
+    inside_ = {"role": F.col("in_role"), "line": F.col("in_line"), "before": [F.col("in_p0"), F.col("in_p1")], "head": {"text": F.col("in_head_text"), "line": F.col("in_head_line")}, "close": in_close}
+    nxt, body = {"at": F.col("next_at"), "line": F.col("next_line")}, {"at": F.col("body_at"), "close": {"at": F.col("body_close_at"), "line": F.col("body_close_line")}}
+    close1 = {"at": F.col("close1_at"), "line": F.col("close1_line"), "after": [F.col("close1_n0"), F.col("close1_n1")], "args": F.col("close1_args")}
+    out: list[tuple[str, Column]] = []
 
     def named_now(**columns: Column) -> list[Column]:
         """The columns, worked out once a token and read by name from here on."""
@@ -53,58 +60,58 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
         rows = rows.withColumns({f"{k}_now": c for k, c in columns.items()})
         return [F.col(f"{k}_now") for k in columns]
 
-    controls = lambda c: c.isin(*CONTROL[lang])
-    has = F.array_contains
-    before = F.col("before")
+    controls = lambda c: F.when(js, c.isin(*CONTROL["typescript"])).when(java, c.isin(*CONTROL["java"])).otherwise(c.isin(*CONTROL["go"]))
+    near_before = lambda word_: reduce(lambda a, b: a | b, [x == word_ for x in p])
     declares = head["text"]
-    body, nxt = F.col("body"), F.col("next")
-    closes = [F.col(f"close{k}") for k in (1, 2, 3, 4)]
     keyword, keyword_before, keyword_inside, after_params, role = named_now(
         keyword=controls(text), keyword_before=controls(p[0]), keyword_inside=F.coalesce(controls(inside_["before"][0]), F.lit(False)),
-        after_params=F.coalesce(closes[0]["after"][0], F.lit("")), role=F.coalesce(inside_["role"], F.lit("")),
+        after_params=F.coalesce(close1["after"][0], F.lit("")), role=F.coalesce(inside_["role"], F.lit("")),
     )
 
     in_class = role.isin("class", "record", "enum", "interface")
     # types: the keyword stands right before the name (Go: after it)
-    by_word = lambda c: F.coalesce(*[F.when(c == k, F.lit(kind)) for k, kind in LANGUAGES[lang].types.items()])
-    kind_of = F.when(p[0] == "type", F.coalesce(by_word(n[0]), F.lit("type"))) if lang == "go" else F.when(p[1] != ".", by_word(p[0]))
-    (kind,) = named_now(kind=kind_of)
+    by_word = lambda c, name: F.coalesce(*[F.when(c == k, F.lit(kind)) for k, kind in LANGUAGES[name].types.items()])
+    kind_here = reduce(lambda when, name: when.when(lang == name, by_word(p[0], name)), ("javascript", "java"), F.when(lang == "typescript", by_word(p[0], "typescript")))
+    (kind,) = named_now(kind=F.when(go, F.when(p[0] == "type", F.coalesce(by_word(n[0], "go"), F.lit("type")))).otherwise(F.when(p[1] != ".", kind_here)))
     is_alias = (kind == "type") & F.when(go, F.lit(True)).otherwise(n[0] == "=")
     is_type = word & ~keyword & kind.isNotNull() & ((kind != "type") | is_alias) & ~(js & text.isin("extends", "implements", "from"))
-    end = F.when(kind == "type", F.struct((nxt["at"] - 1).alias("at"), F.coalesce(nxt["line"], F.col("line")).alias("line"))).otherwise(F.struct(body["close"]["at"].alias("at"), body["close"]["line"].alias("line")))
-    exported_here = js & has(before, "export") & ~(p[0] == ",")
-    public = java & has(before, "public")
+    end = {"at": F.when(kind == "type", nxt["at"] - 1).otherwise(body["close"]["at"]), "line": F.when(kind == "type", F.coalesce(nxt["line"], F.col("line"))).otherwise(body["close"]["line"])}
+    exported_here = js & near_before("export") & ~(p[0] == ",")
+    public = java & near_before("public")
 
     # functions
     named = (p[0].isin("function", "func") | ((p[0] == "*") & (p[1] == "function"))) & (n[0] == "(")
-    opened = body["at"].isNotNull() & (body["at"] > closes[0]["at"]) & (nxt["at"].isNull() | (body["at"] < nxt["at"]))
+    opened = body["at"].isNotNull() & (body["at"] > close1["at"]) & (nxt["at"].isNull() | (body["at"] < nxt["at"]))
     is_function = word & (js | go) & named & opened & ~((p[0] == "*") & go)
     # methods: name(...) { within a class, or in an object where nothing but a method can stand so; Go: func (r T) name(
     callable_ = word & (n[0] == "(") & ~keyword & ~p[0].isin("function", "func", "new", ".", "?.", "=>") & ~((p[0] == "*") & (p[1] == "function"))
     js_method = js & callable_ & (role.isin("class", "{")) & ((after_params == "{") | ((after_params == ":") & (role == "class") & opened))
-    typed_before = F.col("before")[0].rlike(r"^([\w$]+|\]|>)$") & ~keyword_before
-    java_method = java & callable_ & in_class & (typed_before | (F.col("args").isNotNull())) & after_params.isin("{", ";", "throws") & (p[0] != "@")
+    typed_before = p[0].rlike(r"^([\w$]+|\]|>)$") & ~keyword_before
+    java_method = java & callable_ & in_class & (typed_before | args.isNotNull()) & after_params.isin("{", ";", "throws") & (p[0] != "@")
     go_method = go & word & (n[0] == "(") & (p[0] == ")") & (head["text"] == "func") & (depth == 0) & opened
     is_method = js_method | java_method | go_method
-    body_end = F.when(after_params == ";", F.struct(closes[0]["at"].alias("at"), closes[0]["line"].alias("line"))).otherwise(F.struct(body["close"]["at"].alias("at"), body["close"]["line"].alias("line")))
+    body_end = {c: F.when(after_params == ";", close1[c]).otherwise(body["close"][c]) for c in ("at", "line")}
     # const name [: Type] = [async] (...) [: Type] => ...
     constant = p[0].isin("const", "let") | ((p[0] == ",") & declares.isin("const", "let"))
     typed = (n[0] == ":") & (n[2] == "=")
     value = F.when(typed, n[3]).otherwise(F.when(n[0] == "=", n[1]))
-    shift = lambda k: F.when(typed, closes[min(k + 1, 3)]).otherwise(closes[k - 1])  # noqa: E731  close of the token k after the name
-    constant, first = named_now(constant=constant, first=F.when(value == "async", shift(3)).otherwise(shift(2)))
+    # first: the partner of the bracket that begins the value
+    of_value = lambda c: F.when(typed, F.col(f"close4_{c}")).when(value == "async", F.col(f"close3_{c}")).otherwise(F.col(f"close2_{c}"))
+    constant, *after_first, first_args = named_now(constant=constant, **{f"first_{c}": of_value(c) for c in ("n0", "n1", "n2", "n3", "args")})
+    first = {"after": after_first, "args": first_args}
     to_body = (first["after"][0] == "=>") | ((first["after"][0] == ":") & (first["after"][2] == "=>"))
     bare = (n[0] == "=") & ((n[2] == "=>") | ((n[1] == "async") & (n[3] == "=>")))
     is_arrow = js & word & constant & (F.coalesce(to_body, F.lit(False)) | bare)
     block = F.when(first["after"][0] == "=>", first["after"][1] == "{").otherwise(first["after"][3] == "{")
-    stop = F.struct(F.least(nxt["at"], inside_["close"]["at"]).alias("at"), F.least(nxt["line"], inside_["close"]["line"]).alias("line"))
-    arrow_end = F.when(F.coalesce(block, F.lit(False)) | F.coalesce(bare & (n[3] == "{"), F.lit(False)), F.struct(body["close"]["at"].alias("at"), body["close"]["line"].alias("line"))).otherwise(F.struct((stop["at"] - 1).alias("at"), stop["line"].alias("line")))
+    stop = {c: F.least(nxt[c], in_close[c]) for c in ("at", "line")}
+    in_block = F.coalesce(block, F.lit(False)) | F.coalesce(bare & (n[3] == "{"), F.lit(False))
+    arrow_end = {"at": F.when(in_block, body["close"]["at"]).otherwise(stop["at"] - 1), "line": F.when(in_block, body["close"]["line"]).otherwise(stop["line"])}
     is_variable = js & word & constant & (depth == 0) & ~is_arrow
     go_variable = go & word & p[0].isin("var", "const") & (n[0] != "(")
     java_field = java & word & in_class & n[0].isin("=", ";", ",") & typed_before & ~F.coalesce(declares == "return", F.lit(False)) & (p[0] != "package")
     is_type, is_function, is_method, is_arrow, is_variable = named_now(is_type=is_type, is_function=is_function, is_method=is_method, is_arrow=is_arrow, is_variable=is_variable)
     head_at, head_line = F.coalesce(head["at"], F.col("at")), F.coalesce(head["line"], F.col("line"))
-    out = [
+    out += [
         _fact(is_type, "symbol", text, kind=kind, line=head_line_of(js, p, head, "line"), end_line=end["line"], at=F.col("at") - 1, end_at=end["at"], exported=public | (go & text.rlike("^[A-Z]"))),
         _fact(is_function, "symbol", text, kind="function", end_line=body["close"]["line"], at=F.col("at") - 1, end_at=body["close"]["at"], exported=go & text.rlike("^[A-Z]")),
         _fact(is_method, "symbol", text, kind="method", end_line=body_end["line"], end_at=body_end["at"], exported=public | (go & text.rlike("^[A-Z]"))),
@@ -115,7 +122,7 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
     # exports
     in_list = js & (role == "{") & (inside_["before"][0].isin("export") | ((inside_["before"][0] == "type") & (inside_["before"][1] == "export")))
     listed = in_list & word & p[0].isin("{", ",", "type") & (text != "type")
-    string = F.col("string")
+    string = F.regexp_replace("quote", "^[\"'`]|[\"'`]$", "")
     from_list = inside_["close"]["after"][0] == "from"
     local_name, outer = text, F.when(n[0] == "as", n[1]).otherwise(text)
     declared = js & word & exported_here & (is_type | is_function | is_arrow | (is_variable & (p[1] == "export")))
@@ -133,7 +140,7 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
     side = js & (text == "import") & n[0].rlike("^[\"']")
     star = js & (text == "*") & ((p[0] == "import") | ((p[0] == ",") & (declares == "import"))) & (n[0] == "as")
     picked = js & word & (role == "{") & (inside_["close"]["after"][0] == "=") & inside_["before"][0].isin("const", "let", "var") & p[0].isin("{", ",")
-    module = F.col("inside")["close"]["after"]
+    module = in_close["after"]
     required_names = picked & ((module[1] == "require") | ((module[1] == "await") & (module[2] == "import")))
     alias = lambda sep: F.when(n[0] == sep, n[1]).otherwise(text)
     java_path = F.regexp_extract("text", r"^import\s+(?:static\s+)?(\w+(?:\.\w+)*(?:\.\*)?)", 1)
@@ -148,10 +155,10 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
         _fact(required & (p[1] != "}"), "import", p[1], kind="wildcard", parent=string),
         _fact(java & text.rlike(r"^import\s"), "import", java_last, kind=F.when(java_last == "*", "wildcard").otherwise("named"), parent=F.regexp_replace(java_path, r"\.\*$", ""), receiver=F.when(java_last == "*", "").otherwise(java_last)),
         _fact(go & text.rlike('^"') & ((p[0] == "import") | (F.coalesce(inside_["before"][0], F.lit("")) == "import") | ((p[1] == "import") & p[0].rlike(r"^[\w.]"))), "import",
-              F.when(p[0].rlike(r"^[\w._]+$") & (p[0] != "import") & ~(F.col("before")[0].isin("(")), p[0]).otherwise(F.element_at(F.split(F.regexp_replace("text", '"', ""), "/"), -1)), kind="module", parent=F.regexp_replace("text", '"', "")),
+              F.when(p[0].rlike(r"^[\w._]+$") & (p[0] != "import") & ~(p[0].isin("(")), p[0]).otherwise(F.element_at(F.split(F.regexp_replace("text", '"', ""), "/"), -1)), kind="module", parent=F.regexp_replace("text", '"', "")),
     ]
     # calls
-    jsx = F.lit(lang == "typescript") & word & (p[0] == "<") & text.rlike("^[A-Z]") & ~p[1].rlike(r"^[\w$)\]]+$") | (F.lit(lang == "typescript") & word & (p[0] == "<") & (p[1] == "return") & text.rlike("^[A-Z]"))
+    jsx = (lang == "typescript") & word & (p[0] == "<") & text.rlike("^[A-Z]") & ~p[1].rlike(r"^[\w$)\]]+$") | ((lang == "typescript") & word & (p[0] == "<") & (p[1] == "return") & text.rlike("^[A-Z]"))
     created = (js | java) & word & (p[0] == "new") & (js | (n[0].isin("(", "{", "[")))
     annotated = (js | java) & word & (p[0] == "@") & ~((n[0] == "(") & js) & (text != "interface")
     calls = word & (n[0] == "(") & ~keyword & ~is_method & ~is_function & ~p[0].isin("function", "func", "record") & ~(go & (p[0] == ")") & (declares == "func") & (depth == 0)) & ~(js & (text == "async"))
@@ -185,9 +192,9 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
     inner = F.when(args.isNotNull(), argument_of(args)).otherwise(text)
     plain = "^(string|number|boolean|any|void|unknown|never|object|null|undefined|symbol|bigint)$"
     made = js & word & constant & (n[0] == "=") & (n[1] == "new")
-    returns = F.when(js & (after_params == ":"), F.coalesce(argument_of(closes[0]["args"]), closes[0]["after"][1]))
+    returns = F.when(js & (after_params == ":"), F.coalesce(argument_of(close1["args"]), close1["after"][1]))
     arrow_returns = F.when(first["after"][0] == ":", F.coalesce(argument_of(first["args"]), first["after"][1]))
-    go_returns = F.when(go & ~after_params.isin("{", "("), F.when(after_params == "*", closes[0]["after"][1]).otherwise(after_params))
+    go_returns = F.when(go & ~after_params.isin("{", "("), F.when(after_params == "*", close1["after"][1]).otherwise(after_params))
     caught = js & word & (role == "(") & (F.coalesce(inside_["before"][0], F.lit("")) == "catch") & (p[0] == "(")
     unpacked = js & word & role.isin("{", "[") & F.coalesce(inside_["before"][0].isin("const", "let", "var"), F.lit(False)) & ((p[0].isin("{", ",", "[") & n[0].isin(",", "}", "]", "=")) | (p[0] == ":"))
     out += [
@@ -202,7 +209,7 @@ def _told(rows: DataFrame, lang: str) -> DataFrame:
         _fact((js & word & constant) | (js & word & (p[0] == "var")) | parameter | caught | unpacked, "local", text),
     ]
     # the array is a column of its own, for which code is generated; within explode every token would be interpreted
-    rows = rows.select("path", F.array(*out).alias("facts"))
+    rows = rows.select("path", F.array(*[told for fact, told in out if fact in facts]).alias("facts"))
     return rows.select("path", F.explode("facts").alias("f")).filter("f is not null").select("path", "f.*")
 
 
@@ -212,42 +219,101 @@ def head_line_of(js: Column, p: list[Column], head: Column, what: str) -> Column
 
 #: Of two kinds that one name has on one line, the first counts.
 PRIORITY = ("function", "class", "method", "interface", "enum", "struct", "type", "variable")
-FACTS = "path string, fact string, name string, kind string, parent string, receiver string, scope string, line int, end_line int, exported boolean"
+FACTS = "path string, fact string, name string, kind string, parent string, receiver string, scope string, line int, end_line int, exported boolean, argument boolean"
+NAMES = [c.split()[0] for c in FACTS.split(", ")]
+ALL = ("symbol", "export", "import", "call", "heritage", "reexport", "type_binding", "assignment", "return_type", "call_result", "local")
+
+
+def _held(points: set[int], spans: list[tuple], least: Callable[[tuple], object]) -> dict[int, tuple]:
+    """For each point the least of the spans (first, last, ...) that hold it."""
+    out, open_, k = {}, [], 0
+    spans = sorted(spans, key=lambda s: s[0])
+    for x in sorted(points):
+        while k < len(spans) and spans[k][0] <= x:
+            open_.append(spans[k])
+            k += 1
+        open_ = [s for s in open_ if s[1] >= x]
+        if open_:
+            out[x] = min(open_, key=least)
+    return out
+
+
+def _scoped_file(path: str, rows: list[dict]) -> None:
+    """Gives the facts of one file their ids, holders and scopes; a class head keeps none."""
+    rank = {kind: k for k, kind in enumerate(PRIORITY)}
+    symbols, seen, nth = [], set(), Counter()
+    given = {r["name"] for r in rows if r["fact"] == "export"}
+    children = {r["end_at"]: r["name"] for r in rows if r["fact"] == "class_head"}
+    for r in sorted((r for r in rows if r["fact"] == "symbol"), key=lambda r: (rank[r["kind"]], r["at"])):
+        if (r["name"], r["line"]) not in seen:
+            seen.add((r["name"], r["line"]))
+            symbols.append(r)
+    for r in sorted(symbols, key=lambda r: r["at"]):
+        nth[r["kind"], r["name"]] += 1
+        k = nth[r["kind"], r["name"]]
+        r["scope"] = f"{path}#{r['kind']}:{r['name']}" + (f":{k}" if k > 1 else "")
+        r["exported"] = r["exported"] or r["name"] in given
+    # the first container that spans a method
+    methods = [r for r in symbols if r["kind"] == "method"]
+    around = _held({r["line"] for r in methods}, [(r["line"], r["end_line"], r["at"], r["scope"]) for r in symbols if r["kind"] in CONTAINERS], lambda s: s[2])
+    for r in symbols:
+        holder = around.get(r["line"]) if r["kind"] == "method" else None
+        r["parent"] = holder[3] if holder and holder[1] >= r["end_line"] else ""
+    rest = [r for r in rows if r["fact"] not in ("symbol", "class_head")]
+    # the smallest scope that holds a fact; of equals the one that starts last, then the first id
+    scopes = _held({r["at"] for r in rest}, [(r["at"], r["end_at"], r["scope"]) for r in symbols if r["kind"] in SCOPES], lambda s: (s[1] - s[0], -s[0], s[2]))
+    for r in rest:
+        r["scope"] = scopes[r["at"]][2] if r["at"] in scopes else f"{path}#module:_top:0"
+        if r["fact"] == "heritage" and r["name"] == "":
+            r["name"] = children.get(r["end_at"])
+
+
+def _scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts of files, whose rows come one after another, with scopes. A file's last batch ends where another path begins."""
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(NAMES, FACTS.split(", "), strict=True)])
 
+    def given(files: list[list[dict]]) -> pa.RecordBatch:
+        for rows in files:
+            _scoped_file(rows[0]["path"], rows)
+        kept = [r for rows in files for r in rows if r.get("scope") is not None]
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in kept], schema.field(n).type) for n in NAMES], NAMES)
 
-def _spans(symbols: DataFrame, first: str, last: str) -> DataFrame:
-    return symbols.select(F.col("path").alias("file_path"), "id", F.col(first).alias("start_line"), F.col(last).alias("end_line"))
+    file: list[dict] = []
+    for batch in batches:
+        done: list[list[dict]] = []
+        for row in batch.to_pylist():
+            if file and row["path"] != file[0]["path"]:
+                done.append(file)
+                file = []
+            file.append(row)
+        yield given(done)
+    if file:
+        yield given([file])
 
 
-def brace_facts(files: DataFrame) -> DataFrame:
-    """The facts of files (path, text), each with the id of its scope; symbols have their own id as scope and their class as parent.
+def brace_facts(files: DataFrame, facts: tuple[str, ...] = ALL, scopes: bool = True) -> DataFrame:
+    """Those facts of files (path, text), each with the id of its scope; symbols have their own id as scope and their class as parent.
 
     A symbol's id is path#kind:name, with :n for the n-th of a kind and name in a file. It is exported if an export of its file has its
     name (TypeScript, JavaScript), if it is public (Java) or begins with a capital (Go). Paths are unique; null texts have no facts.
+    Without scopes no ids are worked out and scope is null, but for symbols, which always have theirs.
     Not read: code within template strings, and more than two levels of type arguments.
+
+    Files are dealt over the cores; all that is told of a file stays in its task, in the order of its tokens, so nothing else is shuffled.
     """
-    each = [_told(token_rows(files.filter(language_of(F.col("path")) == lang)), lang) for lang in LANGUAGES]
-    told = cut(reduce(DataFrame.unionByName, each))
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("kind"))
-    once = Window.partitionBy("path", "name", "line").orderBy(rank, "at")
-    nth = F.row_number().over(Window.partitionBy("path", "kind", "name").orderBy("at"))
-    symbols = told.filter("fact = 'symbol'").withColumn("k", F.row_number().over(once)).filter("k = 1").withColumn("k", nth)
-    base = F.concat_ws("", "path", F.lit("#"), "kind", F.lit(":"), "name")
-    given = told.filter("fact = 'export'").select("path", "name", F.lit(True).alias("given")).distinct()
-    symbols = symbols.withColumn("id", F.when(F.col("k") == 1, base).otherwise(F.concat(base, F.lit(":"), "k"))).join(given, ["path", "name"], "left")
-    symbols = cut(symbols.withColumn("exported", F.col("exported") | F.coalesce("given", F.lit(False))).drop("k", "given"))
-    # the first container that spans a method
-    lines = symbols.filter("kind = 'method'").select(F.col("path").alias("file_path"), "line", F.col("end_line").alias("last"))
-    holders = symbols.filter(F.col("kind").isin(*CONTAINERS))
-    spanning = near_spans(lines, _spans(holders, "line", "end_line")).filter(inside()).join(holders.select("id", "at"), "id")
-    around = spanning.groupBy(F.col("file_path").alias("path"), "line").agg(F.min_by(F.struct("id", "end_line"), "at").alias("holder"))
-    symbols = symbols.join(around, ["path", "line"], "left").withColumn("parent", F.when((F.col("kind") == "method") & (F.col("holder.end_line") >= F.col("end_line")), F.col("holder.id")).otherwise(""))
-    rest = told.filter(~F.col("fact").isin("symbol", "class_head"))
-    asked = rest.select(F.col("path").alias("file_path"), F.col("at").alias("line"))
-    scopes = innermost(asked, _spans(symbols.filter(F.col("kind").isin(*SCOPES)), "at", "end_at")).select(F.col("file_path").alias("path"), F.col("line").alias("at"), F.col("id").alias("scope"))
-    heads = told.filter("fact = 'class_head'").select("path", "end_at", F.col("name").alias("child"))
-    rest = rest.join(scopes, ["path", "at"], "left").join(heads, ["path", "end_at"], "left")
-    rest = rest.withColumn("name", F.when((F.col("fact") == "heritage") & (F.col("name") == ""), F.col("child")).otherwise(F.col("name")))
-    columns = ["path", "fact", "name", "kind", "parent", "receiver", "scope", "line", "end_line", "exported", "argument"]
-    rest = rest.withColumn("scope", F.coalesce("scope", F.concat("path", F.lit("#module:_top:0")))).select(columns)
-    return symbols.withColumn("scope", F.col("id")).select(columns).unionByName(rest)
+    needs = {*facts}
+    if scopes or "symbol" in facts:
+        needs |= {"symbol"}
+    if "symbol" in facts:
+        needs |= {"export"}
+    if "heritage" in facts:
+        needs |= {"class_head"}
+    # the code that tells facts is longer than the JVM compiles when a whole stage is one method; in parts it is compiled
+    files.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    told = _told(token_rows(spread(files.select("path", "text"))), tuple(needs))
+    if scopes or needs & {"symbol", "heritage"}:
+        told = told.mapInArrow(_scoped, FACTS)
+        told = told if scopes else told.withColumn("scope", F.when(F.col("fact") == "symbol", F.col("scope")))
+    else:
+        told = told.withColumn("scope", F.lit(None).cast("string"))
+    return told.filter(F.col("fact").isin(*facts)).select(NAMES)

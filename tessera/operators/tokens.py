@@ -4,14 +4,18 @@ One regular expression a language takes strings, templates, comments, type argum
 that no bracket, quote or keyword within a string or a comment is ever read as code. Lines and bracket depth are running sums
 over a file; an opener's partner is the next bracket of its depth, and what encloses a token is the last opener one level up.
 
-A file's text is moved once, to the task that holds its path; every window below is over that path, so nothing is shuffled again.
+Windows over rows as wide as these cost Spark some 100 microseconds a token, so the sums are taken over Arrow columns of many files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,65 +66,139 @@ def language_of(path: Column) -> Column:
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 #: What begins or ends a statement: the last one at a token's own depth is its head.
 HEADS = ("class", "interface", "enum", "record", "struct", "namespace", "function", "func", "const", "let", "var", "type", "import", "export", "if", "for", "while", "switch", "do", "try", "return", ";")
+#: Of them, those that do not end the statement before.
+GO_ON = ("if", "for", "while", "switch", "do", "try")
+BODIES = ("class", "interface", "enum", "record", "struct")
+#: Tokens that are handled at once; a file of more goes alone. The arrays over them take some 500 bytes a token.
+SLICE = 1 << 16
+
+_CLOSES = [f"close{k}_{c}" for k in (2, 3, 4) for c in ("n0", "n1", "n2", "n3", "args")]
+TEXTS = ["text", "args", "p0", "p1", "p2", "p3", *[f"n{k}" for k in range(7)], "head_text", "in_role", "in_p0", "in_p1", "in_head_text", "in_close_n0", "in_close_n1", "in_close_n2", "quote", "close1_n0", "close1_n1", "close1_args", *_CLOSES]
+NUMBERS = ["at", "line", "depth", "head_at", "head_line", "in_line", "in_head_line", "in_close_at", "in_close_line", "next_at", "next_line", "body_at", "body_close_at", "body_close_line", "close1_at", "close1_line"]
+ROWS = ", ".join(["path string", "lang string", "word boolean", "ends_line boolean", *[f"{c} int" for c in NUMBERS], *[f"{c} string" for c in TEXTS]])
+
+
+def _last(groups: np.ndarray, order: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For each row the last marked one before it in its group, -1 if there is none. order: sorts by group and keeps rows in order."""
+    n = len(order)
+    place, sorted_groups = np.arange(n), groups[order]
+    begins = np.maximum.accumulate(np.where(np.r_[True, sorted_groups[1:] != sorted_groups[:-1]], place, 0)) if n else place
+    last = np.r_[-1, np.maximum.accumulate(np.where(mark[order], place, -1))[:-1]] if n else place
+    out = np.empty(n, np.int64)
+    out[order] = np.where(last >= begins, order[last], -1)
+    return out
+
+
+def _next(groups: np.ndarray, order: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """As _last, for the next marked row after each."""
+    n = len(order)
+    found = _last(groups[::-1], n - 1 - order[::-1], mark[::-1])[::-1]
+    return np.where(found < 0, -1, n - 1 - found)
+
+
+def _at(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values of rows, -1 for rows that are -1."""
+    return np.where(rows < 0, -1, values[rows]) if len(values) else rows
+
+
+def _placed(paths: pa.Array, langs: pa.Array, texts: pa.Array, file: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The rows of token_rows for the tokens of some whole files. file: the number of each token's file among paths."""
+    encoded = texts.dictionary_encode()
+    kinds, code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    none = len(kinds)  # stands for the text "" beyond a file's ends
+    kinds = pa.concat_arrays([kinds.cast(pa.string()), pa.array([""], pa.string())])
+    fits = lambda regex: pc.match_substring_regex(kinds, regex).to_numpy(zero_copy_only=False)
+    among = lambda *words: pc.is_in(kinds, pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+    opens, closes, word = among(*OPEN)[code], among(*CLOSE)[code], fits(r"^[\p{L}_$]")
+    same_next = np.r_[file[1:] == file[:-1], False] if len(file) else np.zeros(0, bool)
+    following = np.r_[code[1:], none] if len(code) else code
+    line_end = "\\n\\r\\x{85}\\x{2028}\\x{2029}"
+    args = np.where(word[code] & same_next & fits(f"^<[^{line_end}]")[following], following, -1)
+    first = np.searchsorted(file, file)  # the first token of a token's file
+    before_all = lambda x: (total := np.cumsum(x) - x) - total[first] if len(x) else x
+    line = 1 + before_all(pc.count_substring(kinds, "\n").to_numpy(zero_copy_only=False).astype(np.int64)[code])
+    step = opens.astype(np.int64) - closes
+    depth = before_all(step) + step - opens
+    # from here on without white space, comments and type arguments
+    code_here = ~(fits(r"^([ \t\n\x0b\f\r]|//|/\*)") | fits(f"^<[^{line_end}]*>$"))[code]
+    code, args, file, at, line, depth, opens, closes = (x[code_here] for x in (code, args, file, at, line, depth, opens, closes))
+    n = len(code)
+    place = np.arange(n)
+
+    def away(k: int) -> np.ndarray:
+        """The row k further in the same file, or -1."""
+        there = place + k
+        inside = (there >= 0) & (there < n)
+        return np.where(inside & (file[np.where(inside, there, 0)] == file), there, -1) if n else place
+
+    near = {k: away(k) for k in range(-4, 8) if k}
+    text_at = lambda rows: np.where(rows < 0, none, code[rows]) if n else rows
+    lone = lambda rows, k: _at(text_at(near[k]), rows)  # noqa: E731  the text k further than rows, "" beyond the file, null without a row
+    brackets = opens | closes
+    levels = file * (1 << 32) + depth + brackets
+    by_level = np.argsort(levels, kind="stable")
+    close = np.where(opens, _next(levels, by_level, brackets), -1)
+    depths = file * (1 << 32) + depth
+    by_depth = np.argsort(depths, kind="stable")
+    before, after = text_at(near[-1]), text_at(near[1])
+    begins = (among(*HEADS)[code] & ~among(".")[before]) | (among("}")[code] & ~among(",", ")", ".", "from")[after])
+    head = _last(depths, by_depth, begins)
+    ends = _next(depths, by_depth, begins & ~among(*GO_ON)[code])
+    brace = among("{")[code]
+    body = _next(depths, by_depth, brace)
+    opener = np.where(depth > 0, _last(levels, by_level, opens), -1)
+    role = np.where(brace & (head >= 0) & np.append(among(*BODIES), False)[_at(code, head)], _at(code, head), code)
+    quote = _next(file, place, fits("^[\"'`]")[code])
+    args_after = _at(args, near[2])
+    closing = [_at(close, near[k]) for k in (1, 2, 3, 4)]
+    inner_close = _at(close, opener)
+    out = {
+        "text": code, "args": args, **{f"p{k}": text_at(near[-k - 1]) for k in range(4)}, **{f"n{k}": text_at(near[k + 1]) for k in range(7)},
+        "head_text": _at(code, head), "in_role": _at(role, opener), "in_p0": lone(opener, -1), "in_p1": lone(opener, -2), "in_head_text": _at(code, _at(head, opener)),
+        **{f"in_close_n{k}": lone(inner_close, k + 1) for k in range(3)}, "quote": _at(code, quote),
+        "at": at, "line": line, "depth": depth, "head_at": _at(at, head), "head_line": _at(line, head), "in_line": _at(line, opener), "in_head_line": _at(line, _at(head, opener)),
+        "in_close_at": _at(at, inner_close), "in_close_line": _at(line, inner_close), "next_at": _at(at, ends), "next_line": _at(line, _at(near[-1], ends)),
+        "body_at": _at(at, body), "body_close_at": _at(at, _at(close, body)), "body_close_line": _at(line, _at(close, body)), "close1_at": _at(at, closing[0]), "close1_line": _at(line, closing[0]),
+    }
+    for k, c in enumerate(closing, 1):
+        out |= {f"close{k}_n{i}": lone(c, i + 1) for i in range(4)} | {f"close{k}_args": _at(args_after, c)}
+    tells = word[code] | among("*")[code] | fits('^"')[code]
+    given = lambda x: pa.array(x := x[tells], mask=x < 0)
+    texts_out = [kinds.take(given(out[c])) for c in TEXTS]
+    numbers_out = [given(out[c]).cast(pa.int32()) if c != "depth" else pa.array(depth[tells], pa.int32()) for c in NUMBERS]
+    files = pa.array(file[tells])
+    on_new_line = pa.array((_at(line, near[1]) > line)[tells], mask=(near[1] < 0)[tells])
+    names = ["path", "lang", "word", "ends_line", *NUMBERS, *TEXTS]
+    return pa.RecordBatch.from_arrays([paths.take(files), langs.take(files), pa.array(word[code][tells]), on_new_line, *numbers_out, *texts_out], names)
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, paths, langs = batch.column("tokens"), batch.column("path"), batch.column("lang")
+        size = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, first = np.cumsum(size), 0
+        while first < len(size):
+            done = upto[first] - size[first]
+            last = max(first + 1, int(np.searchsorted(upto, done + SLICE, "right")))
+            some = tokens.slice(first, last - first)
+            counts = size[first:last]
+            file = np.repeat(np.arange(last - first), counts)
+            at = np.arange(len(file)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield _placed(paths.slice(first, last - first), langs.slice(first, last - first), some.flatten(), file, at)
+            first = last
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """Tokens of files (path, text) in the languages above, without white space and comments. Paths are unique; null texts have none.
+    """Tokens of files (path, text) that can tell something: words, stars, strings in double quotes. Paths are unique; null texts have none.
 
-    Of marks only brackets, stars and semicolons are given; the others stand in before and after.
+    Spark cuts a text into tokens where it lies, and a task places those of many files at once; nothing is shuffled. The rows of a file stay together, in order.
 
-    path, lang, at (order), text, line, args (type arguments that follow), depth (brackets around it), before and after (the texts
-    on either side, nearest first), close (of an opener: at, line and after of its partner, and args of the second token after it),
-    head (the last of HEADS at its depth, with what stands before it), role (of a brace: what it is the body of), inside (the opener
-    around it), string (the next string), next (the next of HEADS at its depth, with the line before it), body (the next brace at its
-    depth), close1 to close4 (close of the tokens after it).
+    path, lang, at (order), text, word, line, args (type arguments that follow), depth (brackets around it), p0 to p3 and n0 to n6 (the
+    texts before and after it, nearest first, without white space, comments and type arguments), ends_line, head (the last of HEADS at
+    its depth), in (the opener around it: its role is what a brace is the body of; its partner is in_close), quote (the next string), next
+    (the next of HEADS at its depth, with the line before it), body (the next brace at its depth and its partner), close1 to close4 (the
+    partners of the tokens after it, if they are openers; args: those of the second token after the partner).
     """
-    named = files.select("path", language_of(F.col("path")).alias("lang"), F.col("text").alias("source")).filter("lang is not null and source is not null").repartition("path")
-    found = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all("source", F.lit(lang.pattern), F.lit(0))) for name, lang in LANGUAGES.items()])
-    rows = named.select("path", "lang", F.posexplode(found).alias("at", "text"))
-    text, order = F.col("text"), Window.partitionBy("path").orderBy("at")
-    until, over = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    step = F.when(text.isin(*OPEN), 1).when(text.isin(*CLOSE), -1).otherwise(0)
-    following = F.lead("text").over(order)
-    rows = rows.select(
-        "path", "lang", "at", "text",
-        (1 + F.coalesce(F.sum(breaks).over(until), F.lit(0))).cast("int").alias("line"),
-        F.sum(step).over(over).alias("sum"),
-        F.when(text.rlike(r"^[\p{L}_$]") & following.rlike("^<."), following).alias("args"),
-    )
-    word = text.rlike(r"^[\p{L}_$]")
-    code = ~text.rlike(r"^(\s|//|/\*)") & ~(text.rlike(r"^<.*>$"))
-    rows = rows.filter(code)
-    opens, closes = text.isin(*OPEN), text.isin(*CLOSE)
-    depth = F.when(opens, F.col("sum") - 1).otherwise(F.col("sum"))
-    near = lambda f, most: F.array(*[F.coalesce(f("text", k).over(order), F.lit("")) for k in range(1, most)])
-    rows = rows.select("*", F.lag("line").over(order).alias("line_before"), F.lead("args", 2).over(order).alias("args_after"), depth.alias("depth"), F.when(opens | closes, depth + 1).alias("level"), near(F.lag, 5).alias("before"), near(F.lead, 8).alias("after"), (F.lead("line").over(order) > F.col("line")).alias("ends_line"))
-    pairs = Window.partitionBy("path", "level").orderBy("at")
-    partner = F.lead(F.struct("at", "line", F.slice("after", 1, 4).alias("after"), F.col("args_after").alias("args"))).over(pairs)
-    rows = rows.withColumn("close", F.when(opens, partner)).drop("args_after")
-    rows = rows.select("*", *[F.lead("close", k).over(order).alias(f"close{k}") for k in (1, 2, 3, 4)])
-    # from here on only words, brackets, strings and what ends a statement matter; the rest is known to its neighbours
-    rows = rows.filter(text.rlike(r"^[\p{L}_$\"'`*;(\[{)\]}]"))
-    same_depth = Window.partitionBy("path", "depth").orderBy("at")
-    last = same_depth.rowsBetween(Window.unboundedPreceding, -1)
-    begins = (text.isin(*HEADS) & (F.col("before")[0] != ".")) | ((text == "}") & ~F.col("after")[0].isin(",", ")", ".", "from"))
-    mark = F.when(begins, F.struct("text", "at", "line"))
-    rows = rows.withColumn("head", F.last(mark, True).over(last))
-    role = F.when(text == "{", F.when(F.col("head.text").isin("class", "interface", "enum", "record", "struct"), F.col("head.text")))
-    rows = rows.withColumn("role", F.coalesce(role, text))
-    around = Window.partitionBy("path", F.coalesce("level", "depth")).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    opener = F.when(opens, F.struct("at", "line", "role", F.slice("before", 1, 2).alias("before"), F.struct("head.text", "head.line").alias("head"), "close"))
-    backwards = Window.partitionBy("path").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    quote = F.when(text.rlike("^[\"'`]"), F.regexp_replace("text", "^[\"'`]|[\"'`]$", ""))
-    ends = F.when(begins & ~text.isin("if", "for", "while", "switch", "do", "try"), F.struct("at", F.col("line_before").alias("line")))
-    after_same = Window.partitionBy("path", "depth").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    brace = F.when(text == "{", F.struct("at", F.struct("close.at", "close.line").alias("close")))
-    return rows.select(
-        "path", "lang", "at", "text", "line", "args", "depth", "before", "after", "ends_line", "close", "head", "role", word.alias("word"),
-        F.when(F.col("depth") > 0, F.when(F.col("level").isNull(), F.last(opener, True).over(around))).alias("inside"),
-        F.last(quote, True).over(backwards).alias("string"),
-        F.last(ends, True).over(after_same).alias("next"),
-        F.last(brace, True).over(after_same).alias("body"),
-        *[f"close{k}" for k in (1, 2, 3, 4)],
-    )
+    named = files.select("path", language_of(F.col("path")).alias("lang"), "text").filter("lang is not null and text is not null")
+    found = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all("text", F.lit(lang.pattern), F.lit(0))) for name, lang in LANGUAGES.items()])
+    return named.select("path", "lang", found.alias("tokens")).mapInArrow(_place, ROWS)

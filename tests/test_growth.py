@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.catalog import QUERIES
-from tessera.operators import extract, index, modules, resolve, textsearch
+from tessera.operators import bracefacts, extract, index, modules, resolve, textsearch
 from tessera.streaming import flows
 
 
@@ -155,3 +155,10 @@ def test_a_symbol_is_one_group_of_the_stream(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("grouped").filter("event = 'created'").count() == 15 and spark.table("grouped").count() == 60
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+
+
+def test_facts_of_brace_languages_move_nothing_but_files(spark):
+    files = spark.createDataFrame([(f"c{i}.ts", "import { a } from './b';\nfunction f() { go(); }\n") for i in range(50)], "path string, text string")
+    rows, plan = run(bracefacts.brace_facts(files, ("import",), scopes=False))
+    assert {(r.fact, r.name, r.parent) for r in rows} == {("import", "a", "./b")} and len(rows) == 50
+    assert sum("Exchange" in n.nodeName() for n in plan) <= 1 and not any(w in n.nodeName() for n in plan for w in ("Window", "Join", "Sort"))
