@@ -14,7 +14,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,23 @@ def _told(rows: DataFrame, facts: tuple[str, ...]) -> DataFrame:
     nxt, body = {"at": F.col("next_at"), "line": F.col("next_line")}, {"at": F.col("body_at"), "close": {"at": F.col("body_close_at"), "line": F.col("body_close_line")}}
     close1 = {"at": F.col("close1_at"), "line": F.col("close1_line"), "after": [F.col("close1_n0"), F.col("close1_n1")], "args": F.col("close1_args")}
     out: list[tuple[str, Column]] = []
+    # what a token must have for a fact, told by its neighbours: most tokens have no fact of some few kinds and go here
+    constants, listed_here = ("const", "let"), F.col("in_p0").isin("export", "type")
+    may = {
+        "symbol": p[0].isin("class", "interface", "enum", "record", "type", "const", "let", "var") | (n[0] == "(") | ((p[0] == ",") & head["text"].isin(*constants)) | (java & n[0].isin("=", ";", ",")),
+        "export": reduce(lambda a, b: a | b, [x == "export" for x in p]) | listed_here | (p[0] == "default"),
+        "reexport": listed_here | (text == "*"),
+        "import": (F.col("in_head_text") == "import") | (head["text"] == "import") | text.isin("*", "require") | text.startswith("import") | text.startswith('"') | F.col("in_p0").isin("const", "let", "var"),
+        "call": (n[0] == "(") | p[0].isin("new", "@", "<") | ((F.col("in_role") == "(") & p[0].isin("(", ",")),
+        "heritage": head["text"].isin("class", "record") | (F.col("in_role") == "struct"),
+        "class_head": head["text"].isin("class", "record"),
+        "type_binding": (p[0] == ":") | (n[0] == "="),
+        "assignment": n[0] == "=",
+        "call_result": n[0] == "=",
+        "return_type": (n[0] == "(") | p[0].isin(*constants, ","),
+        "local": p[0].isin(*constants, "var", "(", ",", "{", "[", ":", "public", "private", "protected", "readonly"),
+    }
+    rows = rows.filter(reduce(lambda a, b: a | b, [may[fact] for fact in facts]))
 
     def named_now(**columns: Column) -> list[Column]:
         """The columns, worked out once a token and read by name from here on."""
@@ -219,6 +238,7 @@ def head_line_of(js: Column, p: list[Column], head: Column, what: str) -> Column
 
 #: Of two kinds that one name has on one line, the first counts.
 PRIORITY = ("function", "class", "method", "interface", "enum", "struct", "type", "variable")
+RANK = {kind: k for k, kind in enumerate(PRIORITY)}
 FACTS = "path string, fact string, name string, kind string, parent string, receiver string, scope string, line int, end_line int, exported boolean, argument boolean"
 NAMES = [c.split()[0] for c in FACTS.split(", ")]
 ALL = ("symbol", "export", "import", "call", "heritage", "reexport", "type_binding", "assignment", "return_type", "call_result", "local")
@@ -238,57 +258,84 @@ def _held(points: set[int], spans: list[tuple], least: Callable[[tuple], object]
     return out
 
 
-def _scoped_file(path: str, rows: list[dict]) -> None:
-    """Gives the facts of one file their ids, holders and scopes; a class head keeps none."""
-    rank = {kind: k for k, kind in enumerate(PRIORITY)}
-    symbols, seen, nth = [], set(), Counter()
-    given = {r["name"] for r in rows if r["fact"] == "export"}
-    children = {r["end_at"]: r["name"] for r in rows if r["fact"] == "class_head"}
-    for r in sorted((r for r in rows if r["fact"] == "symbol"), key=lambda r: (rank[r["kind"]], r["at"])):
-        if (r["name"], r["line"]) not in seen:
-            seen.add((r["name"], r["line"]))
-            symbols.append(r)
-    for r in sorted(symbols, key=lambda r: r["at"]):
-        nth[r["kind"], r["name"]] += 1
-        k = nth[r["kind"], r["name"]]
-        r["scope"] = f"{path}#{r['kind']}:{r['name']}" + (f":{k}" if k > 1 else "")
-        r["exported"] = r["exported"] or r["name"] in given
+def _scoped_file(path: str, rows: range, c: dict[str, list], scope: list) -> None:
+    """Gives the facts of one file (rows of the columns c) their ids, holders and scopes; what is left without a scope is no fact."""
+    fact, name, kind, line, end_line, at, end_at = (c[x] for x in ("fact", "name", "kind", "line", "end_line", "at", "end_at"))
+    symbols, seen, nth, given, children, rest = [], set(), Counter(), set(), {}, []
+    for i in rows:
+        if fact[i] == "symbol":
+            symbols.append(i)
+            continue
+        if fact[i] == "export":
+            given.add(name[i])
+        if fact[i] == "class_head":
+            children[end_at[i]] = name[i]
+        else:
+            rest.append(i)
+    once = []
+    for i in sorted(symbols, key=lambda i: (RANK[kind[i]], at[i])):
+        if (name[i], line[i]) not in seen:
+            seen.add((name[i], line[i]))
+            once.append(i)
+    methods, holders, scopes = [], [], []
+    for i in sorted(once, key=lambda i: at[i]):
+        nth[kind[i], name[i]] += 1
+        k = nth[kind[i], name[i]]
+        scope[i] = f"{path}#{kind[i]}:{name[i]}" + (f":{k}" if k > 1 else "")
+        c["exported"][i] = c["exported"][i] or name[i] in given
+        c["parent"][i] = ""
+        if kind[i] == "method":
+            methods.append(i)
+        if kind[i] in CONTAINERS:
+            holders.append((line[i], end_line[i], at[i], scope[i]))
+        if kind[i] in SCOPES:
+            scopes.append((at[i], end_at[i], scope[i]))
     # the first container that spans a method
-    methods = [r for r in symbols if r["kind"] == "method"]
-    around = _held({r["line"] for r in methods}, [(r["line"], r["end_line"], r["at"], r["scope"]) for r in symbols if r["kind"] in CONTAINERS], lambda s: s[2])
-    for r in symbols:
-        holder = around.get(r["line"]) if r["kind"] == "method" else None
-        r["parent"] = holder[3] if holder and holder[1] >= r["end_line"] else ""
-    rest = [r for r in rows if r["fact"] not in ("symbol", "class_head")]
+    around = _held({line[i] for i in methods}, holders, lambda s: s[2]) if holders else {}
+    for i in methods:
+        holder = around.get(line[i])
+        if holder and holder[1] >= end_line[i]:
+            c["parent"][i] = holder[3]
     # the smallest scope that holds a fact; of equals the one that starts last, then the first id
-    scopes = _held({r["at"] for r in rest}, [(r["at"], r["end_at"], r["scope"]) for r in symbols if r["kind"] in SCOPES], lambda s: (s[1] - s[0], -s[0], s[2]))
-    for r in rest:
-        r["scope"] = scopes[r["at"]][2] if r["at"] in scopes else f"{path}#module:_top:0"
-        if r["fact"] == "heritage" and r["name"] == "":
-            r["name"] = children.get(r["end_at"])
+    inner = _held({at[i] for i in rest}, scopes, lambda s: (s[1] - s[0], -s[0], s[2])) if scopes else {}
+    top = f"{path}#module:_top:0"
+    for i in rest:
+        scope[i] = inner[at[i]][2] if at[i] in inner else top
+        if fact[i] == "heritage" and name[i] == "":
+            name[i] = children.get(end_at[i])
 
 
 def _scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The facts of files, whose rows come one after another, with scopes. A file's last batch ends where another path begins."""
-    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(NAMES, FACTS.split(", "), strict=True)])
 
-    def given(files: list[list[dict]]) -> pa.RecordBatch:
-        for rows in files:
-            _scoped_file(rows[0]["path"], rows)
-        kept = [r for rows in files for r in rows if r.get("scope") is not None]
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in kept], schema.field(n).type) for n in NAMES], NAMES)
+    def given(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = {x: batch.column(x).to_pylist() for x in ("path", "fact", "name", "kind", "parent", "line", "end_line", "at", "end_at", "exported")}
+        path, scope, first = c["path"], [None] * batch.num_rows, 0
+        while first < len(path):
+            last = first + 1
+            while last < len(path) and path[last] == path[first]:
+                last += 1
+            _scoped_file(path[first], range(first, last), c, scope)
+            first = last
+        made = {"name": c["name"], "parent": c["parent"], "scope": scope, "exported": c["exported"]}
+        columns = [pa.array(made[n], pa.bool_() if n == "exported" else pa.string()) if n in made else batch.column(n) for n in NAMES]
+        return pa.RecordBatch.from_arrays(columns, NAMES).filter(pa.array([x is not None for x in scope], pa.bool_()))
 
-    file: list[dict] = []
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    open_: list[pa.RecordBatch] = []  # of the file that may go on
     for batch in batches:
-        done: list[list[dict]] = []
-        for row in batch.to_pylist():
-            if file and row["path"] != file[0]["path"]:
-                done.append(file)
-                file = []
-            file.append(row)
-        yield given(done)
-    if file:
-        yield given([file])
+        if not batch.num_rows:
+            continue
+        new = pc.not_equal(batch.column("path"), batch.column("path")[-1]).to_numpy(zero_copy_only=False)
+        begins = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0  # where the last path begins
+        if begins or (open_ and open_[-1].column("path")[-1].as_py() != batch.column("path")[0].as_py()):
+            yield given(joined([*open_, *([batch.slice(0, begins)] if begins else [])]))
+            open_ = []
+        open_.append(batch.slice(begins))
+    if open_:
+        yield given(joined(open_))
 
 
 def brace_facts(files: DataFrame, facts: tuple[str, ...] = ALL, scopes: bool = True) -> DataFrame:
@@ -310,7 +357,7 @@ def brace_facts(files: DataFrame, facts: tuple[str, ...] = ALL, scopes: bool = T
         needs |= {"class_head"}
     # the code that tells facts is longer than the JVM compiles when a whole stage is one method; in parts it is compiled
     files.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    told = _told(token_rows(spread(files.select("path", "text"))), tuple(needs))
+    told = _told(token_rows(spread(files.select("path", "text"))), tuple(sorted(needs)))
     if scopes or needs & {"symbol", "heritage"}:
         told = told.mapInArrow(_scoped, FACTS)
         told = told if scopes else told.withColumn("scope", F.when(F.col("fact") == "symbol", F.col("scope")))

@@ -69,8 +69,8 @@ HEADS = ("class", "interface", "enum", "record", "struct", "namespace", "functio
 #: Of them, those that do not end the statement before.
 GO_ON = ("if", "for", "while", "switch", "do", "try")
 BODIES = ("class", "interface", "enum", "record", "struct")
-#: Tokens that are handled at once; a file of more goes alone. The arrays over them take some 500 bytes a token.
-SLICE = 1 << 16
+#: Tokens that are handled at once, so that their arrays stay in a core's cache; a file of more goes alone. They take some 500 bytes a token.
+SLICE = 1 << 14
 
 _CLOSES = [f"close{k}_{c}" for k in (2, 3, 4) for c in ("n0", "n1", "n2", "n3", "args")]
 TEXTS = ["text", "args", "p0", "p1", "p2", "p3", *[f"n{k}" for k in range(7)], "head_text", "in_role", "in_p0", "in_p1", "in_head_text", "in_close_n0", "in_close_n1", "in_close_n2", "quote", "close1_n0", "close1_n1", "close1_args", *_CLOSES]
@@ -98,7 +98,7 @@ def _next(groups: np.ndarray, order: np.ndarray, mark: np.ndarray) -> np.ndarray
 
 def _at(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The values of rows, -1 for rows that are -1."""
-    return np.where(rows < 0, -1, values[rows]) if len(values) else rows
+    return np.append(values, -1)[rows]
 
 
 def _placed(paths: pa.Array, langs: pa.Array, texts: pa.Array, file: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -132,7 +132,7 @@ def _placed(paths: pa.Array, langs: pa.Array, texts: pa.Array, file: np.ndarray,
         return np.where(inside & (file[np.where(inside, there, 0)] == file), there, -1) if n else place
 
     near = {k: away(k) for k in range(-4, 8) if k}
-    text_at = lambda rows: np.where(rows < 0, none, code[rows]) if n else rows
+    text_at = lambda rows: np.append(code, none)[rows]
     lone = lambda rows, k: _at(text_at(near[k]), rows)  # noqa: E731  the text k further than rows, "" beyond the file, null without a row
     brackets = opens | closes
     levels = file * (1 << 32) + depth + brackets
@@ -149,27 +149,29 @@ def _placed(paths: pa.Array, langs: pa.Array, texts: pa.Array, file: np.ndarray,
     opener = np.where(depth > 0, _last(levels, by_level, opens), -1)
     role = np.where(brace & (head >= 0) & np.append(among(*BODIES), False)[_at(code, head)], _at(code, head), code)
     quote = _next(file, place, fits("^[\"'`]")[code])
-    args_after = _at(args, near[2])
-    closing = [_at(close, near[k]) for k in (1, 2, 3, 4)]
-    inner_close = _at(close, opener)
+    args_after, next_line = _at(args, near[2]), _at(line, near[-1])
+    # from here on only the tokens that are given
+    tells = np.flatnonzero(word[code] | among("*")[code] | fits('^"')[code])
+    head_of, opener, body, ends = head, opener[tells], body[tells], ends[tells]
+    head, closing = head[tells], [_at(close, near[k][tells]) for k in (1, 2, 3, 4)]
+    inner_close, inner_head, body_close = _at(close, opener), _at(head_of, opener), _at(close, body)
     out = {
-        "text": code, "args": args, **{f"p{k}": text_at(near[-k - 1]) for k in range(4)}, **{f"n{k}": text_at(near[k + 1]) for k in range(7)},
-        "head_text": _at(code, head), "in_role": _at(role, opener), "in_p0": lone(opener, -1), "in_p1": lone(opener, -2), "in_head_text": _at(code, _at(head, opener)),
-        **{f"in_close_n{k}": lone(inner_close, k + 1) for k in range(3)}, "quote": _at(code, quote),
-        "at": at, "line": line, "depth": depth, "head_at": _at(at, head), "head_line": _at(line, head), "in_line": _at(line, opener), "in_head_line": _at(line, _at(head, opener)),
-        "in_close_at": _at(at, inner_close), "in_close_line": _at(line, inner_close), "next_at": _at(at, ends), "next_line": _at(line, _at(near[-1], ends)),
-        "body_at": _at(at, body), "body_close_at": _at(at, _at(close, body)), "body_close_line": _at(line, _at(close, body)), "close1_at": _at(at, closing[0]), "close1_line": _at(line, closing[0]),
+        "text": code[tells], "args": args[tells], **{f"p{k}": text_at(near[-k - 1][tells]) for k in range(4)}, **{f"n{k}": text_at(near[k + 1][tells]) for k in range(7)},
+        "head_text": _at(code, head), "in_role": _at(role, opener), "in_p0": lone(opener, -1), "in_p1": lone(opener, -2), "in_head_text": _at(code, inner_head),
+        **{f"in_close_n{k}": lone(inner_close, k + 1) for k in range(3)}, "quote": _at(code, quote[tells]),
+        "at": at[tells], "line": line[tells], "head_at": _at(at, head), "head_line": _at(line, head), "in_line": _at(line, opener), "in_head_line": _at(line, inner_head),
+        "in_close_at": _at(at, inner_close), "in_close_line": _at(line, inner_close), "next_at": _at(at, ends), "next_line": _at(next_line, ends),
+        "body_at": _at(at, body), "body_close_at": _at(at, body_close), "body_close_line": _at(line, body_close), "close1_at": _at(at, closing[0]), "close1_line": _at(line, closing[0]),
     }
     for k, c in enumerate(closing, 1):
-        out |= {f"close{k}_n{i}": lone(c, i + 1) for i in range(4)} | {f"close{k}_args": _at(args_after, c)}
-    tells = word[code] | among("*")[code] | fits('^"')[code]
-    given = lambda x: pa.array(x := x[tells], mask=x < 0)
+        out |= {f"close{k}_n{i}": lone(c, i + 1) for i in range(2 if k == 1 else 4)} | {f"close{k}_args": _at(args_after, c)}
+    given = lambda x: pa.array(x, pa.int32(), mask=x < 0)
     texts_out = [kinds.take(given(out[c])) for c in TEXTS]
-    numbers_out = [given(out[c]).cast(pa.int32()) if c != "depth" else pa.array(depth[tells], pa.int32()) for c in NUMBERS]
-    files = pa.array(file[tells])
-    on_new_line = pa.array((_at(line, near[1]) > line)[tells], mask=(near[1] < 0)[tells])
+    numbers_out = [given(out[c]) if c != "depth" else pa.array(depth[tells], pa.int32()) for c in NUMBERS]
+    files, after = pa.array(file[tells]), near[1][tells]
+    on_new_line = pa.array(_at(line, after) > line[tells], mask=after < 0)
     names = ["path", "lang", "word", "ends_line", *NUMBERS, *TEXTS]
-    return pa.RecordBatch.from_arrays([paths.take(files), langs.take(files), pa.array(word[code][tells]), on_new_line, *numbers_out, *texts_out], names)
+    return pa.RecordBatch.from_arrays([paths.take(files), langs.take(files), pa.array(word[code[tells]]), on_new_line, *numbers_out, *texts_out], names)
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
